@@ -6,7 +6,7 @@
    ``1/similarity - 1``, a second one; a set goes to the child named by its minwise token there.  Two sets of the wanted
    similarity so share one child in expectation at every depth, and unlike sets soon part.
 3. After every ``STEP`` levels nodes are counted.  Nodes of one set are done, nodes of at most ``SMALL`` are compared
-   exhaustively, larger ones branch on.  Nodes still larger at ``DEPTH`` (dense groups) are compared in blocks: all sets
+   exhaustively, larger ones branch on.  Where branching no longer shrinks them (dense groups) they are compared in blocks: all sets
    against a pivot block, then the sets that this leaves outside the node's main component against all blocks - so that any
    two sets of the node end up in one component if they are linked, without listing all pairs.
 4. A comparison counts common shingles exactly, by a product of incidence matrices, and emits a spanning forest of the
@@ -30,9 +30,12 @@ from pyspark.sql import functions as F
 from intervale.llm.common import cut, table
 from intervale.llm.words import blocks, mix, words_of
 
-COORDS, TREES, STEP, DEPTH, SMALL = 128, 14, 4, 16, 128
+COORDS, TREES, STEP, DEPTH, SMALL = 64, 14, 4, 32, 512
+#: Branching goes on while it leaves less than this share of the rows in large nodes; up to so many nodes are broadcast.
+SHRINKS, BROADCAST_NODES = 0.6, 500_000
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA5CB9243F2CE3A6F)
-_MULT = mix(np.arange(1, 1025, dtype=np.uint64)) | np.uint64(1)
+_MULT = (mix(np.arange(1, 1025, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_PLUS = (mix(np.arange(2001, 3025, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
 def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
@@ -54,13 +57,10 @@ def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
 
 def minwise(sets: np.ndarray, coords: int = COORDS) -> np.ndarray:
     """The minwise token (32 bits) of a set at each coordinate."""
-    got = np.empty(coords, np.uint32)
-    for i in range(0, coords, 16):
-        best = None
-        for at in range(0, len(sets), 8192):
-            low = ((sets[None, at : at + 8192] * _MULT[i : i + 16, None]) >> np.uint64(32)).min(1)
-            best = low if best is None else np.minimum(best, low)
-        got[i : i + 16] = best
+    got = np.full(coords, 0xFFFFFFFF, np.uint32)
+    low = (sets ^ (sets >> np.uint64(32))).astype(np.uint32)
+    for at in range(0, len(low), 2048):
+        np.minimum(got, (low[None, at : at + 2048] * _MULT[:coords, None] + _PLUS[:coords, None]).min(1), out=got)
     return got
 
 
@@ -87,7 +87,7 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
 
 
 def branch(frontier: DataFrame, levels: int, similarity: float, trees: int | None = None) -> DataFrame:
-    """Children ``levels`` below: rows (node, cls, sig) of rows (node, cls, sig), or of rows (cls, sig) from the roots of ``trees``."""
+    """Children ``levels`` below: rows (node, id) of rows (node, id, sig), or of rows (id, sig) from the roots of ``trees``."""
     extra = np.uint64(int((1 / similarity - 1) * 2**32))
     roots = mix(np.arange(1, (trees or 0) + 1, dtype=np.uint64) * _A)
 
@@ -111,10 +111,10 @@ def branch(frontier: DataFrame, levels: int, similarity: float, trees: int | Non
                     of2, node2, pick = np.concatenate((of, of[more])), np.concatenate((node, node[more])), np.concatenate((first, second))
                     node = mix((node2 * _A) ^ (sig[of2, pick].astype(np.uint64) + (pick.astype(np.uint64) << np.uint64(32))))
                     of = of2
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), b.column("cls").take(pa.array(of))], ["node", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), b.column("id").take(pa.array(of))], ["node", "id"])
 
-    columns = ["cls", "sig"] if trees else ["node", "cls", "sig"]
-    return frontier.select(columns).mapInArrow(run, "node long, cls binary").distinct()
+    columns = ["id", "sig"] if trees else ["node", "id", "sig"]
+    return frontier.select(columns).mapInArrow(run, "node long, id long")
 
 
 def linked(sets: list[np.ndarray], percent: int, limit: int = 1 << 24) -> tuple[np.ndarray, np.ndarray]:
@@ -141,8 +141,9 @@ def linked(sets: list[np.ndarray], percent: int, limit: int = 1 << 24) -> tuple[
     return np.nonzero(np.triu((100 * both >= percent * either) & (both > 0), 1))
 
 
-def forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    parent = list(range(n))
+def forest(n: int, left: np.ndarray, right: np.ndarray, same: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that join what neither links before them nor ``same`` (an earlier member of each one's component) joins."""
+    parent = list(same or range(n))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -160,16 +161,17 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]
 
 
 def compare(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Spanning forests (a, b) of the links within each node of ``members`` (node, cls)."""
+    """Spanning forests (a, b) of the links within each node of ``members`` (node, id, root); members of one root are joined already."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("id").sort_values("id")
         ids = pdf["id"].to_numpy()
         own = [np.frombuffer(x, np.uint64) for x in pdf["members"]]
-        kept = forest(len(own), *linked(own, percent))
+        roots = pdf["root"].tolist()
+        kept = forest(len(own), *linked(own, percent), [roots.index(r) for r in roots])
         return pd.DataFrame({"a": [ids[i] for i, _ in kept], "b": [ids[j] for _, j in kept]}, dtype="int64")
 
-    return members.join(sets, "cls").select("node", "id", "members").groupBy("node").applyInPandas(run, "a long, b long").distinct()
+    return members.join(sets, "id").select("node", "id", "root", "members").groupBy("node").applyInPandas(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -212,46 +214,47 @@ def near_groups(
         .withColumn("id", F.monotonically_increasing_id())
     )
     similarity = percent / 100
-    frontier = classes.select("cls", "sig")
-    chosen, level, rest = [], 0, None
+    chosen, level, large, before = [], 0, None, None
     while level < depth:
-        rows = branch(frontier, step, similarity, trees) if level == 0 else branch(rest, step, similarity)
+        rows = branch(classes, step, similarity, trees) if large is None else branch(large.join(classes.select("id", "sig"), "id"), step, similarity)
         level += step
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.sum(F.hash("cls")).alias("y")).where("n > 1")
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.hash("id")).alias("y")).where("n > 1")
         # nodes with equal members, of other trees or paths, are one
-        sizes = cut(sizes.groupBy("n", "x", "y").agg(F.min("node").alias("node")))
-        found = cut(rows.join(sizes.select("node", "n"), "node"))
-        chosen.append(found.where(F.col("n") <= small).select("node", "cls"))
-        large = found.where(F.col("n") > small).select("node", "cls")
-        if large.isEmpty():
-            rest = None
+        sizes = cut(sizes.groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node", "n"))
+        found = cut(rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_NODES else sizes, "node"))
+        chosen.append(found.where(F.col("n") <= small).select("node", "id"))
+        large = found.where(F.col("n") > small).select("node", "id")
+        left = large.count()
+        if not left or before is not None and left > SHRINKS * before:
             break
-        rest = large.join(classes.select("cls", "sig"), "cls")
-        left = large
+        before = left
     members = chosen[0]
     for m in chosen[1:]:
         members = members.unionByName(m)
-    wanted = members if rest is None else members.unionByName(left)
-    sets = cut(class_sets(docs, drawn, classes.join(wanted.select("cls").distinct(), "cls", "left_semi"), words, id_col, text_col))
-    links = compare(members, sets, percent)
-    if rest is not None:
-        links = links.unionByName(compare_large(left, sets, links, percent, small))
-    roots = components(links)
-    if links.isEmpty():
-        owners = classes.select("cls", "least", "n").where("n > 1").select("cls", F.col("least").alias("owner"))
-    else:
-        joined = classes.select("cls", "least", "n", "id").join(roots, "id", "left")
-        top = joined.where("root is not null").groupBy("root").agg(F.min("least").alias("top"))
-        owners = joined.join(top, "root", "left").where("n > 1 or root is not null").select("cls", F.when(F.col("root").isNotNull(), F.col("top")).otherwise(F.col("least")).alias("owner"))
+    wanted = members.unionByName(large).select("id").distinct()
+    sets = cut(class_sets(docs, classes.join(wanted, "id", "left_semi"), words, id_col, text_col))
+    members = cut(members)
+    early = F.pmod(F.xxhash64("node"), F.lit(4)) == 0
+    links = cut(compare(members.where(early).withColumn("root", F.col("id")), sets, percent))
+    # what a quarter of the nodes has linked needs no other node
+    links = links.unionByName(compare_apart(rooted(members.where(~early), links), sets, percent))
+    if left:
+        links = links.unionByName(compare_large(large, sets, links, percent, small))
+    joined = classes.select("cls", "least", "n", "id").join(components(links), "id", "left")
+    top = joined.where("root is not null").groupBy("root").agg(F.min("least").alias("top"))
+    owners = joined.where("n > 1 or root is not null").join(top, "root", "left").select("cls", F.when(F.col("root").isNotNull(), F.col("top")).otherwise(F.col("least")).alias("owner"))
     out = drawn.select("doc_id", "n_shingles", "cls").join(owners.withColumn("grouped", F.lit(True)), "cls", "left")
     comp = F.when(F.col("grouped"), F.col("owner")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
 
 
-def class_sets(docs: DataFrame, drawn: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """cls, id, members (the whole set as bytes) of the wanted classes, from the texts of their representatives."""
+def class_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """id, members (the whole set as bytes) of the wanted classes, from the texts of their representatives."""
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    texts = found.join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    wanted = cut(wanted.select("cls", "id", "least"))
+    few = wanted.count() <= BROADCAST_NODES
+    ids = wanted.select(F.col("least").alias("doc_id")).distinct()
+    texts = found.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     if not wanted.where("least is null").isEmpty():
         texts = texts.unionByName(found.where("doc_id is null"))
 
@@ -262,29 +265,43 @@ def class_sets(docs: DataFrame, drawn: DataFrame, wanted: DataFrame, words: int,
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in got], pa.binary()), pa.array([s.tobytes() for s in got], pa.binary())], ["cls", "members"])
 
     sets = texts.select("text").mapInArrow(run, "cls binary, members binary")
-    return sets.join(wanted.select("cls", "id"), "cls").dropDuplicates(["cls"])
+    named = wanted.select("cls", "id")
+    return sets.join(F.broadcast(named) if few else named, "cls").select("id", "members").dropDuplicates(["id"])
+
+
+def rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Adds the root of each row's id, as far as ``links`` tell."""
+    return cut(rows.join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id")))
+
+
+def compare_apart(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Compares the nodes of tasks (node, id, root) that have more than one root."""
+    apart = tasks.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("node")
+    return cut(compare(tasks.join(apart, "node", "left_semi"), sets, percent))
 
 
 def compare_large(nodes: DataFrame, sets: DataFrame, links: DataFrame, percent: int, small: int) -> DataFrame:
     """Links within nodes of any size: each block against the node's pivot block, then what stays outside the main component against all blocks."""
     sized = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    spread = cut(
-        nodes.join(sized, "node").join(sets.select("cls", "id"), "cls").select("node", "cls", "id", F.ceil(F.col("n") / F.lit(small)).cast("int").alias("of")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
-    )
+    blocked = nodes.join(sized, "node").select("node", "id", F.ceil(F.col("n") / F.lit(small)).cast("int").alias("of"))
+    blocked = cut(blocked.withColumn("block", F.pmod(F.xxhash64("id"), F.col("of")).cast("int")))
 
-    def tasks(side: DataFrame) -> DataFrame:
-        """side: (node, block, cls, other) - meets block ``other`` of its node; one task for each pair of blocks."""
+    def compared(side: DataFrame, spread: DataFrame) -> DataFrame:
+        """side: (node, block, id, root, other) - meets block ``other`` of its node; one task for each such pair."""
         one = F.xxhash64("node", "block", "other").alias("node")
-        meets = side.select("node", "block", "other").distinct().join(spread.select("node", F.col("block").alias("other"), "cls"), ["node", "other"])
-        return side.select(one, "cls").unionByName(meets.select(one, "cls"))
-
-    first = cut(compare(tasks(spread.withColumn("other", F.lit(0))), sets, percent))
-    roots = components(links.unionByName(first))
-    placed = cut(spread.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
-    main = placed.groupBy("node", "root").count().groupBy("node").agg(F.max(F.struct("count", "root")).alias("m")).select("node", F.col("m.root").alias("main"))
-    outside = placed.join(main, "node").where("root <> main")
-    every = outside.select("node", "block", "cls", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other"))
-    return first.unionByName(compare(tasks(every), sets, percent))
+        meets = side.select("node", "block", "other").distinct().join(spread.select("node", F.col("block").alias("other"), "id", "root"), ["node", "other"])
+        return compare_apart(cut(side.select(one, "id", "root").unionByName(meets.select(one, "id", "root"))), sets, percent)
+
+    spread = rooted(blocked, links)
+    first = compared(spread.withColumn("other", F.lit(0)), spread)
+    spread = rooted(blocked, links.unionByName(first))
+    main = spread.groupBy("node", "root").count().groupBy("node").agg(F.max(F.struct("count", "root")).alias("m")).select("node", F.col("m.root").alias("main"))
+    outside = spread.join(main, "node").where("root <> main").drop("main", "block")
+    # those outside are dealt to blocks of their own, so that few blocks of them meet all others
+    blocks = outside.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / F.lit(small)).cast("int").alias("own"))
+    outside = outside.join(blocks, "node").withColumn("block", -1 - F.pmod(F.xxhash64("id"), F.col("own")).cast("int"))
+    every = outside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    return first.unionByName(compared(every, spread))
 
 
 def drop_near_copies(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
