@@ -1,11 +1,604 @@
-"""All queries over the driver tables, and SQL for them."""
+"""All queries over the driver tables, and SQL for those that SQL can express.
+
+Regions come from ``lineitem`` (8 files, 5 chromosomes), the universe from ``part``, vectors from ``embeddings``, cells
+and features from ``events``, token documents from ``conversations``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from intervale.functions import regions as fn
+from intervale.operators import catalog, evaluate, intervals, perturb, search, tokens, universe
+from intervale.session import prepare
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+_R = """r AS (SELECT CAST(l_suppkey % 8 AS INT) AS bed_id, 'chr' || CAST(1 + l_orderkey % 5 AS VARCHAR) AS chrom, l_partkey * 40 + l_linenumber * 7 + l_orderkey % 97 AS "start",
+  l_partkey * 40 + l_linenumber * 7 + l_orderkey % 97 + 10 + CAST(l_quantity AS BIGINT) * 2 AS "end", ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS row_idx FROM lineitem)"""
+_U = """u AS (SELECT p_partkey AS uid, 'chr' || CAST(1 + p_partkey % 5 AS VARCHAR) AS chrom, p_partkey * 40 AS "start", p_partkey * 40 + 20 + 3 * p_size AS "end" FROM part)"""
+
+
+def _merged(name: str, of: str, by: str = "bed_id, chrom") -> str:
+    return f"""{name} AS (SELECT {by}, min("start") AS "start", max("end") AS "end" FROM (SELECT *, sum(o) OVER (PARTITION BY {by} ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS i FROM
+  (SELECT *, CASE WHEN "start" <= max("end") OVER (PARTITION BY {by} ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o FROM {of})) GROUP BY {by}, i)"""
+
+
+_M, _MU = _merged("m", "r"), _merged("mu", "u", "chrom")
+_SIZES = 'sz AS (SELECT chrom, (max("end") // 1000 + 1) * 1000 AS size FROM (SELECT chrom, "end" FROM r UNION ALL SELECT chrom, "end" FROM u) GROUP BY chrom)'
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def regions(spark: SparkSession, d: str) -> DataFrame:
+    start = F.col("l_partkey") * 40 + F.col("l_linenumber") * 7 + F.col("l_orderkey") % 97
+    return _read(spark, d, "lineitem").select(
+        (F.col("l_suppkey") % 8).cast("int").alias("bed_id"), F.concat(F.lit("chr"), (1 + F.col("l_orderkey") % 5).cast("string")).alias("chrom"), start.alias("start"), (start + 10 + F.col("l_quantity").cast("long") * 2).alias("end"), (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("row_idx")
+    )
+
+
+def the_universe(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return _read(spark, d, "part").select(k.alias("uid"), F.concat(F.lit("chr"), (1 + k % 5).cast("string")).alias("chrom"), (k * 40).alias("start"), (k * 40 + 20 + 3 * F.col("p_size")).alias("end"))
+
+
+def right(u: DataFrame) -> DataFrame:
+    return u.select("uid", "chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+
+
+def sizes(spark: SparkSession, d: str) -> DataFrame:
+    both = regions(spark, d).select("chrom", "end").unionByName(the_universe(spark, d).select("chrom", "end"))
+    return both.groupBy("chrom").agg(((F.floor(F.max("end") / 1000) + 1) * 1000).alias("size"))
+
+
+# ---- intervals ----------------------------------------------------------------------------------------------------
+
+
+@query(f'WITH {_R}, {_M} SELECT bed_id, chrom, "start", "end" FROM m')
+def merge_regions(spark, d):
+    return intervals.merge(regions(spark, d), "bed_id")
+
+
+@query(f'WITH {_R}, {_U} SELECT DISTINCT r.bed_id, u.uid FROM r JOIN u ON r.chrom = u.chrom AND r."start" < u."end" AND u."start" < r."end"')
+def tokenize_hard(spark, d):
+    return intervals.tokenize(regions(spark, d), the_universe(spark, d), 1e-9, "bed_id")
+
+
+@query(f'WITH {_R}, {_U} SELECT DISTINCT r.bed_id, u.uid FROM r JOIN u ON r.chrom = u.chrom AND r."start" < u."end" AND u."start" < r."end" WHERE least(r."end", u."end") - greatest(r."start", u."start") >= 0.5 * (u."end" - u."start")')
+def tokenize_hard_fraction(spark, d):
+    return intervals.tokenize(regions(spark, d), the_universe(spark, d), 0.5, "bed_id")
+
+
+@query(f'WITH {_R}, {_U} SELECT r.bed_id, r.row_idx, u.uid FROM r JOIN u ON r.chrom = u.chrom AND r."start" < u."end" AND u."start" < r."end"')
+def overlap_pairs(spark, d):
+    return intervals.interval_join(regions(spark, d), right(the_universe(spark, d))).select("bed_id", "row_idx", "uid")
+
+
+@query(f'WITH {_R}, {_U} SELECT r.bed_id, r.row_idx, string_agg(CAST(coalesce(u.uid, -1) AS VARCHAR), \',\' ORDER BY u.uid) AS tokens FROM r LEFT JOIN u ON r.chrom = u.chrom AND r."start" < u."end" AND u."start" < r."end" GROUP BY 1, 2')
+def token_ids_per_region(spark, d):
+    r = regions(spark, d)
+    found = intervals.interval_join(r, right(the_universe(spark, d))).groupBy("bed_id", "row_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list("uid")), lambda x: x.cast("string")), ",").alias("tokens"))
+    return r.select("bed_id", "row_idx").join(found, ["bed_id", "row_idx"], "left").fillna("-1", ["tokens"])
+
+
+@query(f'WITH {_R}, {_U} SELECT bed_id, row_idx FROM r WHERE EXISTS (SELECT 1 FROM u WHERE r.chrom = u.chrom AND r."start" < u."end" AND u."start" < r."end")')
+def overlap_semi(spark, d):
+    return intervals.interval_join(regions(spark, d), right(the_universe(spark, d)), "semi").select("bed_id", "row_idx")
+
+
+@query(f'WITH {_R}, {_U} SELECT bed_id, row_idx FROM r WHERE NOT EXISTS (SELECT 1 FROM u WHERE r.chrom = u.chrom AND r."start" < u."end" AND u."start" < r."end")')
+def overlap_anti(spark, d):
+    return intervals.interval_join(regions(spark, d), right(the_universe(spark, d)), "anti").select("bed_id", "row_idx")
+
+
+_BP = f"""{_R}, {_U}, {_M}, {_MU},
+ov AS (SELECT m.bed_id, CAST(sum(least(m."end", mu."end") - greatest(m."start", mu."start")) AS BIGINT) AS overlap FROM m JOIN mu ON m.chrom = mu.chrom AND m."start" < mu."end" AND mu."start" < m."end" GROUP BY 1),
+bp AS (SELECT m.bed_id, CAST(any_value(t.u) - coalesce(any_value(overlap), 0) AS BIGINT) AS only_universe, CAST(sum("end" - "start") - coalesce(any_value(overlap), 0) AS BIGINT) AS only_file, CAST(coalesce(any_value(overlap), 0) AS BIGINT) AS overlap
+  FROM m LEFT JOIN ov ON m.bed_id = ov.bed_id, (SELECT sum("end" - "start") AS u FROM mu) t GROUP BY m.bed_id)"""
+
+
+@query(f"WITH {_BP} SELECT * FROM bp")
+def overlap_bp(spark, d):
+    return intervals.overlap_bp(regions(spark, d), the_universe(spark, d))
+
+
+_F10 = "101 * p * q / nullif(100 * p + q, 0)"
+_PQ = "(SELECT *, overlap / nullif(overlap + only_universe, 0) AS p, overlap / nullif(overlap + only_file, 0) AS q FROM bp)"
+
+
+@query(f"WITH {_BP} SELECT bed_id, round({_F10}, 6) AS f10 FROM {_PQ}")
+def f10_score(spark, d):
+    return intervals.overlap_bp(regions(spark, d), the_universe(spark, d)).select("bed_id", F.round(fn.f_beta(F.col("overlap"), F.col("only_file"), F.col("only_universe")), 6).alias("f10"))
+
+
+def _near(asked: str, of: str, key: str) -> str:
+    parts = [f'SELECT a.bed_id, min(abs(a."{c}" - b."{c}")) AS x FROM {asked} a JOIN {of} b ON {key} GROUP BY a.bed_id, a.n' for c in ("start", "end")]
+    return f"SELECT bed_id, median(x) AS median_distance FROM ({parts[0]} UNION ALL {parts[1]}) GROUP BY bed_id"
+
+
+_TO = f'{_R}, {_U}, {_M}, mn AS (SELECT *, row_number() OVER () AS n FROM m), un AS (SELECT f.bed_id, u.*, row_number() OVER () AS n FROM u, (SELECT DISTINCT bed_id FROM m) f)'
+_NEAR_FILE, _NEAR_UNIVERSE = _near("mn", "u", "a.chrom = b.chrom"), _near("un", "m", "a.chrom = b.chrom AND a.bed_id = b.bed_id")
+
+
+@query(f"WITH {_TO} {_NEAR_FILE}")
+def nearest_file_to_universe(spark, d):
+    return intervals.boundary_distances(regions(spark, d), the_universe(spark, d))
+
+
+@query(f"WITH {_TO} {_NEAR_UNIVERSE}")
+def nearest_universe_to_file(spark, d):
+    return intervals.universe_distances(regions(spark, d), the_universe(spark, d))
+
+
+@query(f"""WITH {_BP}, mn AS (SELECT *, row_number() OVER () AS n FROM m), un AS (SELECT f.bed_id, u.*, row_number() OVER () AS n FROM u, (SELECT DISTINCT bed_id FROM m) f), a AS ({_NEAR_FILE}), b AS ({_NEAR_UNIVERSE})
+SELECT x.bed_id, overlap, only_file, only_universe, a.median_distance AS to_universe, b.median_distance AS from_universe, round({_F10}, 6) AS f10, round((1010.0 / (a.median_distance + 100) + 101.0 / (b.median_distance + 100)) / 11, 6) AS rbs FROM {_PQ} x JOIN a ON x.bed_id = a.bed_id JOIN b ON x.bed_id = b.bed_id""")
+def assessment_table(spark, d):
+    return universe.assessment(regions(spark, d), the_universe(spark, d)).withColumns({"f10": F.round("f10", 6), "rbs": F.round("rbs", 6)})
+
+
+def _cov(points: str, name: str = "cov") -> str:
+    return f"""e AS ({points}), st AS (SELECT chrom, pos, sum(d) AS d FROM e GROUP BY 1, 2),
+{name} AS (SELECT chrom, pos AS "start", lead(pos) OVER (PARTITION BY chrom ORDER BY pos) AS "end", CAST(sum(d) OVER (PARTITION BY chrom ORDER BY pos) AS BIGINT) AS cov FROM st QUALIFY cov > 0)"""
+
+
+_CORE = _cov('SELECT chrom, "start" AS pos, 1 AS d FROM r UNION ALL SELECT chrom, "end", -1 FROM r')
+
+
+@query(f'WITH {_R}, {_CORE} SELECT chrom, "start", "end", cov FROM cov')
+def coverage_core(spark, d):
+    return intervals.coverage(regions(spark, d))
+
+
+@query(f"""WITH {_R}, {_cov('SELECT chrom, greatest("start" - 5, 0) AS pos, 1 AS d FROM r UNION ALL SELECT chrom, "start" + 6, -1 FROM r')} SELECT chrom, "start", "end", cov FROM cov""")
+def coverage_start(spark, d):
+    return intervals.boundary_coverage(regions(spark, d), "start", 5)
+
+
+@query(f"""WITH {_R}, {_cov('SELECT chrom, greatest("end" - 5, 0) AS pos, 1 AS d FROM r UNION ALL SELECT chrom, "end" + 6, -1 FROM r')} SELECT chrom, "start", "end", cov FROM cov""")
+def coverage_end(spark, d):
+    return intervals.boundary_coverage(regions(spark, d), "end", 5)
+
+
+def _islands(of: str, gap: int) -> str:
+    return f"""SELECT chrom, min("start") AS "start", max("end") AS "end" FROM (SELECT *, sum(o) OVER (PARTITION BY chrom ORDER BY "start" ROWS UNBOUNDED PRECEDING) AS i FROM
+  (SELECT *, CASE WHEN "start" - (lag("end") OVER (PARTITION BY chrom ORDER BY "start") - 1) >= {gap} THEN 1 ELSE 0 END AS o FROM {of})) GROUP BY chrom, i"""
+
+
+_CUT = 'c AS (SELECT cov.* FROM cov JOIN (SELECT cov.chrom, sum(cov * ("end" - "start")) / any_value(size) AS mean FROM cov JOIN sz ON cov.chrom = sz.chrom GROUP BY 1) a ON cov.chrom = a.chrom WHERE cov >= mean)'
+
+
+@query(f"WITH {_R}, {_U}, {_SIZES}, {_CORE}, {_CUT} {_islands('c', 2)}")
+def universe_cc(spark, d):
+    return universe.cc(intervals.coverage(regions(spark, d)), sizes(spark, d))
+
+
+@query(f'WITH {_R}, {_CORE}, c AS (SELECT * FROM cov WHERE cov >= 3), i AS ({_islands("c", 50)}) SELECT * FROM i WHERE "end" - "start" >= 100')
+def universe_cc_merged(spark, d):
+    return universe.cc(intervals.coverage(regions(spark, d)), sizes(spark, d), 3, 50, 100)
+
+
+@query(f'WITH {_U} SELECT uid, chrom, "start", "end" FROM u WHERE "end" - "start" > 100')
+def universe_filter(spark, d):
+    return universe.filter_universe(the_universe(spark, d), 100)
+
+
+_LH = f"""{_R}, {_U}, {_SIZES}, {_CORE}, ms AS (SELECT cov.chrom, sum(cov * ("end" - "start")) AS c, any_value(size) AS size FROM cov JOIN sz ON cov.chrom = sz.chrom GROUP BY 1),
+md AS (SELECT x.chrom, x.cov, log10((8 - x.cov) / (8 * size - c) + 1e-10) AS bg, log10(x.cov / c + 1e-10) AS fg FROM (SELECT DISTINCT chrom, least(cov, 7) AS cov FROM cov UNION SELECT DISTINCT chrom, 0 FROM cov) x JOIN ms ON x.chrom = ms.chrom)"""
+
+
+def _capped(spark, d) -> DataFrame:
+    # depths of up to 7 of the 8 files
+    return intervals.coverage(regions(spark, d)).withColumn("cov", F.least("cov", F.lit(7).cast("long")))
+
+
+def _model(spark, d) -> DataFrame:
+    cov = intervals.coverage(regions(spark, d))
+    width = F.col("end") - F.col("start")
+    mass = cov.groupBy("chrom").agg(F.sum(F.col("cov") * width).alias("c")).join(F.broadcast(sizes(spark, d)), "chrom")
+    low = _capped(spark, d).select("chrom", "cov").distinct().unionByName(cov.select("chrom", F.lit(0).cast("long").alias("cov")).distinct())
+    x = low.join(F.broadcast(mass), "chrom")
+    return x.select("chrom", "cov", F.log10((8 - F.col("cov")) / (8 * F.col("size") - F.col("c")) + 1e-10).alias("bg"), F.log10(F.col("cov") / F.col("c") + 1e-10).alias("fg"))
+
+
+@query(f"WITH {_LH} SELECT chrom, cov, round(bg, 6) AS bg, round(fg, 6) AS fg FROM md")
+def lh_model(spark, d):
+    return _model(spark, d).select("chrom", "cov", F.round("bg", 6).alias("bg"), F.round("fg", 6).alias("fg"))
+
+
+@query(f"""WITH {_LH}, k AS (SELECT cov.chrom, "start", "end", bg, fg FROM cov JOIN md ON cov.chrom = md.chrom AND least(cov.cov, 7) = md.cov),
+g AS (SELECT chrom, sum(("end" - "start") * bg) AS held, sum("end" - "start") AS covered FROM k GROUP BY 1), z AS (SELECT chrom, bg AS bg0, fg AS fg0 FROM md WHERE cov = 0),
+i AS (SELECT k.chrom, sum((least(k."end", u."end") - greatest(k."start", u."start")) * (fg - bg)) AS gain, sum(least(k."end", u."end") - greatest(k."start", u."start")) AS met FROM k JOIN u ON k.chrom = u.chrom AND k."start" < u."end" AND u."start" < k."end" GROUP BY 1),
+ub AS (SELECT chrom, sum("end" - "start") AS ubp FROM u GROUP BY 1)
+SELECT g.chrom, round(held + (size - covered) * bg0 + (coalesce(ubp, 0) - coalesce(met, 0)) * (fg0 - bg0) + coalesce(gain, 0), 3) AS likelihood FROM g JOIN z ON g.chrom = z.chrom JOIN sz ON g.chrom = sz.chrom LEFT JOIN i ON g.chrom = i.chrom LEFT JOIN ub ON g.chrom = ub.chrom""")
+def lh_hard(spark, d):
+    out = universe.hard_likelihood(_capped(spark, d), sizes(spark, d), _model(spark, d), the_universe(spark, d))
+    return out.select("chrom", F.round("likelihood", 3).alias("likelihood"))
+
+
+def _segments(spark, d) -> DataFrame:
+    prepare(spark)
+    """Per-base rows of the first stretches of each chromosome's covered islands, for the sequential programs."""
+    cov = intervals.coverage(regions(spark, d))
+    isl = intervals.islands(cov, 200).select("chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("start").alias("segment"))
+    runs = intervals.interval_join(cov, isl).select("chrom", "segment", "start", "end", "cov")
+    return runs.select("chrom", "segment", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"), "cov")
+
+
+@query()
+def universe_ml(spark, d):
+    x = _segments(spark, d)
+    fg, bg = F.log10(F.col("cov") / 8 + 1e-10), F.log10(F.greatest(8 - F.col("cov"), F.lit(0)) / 8 + 1e-10)
+    edge = F.when(F.col("cov") <= 2, 0.0).otherwise(-1.0)
+    rows = x.select("chrom", "segment", "pos", edge.alias("s_fg"), F.lit(-0.5).alias("s_bg"), fg.alias("c_fg"), bg.alias("c_bg"), edge.alias("e_fg"), F.lit(-0.5).alias("e_bg"))
+    return universe.maximum_likelihood(rows)
+
+
+@query()
+def universe_hmm(spark, d):
+    x = _segments(spark, d).select("chrom", "segment", "pos", F.lit(0).alias("s"), F.least("cov", F.lit(8)).alias("c"), F.lit(0).alias("e"))
+    stay = [[0.9, 0.1, 0.0, 0.0], [0.0, 0.9, 0.1, 0.0], [0.0, 0.0, 0.9, 0.1], [0.1, 0.0, 0.0, 0.9]]
+    states = universe.hidden_states(x, [[0.5, 1.0, 0.1], [0.1, 4.0, 0.1], [0.1, 1.0, 0.5], [0.1, 0.2, 0.1]], stay, [0.01, 0.01, 0.97, 0.01])
+    return states.groupBy("chrom", "state").count()
+
+
+@query(f"""WITH {_U}, n AS (SELECT uid, chrom, "start", "end", row_number() OVER (PARTITION BY chrom ORDER BY "start", uid) AS n FROM u),
+p AS (SELECT a.uid, b.uid AS neighbour, CASE WHEN a."end" < b."end" THEN greatest(b."start" - a."end" + 1, 0) ELSE greatest(a."start" - b."end" + 1, 0) END AS x FROM n a JOIN n b ON a.chrom = b.chrom AND a.uid <> b.uid AND b.n BETWEEN a.n - 4 AND a.n + 4),
+k AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY x, neighbour) AS place FROM p) SELECT uid, neighbour, place FROM k WHERE place <= 4""")
+def genome_neighbours(spark, d):
+    return intervals.neighbours(the_universe(spark, d), 4)
+
+
+@query(f'WITH {_R}, {_U} SELECT DISTINCT u.uid, r.bed_id FROM r JOIN u ON r.chrom = u.chrom AND r."start" // 40 = u."start" // 40')
+def binary_incidence(spark, d):
+    r = regions(spark, d).select("bed_id", "chrom", F.floor(F.col("start") / 40).alias("cell"))
+    return r.join(the_universe(spark, d).select("uid", "chrom", F.floor(F.col("start") / 40).alias("cell")), ["chrom", "cell"]).select("uid", "bed_id").distinct()
+
+
+# ---- identifiers and metadata -------------------------------------------------------------------------------------
+
+
+def _agg(c: str) -> str:
+    return f"md5(string_agg(CAST(\"{c}\" AS VARCHAR), ',' ORDER BY row_idx, CAST(\"{c}\" AS VARCHAR)))"
+
+
+@query(f"WITH {_R} SELECT bed_id, md5({_agg('chrom')} || ',' || {_agg('start')} || ',' || {_agg('end')}) AS identifier FROM r GROUP BY bed_id")
+def bed_identifier(spark, d):
+    return catalog.identifiers(regions(spark, d))
+
+
+@query(f"WITH {_R}, i AS (SELECT bed_id, md5({_agg('chrom')} || ',' || {_agg('start')} || ',' || {_agg('end')}) AS identifier FROM r GROUP BY bed_id) SELECT md5(string_agg(identifier, '' ORDER BY bed_id)) AS identifier FROM i")
+def bedset_identifier(spark, d):
+    return catalog.set_identifier(catalog.identifiers(regions(spark, d)).withColumnRenamed("bed_id", "ord"))
+
+
+@query("""WITH n AS (SELECT 'chr' || CASE WHEN n_nationkey < 22 THEN CAST(n_nationkey + 1 AS VARCHAR) ELSE substr(n_name, 1, 1) || CAST(n_nationkey AS VARCHAR) END AS chrom FROM nation)
+SELECT chrom, row_number() OVER (ORDER BY coalesce(TRY_CAST(replace(split_part(chrom, '_', 1), 'chr', '') AS INT), 2147483647), chrom) AS place FROM n""")
+def natural_sort(spark, d):
+    k = F.col("n_nationkey")
+    n = _read(spark, d, "nation").select(F.concat(F.lit("chr"), F.when(k < 22, (k + 1).cast("string")).otherwise(F.concat(F.substring("n_name", 1, 1), k.cast("string")))).alias("chrom"))
+    return n.withColumn("place", F.row_number().over(Window.orderBy(fn.natural_key(F.col("chrom")))))  # one row a chromosome
+
+
+@query("SELECT c_mktsegment AS series, count(*) AS files, string_agg(c_name, ',' ORDER BY c_custkey) AS names FROM customer GROUP BY 1")
+def metadata_by_series(spark, d):
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda s: s["c_name"]), ",")
+    return _read(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("series")).agg(F.count(F.lit(1)).alias("files"), names.alias("names"))
+
+
+# ---- vectors ------------------------------------------------------------------------------------------------------
+
+
+def vectors(spark, d) -> DataFrame:
+    return _read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+
+
+def _asked(spark, d) -> DataFrame:
+    return vectors(spark, d).where("id < 20").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+
+
+_V = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), q AS (SELECT id AS query_id, v AS q FROM v WHERE id < 20)"
+
+
+def _knn(score: str, order: str, low: int = 0, k: int = 10) -> str:
+    return f"WITH {_V}, p AS (SELECT query_id, id, {score} AS s FROM q, v WHERE id <> query_id), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s {order}, id) AS n FROM p) SELECT query_id, id, n - {low} AS place, round(s, 6) AS score FROM k WHERE n > {low} AND n <= {low + k}"
+
+
+_COS = "list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q)))"
+
+
+@query(_knn(_COS, "DESC"))
+def knn_cosine(spark, d):
+    return search.knn(_asked(spark, d), vectors(spark, d), 10).withColumn("score", F.round("score", 6))
+
+
+@query(_knn("list_distance(v, q)", "ASC"))
+def knn_euclidean(spark, d):
+    return search.knn(_asked(spark, d), vectors(spark, d), 10, "l2").withColumn("score", F.round("score", 6))
+
+
+@query(_knn(_COS, "DESC", 5))
+def knn_offset(spark, d):
+    return search.knn(_asked(spark, d), vectors(spark, d), 10, offset=5).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_V}, p AS (SELECT query_id, id, label, {_COS} AS s FROM q, v WHERE id <> query_id), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS n FROM p),
+c AS (SELECT query_id, label, count(*) AS c, min(n) AS f FROM k WHERE n <= 3 AND s >= 0.05 GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, f) AS o FROM c)
+SELECT q.query_id, coalesce(CAST(b.label AS VARCHAR), 'Unknown') AS label FROM q LEFT JOIN b ON q.query_id = b.query_id AND o = 1""")
+def annotate_cells(spark, d):
+    near = search.knn(_asked(spark, d), vectors(spark, d), 3).join(vectors(spark, d).select("id", "label"), "id")
+    return search.vote(near, "query_id", 0.05)
+
+
+_REL = f"""WITH {_V}, p AS (SELECT query_id, v.id, CAST(v.label = (SELECT label FROM v x WHERE x.id = query_id) AS INT) AS rel, {_COS} AS s FROM q, v WHERE v.id <> query_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS n FROM p), t AS (SELECT query_id, n, rel FROM k WHERE n <= 50),
+h AS (SELECT *, sum(rel) OVER (PARTITION BY query_id ORDER BY n) AS hits, sum(rel) OVER (PARTITION BY query_id) AS r, count(*) OVER (PARTITION BY query_id) AS kk FROM t)
+SELECT query_id, round(sum(CASE WHEN rel = 1 THEN hits / n ELSE 0 END) / nullif(any_value(r), 0), 6) AS ap, round(sum(CASE WHEN rel = 0 THEN hits END) / nullif(any_value(r) * (any_value(kk) - any_value(r)), 0), 6) AS auc, round(sum(CASE WHEN n <= r THEN rel ELSE 0 END) / nullif(any_value(r), 0), 6) AS rp FROM h GROUP BY 1"""
+
+
+@query(_REL)
+def retrieval_metrics(spark, d):
+    own = vectors(spark, d).select("id", "label")
+    near = search.knn(_asked(spark, d), vectors(spark, d), 50).join(own, "id").join(F.broadcast(own.where("id < 20").select(F.col("id").alias("query_id"), F.col("label").alias("wanted"))), "query_id")
+    out = search.retrieval_metrics(near.select("query_id", "place", (F.col("label") == F.col("wanted")).cast("int").alias("relevant")))
+    return out.select("query_id", *[F.round(c, 6).alias(c) for c in ("ap", "auc", "rp")])
+
+
+def _pooled(f: str) -> str:
+    return f"SELECT label, pos - 1 AS pos, round({f}(CAST(embedding[pos] AS DOUBLE)), 6) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS pos) GROUP BY 1, 2"
+
+
+@query(_pooled("avg"))
+def pool_mean(spark, d):
+    return search.pool(vectors(spark, d), "label").select("label", F.posexplode("v").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+@query(_pooled("max"))
+def pool_max(spark, d):
+    return search.pool(vectors(spark, d), "label", "max").select("label", F.posexplode("v").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+@query(f"""WITH {_V}, g AS (SELECT label, pos, avg(v[pos]) AS x FROM v, (SELECT unnest(range(1, 65)) AS pos) GROUP BY 1, 2), l AS (SELECT label, list(x ORDER BY pos) AS c FROM g GROUP BY 1),
+s AS (SELECT query_id, label, 1 - list_dot_product(c, q) / (sqrt(list_dot_product(c, c)) * sqrt(list_dot_product(q, q))) AS x FROM q, l)
+SELECT query_id, label, round((x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()), 6) AS score FROM s""")
+def similarity_rl(spark, d):
+    labels = search.pool(vectors(spark, d), "label").select("label", F.col("v").alias("c"))
+    pairs = _asked(spark, d).join(F.broadcast(labels))  # one row a label
+    return pairs.select("query_id", "label", F.round(search.min_max(1 - fn.cosine(F.col("c"), F.col("q"))), 6).alias("score"))
+
+
+@query("""WITH a AS (SELECT vec_id AS id, 0 AS part FROM embeddings WHERE vec_id % 2 = 0), b AS (SELECT vec_id AS id, 1 AS part FROM embeddings WHERE vec_id % 2 = 1)
+SELECT id FROM a UNION ALL SELECT id + (SELECT max(id) + 1 FROM a) FROM b""")
+def merge_indexes(spark, d):
+    v = vectors(spark, d).select("id", "v")
+    return search.merge_indexes(v.where("id % 2 = 0"), v.where("id % 2 = 1")).select("id")
+
+
+def _stages(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Tags are labels, placed by their first vector; a tag's files are its vectors."""
+    v = vectors(spark, d)
+    zero = v.where("id = 0").select(F.lit(-1).cast("long").alias("query_id"), F.col("v").alias("q"))
+    lead = v.groupBy("label").agg(F.min("id").alias("id")).join(v.select("id", "v"), "id").select(F.col("label").cast("long").alias("id"), "v")
+    tag = search.knn(zero, lead, search.first_limit(10)).select(F.col("id").alias("label"), (F.col("place") - 1).alias("tag_place"), F.col("score").alias("tag_score"))
+    files = search.knn(zero, v.select("id", "v"), 1 << 30).select("id", (F.col("place") - 1).alias("file_place"), F.col("score").alias("file_score"))
+    return tag.join(v.select("id", "label"), "label").select("id", "tag_place", "tag_score"), files
+
+
+_BI = f"""{_V}, z AS (SELECT v AS q FROM v WHERE id = 0), l AS (SELECT label, min(id) AS id FROM v GROUP BY 1),
+ts AS (SELECT l.label, {_COS} AS s FROM l JOIN v ON l.id = v.id, z), tp AS (SELECT label, s, row_number() OVER (ORDER BY s DESC, label) - 1 AS p FROM ts QUALIFY p < 5),
+fs AS (SELECT id, label, {_COS} AS s, row_number() OVER (ORDER BY {_COS} DESC, id) - 1 AS p FROM v, z)"""
+
+
+@query(f"WITH {_BI}, b AS (SELECT fs.id, (tp.s + fs.s) / 2 AS value FROM tp JOIN fs ON tp.label = fs.label) SELECT id, round(value, 6) AS value, row_number() OVER (ORDER BY value DESC, id) AS place FROM b")
+def bivec_score(spark, d):
+    return search.bivector(*_stages(spark, d)).withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {_BI}, b AS (SELECT fs.id, greatest(tp.p, fs.p) AS value FROM tp JOIN fs ON tp.label = fs.label) SELECT id, value, row_number() OVER (ORDER BY value, id) AS place FROM b")
+def bivec_rank(spark, d):
+    return search.bivector(*_stages(spark, d), by="rank")
+
+
+# ---- perturbation -------------------------------------------------------------------------------------------------
+
+
+def bed(spark, d) -> DataFrame:
+    return regions(spark, d).where("bed_id = 0").select("row_idx", "chrom", "start", "end", F.lit("-").alias("mod"))
+
+
+def _drawn(step: str, rate: float) -> str:
+    return f"""{_R}, b AS (SELECT row_idx, chrom, "start", "end", '-' AS mod FROM r WHERE bed_id = 0), dr AS (SELECT row_idx FROM b ORDER BY md5('7|{step}|' || CAST(row_idx AS VARCHAR)), row_idx LIMIT (SELECT CAST(floor(count(*) * {rate}) AS BIGINT) FROM b))"""
+
+
+@query(f"WITH {_drawn('drop', 0.3)} SELECT * FROM b WHERE row_idx NOT IN (SELECT row_idx FROM dr)")
+def perturb_drop(spark, d):
+    return perturb.drop(bed(spark, d), 0.3, 7)
+
+
+@query(f"""WITH {_drawn('merge', 0.4)}, w AS (SELECT b.*, dr.row_idx IS NOT NULL AS x, lead("end") OVER o AS nx, lag(dr.row_idx IS NOT NULL) OVER o AS wx FROM b LEFT JOIN dr ON b.row_idx = dr.row_idx WINDOW o AS (PARTITION BY chrom ORDER BY b.row_idx))
+SELECT row_idx, chrom, "start", "end", mod FROM w WHERE NOT (x AND nx IS NOT NULL) AND NOT coalesce(wx, false) UNION ALL SELECT row_idx, chrom, "start", nx, 'M' FROM w WHERE x AND nx IS NOT NULL""")
+def perturb_merge(spark, d):
+    return perturb.merge_rows(bed(spark, d), 0.4, 7)
+
+
+@query(f"""WITH {_drawn('cut', 0.5)}, w AS (SELECT b.*, dr.row_idx IS NOT NULL AND "end" - "start" > 20 AS x, ("start" + "end") // 2 AS mid FROM b LEFT JOIN dr ON b.row_idx = dr.row_idx)
+SELECT CAST(row_idx AS DOUBLE) AS row_idx, chrom, "start", CASE WHEN x THEN mid ELSE "end" END AS "end", CASE WHEN x THEN 'C' ELSE mod END AS mod FROM w UNION ALL SELECT row_idx + 0.5, chrom, mid, "end", 'C' FROM w WHERE x""")
+def perturb_cut(spark, d):
+    return perturb.cut(bed(spark, d), 0.5, 7)
+
+
+_UNI = "(CAST('0x' || substr(md5('7|{}|' || CAST(row_idx AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296)"
+
+
+@query(f"""WITH {_U}, {_drawn('shift', 0.5)}, {_SIZES}, w AS (SELECT b.*, size, dr.row_idx IS NOT NULL AS x, CAST(round_even(0.0 + 150.0 * sqrt(-2 * ln(1 - {_UNI.format('shiftu').replace('row_idx', 'b.row_idx')})) * cos(2 * pi() * {_UNI.format('shiftv').replace('row_idx', 'b.row_idx')}), 0) AS BIGINT) AS s FROM b LEFT JOIN dr ON b.row_idx = dr.row_idx JOIN sz ON b.chrom = sz.chrom),
+k AS (SELECT *, x AND "start" + s >= 0 AND "end" + s <= size AS ok FROM w) SELECT row_idx, chrom, CASE WHEN ok THEN "start" + s ELSE "start" END AS "start", CASE WHEN ok THEN "end" + s ELSE "end" END AS "end", CASE WHEN ok THEN 'S' ELSE mod END AS mod FROM k""")
+def perturb_shift(spark, d):
+    return perturb.shift(bed(spark, d), sizes(spark, d), 0.5, 0.0, 150.0, 7)
+
+
+@query()
+def perturb_all(spark, d):
+    return perturb.all_perturbations(bed(spark, d), sizes(spark, d), 7, shift_rate=0.2, add_rate=0.1, cut_rate=0.2, merge_rate=0.1, drop_rate=0.1)
+
+
+# ---- tokens -------------------------------------------------------------------------------------------------------
+
+
+def token_docs(spark, d) -> DataFrame:
+    words = F.transform(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""), lambda w: F.length(w))
+    return _read(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("id"), words.alias("tokens"))
+
+
+_T = r"t AS (SELECT conv_id AS id, list_transform(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> ''), lambda w: CAST(length(w) AS INT)) AS tokens FROM conversations WHERE turn = 0), x AS (SELECT id, tokens, unnest(tokens) AS target, generate_subscripts(tokens, 1) - 1 AS place FROM t)"
+
+
+@query(f"WITH {_T} SELECT id, place, target, array_to_string(list_concat(list_concat(tokens[greatest(place - 1, 1):place], tokens[place + 2:place + 3]), list_transform(range(4 - len(tokens[greatest(place - 1, 1):place]) - len(tokens[place + 2:place + 3])), lambda i: 0)), ',') AS context FROM x")
+def cbow_windows(spark, d):
+    return tokens.cbow_windows(token_docs(spark, d), 2).withColumn("context", F.array_join(F.transform("context", lambda c: c.cast("string")), ","))
+
+
+@query(f"WITH {_T} SELECT id, place, target, array_to_string(list_transform([-2, -1, 1, 2], lambda i: tokens[(place + i + len(tokens)) % len(tokens) + 1]), ',') AS context FROM x WHERE len(tokens) > 4")
+def cbow_windows_wrap(spark, d):
+    return tokens.cbow_windows_wrapped(token_docs(spark, d), 2).withColumn("context", F.array_join(F.transform("context", lambda c: c.cast("string")), ","))
+
+
+_W = r"w AS (SELECT conv_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS token FROM conversations), f AS (SELECT token, count(*) AS n, count(*) / (SELECT count(*) FROM w) AS share FROM w GROUP BY 1)"
+
+
+def _words(spark, d) -> DataFrame:
+    return _read(spark, d, "conversations").select(F.col("conv_id").alias("id"), F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("token"))
+
+
+@query(f"WITH {_W} SELECT token, n, round(share, 9) AS share FROM f")
+def token_frequency(spark, d):
+    return tokens.frequency(_words(spark, d)).withColumn("share", F.round("share", 9))
+
+
+@query(f"WITH {_W} SELECT token, round(pow(share, 0.75) / (SELECT sum(pow(share, 0.75)) FROM f), 9) AS p FROM f")
+def negative_sampling_dist(spark, d):
+    return tokens.negative_sampling(_words(spark, d)).withColumn("p", F.round("p", 9))
+
+
+@query(f"WITH {_W} SELECT id, string_agg(token, ' ' ORDER BY md5('3|' || CAST(id AS VARCHAR) || '|' || token), token) AS sentence FROM w GROUP BY id")
+def sentences(spark, d):
+    return tokens.sentences(_words(spark, d), 3)
+
+
+_C = "c AS (SELECT user_id AS cell, CAST(floor(value) AS BIGINT) % 50 AS gene, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1, 2)"
+
+
+def _counts(spark, d) -> DataFrame:
+    return _read(spark, d, "events").where("value is not null").groupBy(F.col("user_id").alias("cell"), (F.floor("value") % 50).alias("gene")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_C} SELECT cell, gene % 10 AS gene, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1, 2")
+def gene_collapse(spark, d):
+    mapping = spark.range(-50, 50).select(F.col("id").alias("gene"), (F.col("id") % 10).alias("to"))
+    return tokens.collapse(_counts(spark, d), mapping)
+
+
+@query(f"""WITH {_C}, t AS (SELECT cell, sum(n) AS a FROM c GROUP BY 1), x AS (SELECT c.cell, c.gene, round(c.n / a * 10000 / (1 + abs(c.gene) % 7), 9) AS x FROM c JOIN t ON c.cell = t.cell),
+k AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY x DESC, gene) AS p FROM x) SELECT cell, '-1,' || string_agg(CAST(gene AS VARCHAR), ',' ORDER BY p) || ',-2' AS tokens, count(*) + 2 AS length FROM k WHERE p <= 14 GROUP BY cell""")
+def rank_value_encoding(spark, d):
+    medians = spark.range(-50, 50).select(F.col("id").alias("gene"), (1 + F.abs("id") % 7).alias("median"))
+    return tokens.rank_encode(_counts(spark, d), medians, 16, -1, -2).select("cell", F.array_join(F.transform("tokens", lambda x: x.cast("string")), ",").alias("tokens"), F.col("length").cast("long").alias("length"))
+
+
+_K = "CAST(id AS VARCHAR) || '|' || CAST(place AS VARCHAR)"
+
+
+@query(f"""WITH {_T}, k AS (SELECT id, place, target, CAST('0x' || substr(md5('5|mask|' || {_K}), 1, 8) AS BIGINT) / 4294967296 AS m, CAST('0x' || substr(md5('5|pick|' || {_K}), 1, 8) AS BIGINT) / 4294967296 AS p FROM x)
+SELECT id, place, CASE WHEN m < 0.15 THEN CAST(floor(p * 1000) AS BIGINT) ELSE target END AS token, CASE WHEN m < 0.15 THEN 1 ELSE 0 END AS label FROM k""")
+def rtd_corrupt(spark, d):
+    x = token_docs(spark, d).select("id", F.posexplode("tokens").alias("place", "token"))
+    return tokens.corrupt(x, 1000, 0.15, 5)
+
+
+# ---- evaluation ---------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_U}, {_V}, n AS (SELECT u.*, v.v, row_number() OVER (PARTITION BY chrom ORDER BY u."start") AS n FROM u JOIN v ON u.uid = v.id),
+p AS (SELECT CASE WHEN a."end" < b."end" THEN greatest(b."start" - a."end" + 1, 0) ELSE greatest(a."start" - b."end" + 1, 0) END / 1e10 AS x, (1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))) / 2 AS y FROM n a JOIN n b ON a.chrom = b.chrom AND b.n = a.n + 1 + a.uid % 13)
+SELECT round(regr_slope(y, x), 0) AS slope FROM p""")
+def gdst(spark, d):
+    n = the_universe(spark, d).join(vectors(spark, d).select(F.col("id").alias("uid"), "v"), "uid").withColumn("n", F.row_number().over(Window.partitionBy("chrom").orderBy("start")))
+    a = n.select("chrom", (F.col("n") + 1 + F.col("uid") % 13).alias("n"), F.col("start").alias("s1"), F.col("end").alias("e1"), F.col("v").alias("v1"))
+    pairs = a.join(n.select("chrom", "n", F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("v").alias("v2")), ["chrom", "n"])
+    return evaluate.gdst(pairs).select(F.round("slope", 0).alias("slope"))
+
+
+@query("""WITH l AS (SELECT label AS a, vec_id % 10 AS b FROM embeddings), c AS (SELECT a, b, count(*) AS n FROM l GROUP BY 1, 2), s AS (SELECT sum(n * (n - 1) / 2) AS s, sum(n) AS t FROM c),
+x AS (SELECT sum(n * (n - 1) / 2) AS sa FROM (SELECT sum(n) AS n FROM c GROUP BY a)), y AS (SELECT sum(n * (n - 1) / 2) AS sb FROM (SELECT sum(n) AS n FROM c GROUP BY b))
+SELECT round((s - sa * sb / (t * (t - 1) / 2)) / nullif((sa + sb) / 2 - sa * sb / (t * (t - 1) / 2), 0), 6) AS ari FROM s, x, y""")
+def adjusted_rand(spark, d):
+    return evaluate.adjusted_rand(_read(spark, d, "embeddings").select(F.col("label").alias("a"), (F.col("vec_id") % 10).alias("b"))).select(F.round("ari", 6).alias("ari"))
+
+
+@query("""SELECT a.n_name AS a, b.n_name AS b, CASE WHEN a.n_nationkey = b.n_nationkey THEN 0 WHEN a.n_regionkey = b.n_regionkey THEN 2 ELSE 4 END AS distance FROM nation a, nation b""")
+def hierarchy_distance(spark, d):
+    n, r = _read(spark, d, "nation"), _read(spark, d, "region")
+    edges = r.select(F.lit("root").alias("parent"), F.concat(F.lit("r:"), "r_name").alias("child")).unionByName(n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.concat(F.lit("r:"), "r_name").alias("parent"), F.col("n_name").alias("child")))
+    pairs = n.select(F.col("n_name").alias("a")).crossJoin(n.select(F.col("n_name").alias("b")))  # 25 nations
+    return evaluate.hierarchy_distance(pairs, evaluate.paths(edges))
+
+
+@query("SELECT e AS epoch, round(0.025 - (0.025 - 0.0001) / 50 * e, 9) AS linear, round(greatest(0.025 * pow(0.5, floor(e / 10)), 0.0001), 9) AS milestone FROM range(50) t(e)")
+def lr_schedule(spark, d):
+    e = F.col("epoch")
+    return spark.range(50).select(F.col("id").alias("epoch")).select("epoch", F.round(fn.linear_rate(0.025, 0.0001, 50, e), 9).alias("linear"), F.round(fn.milestone_rate(0.025, 0.0001, 0.5, 10, e), 9).alias("milestone"))
+
+
+@query()
+def npt(spark, d):
+    v = vectors(spark, d)
+    near = intervals.neighbours(the_universe(spark, d).join(v.select(F.col("id").alias("uid")), "uid", "left_semi"), 10)
+    asked = v.where("id < 20").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    own = search.knn(asked, v, 10).select(F.col("query_id").alias("uid"), F.col("id").alias("neighbour"), "place")
+    return evaluate.neighbour_overlap(near.where("uid < 20"), own, [2, 5, 10])
+
+
+@query()
+def ctt(spark, d):
+    v = vectors(spark, d).select("id", "v")
+    return evaluate.clustering_tendency(v.where("id < 50"), v)
+
+
+@query()
+def region2vec_train(spark, d):
+    from pyspark.ml.feature import Word2Vec
+
+    docs = _words(spark, d).groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    return Word2Vec(vectorSize=16, minCount=5, seed=1, maxIter=1, inputCol="tokens", outputCol="v").fit(docs).getVectors().select("word")
+
+
+@query()
+def pca(spark, d):
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    x = vectors(spark, d).select("id", array_to_vector(F.col("v").cast("array<double>")).alias("f"))
+    return PCA(k=2, inputCol="f", outputCol="p").fit(x).transform(x).select("id", vector_to_array("p").alias("p"))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
