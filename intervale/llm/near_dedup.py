@@ -33,6 +33,10 @@ from intervale.llm.words import blocks, mix, words_of
 COORDS, TREES, STEP, DEPTH, SMALL = 64, 14, 4, 32, 512
 #: Branching goes on while it leaves less than this share of the rows in large nodes; up to so many nodes are broadcast.
 SHRINKS, BROADCAST_NODES = 0.6, 500_000
+#: Up to so many links (16 MB) components are found in one partition, without a shuffle; more are spread over all.
+FEW_LINKS = 1_000_000
+#: The nodes that are compared before the others.
+EARLY = "pmod(xxhash64(node), 4) = 0"
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA5CB9243F2CE3A6F)
 _MULT = (mix(np.arange(1, 1025, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _PLUS = (mix(np.arange(2001, 3025, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -176,21 +180,24 @@ def compare(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """id, root (the smallest id it reaches) of all ids in ``links`` (a, b), by alternating large-star and small-star."""
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    mark = None
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    few = links.count() <= FEW_LINKS
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        edges = edges.coalesce(1) if few else edges
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        down = cut(large.distinct())
+        down = down.coalesce(1) if few else down
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
         edges = cut(small.distinct())
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == mark:
+        # done when every id has one root and no root has one of its own
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("down")), F.struct(F.col("v").alias("id"), F.lit(0).alias("down")))).alias("e")).select("e.*")
+        ends = (ends.coalesce(1) if few else ends).groupBy("id").agg(F.sum("down").alias("times"), F.min("down").alias("is_root"))
+        if ends.where("times > 1 or times > 0 and is_root = 0").isEmpty():
             roots = edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
-        mark = now
 
 
 def near_groups(
@@ -234,12 +241,12 @@ def near_groups(
     wanted = members.unionByName(large).select("id").distinct()
     sets = cut(class_sets(docs, classes.join(wanted, "id", "left_semi"), words, id_col, text_col))
     members = cut(members)
-    early = F.pmod(F.xxhash64("node"), F.lit(4)) == 0
-    links = cut(compare(members.where(early).withColumn("root", F.col("id")), sets, percent))
+    links = cut(compare(members.where(EARLY).withColumn("root", F.col("id")), sets, percent))
     # what a quarter of the nodes has linked needs no other node
-    links = links.unionByName(compare_apart(rooted(members.where(~early), links), sets, percent))
+    known = cut(components(links))
+    links = links.unionByName(compare_apart(rooted(members.where(f"not ({EARLY})"), known), sets, percent))
     if left:
-        links = links.unionByName(compare_large(large, sets, links, percent, small))
+        links = links.unionByName(compare_large(large, sets, links, known, percent, small))
     joined = classes.select("cls", "least", "n", "id").join(components(links), "id", "left")
     top = joined.where("root is not null").groupBy("root").agg(F.min("least").alias("top"))
     owners = joined.where("n > 1 or root is not null").join(top, "root", "left").select("cls", F.when(F.col("root").isNotNull(), F.col("top")).otherwise(F.col("least")).alias("owner"))
@@ -269,9 +276,9 @@ def class_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text
     return sets.join(F.broadcast(named) if few else named, "cls").select("id", "members").dropDuplicates(["id"])
 
 
-def rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Adds the root of each row's id, as far as ``links`` tell."""
-    return cut(rows.join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id")))
+def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Adds the root of each row's id, as far as it is known."""
+    return cut(rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
 
 
 def compare_apart(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -280,7 +287,7 @@ def compare_apart(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(compare(tasks.join(apart, "node", "left_semi"), sets, percent))
 
 
-def compare_large(nodes: DataFrame, sets: DataFrame, links: DataFrame, percent: int, small: int) -> DataFrame:
+def compare_large(nodes: DataFrame, sets: DataFrame, links: DataFrame, known: DataFrame, percent: int, small: int) -> DataFrame:
     """Links within nodes of any size: each block against the node's pivot block, then what stays outside the main component against all blocks."""
     sized = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     blocked = nodes.join(sized, "node").select("node", "id", F.ceil(F.col("n") / F.lit(small)).cast("int").alias("of"))
@@ -292,9 +299,10 @@ def compare_large(nodes: DataFrame, sets: DataFrame, links: DataFrame, percent:
         meets = side.select("node", "block", "other").distinct().join(spread.select("node", F.col("block").alias("other"), "id", "root"), ["node", "other"])
         return compare_apart(cut(side.select(one, "id", "root").unionByName(meets.select(one, "id", "root"))), sets, percent)
 
-    spread = rooted(blocked, links)
-    first = compared(spread.withColumn("other", F.lit(0)), spread)
-    spread = rooted(blocked, links.unionByName(first))
+    spread = rooted(blocked, known)
+    # pivots only spare work below; a quarter of the nodes is enough for that
+    first = compared(spread.where(EARLY).withColumn("other", F.lit(0)), spread)
+    spread = rooted(blocked, components(links.unionByName(first)))
     main = spread.groupBy("node", "root").count().groupBy("node").agg(F.max(F.struct("count", "root")).alias("m")).select("node", F.col("m.root").alias("main"))
     outside = spread.join(main, "node").where("root <> main").drop("main", "block")
     # those outside are dealt to blocks of their own, so that few blocks of them meet all others
