@@ -94,8 +94,8 @@ def overlap_pairs(spark, d):
 @query(f'WITH {_R}, {_U} SELECT r.bed_id, r.row_idx, string_agg(CAST(coalesce(u.uid, -1) AS VARCHAR), \',\' ORDER BY u.uid) AS tokens FROM r LEFT JOIN u ON r.chrom = u.chrom AND r."start" < u."end" AND u."start" < r."end" GROUP BY 1, 2')
 def token_ids_per_region(spark, d):
     r = regions(spark, d)
-    found = intervals.interval_join(r, right(the_universe(spark, d))).groupBy("bed_id", "row_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list("uid")), lambda x: x.cast("string")), ",").alias("tokens"))
-    return r.select("bed_id", "row_idx").join(found, ["bed_id", "row_idx"], "left").fillna("-1", ["tokens"])
+    found = intervals.interval_join(r, right(the_universe(spark, d))).select("bed_id", "row_idx", "uid").groupBy("bed_id", "row_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list("uid")), lambda x: x.cast("string")), ",").alias("tokens"))
+    return r.select("bed_id", "row_idx").distinct().join(found, ["bed_id", "row_idx"], "left").fillna("-1", ["tokens"])
 
 
 @query(f'WITH {_R}, {_U} SELECT bed_id, row_idx FROM r WHERE EXISTS (SELECT 1 FROM u WHERE r.chrom = u.chrom AND r."start" < u."end" AND u."start" < r."end")')
