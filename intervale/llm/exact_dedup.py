@@ -15,6 +15,8 @@ from intervale.llm.common import cut, table
 
 #: Runs at the start, and how many bits of the run number each round merges.
 RUN_BITS, FAN_BITS = 8, 4
+#: Up to so many groups of copies (24 MB of digests and ids) are broadcast to whole rows; more are joined by shuffling.
+BROADCAST_GROUPS = 500_000
 
 
 def normalised(text: Column) -> Column:
@@ -67,8 +69,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.pmod(F.spark_partition_id(), F.lit(1 << RUN_BITS)).alias("_run"),
     )
     runs = rows.groupBy("_digest", F.col("_run").alias("run")).agg(F.min("_row").alias("least"), F.count(F.lit(1)).alias("n"))
-    many = tree_merge(runs, ["_digest"]).where("n > 1").select("_digest", F.col("least").alias("_least"))
-    out = rows.join(many, "_digest", "left").where(F.col("_least").isNull() | (F.col("_row") == F.col("_least")))
+    many = cut(tree_merge(runs, ["_digest"]).where("n > 1").select("_digest", F.col("least").alias("_least")))
+    out = rows.join(F.broadcast(many) if many.count() <= BROADCAST_GROUPS else many, "_digest", "left").where(F.col("_least").isNull() | (F.col("_row") == F.col("_least")))
     return out.select([F.col(f"`{c}`") for c in docs.columns])
 
 

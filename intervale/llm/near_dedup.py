@@ -313,10 +313,14 @@ def compare_large(nodes: DataFrame, sets: DataFrame, links: DataFrame, known: Da
 
 
 def drop_near_copies(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose document stays - one of each group - with all their columns."""
+    """The rows whose document stays - one of each group - with all their columns, in their order.
+
+    An id that repeats with different texts stays with all of them if one of them stays; rows with a null id stay.
+    """
     groups = near_groups(docs, words=words, percent=percent, id_col=id_col, text_col=text_col)
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    gone = cut(groups.groupBy(F.col("doc_id").alias(id_col)).agg(F.max("kept").alias("kept")).where(f"not kept and {id_col} is not null").select(id_col))
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_NODES else gone, id_col, "left_anti")
+    return out.select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
