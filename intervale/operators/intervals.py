@@ -84,11 +84,12 @@ def nearest(queries: DataFrame, targets: DataFrame, bucket: int = BUCKET) -> Dat
     edges = q.select("chrom", "_b").distinct().join(t.groupBy("chrom", "_b").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")), ["chrom", "_b"], "full")
     order = Window.partitionBy("chrom").orderBy("_b")
     edges = edges.select(
-        "chrom", "_b", F.last("hi", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("lo", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after")
+        "chrom", "_b", F.last("hi", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.last("lo", True).over(Window.partitionBy("chrom").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after")
     )
     marked = q.withColumn("_t", F.lit(None).cast("long")).unionByName(t.withColumn("_t", F.col("pos")), allowMissingColumns=True)
-    within = Window.partitionBy("chrom", "_b").orderBy("pos")
-    marked = marked.withColumn("_is", F.col("_t").isNotNull()).withColumns({"_p": F.last("_t", True).over(within.rangeBetween(Window.unboundedPreceding, 0)), "_n": F.first("_t", True).over(within.rangeBetween(0, Window.unboundedFollowing))})
+    # frames that end at the current row, in both directions: those that begin there cost the square of the rows
+    within, backward = (Window.partitionBy("chrom", "_b").orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("pos"), F.desc("pos")))
+    marked = marked.withColumn("_is", F.col("_t").isNotNull()).withColumns({"_p": F.last("_t", True).over(within), "_n": F.last("_t", True).over(backward)})
     out = marked.where("not _is").join(edges, ["chrom", "_b"]).withColumns({"_p": F.coalesce("_p", "_before"), "_n": F.coalesce("_n", "_after")})
     low, high = F.col("pos") - F.col("_p"), F.col("_n") - F.col("pos")
     out = out.withColumn("near", F.when(high.isNull() | (low <= high), F.col("_p")).otherwise(F.col("_n"))).where("near is not null")
