@@ -73,29 +73,50 @@ def overlap_bp(regions: DataFrame, universe: DataFrame, by: str = "bed_id") -> D
     return out.select(by, (F.col("u_bp") - ov).alias("only_universe"), (F.col("bp") - ov).alias("only_file"), ov.alias("overlap"))
 
 
-def nearest(queries: DataFrame, targets: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Adds to queries (chrom, pos, ...) the nearest target position (chrom, pos) of the chromosome as ``near``, and ``distance``.
+def around(queries: DataFrame, targets: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Adds to queries (chrom, pos, ...) of the chromosome's targets (chrom, lo, hi): ``before``, the largest hi of those with lo <= pos, and ``after``, the smallest lo >= pos.
 
-    Queries without a target on their chromosome are dropped.  Windows span one bucket of a chromosome; the last target
-    before and the first after it are carried in.
+    Windows span one bucket of a chromosome; what earlier and later buckets give is carried in.
     """
-    t = targets.select("chrom", "pos").distinct().withColumn("_b", F.floor(F.col("pos") / bucket))
+    t = targets.groupBy("chrom", "lo").agg(F.max("hi").alias("hi")).withColumn("_b", F.floor(F.col("lo") / bucket))
     q = queries.withColumn("_b", F.floor(F.col("pos") / bucket))
-    edges = q.select("chrom", "_b").distinct().join(t.groupBy("chrom", "_b").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")), ["chrom", "_b"], "full")
-    order = Window.partitionBy("chrom").orderBy("_b")
-    edges = edges.select(
-        "chrom", "_b", F.last("hi", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.last("lo", True).over(Window.partitionBy("chrom").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after")
-    )
-    marked = q.withColumn("_t", F.lit(None).cast("long")).unionByName(t.withColumn("_t", F.col("pos")), allowMissingColumns=True)
+    edges = q.select("chrom", "_b").distinct().join(t.groupBy("chrom", "_b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), ["chrom", "_b"], "full")
+    earlier, later = (Window.partitionBy("chrom").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_b"), F.desc("_b")))
+    edges = edges.select("chrom", "_b", F.max("hi").over(earlier).alias("_before"), F.min("lo").over(later).alias("_after"))
+    none = F.lit(None).cast("long")
+    marked = q.withColumns({"_lo": none, "_hi": none}).unionByName(t.select("chrom", F.col("lo").alias("pos"), "_b", F.col("lo").alias("_lo"), F.col("hi").alias("_hi")), allowMissingColumns=True)
     # frames that end at the current row, in both directions: those that begin there cost the square of the rows
-    within, backward = (Window.partitionBy("chrom", "_b").orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("pos"), F.desc("pos")))
-    marked = marked.withColumn("_is", F.col("_t").isNotNull()).withColumns({"_p": F.last("_t", True).over(within), "_n": F.last("_t", True).over(backward)})
-    out = marked.where("not _is").join(edges, ["chrom", "_b"]).withColumns({"_p": F.coalesce("_p", "_before"), "_n": F.coalesce("_n", "_after")})
-    low, high = F.col("pos") - F.col("_p"), F.col("_n") - F.col("pos")
-    out = out.withColumn("near", F.when(high.isNull() | (low <= high), F.col("_p")).otherwise(F.col("_n"))).where("near is not null")
+    up, down = (Window.partitionBy("chrom", "_b").orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("pos"), F.desc("pos")))
+    out = marked.withColumns({"_p": F.max("_hi").over(up), "_n": F.min("_lo").over(down)}).where("_lo is null").join(edges, ["chrom", "_b"])
+    return out.select(*queries.columns, F.greatest("_p", "_before").alias("before"), F.coalesce("_n", "_after").alias("after"))
+
+
+def nearest(queries: DataFrame, targets: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Adds to queries (chrom, pos, ...) the nearest target position (chrom, pos) of the chromosome as ``near``, and ``distance``.
+
+    Queries without a target on their chromosome are dropped.
+    """
+    both = around(queries, targets.select("chrom", F.col("pos").alias("lo"), F.col("pos").alias("hi")), bucket)
+    low, high = F.col("pos") - F.col("before"), F.col("after") - F.col("pos")
+    out = both.withColumn("near", F.when(high.isNull() | (low <= high), F.col("before")).otherwise(F.col("after"))).where("near is not null")
     return out.withColumn("distance", F.abs(F.col("pos") - F.col("near"))).select(*queries.columns, "near", "distance")
 
 
+def nearest_span(queries: DataFrame, spans: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Adds ``distance`` to queries (chrom, pos, ...): 0 within a closed span (chrom, lo, hi) of the chromosome, else to the nearest end of one."""
+    both = around(queries, spans, bucket).where("before is not null or after is not null")
+    gap = F.least(F.col("pos") - F.col("before"), F.col("after") - F.col("pos"))
+    return both.withColumn("distance", F.greatest(gap, F.lit(0).cast("long"))).select(*queries.columns, "distance")
+
+
+def span_to_nearest(spans: DataFrame, points: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Adds ``distance`` to closed spans (chrom, lo, hi, ...): 0 if a point (chrom, pos) lies within, else from the nearer end to the nearest point."""
+    both = around(spans.withColumn("pos", F.col("hi")), points.select("chrom", F.col("pos").alias("lo"), F.col("pos").alias("hi")), bucket)
+    low = F.when(F.col("before").isNotNull(), F.greatest(F.col("lo") - F.col("before"), F.lit(0).cast("long")))
+    gap = F.least(low, F.col("after") - F.col("hi"))
+    return both.where("before is not null or after is not null").withColumn("distance", gap).select(*spans.columns, "distance")
+
+
 def boundary_distances(regions: DataFrame, universe: DataFrame, by: str = "bed_id") -> DataFrame:
     """Per file the median distance of its merged regions' starts and ends to the nearest universe start and end."""
     q = merge(regions, by)
@@ -116,6 +137,30 @@ def universe_distances(regions: DataFrame, universe: DataFrame, by: str = "bed_i
     return parts[0].unionByName(parts[1]).groupBy(by).agg(F.percentile("distance", F.lit(0.5)).alias("median_distance"))
 
 
+#: The spans of a flexible universe in which a region's start and end may lie.
+SPANS = {"start": ("start", "core_start"), "end": ("core_end", "end")}
+
+
+def flexible_boundary_distances(regions: DataFrame, universe: DataFrame, by: str = "bed_id") -> DataFrame:
+    """As ``boundary_distances``, to a flexible universe (chrom, start, core_start, core_end, end)."""
+    q = merge(regions, by)
+    both = [nearest_span(q.select(by, "chrom", F.col(c).alias("pos")), universe.select("chrom", F.col(lo).alias("lo"), F.col(hi).alias("hi"))) for c, (lo, hi) in SPANS.items()]
+    return both[0].unionByName(both[1]).groupBy(by).agg(F.percentile("distance", F.lit(0.5)).alias("median_distance"))
+
+
+def flexible_universe_distances(regions: DataFrame, universe: DataFrame, by: str = "bed_id") -> DataFrame:
+    """As ``universe_distances``, from a flexible universe."""
+    q = merge(regions, by)
+    files = q.select(by).distinct()
+    key = F.concat_ws("|", F.col(by).cast("string"), "chrom")
+    parts = []
+    for c, (lo, hi) in SPANS.items():
+        # files x universe rows is the result's own size: every file asks for every universe row
+        asked = universe.select("chrom", F.col(lo).alias("lo"), F.col(hi).alias("hi")).join(F.broadcast(files)).withColumn("chrom", key)
+        parts.append(span_to_nearest(asked, q.select(key.alias("chrom"), F.col(c).alias("pos"))))
+    return parts[0].unionByName(parts[1]).groupBy(by).agg(F.percentile("distance", F.lit(0.5)).alias("median_distance"))
+
+
 def coverage(regions: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Run-length coverage (chrom, start, end, cov) of non-zero depth.
 
@@ -138,12 +183,25 @@ def boundary_coverage(regions: DataFrame, which: str, reach: int) -> DataFrame:
     return coverage(regions.select("chrom", F.greatest(at - reach, F.lit(0)).alias("start"), (at + reach + 1).alias("end")))
 
 
-def islands(runs: DataFrame, gap: int = 1) -> DataFrame:
+def numbered(runs: DataFrame, gap: int = 1, bucket: int = BUCKET) -> DataFrame:
+    """Adds to disjoint runs (chrom, start, end, ...) the number ``island`` of the island they join: those less than ``gap`` positions apart, but at least adjacent ones.
+
+    Windows span one bucket of a chromosome; the last end and the count of islands are carried in.
+    """
+    order = Window.partitionBy("chrom").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    x = runs.withColumn("_b", F.floor(F.col("start") / bucket))
+    ends = x.groupBy("chrom", "_b").agg(F.max("end").alias("_last")).select("chrom", "_b", F.max("_last").over(order).alias("_prior"))
+    within = Window.partitionBy("chrom", "_b").orderBy("start")
+    before = F.coalesce(F.lag("end").over(within), F.col("_prior"))
+    opened = F.when(F.col("start") - (before - 1) >= max(gap, 2), 1).otherwise(0)
+    x = x.join(ends, ["chrom", "_b"]).withColumn("_o", opened).withColumn("_i", F.sum("_o").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    opens = x.groupBy("chrom", "_b").agg(F.max("_i").alias("_n")).select("chrom", "_b", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_carry"))
+    return x.join(opens, ["chrom", "_b"]).select(*runs.columns, (F.col("_i") + F.col("_carry")).alias("island"))
+
+
+def islands(runs: DataFrame, gap: int = 1, bucket: int = BUCKET) -> DataFrame:
     """Joins runs (chrom, start, end, cov) that are less than ``gap`` positions apart: chrom, start, end, top."""
-    order = Window.partitionBy("chrom").orderBy("start")
-    opened = F.when(F.col("start") - (F.lag("end").over(order) - 1) >= max(gap, 2), 1).otherwise(0)
-    marked = runs.withColumn("_o", opened).withColumn("_i", F.sum("_o").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy("chrom", "_i").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("cov").alias("top")).drop("_i")
+    return numbered(runs, gap, bucket).groupBy("chrom", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("cov").alias("top")).drop("island")
 
 
 def neighbours(regions: DataFrame, k: int) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from intervale.functions.regions import uniform
+from intervale.operators.intervals import interval_join
 
 
 def check_rate(rate: float, most: float | None = 1.0) -> None:
@@ -23,9 +24,11 @@ def _hash(seed: int, step: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(step), F.col("row_idx").cast("string")))
 
 
-def drawn(bed: DataFrame, rate: float, seed: int, step: str) -> DataFrame:
-    """The row_idx of the rows drawn."""
+def drawn(bed: DataFrame, rate: float, seed: int, step: str, among: DataFrame | None = None) -> DataFrame:
+    """The row_idx of the rows drawn: a share of all, from those that overlap ``among`` (fewer, if those don't suffice)."""
     n = int(bed.count() * rate)
+    if among is not None:
+        bed = interval_join(bed, among.select("chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end")), "semi")
     return bed.select("row_idx", _hash(seed, step).alias("_h")).orderBy("_h", "row_idx").limit(n).select("row_idx")
 
 
@@ -40,11 +43,22 @@ def drop(bed: DataFrame, rate: float, seed: int) -> DataFrame:
     return bed.join(drawn(bed, rate, seed, "drop"), "row_idx", "left_anti")
 
 
-def shift(bed: DataFrame, sizes: DataFrame, rate: float, mean: float, sd: float, seed: int) -> DataFrame:
+def drop_from_file(bed: DataFrame, other: DataFrame, rate: float, seed: int) -> DataFrame:
+    """Drops ``int(rows * rate)`` of the rows that overlap another set, at most all of those."""
+    check_rate(rate)
+    return bed.join(drawn(bed, rate, seed, "dropfile", other), "row_idx", "left_anti")
+
+
+def shift_from_file(bed: DataFrame, sizes: DataFrame, other: DataFrame, rate: float, mean: float, sd: float, seed: int) -> DataFrame:
+    """``shift`` of ``int(rows * rate)`` of the rows that overlap another set, at most all of those."""
+    return shift(bed, sizes, rate, mean, sd, seed, other)
+
+
+def shift(bed: DataFrame, sizes: DataFrame, rate: float, mean: float, sd: float, seed: int, other: DataFrame | None = None) -> DataFrame:
     """Moves both ends by one delta; a row that would leave its chromosome stays."""
     check_rate(rate)
     by = F.rint(normal(seed, "shift", mean, sd, F.col("row_idx"))).cast("long")
-    x = bed.join(drawn(bed, rate, seed, "shift").withColumn("_d", F.lit(True)), "row_idx", "left").join(F.broadcast(sizes), "chrom", "left").withColumn("_by", by)
+    x = bed.join(drawn(bed, rate, seed, "shift", other).withColumn("_d", F.lit(True)), "row_idx", "left").join(F.broadcast(sizes), "chrom", "left").withColumn("_by", by)
     ok = F.col("_d").isNotNull() & (F.col("start") + F.col("_by") >= 0) & (F.col("end") + F.col("_by") <= F.col("size"))
     ok = F.coalesce(ok, F.lit(False))
     return x.select("row_idx", "chrom", F.when(ok, F.col("start") + F.col("_by")).otherwise(F.col("start")).alias("start"), F.when(ok, F.col("end") + F.col("_by")).otherwise(F.col("end")).alias("end"), F.when(ok, F.lit("S")).otherwise(F.col("mod")).alias("mod"))
@@ -105,7 +119,7 @@ def all_perturbations(bed: DataFrame, sizes: DataFrame, seed: int, *, shift_rate
     return drop(bed, drop_rate, seed) if drop_rate else bed
 
 
-OPERATIONS = {"shift": shift, "add": add, "cut": cut, "merge": merge_rows, "drop": drop, "add_from_file": add_from_file}
+OPERATIONS = {"shift": shift, "add": add, "cut": cut, "merge": merge_rows, "drop": drop, "add_from_file": add_from_file, "shift_from_file": shift_from_file, "drop_from_file": drop_from_file}
 
 
 def program(bed: DataFrame, steps: list[dict], **inputs) -> DataFrame:

@@ -5,26 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from intervale.functions.regions import cosine, euclidean
+from intervale.functions.regions import dot, euclidean
+
+
+#: So many queries of 64 to 1024 numbers (at most 32 MB) are broadcast at once.
+QUERY_BLOCK = 4096
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int, measure: str = "cosine", offset: int = 0) -> DataFrame:
     """query_id, id, place (from 1), score: k nearest of each query (query_id, q), itself left out, after ``offset`` of them.
 
-    Queries are the small, stated side and are broadcast by the caller's choice of them; each partition ranks what it has.
+    Exact, in blocks of about ``QUERY_BLOCK`` queries: each block is broadcast to all vectors, and each partition hands on only
+    what it ranks first.
     """
-    pairs = vectors.join(F.broadcast(queries), F.col("id") != F.col("query_id"))
-    if measure == "cosine":
-        score, order = cosine(F.col("v"), F.col("q")), F.col("score").desc()
-    elif measure == "ip":
-        from intervale.functions.regions import dot
-
-        score, order = dot(F.col("v"), F.col("q")), F.col("score").desc()
+    length = F.sqrt if measure == "cosine" else None
+    if length:
+        vectors, queries = vectors.withColumn("_v", length(dot(F.col("v"), F.col("v")))), queries.withColumn("_q", length(dot(F.col("q"), F.col("q"))))
+        score = dot(F.col("v"), F.col("q")) / (F.col("_v") * F.col("_q"))
     else:
-        score, order = euclidean(F.col("v"), F.col("q")), F.col("score").asc()
+        score = (dot if measure == "ip" else euclidean)(F.col("v"), F.col("q"))
+    order = F.col("score").asc() if measure == "l2" else F.col("score").desc()
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "id"))
-    ranked = pairs.select("query_id", "id", score.alias("score")).withColumn("place", place).where(F.col("place") <= offset + k)
-    return ranked.where(F.col("place") > offset).withColumn("place", F.col("place") - offset)
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    out = None
+    for n in range(max(1, blocks)):
+        own = queries if blocks < 2 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
+        pairs = vectors.join(F.broadcast(own), F.col("id") != F.col("query_id"))
+        ranked = pairs.select("query_id", "id", score.alias("score")).withColumn("place", place).where(F.col("place") <= offset + k)
+        out = ranked if out is None else out.unionByName(ranked)
+    return out.where(F.col("place") > offset).withColumn("place", F.col("place") - offset)
 
 
 def merge_indexes(*indexes: DataFrame) -> DataFrame:

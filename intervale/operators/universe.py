@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from intervale.functions.regions import f_beta, rbs
@@ -23,6 +22,128 @@ def cc(cov: DataFrame, sizes: DataFrame, cutoff: float | None = None, join: int
     return out.where(F.col("end") - F.col("start") >= least).select("chrom", "start", "end")
 
 
+#: A core gap of so many positions splits a flexible region; how far the two cutoffs lie from the mean's quantile.
+SPLIT, SHIFT = 50, 0.2
+
+
+def flexible_cutoffs(cov: DataFrame, sizes: DataFrame) -> DataFrame:
+    """chrom, lower, upper: the depths ``SHIFT`` below and above the quantile of the chromosome's rounded mean depth, over covered positions.
+
+    All comes from the histogram of depths, which has a row for each chromosome and depth.
+    """
+    hist = cov.groupBy("chrom", "cov").agg(F.sum(F.col("end") - F.col("start")).alias("n"))
+    whole = Window.partitionBy("chrom")
+    hist = hist.withColumns({"upto": F.sum("n").over(whole.orderBy("cov").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(whole), "mass": F.sum(F.col("cov") * F.col("n")).over(whole)})
+    goal = F.greatest(F.rint(F.col("mass") / F.col("size")), F.lit(1.0))
+    hist = hist.join(F.broadcast(sizes), "chrom").withColumn("far", F.abs(F.col("cov") - goal))
+    middle = ((F.col("upto") - F.col("n")) / F.col("all") + (F.col("upto") - 1) / F.col("all")) / 2
+    at = hist.groupBy("chrom").agg(F.min_by(middle, F.struct("far", "cov")).alias("q"), F.first("all").alias("m"))
+    at = at.select("chrom", "m", (F.greatest(F.col("q") - SHIFT, F.lit(0.0)) * (F.col("m") - 1)).alias("lo"), (F.least(F.col("q") + SHIFT, F.lit(1.0)) * (F.col("m") - 1)).alias("hi"))
+
+    def value(place):
+        return F.min(F.when(F.col("upto") > place, F.col("cov")))
+
+    ranks = {f"{c}{k}": value(F.least(F.floor(c) + k, F.col("m") - 1)) for c in ("lo", "hi") for k in (0, 1)}
+    got = hist.select("chrom", "cov", "upto").join(at, "chrom").groupBy("chrom", "lo", "hi").agg(*[v.alias(k) for k, v in ranks.items()])
+    lower, upper = (F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * (F.col(c) - F.floor(c)) for c in ("lo", "hi"))
+    return got.select("chrom", lower.alias("lower"), upper.alias("upper"))
+
+
+def ccf(cov: DataFrame, sizes: DataFrame, split: int = SPLIT) -> DataFrame:
+    """Flexible coverage-cutoff universe: chrom, start, core_start, core_end, end.
+
+    A run of positions at or above the lower cutoff is a region if some are above the upper one: its core.  Where core
+    positions are ``split`` or more apart, the run is parted after the first least covered position between them.  Cores
+    begin one later where they would begin with their region, and end one earlier where they would end with the run; a
+    region whose core so begins where it ends is left out.
+    """
+    x = cov.join(F.broadcast(flexible_cutoffs(cov, sizes)), "chrom").where("cov >= lower").select("chrom", "start", "end", "cov", (F.col("cov") > F.col("upper")).alias("core"))
+    order = Window.partitionBy("chrom", "island").orderBy("start")
+    last = F.max(F.when(F.col("core"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = F.when(F.col("core") & (last.isNull() | (F.col("start") - (last - 1) >= split)), 1).otherwise(0)
+    x = intervals.numbered(x).withColumn("_o", opened).withColumn("part", F.sum("_o").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("_until", F.max(F.when(F.col("core"), F.col("end"))).over(Window.partitionBy("chrom", "island", "part")))
+    parts = x.groupBy("chrom", "island", "part").agg(
+        F.min("start").alias("lo"),
+        F.max("end").alias("hi"),
+        F.min(F.when(F.col("core"), F.col("start"))).alias("first"),
+        F.max(F.when(F.col("core"), F.col("end"))).alias("past"),
+        F.min(F.when(F.col("start") >= F.col("_until"), F.struct("cov", "start")))["start"].alias("least"),
+    )
+    run, next_ = Window.partitionBy("chrom", "island"), Window.partitionBy("chrom", "island").orderBy("part")
+    parts = parts.withColumns({"low": F.min("lo").over(run), "high": F.max("hi").over(run), "more": F.lead("part").over(next_).isNotNull(), "_was": F.when(F.lag("part").over(next_) > 0, F.lag("least").over(next_))})
+    parts = parts.where("part > 0").withColumns({"start": F.coalesce(F.col("_was") + 1, F.col("low")), "end": F.when(F.col("more"), F.col("least") + 1).otherwise(F.col("high"))})
+    core_start = F.col("first") + F.when(F.col("first") == F.col("start"), 1).otherwise(0)
+    core_end = F.col("past") - 1 - F.when(F.col("past") == F.col("high"), 1).otherwise(0)
+    return parts.select("chrom", "start", core_start.alias("core_start"), core_end.alias("core_end"), "end").where("core_start <> core_end")
+
+
+def normalised_depth(cov: DataFrame, p: float) -> DataFrame:
+    """chrom, cov, value: each depth of covered positions as the geometric quantile (success ``p``) of the middle of its share."""
+    hist = cov.groupBy("chrom", "cov").agg(F.sum(F.col("end") - F.col("start")).alias("n"))
+    whole = Window.partitionBy("chrom")  # a row for each depth
+    middle = (F.sum("n").over(whole.orderBy("cov").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") / 2) / F.sum("n").over(whole)
+    return hist.select("chrom", "cov", (F.ceil(F.log(1 - middle) / F.log(F.lit(1 - p))) - 1).alias("value"))
+
+
+def track_models(tracks: DataFrame, sizes: DataFrame, files: int) -> DataFrame:
+    """``likelihood_model`` of the tracks start, core and end of rows (chrom, track, start, end, cov)."""
+    one = F.concat_ws("|", "chrom", "track").alias("chrom")
+    every = likelihood_model(tracks.select(one, "start", "end", "cov"), tracks.select("chrom", "track").distinct().join(F.broadcast(sizes), "chrom").select(one, "size"), files)
+    return every.select(F.regexp_extract("chrom", r"^(.*)\|", 1).alias("chrom"), F.regexp_extract("chrom", r"\|(\w+)$", 1).alias("track"), "cov", "bg", "fg")
+
+
+def flexible_gains(tracks: DataFrame, model: DataFrame, universe: DataFrame) -> DataFrame:
+    """chrom, uid, gain: what each region (uid, chrom, start, core_start, core_end, end) adds to the likelihood of background alone.
+
+    Within the core the core track counts as peak; over the flanks its weight rises and falls linearly, and the start and
+    the end track count as peak with the flank's share.  Weights are linear in the position, so a piece of constant depth
+    has its sum in closed form.  Chromosomes without a model add nothing.
+    """
+    n1, n2 = F.col("core_start") - F.col("start"), F.col("end") - F.col("core_end")
+    zero = F.lit(0.0)
+
+    def part(track, low, high, base, slope):
+        return F.struct(F.lit(track).alias("track"), F.col(low).alias("r_start"), F.col(high).alias("r_end"), base.alias("base"), slope.alias("slope"))
+
+    one, two = F.nullif(n1, F.lit(0)), F.nullif(n2, F.lit(0))
+    five = [
+        part("core", "start", "core_start", (1 - F.col("start")) / one, 1 / one),
+        part("core", "core_start", "core_end", F.lit(1.0), zero),
+        part("core", "core_end", "end", F.col("end") / two, -1 / two),
+        part("start", "start", "core_start", 1 / one, zero),
+        part("end", "core_end", "end", 1 / two, zero),
+    ]
+    parts = universe.select("uid", "chrom", F.explode(F.array(*five)).alias("p")).select("uid", "chrom", "p.*").where("r_start < r_end")
+    none = model.where("cov = 0").select("chrom", "track", (F.col("fg") - F.col("bg")).alias("v0"))
+    known = tracks.join(model, ["chrom", "track", "cov"]).join(none, ["chrom", "track"])
+    key = F.concat_ws("|", "chrom", "track").alias("chrom")
+    pieces = known.select(key, "start", "end", (F.col("fg") - F.col("bg") - F.col("v0")).alias("more"))
+
+    def weight(low, high):
+        return (high - low) * (F.col("base") + F.col("slope") * (low + high - 1) / 2)
+
+    met = intervals.interval_join(pieces, parts.select(key, F.col("chrom").alias("of"), "uid", "r_start", "r_end", "base", "slope"))
+    met = met.select(F.col("of").alias("chrom"), "uid", (weight(F.greatest("start", "r_start"), F.least("end", "r_end")) * F.col("more")).alias("x"))
+    flat = parts.join(none, ["chrom", "track"]).select("chrom", "uid", (weight(F.col("r_start"), F.col("r_end")) * F.col("v0")).alias("x"))
+    return flat.unionByName(met).groupBy("chrom", "uid").agg(F.sum("x").alias("gain"))
+
+
+def flexible_likelihood(tracks: DataFrame, sizes: DataFrame, model: DataFrame, universe: DataFrame) -> DataFrame:
+    """Per chromosome the log-likelihood of the three tracks, given the flexible universe."""
+    width = F.col("end") - F.col("start")
+    held = tracks.join(model, ["chrom", "track", "cov"]).groupBy("chrom", "track").agg(F.sum(width * F.col("bg")).alias("held"), F.sum(width).alias("covered"))
+    zero = model.where("cov = 0").select("chrom", "track", F.col("bg").alias("bg0"))
+    ground = held.join(zero, ["chrom", "track"]).join(F.broadcast(sizes), "chrom").groupBy("chrom").agg(F.sum(F.col("held") + (F.col("size") - F.col("covered")) * F.col("bg0")).alias("ground"))
+    gains = flexible_gains(tracks, model, universe).groupBy("chrom").agg(F.sum("gain").alias("gain"))
+    return ground.join(gains, "chrom", "left").select("chrom", (F.col("ground") + F.coalesce("gain", F.lit(0.0))).alias("likelihood"))
+
+
+def is_flexible(columns: int) -> bool:
+    """Whether a BED file with so many columns holds a flexible universe: its core is in columns 7 and 8."""
+    return columns >= 8
+
+
 def likelihood_model(cov: DataFrame, sizes: DataFrame, files: int) -> DataFrame:
     """chrom, cov, bg, fg: log10 probabilities of each depth outside and inside peaks; depth 0 included."""
     width = F.col("end") - F.col("start")
@@ -135,5 +256,3 @@ def filter_universe(universe: DataFrame, least_size: int = 0, least_score: float
     if least_likelihood is not None:
         keep = keep & (F.col("likelihood") > least_likelihood)
     return universe.where(keep)
-
-

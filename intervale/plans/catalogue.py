@@ -153,6 +153,29 @@ def assessment_table(spark, d):
     return universe.assessment(regions(spark, d), the_universe(spark, d)).withColumns({"f10": F.round("f10", 6), "rbs": F.round("rbs", 6)})
 
 
+_F = "f AS (SELECT p_partkey AS uid, 'chr' || CAST(1 + p_partkey % 5 AS VARCHAR) AS chrom, p_partkey * 40 AS s0, p_partkey * 40 + 5 AS s1, p_partkey * 40 + 15 + 3 * p_size AS e0, p_partkey * 40 + 20 + 3 * p_size AS e1 FROM part)"
+
+
+def flexible(spark: SparkSession, d: str) -> DataFrame:
+    """The universe with flanks of five positions."""
+    return the_universe(spark, d).select("uid", "chrom", "start", (F.col("start") + 5).alias("core_start"), (F.col("end") - 5).alias("core_end"), "end")
+
+
+_SPAN = "min(CASE WHEN q BETWEEN lo AND hi THEN 0 ELSE least(abs(lo - q), abs(hi - q)) END) AS x"
+
+
+@query(f"""WITH {_R}, {_M}, {_F}, mq AS (SELECT row_number() OVER () AS n, * FROM m), q AS (SELECT n, bed_id, chrom, 0 AS k, "start" AS q FROM mq UNION ALL SELECT n, bed_id, chrom, 1, "end" FROM mq),
+t AS (SELECT chrom, 0 AS k, s0 AS lo, s1 AS hi FROM f UNION ALL SELECT chrom, 1, e0, e1 FROM f), p AS (SELECT n, q.k, bed_id, {_SPAN} FROM q JOIN t ON q.chrom = t.chrom AND q.k = t.k GROUP BY 1, 2, 3) SELECT bed_id, CAST(median(x) AS DOUBLE) AS median_distance FROM p GROUP BY 1""")
+def nearest_flexible_file_to_universe(spark, d):
+    return intervals.flexible_boundary_distances(regions(spark, d), flexible(spark, d))
+
+
+@query(f"""WITH {_R}, {_M}, {_F}, q AS (SELECT bed_id, chrom, 0 AS k, "start" AS q FROM m UNION ALL SELECT bed_id, chrom, 1, "end" FROM m),
+t AS (SELECT uid, chrom, 0 AS k, s0 AS lo, s1 AS hi FROM f UNION ALL SELECT uid, chrom, 1, e0, e1 FROM f), p AS (SELECT uid, q.k, bed_id, {_SPAN} FROM q JOIN t ON q.chrom = t.chrom AND q.k = t.k GROUP BY 1, 2, 3) SELECT bed_id, CAST(median(x) AS DOUBLE) AS median_distance FROM p GROUP BY 1""")
+def nearest_flexible_universe_to_file(spark, d):
+    return intervals.flexible_universe_distances(regions(spark, d), flexible(spark, d))
+
+
 def _cov(points: str, name: str = "cov") -> str:
     return f"""e AS ({points}), st AS (SELECT chrom, pos, sum(d) AS d FROM e GROUP BY 1, 2),
 {name} AS (SELECT chrom, pos AS "start", lead(pos) OVER (PARTITION BY chrom ORDER BY pos) AS "end", CAST(sum(d) OVER (PARTITION BY chrom ORDER BY pos) AS BIGINT) AS cov FROM st QUALIFY cov > 0)"""
@@ -232,6 +255,73 @@ def lh_hard(spark, d):
     return out.select("chrom", F.round("likelihood", 3).alias("likelihood"))
 
 
+_CUTS = f"""{_R}, {_U}, {_SIZES}, {_CORE}, hn AS (SELECT chrom, cov, sum("end" - "start") AS n FROM cov GROUP BY 1, 2),
+h AS (SELECT hn.chrom, cov, n, sum(n) OVER (PARTITION BY hn.chrom ORDER BY cov) AS upto, sum(n) OVER (PARTITION BY hn.chrom) AS a, abs(cov - greatest(round_even(sum(cov * n) OVER (PARTITION BY hn.chrom) / size, 0), 1)) AS far FROM hn JOIN sz ON hn.chrom = sz.chrom),
+q AS (SELECT chrom, a, ((upto - n) / a + (upto - 1) / a) / 2 AS q FROM h QUALIFY row_number() OVER (PARTITION BY chrom ORDER BY far, cov) = 1),
+w AS (SELECT chrom, a, greatest(q - 0.2::DOUBLE, 0) * (a - 1) AS lo, least(q + 0.2::DOUBLE, 1) * (a - 1) AS hi FROM q),
+v AS (SELECT w.chrom, lo, hi, min(cov) FILTER (upto > floor(lo)) AS l0, min(cov) FILTER (upto > least(floor(lo) + 1, w.a - 1)) AS l1, min(cov) FILTER (upto > floor(hi)) AS h0, min(cov) FILTER (upto > least(floor(hi) + 1, w.a - 1)) AS h1 FROM w JOIN h ON w.chrom = h.chrom GROUP BY 1, 2, 3),
+cu AS (SELECT chrom, l0 + (l1 - l0) * (lo - floor(lo)) AS lower, h0 + (h1 - h0) * (hi - floor(hi)) AS upper FROM v)"""
+
+
+@query(f"WITH {_CUTS} SELECT chrom, round(lower, 6) AS lower, round(upper, 6) AS upper FROM cu")
+def flexible_cutoffs(spark, d):
+    out = universe.flexible_cutoffs(intervals.coverage(regions(spark, d)), sizes(spark, d))
+    return out.select("chrom", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"))
+
+
+@query(f"""WITH {_CUTS}, b AS (SELECT cov.chrom, unnest(range("start", "end")) AS pos, cov, cov > upper AS core FROM cov JOIN cu ON cov.chrom = cu.chrom WHERE cov >= lower),
+rn AS (SELECT *, pos - row_number() OVER (PARTITION BY chrom ORDER BY pos) AS run FROM b),
+pl AS (SELECT *, max(CASE WHEN core THEN pos END) OVER (PARTITION BY chrom, run ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pl FROM rn),
+x AS (SELECT *, sum(CASE WHEN core AND (pl IS NULL OR pos - pl >= 50) THEN 1 ELSE 0 END) OVER (PARTITION BY chrom, run ORDER BY pos ROWS UNBOUNDED PRECEDING) AS g FROM pl),
+c AS (SELECT chrom, run, g, min(pos) FILTER (core) AS f, max(pos) FILTER (core) AS l FROM x WHERE g > 0 GROUP BY 1, 2, 3),
+s AS (SELECT x.chrom, x.run, x.g, arg_min(pos, cov * 1000000000 + pos) AS sp FROM x JOIN c ON x.chrom = c.chrom AND x.run = c.run AND x.g = c.g WHERE pos >= l GROUP BY 1, 2, 3),
+rr AS (SELECT chrom, run, min(pos) AS lo, max(pos) AS hi FROM x GROUP BY 1, 2),
+o AS (SELECT c.chrom, f, l, lo, hi, sp, lag(sp) OVER w AS was, lead(c.g) OVER w IS NOT NULL AS more FROM c JOIN s ON c.chrom = s.chrom AND c.run = s.run AND c.g = s.g JOIN rr ON c.chrom = rr.chrom AND c.run = rr.run WINDOW w AS (PARTITION BY c.chrom, c.run ORDER BY c.g)),
+z AS (SELECT chrom, coalesce(was + 1, lo) AS "start", f, l, hi, CASE WHEN more THEN sp + 1 ELSE hi + 1 END AS "end" FROM o),
+y AS (SELECT chrom, "start", CASE WHEN f = "start" THEN f + 1 ELSE f END AS core_start, CASE WHEN l = hi THEN l - 1 ELSE l END AS core_end, "end" FROM z) SELECT * FROM y WHERE core_start <> core_end""")
+def universe_ccf(spark, d):
+    return universe.ccf(intervals.coverage(regions(spark, d)), sizes(spark, d))
+
+
+@query(f"""WITH {_R}, {_CORE}, h AS (SELECT chrom, cov, sum("end" - "start") AS n FROM cov GROUP BY 1, 2),
+m AS (SELECT chrom, cov, (sum(n) OVER (PARTITION BY chrom ORDER BY cov) - n / 2) / sum(n) OVER (PARTITION BY chrom) AS m FROM h) SELECT chrom, cov, CAST(ceil(ln(1 - m) / ln(0.8::DOUBLE)) - 1 AS BIGINT) AS value FROM m""")
+def hmm_normalised_depth(spark, d):
+    return universe.normalised_depth(intervals.coverage(regions(spark, d)), 0.2)
+
+
+def _tracks(spark, d) -> DataFrame:
+    m = intervals.merge(regions(spark, d), "bed_id")
+    own = {"core": intervals.coverage(m), "start": intervals.boundary_coverage(m, "start", 0), "end": intervals.boundary_coverage(m, "end", 0)}
+    parts = [x.withColumn("track", F.lit(k)) for k, x in own.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_FLH = f"""{_R}, {_U}, {_SIZES}, {_M}, {_F}, te AS (SELECT 'core' AS track, chrom, "start" AS pos, 1 AS d FROM m UNION ALL SELECT 'core', chrom, "end", -1 FROM m UNION ALL SELECT 'start', chrom, "start", 1 FROM m UNION ALL SELECT 'start', chrom, "start" + 1, -1 FROM m
+  UNION ALL SELECT 'end', chrom, "end", 1 FROM m UNION ALL SELECT 'end', chrom, "end" + 1, -1 FROM m), ts AS (SELECT track, chrom, pos, sum(d) AS d FROM te GROUP BY 1, 2, 3),
+cov AS (SELECT track, chrom, pos AS "start", lead(pos) OVER o AS "end", CAST(sum(d) OVER o AS BIGINT) AS cov FROM ts WINDOW o AS (PARTITION BY track, chrom ORDER BY pos) QUALIFY cov > 0),
+ms AS (SELECT track, cov.chrom, sum(cov * ("end" - "start")) AS c, any_value(size) AS size FROM cov JOIN sz ON cov.chrom = sz.chrom GROUP BY 1, 2),
+md AS (SELECT x.track, x.chrom, x.cov, log10((8 - x.cov) / (8 * size - c) + 1e-10) AS bg, log10(x.cov / c + 1e-10) AS fg FROM (SELECT DISTINCT track, chrom, cov FROM cov UNION SELECT DISTINCT track, chrom, 0 FROM cov) x JOIN ms ON x.chrom = ms.chrom AND x.track = ms.track),
+fp AS (SELECT *, unnest(range(s0, e1)) AS pos FROM f),
+wt AS (SELECT uid, chrom, pos, 'core' AS track, CASE WHEN pos < s1 THEN (pos - s0 + 1) / (s1 - s0) WHEN pos < e0 THEN 1 ELSE (e1 - pos) / (e1 - e0) END AS w FROM fp UNION ALL SELECT uid, chrom, pos, 'start', 1 / (s1 - s0) FROM fp WHERE pos < s1 UNION ALL SELECT uid, chrom, pos, 'end', 1 / (e1 - e0) FROM fp WHERE pos >= e0),
+de AS (SELECT wt.*, CASE WHEN wt.pos < cov."end" THEN cov.cov ELSE 0 END AS depth FROM wt ASOF LEFT JOIN cov ON wt.chrom = cov.chrom AND wt.track = cov.track AND wt.pos >= cov."start"),
+ga AS (SELECT de.chrom, uid, sum(w * (fg - bg)) AS gain FROM de JOIN md ON de.chrom = md.chrom AND de.track = md.track AND de.depth = md.cov GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_FLH} SELECT chrom, uid, round(gain, 4) AS gain FROM ga")
+def lh_flexible_regions(spark, d):
+    t = _tracks(spark, d)
+    return universe.flexible_gains(t, universe.track_models(t, sizes(spark, d), 8), flexible(spark, d)).select("chrom", "uid", F.round("gain", 4).alias("gain"))
+
+
+@query(f"""WITH {_FLH}, hd AS (SELECT cov.track, cov.chrom, sum(("end" - "start") * bg) AS held, sum("end" - "start") AS covered FROM cov JOIN md ON cov.chrom = md.chrom AND cov.track = md.track AND cov.cov = md.cov GROUP BY 1, 2),
+gr AS (SELECT hd.chrom, sum(held + (size - covered) * bg) AS ground FROM hd JOIN md ON hd.chrom = md.chrom AND hd.track = md.track AND md.cov = 0 JOIN sz ON hd.chrom = sz.chrom GROUP BY 1), gs AS (SELECT chrom, sum(gain) AS gain FROM ga GROUP BY 1)
+SELECT gr.chrom, round(ground + coalesce(gain, 0), 3) AS likelihood FROM gr LEFT JOIN gs ON gr.chrom = gs.chrom""")
+def lh_flexible(spark, d):
+    t = _tracks(spark, d)
+    out = universe.flexible_likelihood(t, sizes(spark, d), universe.track_models(t, sizes(spark, d), 8), flexible(spark, d))
+    return out.select("chrom", F.round("likelihood", 3).alias("likelihood"))
+
+
 def _segments(spark, d) -> DataFrame:
     prepare(spark)
     """Per-base rows of the first stretches of each chromosome's covered islands, for the sequential programs."""
@@ -310,10 +400,10 @@ def vectors(spark, d) -> DataFrame:
 
 
 def _asked(spark, d) -> DataFrame:
-    return vectors(spark, d).where("id < 20").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    return vectors(spark, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
 
 
-_V = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), q AS (SELECT id AS query_id, v AS q FROM v WHERE id < 20)"
+_V = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), q AS (SELECT id AS query_id, v AS q FROM v WHERE id % 20 = 0)"
 
 
 def _knn(score: str, order: str, low: int = 0, k: int = 10) -> str:
@@ -355,7 +445,7 @@ SELECT query_id, round(sum(CASE WHEN rel = 1 THEN hits / n ELSE 0 END) / nullif(
 @query(_REL)
 def retrieval_metrics(spark, d):
     own = vectors(spark, d).select("id", "label")
-    near = search.knn(_asked(spark, d), vectors(spark, d), 50).join(own, "id").join(F.broadcast(own.where("id < 20").select(F.col("id").alias("query_id"), F.col("label").alias("wanted"))), "query_id")
+    near = search.knn(_asked(spark, d), vectors(spark, d), 50).join(own, "id").join(own.select(F.col("id").alias("query_id"), F.col("label").alias("wanted")), "query_id")
     out = search.retrieval_metrics(near.select("query_id", "place", (F.col("label") == F.col("wanted")).cast("int").alias("relevant")))
     return out.select("query_id", *[F.round(c, 6).alias(c) for c in ("ap", "auc", "rp")])
 
@@ -419,11 +509,19 @@ def bivec_rank(spark, d):
 
 
 def bed(spark, d) -> DataFrame:
-    return regions(spark, d).where("bed_id = 0").select("row_idx", "chrom", "start", "end", F.lit("-").alias("mod"))
+    return regions(spark, d).groupBy("row_idx", "chrom", "start").agg(F.max("end").alias("end")).withColumn("mod", F.lit("-"))
+
 
+def _drawn(step: str, rate: float, among: str = "true") -> str:
+    return f"""{_R}, b AS (SELECT row_idx, chrom, "start", max("end") AS "end", '-' AS mod FROM r GROUP BY 1, 2, 3), dr AS (SELECT row_idx FROM b WHERE {among} ORDER BY md5('7|{step}|' || CAST(row_idx AS VARCHAR)), row_idx LIMIT (SELECT CAST(floor(count(*) * {rate}) AS BIGINT) FROM b))"""
 
-def _drawn(step: str, rate: float) -> str:
-    return f"""{_R}, b AS (SELECT row_idx, chrom, "start", "end", '-' AS mod FROM r WHERE bed_id = 0), dr AS (SELECT row_idx FROM b ORDER BY md5('7|{step}|' || CAST(row_idx AS VARCHAR)), row_idx LIMIT (SELECT CAST(floor(count(*) * {rate}) AS BIGINT) FROM b))"""
+
+_MEETS = 'EXISTS (SELECT 1 FROM u WHERE b.chrom = u.chrom AND b."start" < u."end" AND u."start" < b."end")'
+
+
+@query(f"WITH {_U}, {_drawn('dropfile', 0.2, _MEETS)} SELECT * FROM b WHERE row_idx NOT IN (SELECT row_idx FROM dr)")
+def perturb_drop_from_file(spark, d):
+    return perturb.drop_from_file(bed(spark, d), the_universe(spark, d), 0.2, 7)
 
 
 @query(f"WITH {_drawn('drop', 0.3)} SELECT * FROM b WHERE row_idx NOT IN (SELECT row_idx FROM dr)")
@@ -446,12 +544,21 @@ def perturb_cut(spark, d):
 _UNI = "(CAST('0x' || substr(md5('7|{}|' || CAST(row_idx AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296)"
 
 
-@query(f"""WITH {_U}, {_drawn('shift', 0.5)}, {_SIZES}, w AS (SELECT b.*, size, dr.row_idx IS NOT NULL AS x, CAST(round_even(0.0 + 150.0 * sqrt(-2 * ln(1 - {_UNI.format('shiftu').replace('row_idx', 'b.row_idx')})) * cos(2 * pi() * {_UNI.format('shiftv').replace('row_idx', 'b.row_idx')}), 0) AS BIGINT) AS s FROM b LEFT JOIN dr ON b.row_idx = dr.row_idx JOIN sz ON b.chrom = sz.chrom),
-k AS (SELECT *, x AND "start" + s >= 0 AND "end" + s <= size AS ok FROM w) SELECT row_idx, chrom, CASE WHEN ok THEN "start" + s ELSE "start" END AS "start", CASE WHEN ok THEN "end" + s ELSE "end" END AS "end", CASE WHEN ok THEN 'S' ELSE mod END AS mod FROM k""")
+def _shifted(among: str = "true") -> str:
+    return f"""WITH {_U}, {_drawn('shift', 0.5, among)}, {_SIZES}, w AS (SELECT b.*, size, dr.row_idx IS NOT NULL AS x, CAST(round_even(0.0 + 150.0 * sqrt(-2 * ln(1 - {_UNI.format('shiftu').replace('row_idx', 'b.row_idx')})) * cos(2 * pi() * {_UNI.format('shiftv').replace('row_idx', 'b.row_idx')}), 0) AS BIGINT) AS s FROM b LEFT JOIN dr ON b.row_idx = dr.row_idx JOIN sz ON b.chrom = sz.chrom),
+k AS (SELECT *, x AND "start" + s >= 0 AND "end" + s <= size AS ok FROM w) SELECT row_idx, chrom, CASE WHEN ok THEN "start" + s ELSE "start" END AS "start", CASE WHEN ok THEN "end" + s ELSE "end" END AS "end", CASE WHEN ok THEN 'S' ELSE mod END AS mod FROM k"""
+
+
+@query(_shifted())
 def perturb_shift(spark, d):
     return perturb.shift(bed(spark, d), sizes(spark, d), 0.5, 0.0, 150.0, 7)
 
 
+@query(_shifted(_MEETS))
+def perturb_shift_from_file(spark, d):
+    return perturb.shift_from_file(bed(spark, d), sizes(spark, d), the_universe(spark, d), 0.5, 0.0, 150.0, 7)
+
+
 @query()
 def perturb_all(spark, d):
     return perturb.all_perturbations(bed(spark, d), sizes(spark, d), 7, shift_rate=0.2, add_rate=0.1, cut_rate=0.2, merge_rate=0.1, drop_rate=0.1)
@@ -462,10 +569,10 @@ def perturb_all(spark, d):
 
 def token_docs(spark, d) -> DataFrame:
     words = F.transform(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""), lambda w: F.length(w))
-    return _read(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("id"), words.alias("tokens"))
+    return _read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), words.alias("tokens"))
 
 
-_T = r"t AS (SELECT conv_id AS id, list_transform(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> ''), lambda w: CAST(length(w) AS INT)) AS tokens FROM conversations WHERE turn = 0), x AS (SELECT id, tokens, unnest(tokens) AS target, generate_subscripts(tokens, 1) - 1 AS place FROM t)"
+_T = r"t AS (SELECT conv_id * 1000 + turn AS id, list_transform(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> ''), lambda w: CAST(length(w) AS INT)) AS tokens FROM conversations), x AS (SELECT id, tokens, unnest(tokens) AS target, generate_subscripts(tokens, 1) - 1 AS place FROM t)"
 
 
 @query(f"WITH {_T} SELECT id, place, target, array_to_string(list_concat(list_concat(tokens[greatest(place - 1, 1):place], tokens[place + 2:place + 3]), list_transform(range(4 - len(tokens[greatest(place - 1, 1):place]) - len(tokens[place + 2:place + 3])), lambda i: 0)), ',') AS context FROM x")
@@ -568,15 +675,19 @@ def lr_schedule(spark, d):
 def npt(spark, d):
     v = vectors(spark, d)
     near = intervals.neighbours(the_universe(spark, d).join(v.select(F.col("id").alias("uid")), "uid", "left_semi"), 10)
-    asked = v.where("id < 20").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    asked = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     own = search.knn(asked, v, 10).select(F.col("query_id").alias("uid"), F.col("id").alias("neighbour"), "place")
-    return evaluate.neighbour_overlap(near.where("uid < 20"), own, [2, 5, 10])
+    return evaluate.neighbour_overlap(near.where("uid % 20 = 0"), own, [2, 5, 10])
+
+
+#: The score is that of a random sample of so many probes.
+CTT_PROBES = 1000
 
 
 @query()
 def ctt(spark, d):
     v = vectors(spark, d).select("id", "v")
-    return evaluate.clustering_tendency(v.where("id < 50"), v)
+    return evaluate.clustering_tendency(v.orderBy(F.md5(F.concat(F.lit("1|ctt|"), F.col("id").cast("string"))), "id").limit(CTT_PROBES), v)
 
 
 @query()

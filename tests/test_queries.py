@@ -1,11 +1,13 @@
 """Every query of the catalogue against its SQL in DuckDB, on the smallest tables; those without SQL give rows."""
 
+import os
+
 import duckdb
 import pytest
 
 from intervale.plans import catalogue
 
-D = "/root/testdata/sf0.001"
+D = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
