@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,3 +76,47 @@ def clustering_tendency(sample: DataFrame, vectors: DataFrame) -> DataFrame:
     y = every.join(F.broadcast(points)).groupBy("id").agg(F.min(euclidean(F.col("v"), F.col("q"))).alias("d"))
     both = x.agg(F.sum(F.col("d") * F.col("d")).alias("x")).crossJoin(y.agg(F.sum(F.col("d") * F.col("d")).alias("y")))  # one row each
     return both.select((F.col("y") / (F.col("x") + F.col("y"))).alias("score"))
+
+
+def _fold_r2(grams: np.ndarray, fold: int, n_in: int) -> float:
+    """R2, averaged over the targets, on one fold of least squares learned from the others; grams: (fold, row, column) over 1, inputs, targets."""
+    train, test = grams.sum(axis=0) - grams[fold], grams[fold]
+    w = np.linalg.lstsq(train[:n_in, :n_in], train[:n_in, n_in:], rcond=None)[0]
+    xy, yy = test[:n_in, n_in:], np.diag(test)[n_in:]
+    error = np.maximum(yy - 2 * (w * xy).sum(axis=0) + (w * (test[:n_in, :n_in] @ w)).sum(axis=0), 0)
+    spread = yy - test[0, n_in:] ** 2 / test[0, 0]
+    exact = np.isclose(error, 0, atol=1e-9)
+    return float(np.where(spread > 1e-9, 1 - error / np.where(spread > 1e-9, spread, 1), exact).mean())
+
+
+def reconstruction(rows: DataFrame, folds: int = 5, seed: int = 42) -> DataFrame:
+    """Rows (fold, r2): how well a linear model restores the binary vectors ``b`` from the embeddings ``v`` of rows (id, v, b).
+
+    Folds follow from a hash of the id, so reruns agree; empty folds have no row.  One scan sums a matrix of products for
+    each fold and partition; sizes of all that follows depend on the dimensions alone.  Rows with null vectors take no part.
+    """
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        inputs = 0
+        for batch in batches:
+            for fold, part in batch.groupby("fold"):
+                v, b = np.array(part["v"].tolist(), float), np.array(part["b"].tolist(), float)
+                z = np.hstack([np.ones((len(v), 1)), v, b])
+                sums[fold] = sums.get(fold, 0) + z.T @ z
+                inputs = 1 + v.shape[1]
+        for fold, m in sums.items():
+            at = np.indices(m.shape)
+            yield pd.DataFrame({"fold": fold, "inputs": inputs, "i": at[0].ravel(), "j": at[1].ravel(), "x": m.ravel()})
+
+    def scores(cells: pd.DataFrame) -> pd.DataFrame:
+        kept, fold = np.unique(cells["fold"], return_inverse=True)
+        size = int(cells["i"].max()) + 1
+        grams = np.zeros((len(kept), size, size))
+        grams[fold, cells["i"], cells["j"]] = cells["x"]
+        r2 = [_fold_r2(grams, k, int(cells["inputs"].iloc[0])) for k in range(len(kept))] if len(kept) > 1 else []
+        return pd.DataFrame({"fold": kept[: len(r2)], "r2": r2})
+
+    dealt = rows.where("v IS NOT NULL AND b IS NOT NULL").select(F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(folds)).cast("int").alias("fold"), "v", "b")
+    cells = dealt.mapInPandas(products, "fold int, inputs int, i int, j int, x double")
+    cells = cells.groupBy("fold", "inputs", "i", "j").agg(F.sum("x").alias("x"))
+    return cells.groupBy("inputs").applyInPandas(scores, "fold int, r2 double")

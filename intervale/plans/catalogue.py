@@ -707,6 +707,13 @@ def pca(spark, d):
     return PCA(k=2, inputCol="f", outputCol="p").fit(x).transform(x).select("id", vector_to_array("p").alias("p"))
 
 
+@query()
+def rct_linear(spark, d):
+    b = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: (F.pmod("label", F.lit(10)) == k).cast("double"))
+    rows = _read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), b.alias("b"))
+    return evaluate.reconstruction(rows.where("label IS NOT NULL")).select("fold", F.round("r2", 6).alias("r2"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

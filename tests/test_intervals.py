@@ -104,3 +104,26 @@ def test_retrieval_metrics(spark):
     ranked = spark.createDataFrame([(1, 1, 1), (1, 2, 0), (1, 3, 1), (1, 4, 0), (2, 1, 1), (2, 2, 1)], "query_id int, place int, relevant int")
     got = {r["query_id"]: r for r in search.retrieval_metrics(ranked).collect()}
     assert abs(got[1]["ap"] - (1 + 2 / 3) / 2) < 1e-12 and got[1]["auc"] == 0.75 and got[1]["rp"] == 0.5 and got[2]["auc"] is None
+
+
+def test_reconstruction_against_least_squares(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from intervale.operators import evaluate
+
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(300, 4))
+    b = np.column_stack([v[:, 0] + rng.normal(size=300) > 0, v[:, 1] > v[:, 2], np.ones(300)]).astype(float)
+    rows = spark.createDataFrame([(i, v[i].tolist(), b[i].tolist()) for i in range(300)] + [(300, None, [1.0] * 3)], "id long, v array<double>, b array<double>")
+    fold = np.array([r.f for r in rows.where("id < 300").orderBy("id").select(F.pmod(F.xxhash64(F.lit(42), F.col("id")), F.lit(5)).alias("f")).collect()])
+    want = {}
+    for k in range(5):
+        one = np.column_stack([np.ones(300), v])
+        w = np.linalg.lstsq(one[fold != k], b[fold != k], rcond=None)[0]
+        y = b[fold == k]
+        error, spread = ((y - one[fold == k] @ w) ** 2).sum(axis=0), ((y - y.mean(axis=0)) ** 2).sum(axis=0)
+        want[k] = np.mean([1 - error[0] / spread[0], 1 - error[1] / spread[1], 1.0])
+    got = {r.fold: r.r2 for r in evaluate.reconstruction(rows).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+    assert evaluate.reconstruction(rows.limit(0)).count() == 0
