@@ -1,5 +1,6 @@
 """The corpus operators: edge cases, brute force, round trips and held-out accuracy on small tables."""
 
+import collections
 import hashlib
 import random
 import zlib
@@ -217,6 +218,30 @@ def test_lm_scoring(spark, docs, odd, empty):
         assert lm_scoring.score(frame, lm_scoring.fit(frame, frame)).count() == frame.count()
 
 
+@pytest.mark.parametrize("block", [lm_scoring.BLOCK, 20_000])
+def test_lm_scoring_counts_all_pairs_of_all_words(spark, docs, odd, block):
+    frame = docs.select("doc_id", "text").limit(60).unionByName(odd.select("doc_id", "text"))
+    rows = [(r["doc_id"], (r["text"] or "").encode().lower().split()) for r in frame.collect()]
+    target = {i for i, _ in rows[:20]}
+    models, words = [], {w for _, t in rows for w in t}
+    for mine in ([t for _, t in rows], [t for i, t in rows if i in target]):
+        flat = collections.Counter(w for t in mine for w in t)
+        models.append((flat, collections.Counter(x for t in mine for x in zip([None, *t], t)), collections.Counter(b for t in mine for b in [None, *t][: len(t)])))
+    assert len(words) > 1500
+
+    def loss(t, m):
+        flat, pair, before = m
+        share = {w: (flat[w] + 0.5) / (flat.total() + 0.5 * (len(words) + 1)) for w in t}
+        return -sum(np.log2((pair[b, w] + 50 * share[w]) / (before[b] + 50)) for b, w in zip([None, *t], t)) / max(len(t), 1)
+
+    want = sorted((-1 if i is None else i, len(t), loss(t, models[0]), loss(t, models[1])) for i, t in rows)
+    ids = spark.createDataFrame([(i,) for i in target if i is not None], "doc_id long")
+    model = lm_scoring.fit(frame, ids, block=block)
+    for got in (lm_scoring.score_own(model), lm_scoring.score(frame, model)):
+        got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["background_loss"], r["target_loss"]) for r in got.collect())
+        assert np.allclose(got, want)
+
+
 def test_nearest(spark):
     x = spark.read.parquet(f"{D}/embeddings.parquet").select("vec_id", "embedding").toPandas()
     got = registry.queries()["op7_anisotropic_ann"](spark, D).toPandas()
