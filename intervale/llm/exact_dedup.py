@@ -61,17 +61,30 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows that stay, with all their columns: of equal texts the first row by id (null ids last)."""
-    rows = docs.select(
-        "*",
-        F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("_digest"),
-        F.struct(F.col(id_col).isNull().alias("lacks"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row")).alias("_row"),
-        F.pmod(F.spark_partition_id(), F.lit(1 << RUN_BITS)).alias("_run"),
-    )
-    runs = rows.groupBy("_digest", F.col("_run").alias("run")).agg(F.min("_row").alias("least"), F.count(F.lit(1)).alias("n"))
-    many = cut(tree_merge(runs, ["_digest"]).where("n > 1").select("_digest", F.col("least").alias("_least")))
-    out = rows.join(F.broadcast(many) if many.count() <= BROADCAST_GROUPS else many, "_digest", "left").where(F.col("_least").isNull() | (F.col("_row") == F.col("_least")))
-    return out.select([F.col(f"`{c}`") for c in docs.columns])
+    """The input rows that stay, with all their columns: of equal texts the first row by id (null ids last).
+
+    Nothing that depends on how the table is split decides what stays, as the table is read twice.  Where the first id
+    repeats within a group, the row whose columns come first as text stays.
+    """
+    digest = F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("_digest")
+    row = F.struct(F.col(id_col).isNull().alias("lacks"), F.col(id_col).alias("id")).alias("_row")
+    narrow = cut(docs.select(digest, row, F.pmod(F.spark_partition_id(), F.lit(1 << RUN_BITS)).alias("run")))
+    many = tree_merge(narrow.groupBy("_digest", "run").agg(F.min("_row").alias("least"), F.count(F.lit(1)).alias("n")), ["_digest"])
+    many = cut(many.where("n > 1").select("_digest", F.col("least").alias("_least")))
+    small = many.count() <= BROADCAST_GROUPS
+
+    def met(rows: DataFrame, groups: DataFrame, how: str) -> DataFrame:
+        return rows.join(F.broadcast(groups) if small else groups, "_digest", how)
+
+    first = F.col("_row").eqNullSafe(F.col("_least"))
+    tied = cut(met(narrow, many, "inner").where(first).groupBy("_digest").count().where("count > 1").select("_digest"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    out = met(docs.select("*", digest, row), many, "left").where(F.col("_least").isNull() | first)
+    if tied.isEmpty():
+        return out.select(own)
+    out = met(out, tied.withColumn("_tied", F.lit(True)), "left")
+    one = out.where("_tied").groupBy("_digest").agg(F.min_by(F.struct(*own), F.struct(*[c.cast("string") for c in own])).alias("_one"))
+    return out.where("_tied is null").select(own).unionByName(one.select("_one.*"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,31 @@ def test_exact_dedup_edges(odd, empty):
     assert exact_dedup.drop_copies(odd).count() == len(ODD) - 2 and exact_dedup.drop_copies(odd).columns == odd.columns
 
 
+def test_drop_copies_while_splits_change(spark, tmp_path, monkeypatch):
+    rows = [(i if i % 50 else None, f"text {i % 100}", f"s{i}") for i in range(1000)] + [(1, "text 1", "a"), (7, "text 7", "t"), (7, "text  7", "t")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(12).write.parquet(f"{tmp_path}/docs")
+    key, was, real = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes"), exact_dedup.cut
+
+    def resplit(df):  # as when executors come or go between two jobs
+        out = real(df)
+        spark.conf.set(key, "1500")
+        return out
+
+    monkeypatch.setattr(exact_dedup, "cut", resplit)
+    try:
+        got = exact_dedup.drop_copies(spark.read.parquet(f"{tmp_path}/docs")).collect()
+    finally:
+        spark.conf.set(key, was)
+    least = {}
+    for i, text, source in rows:
+        k = " ".join(text.split())
+        least[k] = min(least.get(k, (2,)), (i is None, i or 0, text, source))
+    for k in ("text 0", "text 50"):  # all ids null: any of them may stay, by its columns
+        assert sum(r["text"] == k and r["doc_id"] is None for r in got) == 1
+    assert {(r["doc_id"], r["source"]) for r in got if r["doc_id"]} == {(i, s) for n, i, _, s in least.values() if not n}
+    assert len(got) == len(least) == 100
+
+
 def brute_components(texts, words, percent):
     def shingles(t):
         w = bytes((t or "").encode()).lower().split()
