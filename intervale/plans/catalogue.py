@@ -322,30 +322,30 @@ def lh_flexible(spark, d):
     return out.select("chrom", F.round("likelihood", 3).alias("likelihood"))
 
 
-def _segments(spark, d) -> DataFrame:
+def _segments(spark, d, tracks: DataFrame) -> DataFrame:
+    """Rows (chrom, segment, pos, s, c, e) of all positions of the stretches where some track has depth: the tracks' depths, 0 included."""
     prepare(spark)
-    """Per-base rows of the first stretches of each chromosome's covered islands, for the sequential programs."""
-    cov = intervals.coverage(regions(spark, d))
-    isl = intervals.islands(cov, 200).select("chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("start").alias("segment"))
-    runs = intervals.interval_join(cov, isl).select("chrom", "segment", "start", "end", "cov")
-    return runs.select("chrom", "segment", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"), "cov")
+    isl = intervals.islands(intervals.coverage(tracks.select("chrom", "start", "end")), 200)
+    every = isl.select("chrom", F.col("start").alias("segment"), F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
+    depth = tracks.select("chrom", "track", "cov", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
+    depth = depth.groupBy("chrom", "pos").agg(*[F.max(F.when(F.col("track") == k, F.col("cov"))).alias(k[0]) for k in ("start", "core", "end")])
+    return every.join(depth, ["chrom", "pos"], "left").fillna(0, ["s", "c", "e"]).select("chrom", "segment", "pos", "s", "c", "e")
 
 
 @query()
 def universe_ml(spark, d):
-    x = _segments(spark, d)
-    fg, bg = F.log10(F.col("cov") / 8 + 1e-10), F.log10(F.greatest(8 - F.col("cov"), F.lit(0)) / 8 + 1e-10)
-    edge = F.when(F.col("cov") <= 2, 0.0).otherwise(-1.0)
-    rows = x.select("chrom", "segment", "pos", edge.alias("s_fg"), F.lit(-0.5).alias("s_bg"), fg.alias("c_fg"), bg.alias("c_bg"), edge.alias("e_fg"), F.lit(-0.5).alias("e_bg"))
+    t = _tracks(spark, d)
+    rows, model = _segments(spark, d, t), universe.track_models(t, sizes(spark, d), 8)
+    for k in ("start", "core", "end"):
+        own = model.where(F.col("track") == k).select("chrom", F.col("cov").alias(k[0]), F.col("fg").alias(f"{k[0]}_fg"), F.col("bg").alias(f"{k[0]}_bg"))
+        rows = rows.join(F.broadcast(own), ["chrom", k[0]])  # a row for each depth
     return universe.maximum_likelihood(rows)
 
 
 @query()
 def universe_hmm(spark, d):
-    x = _segments(spark, d).select("chrom", "segment", "pos", F.lit(0).alias("s"), F.least("cov", F.lit(8)).alias("c"), F.lit(0).alias("e"))
     stay = [[0.9, 0.1, 0.0, 0.0], [0.0, 0.9, 0.1, 0.0], [0.0, 0.0, 0.9, 0.1], [0.1, 0.0, 0.0, 0.9]]
-    states = universe.hidden_states(x, [[0.5, 1.0, 0.1], [0.1, 4.0, 0.1], [0.1, 1.0, 0.5], [0.1, 0.2, 0.1]], stay, [0.01, 0.01, 0.97, 0.01])
-    return states.groupBy("chrom", "state").count()
+    return universe.hidden_states(_segments(spark, d, _tracks(spark, d)), [[0.5, 1.0, 0.1], [0.1, 4.0, 0.1], [0.1, 1.0, 0.5], [0.1, 0.2, 0.1]], stay, [0.01, 0.01, 0.97, 0.01])
 
 
 @query(f"""WITH {_U}, n AS (SELECT uid, chrom, "start", "end", row_number() OVER (PARTITION BY chrom ORDER BY "start", uid) AS n FROM u),
