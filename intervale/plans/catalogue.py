@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from intervale.functions import regions as fn
+from intervale.llm.common import cut
 from intervale.operators import catalog, evaluate, intervals, perturb, search, tokens, universe
 from intervale.session import prepare
 
@@ -334,8 +335,8 @@ def _segments(spark, d, tracks: DataFrame) -> DataFrame:
 
 @query()
 def universe_ml(spark, d):
-    t = _tracks(spark, d)
-    rows, model = _segments(spark, d, t), universe.track_models(t, sizes(spark, d), 8)
+    t = cut(_tracks(spark, d))
+    rows, model = _segments(spark, d, t), cut(universe.track_models(t, sizes(spark, d), 8))
     for k in ("start", "core", "end"):
         own = model.where(F.col("track") == k).select("chrom", F.col("cov").alias(k[0]), F.col("fg").alias(f"{k[0]}_fg"), F.col("bg").alias(f"{k[0]}_bg"))
         rows = rows.join(F.broadcast(own), ["chrom", k[0]])  # a row for each depth
@@ -345,7 +346,7 @@ def universe_ml(spark, d):
 @query()
 def universe_hmm(spark, d):
     stay = [[0.9, 0.1, 0.0, 0.0], [0.0, 0.9, 0.1, 0.0], [0.0, 0.0, 0.9, 0.1], [0.1, 0.0, 0.0, 0.9]]
-    return universe.hidden_states(_segments(spark, d, _tracks(spark, d)), [[0.5, 1.0, 0.1], [0.1, 4.0, 0.1], [0.1, 1.0, 0.5], [0.1, 0.2, 0.1]], stay, [0.01, 0.01, 0.97, 0.01])
+    return universe.hidden_states(_segments(spark, d, cut(_tracks(spark, d))), [[0.5, 1.0, 0.1], [0.1, 4.0, 0.1], [0.1, 1.0, 0.5], [0.1, 0.2, 0.1]], stay, [0.01, 0.01, 0.97, 0.01])
 
 
 @query(f"""WITH {_U}, n AS (SELECT uid, chrom, "start", "end", row_number() OVER (PARTITION BY chrom ORDER BY "start", uid) AS n FROM u),
