@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from intervale.functions import regions as fn
-from intervale.llm.common import cut
 from intervale.operators import catalog, evaluate, intervals, perturb, search, tokens, universe
-from intervale.session import prepare
+from intervale.session import cut, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
