@@ -1,23 +1,13 @@
-"""What the corpus operators share: reading tables, cutting lineage, and reaching the package on executors."""
+"""What the corpus operators share: reading tables, folds of ids, and the session's helpers."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
+from intervale.session import cut, prepare, shared_dir
 
-def prepare(spark: SparkSession) -> None:
-    """Lets Python workers on this machine import the package wherever the driver started."""
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "")
-    if ROOT not in have.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
+__all__ = ["cut", "fold", "prepare", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,39 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where it is unset (tests), a temp folder."""
-    to = spark.conf.get("spark.checkpoint.dir", None)
-    if to:
-        return to.rstrip("/")
-    of = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if of.isDefined():
-        return of.get().rstrip("/")
-    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="intervale-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder as Parquet and reads it back.
-
-    This cuts the lineage: a lost executor costs the tasks it ran, not the stages before.  Unlike ``checkpoint()`` the
-    rows are columnar and compressed, so later steps read only the columns they use.  The files go with the session.
-    """
-    spark = df.sparkSession
-    to = f"{shared_dir(spark)}/intervale-{uuid.uuid4().hex}"
-    df.write.parquet(to)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(to)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(to)
-
-
 def fold(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n (a null id is fold 0)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % n, F.lit(0))
-
-
-def fresh(df: DataFrame, *names: str) -> DataFrame:
-    """The frame without columns (in any case) that an operator is about to add."""
-    gone = {n.lower() for n in names}
-    return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
