@@ -307,3 +307,44 @@ def exact_norm(text):
     import re
 
     return re.sub(r"[\x20\x09-\x0D]+", " ", text)
+
+
+def lengths_vary(n=50_000, width=64):
+    rng = np.random.default_rng(3)
+    return rng.normal(size=(n, width)) * rng.lognormal(0, 1, (n, 1))
+
+
+def test_nearest_of_vectors_of_varying_length_at_two_batch_sizes(spark, tmp_path):
+    import pandas as pd
+
+    x = lengths_vary()
+    pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}).to_parquet(f"{tmp_path}/v.parquet")
+    v = spark.read.parquet(f"{tmp_path}/v.parquet").repartition(3)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was, out = spark.conf.get(key), []
+    try:
+        for size in ("10000", "700"):
+            spark.conf.set(key, size)
+            out.append(ann.nearest(v, v.where("vec_id % 1000 = 0"), 10).toPandas().sort_values(["query_id", "rank"]))
+    finally:
+        spark.conf.set(key, was)
+    hits = 0
+    for q, own in out[0].groupby("query_id"):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10]) & set(own["vec_id"]))
+    assert hits >= 0.98 * len(out[0])
+    both = out[0].merge(out[1], on=["query_id", "vec_id"])
+    assert len(both) >= 0.98 * len(out[0]) and np.allclose(both["score_x"], both["score_y"])
+    few = ann.nearest(v, v.where("vec_id % 10000 = 0"), 10, tables=16, slack=float("inf")).toPandas()  # one query a block, exact
+    for q, own in few.groupby("query_id"):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        assert own.sort_values("rank")["vec_id"].tolist() == np.argsort(d)[:10].tolist()
+
+
+def test_nearest_with_repeats_ties_and_other_widths(spark):
+    rows = [(0, [0.0, 1.0], "a"), (0, [0.0, 3.0], "b"), (1, [0.0, 2.0], "c"), (1, [0.0, 2.0], "d"), (2, [2.0, 1.0], "e"), (3, [-2.0, 1.0], "f"), (4, [1.0, 1.0, 1.0], "g")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    got = ann.nearest(frame, frame.where("vec_id in (0, 4)"), 3).orderBy("rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 1.0), (0, 1, 1.0), (0, 2, 2.0)]
