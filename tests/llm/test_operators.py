@@ -73,6 +73,19 @@ def test_exact_dedup_edges(odd, empty):
     assert exact_dedup.drop_copies(odd).count() == len(ODD) - 2 and exact_dedup.drop_copies(odd).columns == odd.columns
 
 
+def test_runs_merge_by_sorting(docs):
+    rows = exact_dedup.digested(docs, "text", exact_dedup.identifier("doc_id").alias("least")).withColumn("n", F.lit(1))
+    plan = exact_dedup.tree_merge(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate") == 6 and "HashAggregate" not in plan and plan.count("Exchange hashpartitioning") == 3
+
+
+def test_equal_digests_need_equal_checks(spark, monkeypatch):
+    frame = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a ")], "doc_id long, text string")
+    monkeypatch.setattr(F, "sha2", lambda c, n: F.lit("00" * 32))  # all digests collide
+    assert sorted((r["doc_id"], r["keep_id"]) for r in exact_dedup.exact_groups(frame).collect()) == [(1, 1), (2, 2), (3, 3)]
+    assert exact_dedup.drop_copies(frame).count() == 3
+
+
 def test_drop_copies_while_splits_change(spark, tmp_path, monkeypatch):
     rows = [(i if i % 50 else None, f"text {i % 100}", f"s{i}") for i in range(1000)] + [(1, "text 1", "a"), (7, "text 7", "t"), (7, "text  7", "t")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(12).write.parquet(f"{tmp_path}/docs")
