@@ -5,8 +5,9 @@ its cumulative demand for words; a document that begins after ``c`` of its sourc
 ``c``, found by inverting the integral.  Documents are then range-sorted by these positions.  A source's share of the whole
 is its target; targets stop at ``max_passes`` times the source's size, and the excess is shared again by weight.
 
-Cumulative sizes are sums over (source, bucket of the id's hash) plus windows within a bucket, so a source that holds most
-rows is spread over ``BUCKETS`` of them; rows never meet by source alone.
+Cumulative sizes are sums over (source, bucket of the id's hash) plus windows within a bucket.  There are 4096 buckets or
+more, so many that the largest source's hold some 4096 rows each; rows never meet by source alone.  Positions lie in [0, 1]
+and are even over the words of the mix, so the ranges of the last sort are equal parts of that and need no sampling.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from intervale.llm.common import cut, table
 
-#: Hex digits of the hash that name a bucket: 16**3 of them.
-BUCKET_DIGITS = 3
+#: The least number of hex digits of the hash that name a bucket, and the rows of a bucket beyond which there are more.
+BUCKET_DIGITS, BUCKET_ROWS = 3, 4096
 WEIGHTS = (3, 1, 2)
 #: For each source in turn: its weight at the start, middle and end of training, relative to its mean.
 SCHEDULES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
@@ -64,13 +65,28 @@ def due(share: Column, schedule: Column) -> Column:
     return F.when(share.isNull(), None).otherwise(F.least(F.lit(1.0), at / k + F.when(rest <= 0, F.lit(0.0)).otherwise(rest * 2 / (a + root))))
 
 
-def plan(rows: DataFrame, *, share: float = 1.5, weights=WEIGHTS, schedules=SCHEDULES, max_passes: int = 2) -> DataFrame:
+def digits(rows: int) -> int:
+    """How many hex digits name buckets of at most about ``BUCKET_ROWS`` of so many rows."""
+    n = BUCKET_DIGITS
+    while rows > BUCKET_ROWS << 4 * n:
+        n += 1
+    return n
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """Rows by (position, order): parts of equal width of [0, 1], each sorted; those without a position lie in any part, first."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.coalesce(F.least(F.floor(F.col("position") * parts), F.lit(parts - 1)), F.pmod(F.xxhash64("order"), F.lit(parts)))
+    return rows.repartitionById(parts, part.cast("int")).sortWithinPartitions("position", "order")
+
+
+def plan(rows: DataFrame, *, bucket_digits: int = BUCKET_DIGITS, share: float = 1.5, weights=WEIGHTS, schedules=SCHEDULES, max_passes: int = 2) -> DataFrame:
     """Adds to rows (key, source, size, order, doc_id, ...) source_size, target, taken and positions (one for each pass that takes words).
 
     Words are taken in the order of the hash, pass after pass, until the target (rounded) is reached; the last document
     is taken in part.
     """
-    rows = rows.withColumn("bucket", F.substring("order", 1, BUCKET_DIGITS))
+    rows = rows.withColumn("bucket", F.substring("order", 1, bucket_digits))
     parts = rows.groupBy("key", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("held"))
     sizes = parts.groupBy("key").agg(F.first("source").alias("source"), F.sum("held").alias("source_size"))
     earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,11 +116,11 @@ def mixture(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row, range-sorted by position: doc_id, size, source_size, target, taken, position (first; null if nothing is taken), positions.
 
     Null and empty texts have size 0 and are never taken.  Rows that repeat an id count each; their order among equals
-    follows their sizes.  Reruns agree.  Other columns are ignored.
+    follows their sizes.  Reruns agree.  Other columns are ignored.  Where no text has words, nothing is taken.
     """
     rows = cut(keyed(docs, id_col=id_col, text_col=text_col, source_col=source_col))
-    out = plan(rows, **options).withColumn("position", F.when(F.size("positions") > 0, F.col("positions")[0]))
-    return out.repartitionByRange("position", "order").sortWithinPartitions("position", "order").select("doc_id", "size", "source_size", "target", "taken", "position", "positions")
+    out = plan(rows, bucket_digits=digits(rows.count()), **options).withColumn("position", F.when(F.size("positions") > 0, F.col("positions")[0]))
+    return in_order(out).select("doc_id", "size", "source_size", "target", "taken", "position", "positions")
 
 
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -113,13 +129,14 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     A document of which the last pass takes under half its words is left out of that pass.
     """
     rows = keyed(docs, F.struct("*").alias("whole"), id_col=id_col, text_col=text_col, source_col=source_col)
-    out = plan(rows, **options)
+    out = plan(rows, bucket_digits=digits(docs.count()), **options)
     times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     out = out.where("taken > 0").select("whole", "order", F.explode(F.slice("positions", 1, times)).alias("position"))
-    return out.repartitionByRange("position", "order").sortWithinPartitions("position", "order").select("whole.*")
+    return in_order(out).select("whole.*")
 
 
 def op3_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's part in a mix of half as many words again, sources weighing 3, 1, 2, repeating."""
     return mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
 
 

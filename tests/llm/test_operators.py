@@ -165,6 +165,16 @@ def test_mixing_edges(odd, empty):
     assert len(got) == len(ODD) and (got["taken"] <= 2 * got["size"]).all() and abs(got["taken"].sum() - 1.5 * got["size"].sum()) < 5
     assert mixing.mixture(empty).count() == 0
     assert mixing.mixed(odd).columns == odd.columns
+    blank = odd.where("text is null or text = ''")
+    assert mixing.mixture(blank).agg(F.sum("taken")).first()[0] == 0 and mixing.mixed(blank).count() == 0 and mixing.mixed(empty).count() == 0
+
+
+def test_mixed_rows_are_sorted_in_parts(docs):
+    out = mixing.mixture(docs).select(F.spark_partition_id().alias("part"), "position", "taken").toPandas()
+    ranges = out[out["position"].notna()].groupby("part")["position"].agg(["min", "max"]).sort_index()
+    assert len(ranges) > 1 and (ranges["max"].to_numpy()[:-1] <= ranges["min"].to_numpy()[1:]).all()
+    assert all(own["position"].dropna().is_monotonic_increasing for _, own in out.groupby("part"))
+    assert mixing.digits(10) == 3 and mixing.digits(10**9) == 5
 
 
 def test_packing_round_trip(odd, empty, docs):
