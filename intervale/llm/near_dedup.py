@@ -9,8 +9,11 @@
    exhaustively, larger ones branch on.  Where branching no longer shrinks them (dense groups) they are compared in blocks: all sets
    against a pivot block, then the sets that this leaves outside the node's main component against all blocks - so that any
    two sets of the node end up in one component if they are linked, without listing all pairs.
-4. A comparison counts common shingles exactly, by a product of incidence matrices, and emits a spanning forest of the
-   links, at most one row per set.  Nodes with the same members are compared once.
+4. All pairs of a node are compared twice.  First by their minwise tokens (256 bytes a set): pairs that share so few of them
+   that it would take ``MARGIN`` standard deviations of chance are no candidates, and sets without a candidate leave.  Then
+   what candidates join is compared by whole sets: common shingles are counted exactly, by a product of incidence matrices,
+   and a spanning forest of the links goes on, at most one row per set.  Groups with the same members are compared once,
+   groups of more than ``MOST`` shingles in pairs of blocks, so that the bytes in a task are bounded, not only its rows.
 5. Components come from alternating large-star and small-star rounds, and representatives hand theirs to their class.
 
 Recall: a pair at exactly the threshold survives a tree to depth d with probability about 1 / (1 + 0.13 d), so ``TREES``
@@ -33,10 +36,12 @@ from intervale.llm.words import blocks, mix, words_of
 COORDS, TREES, STEP, DEPTH, SMALL = 64, 14, 4, 32, 512
 #: Branching goes on while it leaves less than this share of the rows in large nodes; up to so many nodes are broadcast.
 SHRINKS, BROADCAST_NODES = 0.6, 500_000
-#: Up to so many links (16 MB) components are found in one partition, without a shuffle; more are spread over all.
-FEW_LINKS = 1_000_000
-#: The nodes that are compared before the others.
-EARLY = "pmod(xxhash64(node), 4) = 0"
+#: Up to so many links (2 MB) components are found in one partition, without a shuffle; more are spread over all.
+FEW_LINKS = 100_000
+#: Candidates share tokens as linked sets do, but for so many standard deviations; shingles of a group that is compared at once.
+MARGIN, MOST = 6.0, 1 << 22
+#: The groups that are compared before the others.
+EARLY = "not late and pmod(xxhash64(node), 4) = 0"
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA5CB9243F2CE3A6F)
 _MULT = (mix(np.arange(1, 1025, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _PLUS = (mix(np.arange(2001, 3025, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -164,18 +169,94 @@ def forest(n: int, left: np.ndarray, right: np.ndarray, same: list[int] | None =
     return kept
 
 
-def compare(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Spanning forests (a, b) of the links within each node of ``members`` (node, id, root); members of one root are joined already."""
+def parted(near: np.ndarray) -> Iterator[np.ndarray]:
+    """The connected parts of more than one place of a symmetric matrix of booleans."""
+    left = near.any(1)
+    while left.any():
+        part = np.zeros(len(near), bool)
+        edge = np.zeros(len(near), bool)
+        edge[left.argmax()] = True
+        while edge.any():
+            part |= edge
+            edge = near[edge].any(0) & ~part
+        left &= ~part
+        yield np.flatnonzero(part)
+
+
+def whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """node, id, root, n, sig of batches sorted by (node, id), cut between nodes; an id counts once in a node."""
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        own = [b.column(c).to_numpy() for c in ("node", "id", "root", "n")]
+        own.append(np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(b.num_rows, -1))
+        if held is not None:
+            own = [np.concatenate(x) for x in zip(held, own, strict=True)]
+        last = int(np.searchsorted(own[0], own[0][-1]))
+        held = [x[last:] for x in own]
+        if last:
+            yield _once([x[:last] for x in own])
+    if held is not None:
+        yield _once(held)
+
+
+def _once(rows: list[np.ndarray]) -> list[np.ndarray]:
+    new = np.concatenate(([True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])))
+    return [x[new] for x in rows]
+
+
+def candidates(members: DataFrame, classes: DataFrame, percent: int, most: int = MOST) -> DataFrame:
+    """Groups (node, id, root, late) of what the sketches leave to compare within the nodes of ``members`` (node, id, root).
+
+    Only pairs of two roots count.  A group's name follows from its members, so equal groups of several nodes are one.  A
+    group of more than ``most`` shingles becomes pairs of blocks; those without its first block are ``late``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, ids, roots, size, sig in whole_nodes(batches):
+            coords, share = sig.shape[1], percent / 100
+            least = max(1, int(coords * share - MARGIN * (coords * share * (1 - share)) ** 0.5))
+            name = mix(ids.view(np.uint64) + _A)
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # name, place, late
+            start = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+            count = np.diff(np.append(start, len(node)))
+            two = start[count == 2]
+            two = two[((sig[two] == sig[two + 1]).sum(1) >= least) & (roots[two] != roots[two + 1])]
+            out.append((np.repeat(mix(name[two] + name[two + 1]), 2), np.repeat(two, 2) + np.tile([0, 1], len(two)), np.zeros(2 * len(two), bool)))
+            for at, n in zip(start[count > 2].tolist(), count[count > 2].tolist(), strict=True):
+                agree = np.zeros((n, n), np.uint16)
+                for c in sig[at : at + n].T:
+                    agree += c[:, None] == c[None, :]
+                near = (agree >= least) & (roots[at : at + n, None] != roots[None, at : at + n])
+                for part in parted(near):
+                    part = part + at
+                    block = (np.cumsum(size[part]) - size[part]) // (most // 2)
+                    every = [part[block == k] for k in np.unique(block)]
+                    groups = [(part, False)] if len(every) < 3 else [(np.concatenate((x, y)), i > 0) for i, x in enumerate(every) for y in every[i + 1 :]]
+                    for group, late in groups:
+                        out.append((np.full(len(group), mix(name[group].sum(keepdims=True))[0]), group, np.full(len(group), late)))
+            names, places, late = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(ids[places]), pa.array(roots[places]), pa.array(late)], ["node", "id", "root", "late"])
+
+    known = members.select("node", "id", "root").join(classes.select("id", F.col("n_shingles").alias("n"), "sig"), "id")
+    found = known.repartition("node").sortWithinPartitions("node", "id").select("node", "id", "root", "n", "sig").mapInArrow(run, "node long, id long, root long, late boolean")
+    return found.groupBy("node", "id", "root").agg(F.min("late").alias("late"))
+
+
+def compare(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Spanning forests (a, b) of the links within each of the groups (node, id, root); members of one root are joined already."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("id").sort_values("id")
         ids = pdf["id"].to_numpy()
         own = [np.frombuffer(x, np.uint64) for x in pdf["members"]]
-        roots = pdf["root"].tolist()
-        kept = forest(len(own), *linked(own, percent), [roots.index(r) for r in roots])
+        first: dict[int, int] = {}
+        same = [first.setdefault(r, i) for i, r in enumerate(pdf["root"].tolist())]
+        kept = forest(len(own), *linked(own, percent), same)
         return pd.DataFrame({"a": [ids[i] for i, _ in kept], "b": [ids[j] for _, j in kept]}, dtype="int64")
 
-    return members.join(sets, "id").select("node", "id", "root", "members").groupBy("node").applyInPandas(run, "a long, b long").distinct()
+    return groups.join(sets, "id").select("node", "id", "root", "members").groupBy("node").applyInPandas(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -201,7 +282,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_groups(
-    docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, step: int = STEP, depth: int = DEPTH, small: int = SMALL
+    docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, step: int = STEP, depth: int = DEPTH, small: int = SMALL, most: int = MOST
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -209,15 +290,15 @@ def near_groups(
     ``words``-word shingles have 100 * intersection >= percent * union.  ``component_id`` is the smallest doc_id reachable
     by links, ``kept`` whether that is the row's own.  A text without words (or null) has an empty set, is linked with
     nothing, and keeps its own id.  Rows that repeat an id all carry the component of their own text.  Rows with a null id
-    take part; their ids are never a component's unless all its ids are null (then it is null).  Other columns are ignored.
+    take part; their ids are never a component's unless all its ids are null (then it is null).  Very long texts are compared
+    whole.  An empty table gives no rows.  Ids are cast to long.  Other columns are ignored.
     """
-    spark = docs.sparkSession
     # this fits any cluster size: one row of some 600 bytes for each text
     drawn = cut(sketches(docs, words, id_col, text_col))
     classes = cut(
         drawn.where("cls is not null")
         .groupBy("cls")
-        .agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min("sig").alias("sig"))
+        .agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
         .withColumn("id", F.monotonically_increasing_id())
     )
     similarity = percent / 100
@@ -225,10 +306,11 @@ def near_groups(
     while level < depth:
         rows = branch(classes, step, similarity, trees) if large is None else branch(large.join(classes.select("id", "sig"), "id"), step, similarity)
         level += step
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.hash("id")).alias("y")).where("n > 1")
+        many = cut(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        found = cut(rows.join(F.broadcast(many) if many.count() <= BROADCAST_NODES else many, "node"))
         # nodes with equal members, of other trees or paths, are one
-        sizes = cut(sizes.groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node", "n"))
-        found = cut(rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_NODES else sizes, "node"))
+        once = found.groupBy("node", "n").agg(F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.hash("id")).alias("y")).groupBy("n", "x", "y").agg(F.min("node").alias("node"))
+        found = cut(found.join(once.select("node"), "node", "left_semi"))
         chosen.append(found.where(F.col("n") <= small).select("node", "id"))
         large = found.where(F.col("n") > small).select("node", "id")
         left = large.count()
@@ -238,19 +320,22 @@ def near_groups(
     members = chosen[0]
     for m in chosen[1:]:
         members = members.unionByName(m)
-    wanted = members.unionByName(large).select("id").distinct()
+    groups = cut(candidates(members.withColumn("root", F.col("id")), classes, percent, most))
+    wanted = groups.select("id").unionByName(large.select("id")).distinct()
     sets = cut(class_sets(docs, classes.join(wanted, "id", "left_semi"), words, id_col, text_col))
-    members = cut(members)
-    links = cut(compare(members.where(EARLY).withColumn("root", F.col("id")), sets, percent))
-    # what a quarter of the nodes has linked needs no other node
+    links = cut(compare(groups.where(EARLY), sets, percent))
+    # what a quarter of the groups has linked needs no other group
     known = cut(components(links))
-    links = links.unionByName(compare_apart(rooted(members.where(f"not ({EARLY})"), known), sets, percent))
+    links = links.unionByName(compare_apart(rooted(groups.where(f"not ({EARLY})").drop("root"), known), sets, percent))
     if left:
-        links = links.unionByName(compare_large(large, sets, links, known, percent, small))
+        links = links.unionByName(compare_large(large, classes, sets, links, known, percent, small, most))
     joined = classes.select("cls", "least", "n", "id").join(components(links), "id", "left")
     top = joined.where("root is not null").groupBy("root").agg(F.min("least").alias("top"))
     owners = joined.where("n > 1 or root is not null").join(top, "root", "left").select("cls", F.when(F.col("root").isNotNull(), F.col("top")).otherwise(F.col("least")).alias("owner"))
-    out = drawn.select("doc_id", "n_shingles", "cls").join(owners.withColumn("grouped", F.lit(True)), "cls", "left")
+    owners = cut(owners.withColumn("grouped", F.lit(True)))
+    # rows without a set have no partner: they stay out of the join
+    full = drawn.where("cls is not null").select("doc_id", "n_shingles", "cls").join(F.broadcast(owners) if owners.count() <= BROADCAST_NODES else owners, "cls", "left").drop("cls")
+    out = full.unionByName(drawn.where("cls is null").select("doc_id", "n_shingles"), allowMissingColumns=True)
     comp = F.when(F.col("grouped"), F.col("owner")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
 
@@ -282,12 +367,12 @@ def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def compare_apart(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Compares the nodes of tasks (node, id, root) that have more than one root."""
+    """Compares the groups of tasks (node, id, root) that have more than one root."""
     apart = tasks.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("node")
     return cut(compare(tasks.join(apart, "node", "left_semi"), sets, percent))
 
 
-def compare_large(nodes: DataFrame, sets: DataFrame, links: DataFrame, known: DataFrame, percent: int, small: int) -> DataFrame:
+def compare_large(nodes: DataFrame, classes: DataFrame, sets: DataFrame, links: DataFrame, known: DataFrame, percent: int, small: int, most: int) -> DataFrame:
     """Links within nodes of any size: each block against the node's pivot block, then what stays outside the main component against all blocks."""
     sized = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     blocked = nodes.join(sized, "node").select("node", "id", F.ceil(F.col("n") / F.lit(small)).cast("int").alias("of"))
@@ -297,11 +382,12 @@ def compare_large(nodes: DataFrame, sets: DataFrame, links: DataFrame, known: Da
         """side: (node, block, id, root, other) - meets block ``other`` of its node; one task for each such pair."""
         one = F.xxhash64("node", "block", "other").alias("node")
         meets = side.select("node", "block", "other").distinct().join(spread.select("node", F.col("block").alias("other"), "id", "root"), ["node", "other"])
-        return compare_apart(cut(side.select(one, "id", "root").unionByName(meets.select(one, "id", "root"))), sets, percent)
+        tasks = side.select(one, "id", "root").unionByName(meets.select(one, "id", "root"))
+        return cut(compare(cut(candidates(tasks, classes, percent, most)), sets, percent))
 
     spread = rooted(blocked, known)
     # pivots only spare work below; a quarter of the nodes is enough for that
-    first = compared(spread.where(EARLY).withColumn("other", F.lit(0)), spread)
+    first = compared(spread.where("pmod(xxhash64(node), 4) = 0").withColumn("other", F.lit(0)), spread)
     spread = rooted(blocked, components(links.unionByName(first)))
     main = spread.groupBy("node", "root").count().groupBy("node").agg(F.max(F.struct("count", "root")).alias("m")).select("node", F.col("m.root").alias("main"))
     outside = spread.join(main, "node").where("root <> main").drop("main", "block")
@@ -324,4 +410,5 @@ def drop_near_copies(docs: DataFrame, *, words: int = 5, percent: int = 80, id_c
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near copies: three-word shingles, similarity 0.85 or more."""
     return near_groups(table(spark, sf_dir, "documents"), words=3, percent=85)

@@ -136,8 +136,8 @@ def brute_components(texts, words, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("small", [512, 8])
-def test_near_dedup_against_brute_force(spark, docs, small):
+@pytest.mark.parametrize(("small", "most"), [(512, near_dedup.MOST), (8, 1000)])
+def test_near_dedup_against_brute_force(spark, docs, small, most):
     rng = random.Random(5)
     texts = [(r["doc_id"], r["text"][:3000]) for r in docs.limit(60).collect()]
     base = texts[1][1].split()[:200]
@@ -148,11 +148,25 @@ def test_near_dedup_against_brute_force(spark, docs, small):
         texts.append((10_000 + k, " ".join(own)))
     texts += [(20_000, None), (20_001, ""), (20_002, "one two"), (20_003, "One  TWO")]
     frame = spark.createDataFrame(texts, "doc_id long, text string")
-    got = near_dedup.near_groups(frame, words=3, percent=85, small=small).collect()
+    got = near_dedup.near_groups(frame, words=3, percent=85, small=small, most=most).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(texts, 3, 85)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_near_dedup_of_long_texts_among_mostly_empty_ones(spark):
+    rng = random.Random(6)
+    long = [f"w{rng.randrange(3000)}" for _ in range(30_000)]
+    texts = [(i, None if i % 3 else "") for i in range(400)]
+    for k in range(12):  # near copies of a long text, whose groups are compared in pairs of blocks
+        own = list(long)
+        for _ in range(rng.randint(0, 1500)):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+        texts.append((1000 + k, " ".join(own)))
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    got = near_dedup.near_groups(frame, words=3, percent=85, most=100_000).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(texts, 3, 85)
+
+
 def test_near_dedup_edges(odd, empty):
     got = near_dedup.near_groups(odd, words=3, percent=85).collect()
     assert len(got) == len(ODD) and near_dedup.near_groups(empty).count() == 0
