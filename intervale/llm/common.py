@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from intervale.session import cut, prepare, shared_dir
 
-__all__ = ["cut", "fold", "prepare", "shared_dir", "table"]
+__all__ = ["cut", "fold", "kind", "prepare", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kind(df: DataFrame, column: str) -> str:
+    """A column's type, as schemas name it."""
+    return df.schema[column].dataType.simpleString()
+
+
 def fold(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n (a null id is fold 0)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % n, F.lit(0))

@@ -11,9 +11,10 @@
    two sets of the node end up in one component if they are linked, without listing all pairs.
 4. All pairs of a node are compared twice.  First by their minwise tokens (256 bytes a set): pairs that share so few of them
    that it would take ``MARGIN`` standard deviations of chance are no candidates, and sets without a candidate leave.  Then
-   what candidates join is compared by whole sets: common shingles are counted exactly, by a product of incidence matrices,
-   and a spanning forest of the links goes on, at most one row per set.  Groups with the same members are compared once,
-   groups of more than ``MOST`` shingles in pairs of blocks, so that the bytes in a task are bounded, not only its rows.
+   whole sets are compared, in clusters of all that candidates join over all trees, so that each set is fetched once: common
+   shingles are counted exactly, by a product of incidence matrices, and a spanning forest of the links goes on, at most one
+   row per set.  Clusters of more than ``SMALL`` sets are compared by their nodes' groups, groups of more than ``MOST``
+   shingles in pairs of blocks, so that the bytes in a task are bounded, not only its rows.
 5. Components come from alternating large-star and small-star rounds, and representatives hand theirs to their class.
 
 Recall: a pair at exactly the threshold survives a tree to depth d with probability about 1 / (1 + 0.13 d), so ``TREES``
@@ -25,12 +26,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intervale.llm.common import cut, table
+from intervale.llm.common import cut, kind, table
 from intervale.llm.words import blocks, mix, words_of
 
 COORDS, TREES, STEP, DEPTH, SMALL = 64, 14, 4, 32, 512
@@ -39,7 +39,7 @@ SHRINKS, BROADCAST_NODES = 0.6, 500_000
 #: Up to so many links (2 MB) components are found in one partition, without a shuffle; more are spread over all.
 FEW_LINKS = 100_000
 #: Candidates share tokens as linked sets do, but for so many standard deviations; shingles of a group that is compared at once.
-MARGIN, MOST = 6.0, 1 << 22
+MARGIN, MOST = 4.5, 1 << 22
 #: The groups that are compared before the others.
 EARLY = "not late and pmod(xxhash64(node), 4) = 0"
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA5CB9243F2CE3A6F)
@@ -91,8 +91,8 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
                 sig.append(minwise(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "cls", "sig"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, n_shingles long, cls binary, sig binary")
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return chosen.mapInArrow(run, f"doc_id {kind(chosen, 'doc_id')}, n_shingles long, cls binary, sig binary")
 
 
 def branch(frontier: DataFrame, levels: int, similarity: float, trees: int | None = None) -> DataFrame:
@@ -247,16 +247,33 @@ def candidates(members: DataFrame, classes: DataFrame, percent: int, most: int =
 def compare(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Spanning forests (a, b) of the links within each of the groups (node, id, root); members of one root are joined already."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id").sort_values("id")
-        ids = pdf["id"].to_numpy()
-        own = [np.frombuffer(x, np.uint64) for x in pdf["members"]]
+    def links(held: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
+        own = [x for _, _, x in held]
+        if len(own) == 2:
+            both = len(np.intersect1d(*own, assume_unique=True))
+            return [(held[0][0], held[1][0])] if both and 100 * both >= percent * (len(own[0]) + len(own[1]) - both) else []
         first: dict[int, int] = {}
-        same = [first.setdefault(r, i) for i, r in enumerate(pdf["root"].tolist())]
-        kept = forest(len(own), *linked(own, percent), same)
-        return pd.DataFrame({"a": [ids[i] for i, _ in kept], "b": [ids[j] for _, j in kept]}, dtype="int64")
+        same = [first.setdefault(r, i) for i, (_, r, _) in enumerate(held)]
+        return [(held[i][0], held[j][0]) for i, j in forest(len(own), *linked(own, percent), same)]
 
-    return groups.join(sets, "id").select("node", "id", "root", "members").groupBy("node").applyInPandas(run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for b in batches:
+            kept: list[tuple[int, int]] = []
+            for node, i, root, x in zip(*(b.column(c).to_pylist() for c in ("node", "id", "root")), b.column("members"), strict=True):
+                if node != last:
+                    kept += links(held) if len(held) > 1 else []
+                    last, held = node, []
+                if not held or held[-1][0] != i:
+                    held.append((i, root, np.frombuffer(x.as_py(), np.uint64)))
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*kept, strict=True)], ["a", "b"])
+        kept = links(held) if len(held) > 1 else []
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*kept, strict=True)], ["a", "b"])
+
+    met = groups.select("node", "id", "root").join(sets, "id").repartition("node").sortWithinPartitions("node", "id")
+    return met.select("node", "id", "root", "members").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -291,7 +308,7 @@ def near_groups(
     by links, ``kept`` whether that is the row's own.  A text without words (or null) has an empty set, is linked with
     nothing, and keeps its own id.  Rows that repeat an id all carry the component of their own text.  Rows with a null id
     take part; their ids are never a component's unless all its ids are null (then it is null).  Very long texts are compared
-    whole.  An empty table gives no rows.  Ids are cast to long.  Other columns are ignored.
+    whole.  An empty table gives no rows.  Other columns are ignored.
     """
     # this fits any cluster size: one row of some 600 bytes for each text
     drawn = cut(sketches(docs, words, id_col, text_col))
@@ -323,13 +340,17 @@ def near_groups(
     groups = cut(candidates(members.withColumn("root", F.col("id")), classes, percent, most))
     wanted = groups.select("id").unionByName(large.select("id")).distinct()
     sets = cut(class_sets(docs, classes.join(wanted, "id", "left_semi"), words, id_col, text_col))
-    links = cut(compare(groups.where(EARLY), sets, percent))
-    # what a quarter of the groups has linked needs no other group
+    few, many = clusters(groups, classes, small, most)
+    links = cut(compare(few.withColumn("root", F.col("id")), sets, percent))
+    if not many.isEmpty():
+        links = links.unionByName(cut(compare(many.where(EARLY), sets, percent)))
+        # what a quarter of the groups has linked needs no other group
+        links = links.unionByName(compare_apart(rooted(many.where(f"not ({EARLY})").drop("root"), cut(components(links))), sets, percent))
     known = cut(components(links))
-    links = links.unionByName(compare_apart(rooted(groups.where(f"not ({EARLY})").drop("root"), known), sets, percent))
     if left:
         links = links.unionByName(compare_large(large, classes, sets, links, known, percent, small, most))
-    joined = classes.select("cls", "least", "n", "id").join(components(links), "id", "left")
+        known = components(links)
+    joined = classes.select("cls", "least", "n", "id").join(known, "id", "left")
     top = joined.where("root is not null").groupBy("root").agg(F.min("least").alias("top"))
     owners = joined.where("n > 1 or root is not null").join(top, "root", "left").select("cls", F.when(F.col("root").isNotNull(), F.col("top")).otherwise(F.col("least")).alias("owner"))
     owners = cut(owners.withColumn("grouped", F.lit(True)))
@@ -340,9 +361,23 @@ def near_groups(
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
 
 
+def clusters(groups: DataFrame, classes: DataFrame, small: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """What to compare for all candidates of groups (node, id, root, late): clusters (node, id), and groups as they are.
+
+    What candidates join, over all trees and nodes, is a cluster; no link leaves one.  A cluster of at most ``small`` sets
+    and ``most`` shingles is compared whole, so that each of its sets is fetched once.  Of larger ones the groups remain.
+    """
+    star = groups.groupBy("node").agg(F.min("id").alias("a"))
+    joined = cut(components(groups.join(star, "node").where("id <> a").select("a", F.col("id").alias("b")).distinct()))
+    sizes = joined.join(classes.select("id", "n_shingles"), "id").groupBy("root").agg((F.count(F.lit(1)) > small).alias("long"), (F.sum("n_shingles") > most).alias("heavy"))
+    marked = cut(joined.join(sizes, "root").select("id", "root", (F.col("long") | F.col("heavy")).alias("large")))
+    few = marked.where("not large").select(F.col("root").alias("node"), "id")
+    return few, cut(groups.join(marked.where("large").select("id"), "id", "left_semi").select("node", "id", "root", "late"))
+
+
 def class_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """id, members (the whole set as bytes) of the wanted classes, from the texts of their representatives."""
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     wanted = cut(wanted.select("cls", "id", "least"))
     few = wanted.count() <= BROADCAST_NODES
     ids = wanted.select(F.col("least").alias("doc_id")).distinct()
