@@ -2,9 +2,10 @@
 
 Two interpolated Kneser-Ney models, one of toxic and one of ordinary texts, predict each byte of a word from up to five
 before it.  N-grams seen fewer than ``RARE`` times in both classes together, and all of the two lowest orders, are smoothed
-by counts that the classes share, so that rare expressions speak for neither class.  A text is described by the difference
-of the two log-likelihoods per word and by how far its most telling words exceed ``TELLING``; logistic regression on
-labelled texts that the models have not seen turns that into a score.
+by counts that the classes share, so that rare expressions speak for neither class.  Compared are length-normalised
+log-likelihoods: the difference per word over the whole text, and the largest over any ``WINDOWS`` words in a row (the text,
+if it has fewer), so that a toxic passage in a long text shows.  Logistic regression on labelled texts that the models have
+not seen turns these into a score.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intervale.llm.common import fold, prepare, table
+from intervale.llm.common import fold, kind, prepare, table
 from intervale.llm.ngrams import Lookup, packed, word_blocks
 
-ORDER, POOLED, DISCOUNT, RARE, TELLING, CUT = 6, 2, 0.75, 3, 3.0, 0.7
+ORDER, POOLED, DISCOUNT, RARE, CUT = 6, 2, 0.75, 3, 0.7
+#: Lengths of the passages whose likelihoods per word are compared.
+WINDOWS = (4, 16)
 #: Labelled texts at most: of each class for the language models, and of both together for the calibration.
 MODEL_SAMPLE, CALIBRATION_SAMPLE = 3000, 4000
 _LOW = np.uint64(0xFF)
@@ -76,15 +79,26 @@ class ClassModels:
         return out
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """Per text: difference per word, telling excess, log-scaled, and its share by the square root of the words."""
+        """Per text the difference per word: of the whole, and the largest of passages of each length."""
         rows = []
         for words in word_blocks(texts):
             d = self.word_differences(words)
-            n = np.maximum(np.diff(words.first), 1)
-            mean = words.sums(d) / n
-            over = words.sums(np.maximum(d - TELLING, 0))
-            rows.append(np.stack([mean, np.log1p(over), over / np.sqrt(n)], 1))
-        return np.concatenate(rows) if rows else np.zeros((0, 3))
+            n = np.diff(words.first)
+            mean = words.sums(d) / np.maximum(n, 1)
+            rows.append(np.stack([mean, *(_largest(d[words.which], words.first, w, mean) for w in WINDOWS)], 1))
+        return np.concatenate(rows) if rows else np.zeros((0, 1 + len(WINDOWS)))
+
+
+def _largest(d: np.ndarray, first: np.ndarray, w: int, mean: np.ndarray) -> np.ndarray:
+    """For each text the largest mean of ``w`` of its words in a row; of a shorter text its own mean."""
+    out = mean.copy()
+    total = np.concatenate(([0.0], np.cumsum(d)))
+    long = np.flatnonzero(np.diff(first) >= w)
+    if len(long):
+        means = np.append((total[w:] - total[:-w]) / w, -np.inf)  # one for each place at which a passage may start
+        bounds = np.stack([first[long], first[long + 1] - w + 1], 1).ravel()
+        out[long] = np.maximum.reduceat(means, bounds)[::2]
+    return out
 
 
 def count_grams(texts: DataFrame) -> pd.DataFrame:
@@ -191,13 +205,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """
     prepare(docs.sparkSession)
     spark = docs.sparkSession
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("h", F.xxhash64("doc_id")).withColumn("calibrates", F.pmod(F.xxhash64("h"), F.lit(10)) < 4)
     ids = []
     for part, n in ((F.col("calibrates"), calibration_sample), (~F.col("calibrates") & (F.col("toxic") == 1), model_sample), (~F.col("calibrates") & (F.col("toxic") == 0), model_sample)):
         ids.append(known.where(part).orderBy("h", "doc_id").limit(n).select("doc_id", "toxic", "calibrates"))
     chosen = ids[0].unionByName(ids[1]).unionByName(ids[2])
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # bounded by the samples' sizes
     examples = texts.join(F.broadcast(chosen), "doc_id")
     models = kneser_ney(count_grams(examples.where("not calibrates")))
@@ -233,8 +247,8 @@ def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text
                 s = shared.value.scores(b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= CUT).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, score double, predicted int")
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return chosen.mapInArrow(run, f"doc_id {kind(chosen, 'doc_id')}, score double, predicted int")
 
 
 def op2_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
