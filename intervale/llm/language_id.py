@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from intervale.llm.common import fold, prepare, table
+from intervale.llm.common import fold, kind, prepare, table
 from intervale.llm.ngrams import packed, word_blocks
 from intervale.llm.words import mix
 
@@ -149,8 +149,8 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", t
                 score, gap = np.where(none, 0.0, score), np.where(none, 0.0, gap)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(gap < AMBIGUOUS), pa.array(gap)], ["doc_id", "lang_pred", "score", "ambiguous", "gap"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean, gap double")
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return chosen.mapInArrow(run, f"doc_id {kind(chosen, 'doc_id')}, lang_pred string, score double, ambiguous boolean, gap double")
 
 
 def accepted(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:

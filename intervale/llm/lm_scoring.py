@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intervale.llm.common import cut, prepare, table
+from intervale.llm.common import cut, kind, prepare, table
 from intervale.llm.words import blocks, mix, words_of
 
 BACKOFF, FLOOR = 50.0, 0.5
@@ -228,6 +228,7 @@ class Model:
 
     texts: DataFrame
     ranges: int
+    ids: str  # their type
 
 
 def fit(docs: DataFrame, target_ids: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> Model:
@@ -237,11 +238,11 @@ def fit(docs: DataFrame, target_ids: DataFrame, *, id_col: str = "doc_id", text_
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(ids, "_id", "left")
-    texts = packed(texts.select(F.col("_id").cast("long").alias("doc_id"), "text", F.coalesce("wanted", F.lit(False)).alias("wanted")), block)
-    return Model(texts, 1 + (texts.agg(F.sum("size")).first()[0] or 0) // block)
+    texts = packed(texts.select(F.col("_id").alias("doc_id"), "text", F.coalesce("wanted", F.lit(False)).alias("wanted")), block)
+    return Model(texts, 1 + (texts.agg(F.sum("size")).first()[0] or 0) // block, kind(docs, id_col))
 
 
-def _scored(texts: DataFrame, asked: DataFrame) -> DataFrame:
+def _scored(texts: DataFrame, asked: DataFrame, ids: str) -> DataFrame:
     got = cut(answered(asked))
     words, *totals = (int(x or 0) for x in got.where("block is null").agg(F.sum("words"), F.sum("all"), F.sum("wanted")).first())
 
@@ -263,7 +264,7 @@ def _scored(texts: DataFrame, asked: DataFrame) -> DataFrame:
         return pa.Table.from_arrays([ids, pa.array(n), pa.array(low), pa.array(high), pa.array(low - high)], ["doc_id", "n_words", "background_loss", "target_loss", "score"])
 
     got = got.where("block is not null").select("block", "range", "every", "target")
-    schema = "doc_id long, n_words long, background_loss double, target_loss double, score double"
+    schema = f"doc_id {ids}, n_words long, background_loss double, target_loss double, score double"
     return texts.select("block", "docs").groupBy("block").cogroup(got.groupBy("block")).applyInArrow(run, schema)
 
 
@@ -272,13 +273,13 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     A text without words, or null, has losses and score 0.  Repeated and null ids are kept; other columns are ignored.
     """
-    texts = packed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(False).alias("wanted")))
-    return _scored(texts, requests(model.texts, model.ranges, asks=False).unionByName(requests(texts, model.ranges, counted=False)))
+    texts = packed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(False).alias("wanted")))
+    return _scored(texts, requests(model.texts, model.ranges, asks=False).unionByName(requests(texts, model.ranges, counted=False)), kind(docs, id_col))
 
 
 def score_own(model: Model) -> DataFrame:
     """``score`` of the texts that the models were fitted on, whose keys are counted and asked for at once."""
-    return _scored(model.texts, requests(model.texts, model.ranges))
+    return _scored(model.texts, requests(model.texts, model.ranges), model.ids)
 
 
 def op5_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:

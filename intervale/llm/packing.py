@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intervale.llm import bpe
-from intervale.llm.common import prepare, table
+from intervale.llm.common import kind, prepare, table
 
 CAPACITY, GROUP = 1024, 192
 
@@ -91,6 +91,7 @@ def pack(docs: DataFrame, path: str | None = None, *, capacity: int = CAPACITY,
         out: list[tuple] = []
         rests: list[tuple] = []
         held = waiting = 0
+        named = pa.int64()
 
         def close() -> None:
             nonlocal sequence, held, waiting
@@ -111,13 +112,14 @@ def pack(docs: DataFrame, path: str | None = None, *, capacity: int = CAPACITY,
 
         def rows() -> pa.RecordBatch:
             nonlocal waiting
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            kinds = (named, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
             got = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
             out.clear()
             waiting = 0
             return got
 
         for b in batches:
+            named = b.schema.field(0).type
             for doc, text in zip(b.column(0), b.column(1), strict=True):
                 ids = np.append(bpe.encode(enc, text.as_py() or ""), np.uint32(end_id)).astype("<u4")
                 total, doc = len(ids), doc.as_py()
@@ -137,8 +139,8 @@ def pack(docs: DataFrame, path: str | None = None, *, capacity: int = CAPACITY,
         if out:
             yield rows()
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return chosen.mapInArrow(run, f"doc_id {kind(chosen, 'doc_id')}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def op6_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

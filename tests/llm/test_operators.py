@@ -232,7 +232,7 @@ def test_token_counts_follow_edits(spark, odd, empty):
     rng = random.Random(2)
     for _ in range(400):
         text = " ".join(rng.choice(["alpha", "b", "don't", "  ", "7,1", "\n"]) for _ in range(rng.choice([0, 3, 400])))
-        tree = token_counts.CountTree(text, lambda x: len(bpe.encode(own, x)))
+        tree = token_counts.CountTree.of(text, lambda x: len(bpe.encode(own, x)))
         for _ in range(5):
             at, gone, new = rng.randint(0, len(text) + 2), rng.choice([0, 1, 30, 900]), rng.choice(["", " ", " q", "'s z", "<|endoftext|>", "yy" * 9])
             tree.edit(at, gone, new)
@@ -245,6 +245,30 @@ def test_token_counts_follow_edits(spark, odd, empty):
     assert token_counts.count_tokens(empty.withColumn("edits", F.lit(None))).count() == 0
 
 
+def test_trees_are_kept_between_batches_of_edits(spark, docs, tmp_path):
+    own = bpe.encoding(bpe.default_path())
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    token_counts.build_trees(docs).write.parquet(f"{tmp_path}/0")
+    for k in range(2):
+        rows = [(i, 0, (i * 37 + k) % (len(t) + 1), 3, f" more{k} " if i % 2 else None) for i, t in texts.items()] + [(-1, 0, None, None, None)]
+        edits = spark.createDataFrame(rows, "doc_id long, step int, at long, remove long, insert string")
+        trees = token_counts.with_edits(spark.read.parquet(f"{tmp_path}/{k}").withColumn("edits", F.lit(1)), edits)
+        token_counts.apply_edits(trees).write.parquet(f"{tmp_path}/{k + 1}")
+        for i, _, at, gone, new in rows[:-1]:
+            texts[i] = texts[i][:at] + (new or "") + texts[i][at + gone :]
+        got = spark.read.parquet(f"{tmp_path}/{k + 1}").collect()
+        assert {r["doc_id"]: ("".join(r["tree"]["leaves"]), r["new_tokens"]) for r in got} == {i: (t, len(bpe.encode(own, t))) for i, t in texts.items()}
+        long = [r for r in got if r["n_chars"] > 4000]
+        assert long and sum(r["encoded_chars"] for r in long) < 0.3 * sum(r["n_chars"] for r in long)
+
+
+def test_ids_keep_their_type(odd):
+    named = odd.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    model, none = language_id.fit(named), F.lit(None)
+    for out in (token_counts.count_tokens(named.withColumn("edits", none)), near_dedup.near_groups(named), packing.pack(named), language_id.identify(named, model), exact_dedup.exact_groups(named), mixing.mixture(named), lm_scoring.score(named, lm_scoring.fit(named, named)), toxicity.score(named, toxicity.fit(named, named.select("doc_id", F.lit(1).alias("toxic"))))):
+        assert {r["doc_id"] for r in out.select("doc_id").collect()} == {None, *(f"d{i}" for i in range(1, 7))}
+
+
 def test_language_id(spark, docs, odd, empty):
     got = registry.queries()["op10_ecoc_language_id"](spark, D).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
     held = got[got["held_out"]]
@@ -269,6 +293,111 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score(odd, model).count() == len(ODD) and toxicity.score(empty, model).count() == 0
 
 
+def plain_kneser_ney(texts):
+    """log P(w | toxic) - log P(w | ordinary) of padded words, from (words, class) by the definitions."""
+    raw = [[collections.Counter() for _ in range(7)] for _ in (0, 1)]
+    for words, c in texts:
+        for w in words:
+            w = b" " + w + b" "
+            for n in range(2, min(6, len(w) + 1)):
+                raw[c][n][w[:n]] += 1
+            for i in range(len(w) - 5):
+                raw[c][6][w[i : i + 6]] += 1
+    p, rest = [{}, {}], [{}, {}]
+    tables = [None, None]
+    for c in (0, 1):
+        t = {6: raw[c][6]}
+        for n in range(5, 0, -1):
+            t[n] = raw[c][n] + collections.Counter(g[1:] for g, k in t[n + 1].items() if k)
+        tables[c] = t
+    for n in range(1, 7):
+        grams = set(tables[0][n]) | set(tables[1][n])
+        counts = []
+        for c in (0, 1):
+            both = {g: tables[0][n][g] + tables[1][n][g] for g in grams}
+            counts.append(both if n <= 2 else {g: tables[c][n][g] if both[g] >= 3 else 0 for g in grams})
+        for c in (0, 1):
+            own, mass, kinds = counts[c], collections.Counter(), collections.Counter()
+            for g, k in own.items():
+                mass[g[:-1]] += k
+                kinds[g[:-1]] += k > 0
+            for g, k in own.items():
+                if n == 1:
+                    p[c][g] = (k + 0.5) / sum(x + 0.5 for x in own.values())
+                    continue
+                m = mass[g[:-1]]
+                rest[c][g[:-1]] = 0.75 * kinds[g[:-1]] / m if m else 1.0
+                p[c][g] = (max(k - 0.75, 0) / m if m else 0) + rest[c][g[:-1]] * p[c][g[1:]]
+
+    def difference(word):
+        w, total = b" " + word + b" ", 0.0
+        for j in range(1, len(w)):
+            d = 0.0
+            for n in range(3, min(6, j + 1) + 1):
+                g = w[j - n + 1 : j + 1]
+                if g in p[1]:
+                    d = np.log(p[1][g] / p[0][g])
+                elif g[:-1] in rest[1]:
+                    d += np.log(rest[1][g[:-1]] / rest[0][g[:-1]])
+            total += d
+        return total
+
+    return difference
+
+
+def test_toxicity_models_against_plain_kneser_ney(spark):
+    from intervale.llm import ngrams
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").orderBy("doc_id").select("toxic", "text").limit(120).collect()
+    rows = [(r["toxic"], (r["text"] or "")[:1500]) for r in rows] + [(1, "zzq zzq zzqa"), (0, None)]
+    frame = spark.createDataFrame(rows, "toxic int, text string")
+    models = toxicity.kneser_ney(toxicity.count_grams(frame).rename(columns={}))
+    assert {c for c, _ in rows} == {0, 1}
+
+    def split(t):  # words in pieces of the operator's width
+        words = ngrams.letters(t).split()
+        return [w[i : i + ngrams.WIDTH] for w in words for i in range(0, len(w), ngrams.WIDTH)]
+
+    plain = plain_kneser_ney([(split(t), c) for c, t in rows])
+    for _, t in rows[:40] + rows[-2:]:
+        words = split(t)
+        d = [plain(w) for w in words]
+        want = [np.mean(d) if d else 0.0]
+        for n in toxicity.WINDOWS:
+            want.append(max((np.mean(d[i : i + n]) for i in range(len(d) - n + 1)), default=want[0]))
+        assert np.allclose(models.features([t])[0], want, atol=2e-4), t
+
+
+def test_language_codes_are_decoded_as_defined(spark, docs):
+    from intervale.llm import ngrams, words
+
+    model = language_id.fit(docs)
+    texts = [r["text"] for r in docs.limit(30).collect()] + ["", "Ünï 7 x"]
+    margins = model.margins(texts)
+    for t, got in zip(texts, margins):
+        grams = [b" " + w[i : i + ngrams.WIDTH] + b" " for w in ngrams.letters(t).split() for i in range(0, len(w), ngrams.WIDTH)]
+        keys = [int.from_bytes(bytes([n]) + g[i : i + n], "big") for g in grams for n in language_id.ORDERS for i in range(len(g) - n + 1)]
+        at = words.mix(np.array(keys, np.uint64)) >> np.uint64(64 - language_id.BUCKET_BITS)
+        want = model.weights[at.astype(int)].sum(0) / max(len(keys), 1) + model.bias
+        assert np.allclose(got, want, atol=1e-4)
+    codes = [[1, 1], [1, -1], [-1, 1]]
+    two = language_id.LanguageModel(["a", "b", "c"], np.array(codes, float), model.weights, model.bias, np.array([0.7, 0.3]))
+    rows = np.random.default_rng(1).normal(size=(50, 2))
+    for m, best, score, gap in zip(rows, *two.decode(rows)):
+        loss = [sum(w * np.log1p(np.exp(-3 * x * b)) for x, b, w in zip(m, code, (0.7, 0.3))) for code in codes]
+        p = np.exp(-4 * np.array(loss)) / np.exp(-4 * np.array(loss)).sum()
+        order = np.sort(p)
+        assert best == p.argmax() and np.isclose(score, order[-1]) and np.isclose(gap, order[-1] - order[-2])
+
+
+def test_ambiguous_texts_are_flagged(spark, docs):
+    model = language_id.fit(docs)
+    frame = docs.where("lang = 'en'").limit(5).selectExpr("doc_id", "text").unionByName(spark.createDataFrame([(-1, "q")], "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in language_id.identify(frame, model).collect()}
+    assert not any(r["ambiguous"] for i, r in got.items() if i >= 0) and got[-1]["gap"] <= got[-1]["score"]
+    assert all(r["ambiguous"] == (r["gap"] < language_id.AMBIGUOUS) for r in got.values())
+
+
 def test_lm_scoring(spark, docs, odd, empty):
     got = registry.queries()["op5_cross_entropy_difference"](spark, D).toPandas()
     labels = spark.read.parquet(f"{D}/labels.parquet").toPandas()
