@@ -96,7 +96,7 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
 
 
 def branch(frontier: DataFrame, levels: int, similarity: float, trees: int | None = None) -> DataFrame:
-    """Children ``levels`` below: rows (node, id) of rows (node, id, sig), or of rows (id, sig) from the roots of ``trees``."""
+    """Children ``levels`` below: rows (node, id) of rows (nodes, id, sig), an id's nodes in one array, or of rows (id, sig) from the roots of ``trees``."""
     extra = np.uint64(int((1 / similarity - 1) * 2**32))
     roots = mix(np.arange(1, (trees or 0) + 1, dtype=np.uint64) * _A)
 
@@ -110,7 +110,8 @@ def branch(frontier: DataFrame, levels: int, similarity: float, trees: int | Non
                 if trees:
                     of, node = np.repeat(np.arange(b.num_rows), trees), np.tile(roots, b.num_rows)
                 else:
-                    of, node = np.arange(b.num_rows), b.column("node").to_numpy().view(np.uint64)
+                    own = b.column("nodes")
+                    of, node = np.repeat(np.arange(b.num_rows), own.value_lengths().to_numpy()), own.flatten().to_numpy().view(np.uint64)
                 for _ in range(levels):
                     draw = mix(node ^ _B)
                     more = np.flatnonzero(mix(draw + one) & low < extra)
@@ -122,7 +123,7 @@ def branch(frontier: DataFrame, levels: int, similarity: float, trees: int | Non
                     of = of2
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), b.column("id").take(pa.array(of))], ["node", "id"])
 
-    columns = ["id", "sig"] if trees else ["node", "id", "sig"]
+    columns = ["id", "sig"] if trees else ["nodes", "id", "sig"]
     return frontier.select(columns).mapInArrow(run, "node long, id long")
 
 
@@ -239,13 +240,14 @@ def candidates(members: DataFrame, classes: DataFrame, percent: int, most: int =
             names, places, late = (np.concatenate(x) for x in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(ids[places]), pa.array(roots[places]), pa.array(late)], ["node", "id", "root", "late"])
 
-    known = members.select("node", "id", "root").join(classes.select("id", F.col("n_shingles").alias("n"), "sig"), "id")
+    own = members.select("node", "id", "root")
+    known = classes.select("id", F.col("n_shingles").alias("n"), "sig").join(F.broadcast(own) if own.count() <= BROADCAST_NODES else own, "id")
     found = known.repartition("node").sortWithinPartitions("node", "id").select("node", "id", "root", "n", "sig").mapInArrow(run, "node long, id long, root long, late boolean")
     return found.groupBy("node", "id", "root").agg(F.min("late").alias("late"))
 
 
-def compare(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Spanning forests (a, b) of the links within each of the groups (node, id, root); members of one root are joined already."""
+def compare(groups: DataFrame, percent: int) -> DataFrame:
+    """Spanning forests (a, b) of the links within each of the groups (node, id, root, members); sets of one root are joined already."""
 
     def links(held: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
         own = [x for _, _, x in held]
@@ -272,8 +274,8 @@ def compare(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if kept:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*kept, strict=True)], ["a", "b"])
 
-    met = groups.select("node", "id", "root").join(sets, "id").repartition("node").sortWithinPartitions("node", "id")
-    return met.select("node", "id", "root", "members").mapInArrow(run, "a long, b long").distinct()
+    met = groups.select("node", "id", "root", "members").repartition("node").sortWithinPartitions("node", "id")
+    return met.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -321,7 +323,7 @@ def near_groups(
     similarity = percent / 100
     chosen, level, large, before = [], 0, None, None
     while level < depth:
-        rows = branch(classes, step, similarity, trees) if large is None else branch(large.join(classes.select("id", "sig"), "id"), step, similarity)
+        rows = branch(classes, step, similarity, trees) if large is None else branch(large.groupBy("id").agg(F.collect_list("node").alias("nodes")).join(classes.select("id", "sig"), "id"), step, similarity)
         level += step
         many = cut(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
         found = cut(rows.join(F.broadcast(many) if many.count() <= BROADCAST_NODES else many, "node"))
@@ -337,13 +339,14 @@ def near_groups(
     members = chosen[0]
     for m in chosen[1:]:
         members = members.unionByName(m)
+    members = cut(members)
     groups = cut(candidates(members.withColumn("root", F.col("id")), classes, percent, most))
-    wanted = groups.select("id").unionByName(large.select("id")).distinct()
-    sets = cut(class_sets(docs, classes.join(wanted, "id", "left_semi"), words, id_col, text_col))
     few, many = clusters(groups, classes, small, most)
-    links = cut(compare(few.withColumn("root", F.col("id")), sets, percent))
+    links = cut(compare(class_sets(docs, classes.join(few, "id"), words, id_col, text_col).withColumn("root", F.col("id")), percent))
+    rest = cut(many.select("id").unionByName(large.select("id")).distinct().withColumn("node", F.lit(0).cast("long")))
+    sets = None if rest.isEmpty() else cut(class_sets(docs, classes.join(rest, "id"), words, id_col, text_col).select("id", "members").dropDuplicates(["id"]))
     if not many.isEmpty():
-        links = links.unionByName(cut(compare(many.where(EARLY), sets, percent)))
+        links = links.unionByName(cut(compare(many.where(EARLY).join(sets, "id"), percent)))
         # what a quarter of the groups has linked needs no other group
         links = links.unionByName(compare_apart(rooted(many.where(f"not ({EARLY})").drop("root"), cut(components(links))), sets, percent))
     known = cut(components(links))
@@ -376,9 +379,9 @@ def clusters(groups: DataFrame, classes: DataFrame, small: int, most: int) -> tu
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """id, members (the whole set as bytes) of the wanted classes, from the texts of their representatives."""
+    """id, node, members (the whole set as bytes) of the wanted classes (cls, id, least, node), from the texts of their representatives; once for each row that repeats one."""
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    wanted = cut(wanted.select("cls", "id", "least"))
+    wanted = cut(wanted.select("cls", "id", "least", "node"))
     few = wanted.count() <= BROADCAST_NODES
     ids = wanted.select(F.col("least").alias("doc_id")).distinct()
     texts = found.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
@@ -392,8 +395,8 @@ def class_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in got], pa.binary()), pa.array([s.tobytes() for s in got], pa.binary())], ["cls", "members"])
 
     sets = texts.select("text").mapInArrow(run, "cls binary, members binary")
-    named = wanted.select("cls", "id")
-    return sets.join(F.broadcast(named) if few else named, "cls").select("id", "members").dropDuplicates(["id"])
+    named = wanted.select("cls", "id", "node")
+    return sets.join(F.broadcast(named) if few else named, "cls").select("id", "node", "members")
 
 
 def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -404,7 +407,7 @@ def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
 def compare_apart(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Compares the groups of tasks (node, id, root) that have more than one root."""
     apart = tasks.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("node")
-    return cut(compare(tasks.join(apart, "node", "left_semi"), sets, percent))
+    return cut(compare(tasks.join(apart, "node", "left_semi").join(sets, "id"), percent))
 
 
 def compare_large(nodes: DataFrame, classes: DataFrame, sets: DataFrame, links: DataFrame, known: DataFrame, percent: int, small: int, most: int) -> DataFrame:
@@ -418,7 +421,7 @@ def compare_large(nodes: DataFrame, classes: DataFrame, sets: DataFrame, links:
         one = F.xxhash64("node", "block", "other").alias("node")
         meets = side.select("node", "block", "other").distinct().join(spread.select("node", F.col("block").alias("other"), "id", "root"), ["node", "other"])
         tasks = side.select(one, "id", "root").unionByName(meets.select(one, "id", "root"))
-        return cut(compare(cut(candidates(tasks, classes, percent, most)), sets, percent))
+        return cut(compare(cut(candidates(tasks, classes, percent, most)).join(sets, "id"), percent))
 
     spread = rooted(blocked, known)
     # pivots only spare work below; a quarter of the nodes is enough for that
