@@ -11,48 +11,73 @@ BIN, WIDE = 1024, 64
 BUCKET = 1 << 20
 
 
-def _bins(df: DataFrame, start: str, end: str, size: int) -> DataFrame:
-    last = F.greatest(F.floor((F.col(end) - 1) / size), F.floor(F.col(start) / size))
-    return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / size), last)))
+def _bins(df: DataFrame, start: str, end: str, size: int, tier: str, bin_: str) -> DataFrame:
+    """Rows once for each bin they fill: fine bins (tier 0) unless they are wide, and bins ``WIDE`` times as wide (tier 1)."""
+    narrow = F.col(end) - F.col(start) <= size * WIDE
+
+    def filled(k: int) -> Column:
+        width = size * WIDE**k
+        first = F.floor(F.col(start) / width)
+        every = F.sequence(first, F.greatest(F.floor((F.col(end) - 1) / width), first))
+        return F.transform(every, lambda b: F.struct(F.lit(k).alias("t"), b.alias("b")))
+
+    none = F.filter(filled(1), lambda x: F.lit(False))
+    places = F.concat(F.when(narrow, filled(0)).otherwise(none), filled(1))
+    return df.withColumn("_wide", F.when(narrow, 0).otherwise(1)).withColumn("_p", F.explode(places)).select(*df.columns, F.col("_wide").alias(f"{tier}w"), F.col("_p.t").alias(tier), F.col("_p.b").alias(bin_))
 
 
 def interval_join(left: DataFrame, right: DataFrame, how: str = "inner", size: int = BIN, on: Column | None = None, least_share: float | None = None) -> DataFrame:
     """Rows of ``left`` (chrom, start, end, ...) with overlapping rows of ``right`` (chrom, r_start, r_end, ...).
 
-    Both sides are cut into bins and joined on (chrom, bin); a pair counts in the first bin that both fill, so nothing is
-    made distinct afterwards.  Rows of ``right`` wider than ``WIDE`` bins are binned ``WIDE`` times more coarsely, so no row
-    explodes into many.  ``least_share``: of the right row's length that must be covered.
+    Both sides are cut into bins and joined on (chrom, tier, bin).  A pair meets in fine bins if neither row is wide, else in
+    bins ``WIDE`` times as wide, so a row fills at most ``WIDE`` fine bins and its chromosome's coarse ones; it counts in
+    the first bin that both fill, so nothing is made distinct afterwards.  ``least_share``: of the right row's length that
+    must be covered.  ``semi`` and ``anti`` keep or drop the left rows that overlap, equal rows each for themselves.
     """
+    if how in ("semi", "anti"):
+        # whether a row overlaps follows from its own columns, so equal rows share one answer
+        keys = ["chrom", "start", "end"] if on is None else left.columns
+        found = interval_join(left.select(keys).distinct(), right, "inner", size, on, least_share).select([F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()
+        same = [left[k].eqNullSafe(found[f"_k{i}"]) for i, k in enumerate(keys)]
+        return left.join(found, same, f"left_{how}")
     overlap = (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end"))
     if on is not None:
         overlap = overlap & on
     if least_share is not None:
         overlap = overlap & (F.least("end", "r_end") - F.greatest("start", "r_start") >= F.lit(least_share) * (F.col("r_end") - F.col("r_start")))
-    wide = (F.col("r_end") - F.col("r_start")) > size * WIDE
-    parts = []
-    for rows, width in ((right.where(~wide), size), (right.where(wide), size * WIDE)):
-        a, b = _bins(left, "start", "end", width).withColumnRenamed("_bin", "_l"), _bins(rows.withColumnRenamed("chrom", "_c"), "r_start", "r_end", width).withColumnRenamed("_bin", "_r")
-        first = F.col("_l") == F.floor(F.greatest("start", "r_start") / width)
-        keys = (F.col("chrom") == F.col("_c")) & (F.col("_l") == F.col("_r")) & first & overlap
-        parts.append(a.join(b, keys, "inner").drop("_l", "_r", "_c"))
-    pairs = parts[0].unionByName(parts[1])
-    if how == "inner":
-        return pairs
-    found = pairs.select(left.columns).distinct()
-    if how == "semi":
-        return found
-    same = [left[c].eqNullSafe(found[c]) for c in left.columns]
-    return left.join(found, [x for x in same], "left_anti")
-
-
-def merge(regions: DataFrame, *by: str) -> DataFrame:
-    """Union of overlapping and book-ended regions within (by, chrom)."""
+    a, b = _bins(left, "start", "end", size, "_lt", "_lb"), _bins(right.withColumnRenamed("chrom", "_c"), "r_start", "r_end", size, "_rt", "_rb")
+    width = F.when(F.col("_lt") == 0, size).otherwise(size * WIDE)
+    met = (F.col("_lt") == F.greatest("_ltw", "_rtw")) & (F.col("_lb") == F.floor(F.greatest("start", "r_start") / width))
+    keys = (F.col("chrom") == F.col("_c")) & (F.col("_lt") == F.col("_rt")) & (F.col("_lb") == F.col("_rb"))
+    return a.join(b, keys & met & overlap, "inner").drop("_lt", "_rt", "_ltw", "_rtw", "_lb", "_rb", "_c")
+
+
+def _opened(regions: DataFrame, by: list[str], bucket: int) -> DataFrame:
+    """The rows (by, chrom, start, end) that begin beyond all before them, with ``_before`` (the last end before, null for the first) and ``_all`` (the last end of all).
+
+    Windows span one bucket of a chromosome; the last end of earlier buckets is carried in.
+    """
     keys = [*by, "chrom"]
-    order = Window.partitionBy(*keys).orderBy("start", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0)
-    island = F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return regions.withColumn("opens", opened).withColumn("island", island).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    x = regions.select(*keys, "start", "end").withColumn("_b", F.floor(F.col("start") / bucket))
+    over = Window.partitionBy(*keys)
+    ends = x.groupBy(*keys, "_b").agg(F.max("end").alias("_last"))
+    ends = ends.select(*keys, "_b", F.max("_last").over(over.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_prior"), F.max("_last").over(over).alias("_all"))
+    within = Window.partitionBy(*keys, "_b").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.greatest(F.max("end").over(within), F.col("_prior"))
+    return x.join(ends, [*keys, "_b"]).withColumn("_before", before).where("_before is null or start > _before")
+
+
+def merge(regions: DataFrame, *by: str, bucket: int = BUCKET) -> DataFrame:
+    """Union of overlapping and book-ended regions within (by, chrom), none of which may be null.
+
+    A merged region begins with a row that lies beyond all before it, and ends where all before the next such row end.
+    """
+    keys = [*by, "chrom"]
+    first = _opened(regions, list(by), bucket)
+    later = first.groupBy(*keys, "_b").agg(F.min("_before").alias("_after"))
+    later = later.select(*keys, "_b", F.lead("_after").over(Window.partitionBy(*keys).orderBy("_b")).alias("_after"))
+    following = F.lead("_before").over(Window.partitionBy(*keys, "_b").orderBy("start"))
+    return first.withColumn("_next", following).join(later, [*keys, "_b"]).select(*keys, "start", F.coalesce("_next", "_after", "_all").alias("end"))
 
 
 def tokenize(regions: DataFrame, universe: DataFrame, least_share: float = 1e-9, *by: str) -> DataFrame:
@@ -61,9 +86,9 @@ def tokenize(regions: DataFrame, universe: DataFrame, least_share: float = 1e-9,
     return interval_join(regions, right, least_share=least_share).select(*by, "uid").distinct()
 
 
-def overlap_bp(regions: DataFrame, universe: DataFrame, by: str = "bed_id") -> DataFrame:
+def overlap_bp(regions: DataFrame, universe: DataFrame, by: str = "bed_id", merged: DataFrame | None = None) -> DataFrame:
     """Per file the base pairs only in the universe, only in the file and in both; both sides are merged first."""
-    q, u = merge(regions, by), merge(universe)
+    q, u = merge(regions, by) if merged is None else merged, merge(universe)
     right = u.select("chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
     both = interval_join(q, right).groupBy(by).agg(F.sum(F.least("end", "r_end") - F.greatest("start", "r_start")).alias("overlap"))
     own = q.groupBy(by).agg(F.sum(F.col("end") - F.col("start")).alias("bp"))
@@ -117,48 +142,56 @@ def span_to_nearest(spans: DataFrame, points: DataFrame, bucket: int = BUCKET) -
     return both.where("before is not null or after is not null").withColumn("distance", gap).select(*spans.columns, "distance")
 
 
-def boundary_distances(regions: DataFrame, universe: DataFrame, by: str = "bed_id") -> DataFrame:
-    """Per file the median distance of its merged regions' starts and ends to the nearest universe start and end."""
-    q = merge(regions, by)
-    both = [nearest(q.select(by, "chrom", F.col(c).alias("pos")), universe.select("chrom", F.col(c).alias("pos"))) for c in ("start", "end")]
-    return both[0].unionByName(both[1]).groupBy(by).agg(F.percentile("distance", F.lit(0.5)).alias("median_distance"))
+#: The spans of a flexible universe in which a region's start and end may lie.
+SPANS = {"start": ("start", "core_start"), "end": ("core_end", "end")}
 
 
-def universe_distances(regions: DataFrame, universe: DataFrame, by: str = "bed_id") -> DataFrame:
-    """Per file the median distance of the universe's starts and ends to the nearest in the merged file."""
-    q = merge(regions, by)
-    files = q.select(by).distinct()
-    parts = []
-    for c in ("start", "end"):
-        # files x universe rows is the result's own size: every file asks for every universe row
-        asked = universe.select("chrom", F.col(c).alias("pos")).join(F.broadcast(files))
-        key = F.concat_ws("|", F.col(by).cast("string"), "chrom")
-        parts.append(nearest(asked.withColumn("chrom", key), q.select(key.alias("chrom"), F.col(c).alias("pos"))))
-    return parts[0].unionByName(parts[1]).groupBy(by).agg(F.percentile("distance", F.lit(0.5)).alias("median_distance"))
+def _points(regions: DataFrame, *by: str) -> DataFrame:
+    """Starts and ends as rows (by, chrom, pos), told apart by the chromosome's name, so that one pass finds the nearest of each."""
+    ends = F.array(*[F.struct(F.concat("chrom", F.lit(f"|{c}")).alias("chrom"), F.col(c).alias("pos")) for c in SPANS])
+    return regions.select(*by, F.explode(ends).alias("p")).select(*by, "p.*")
 
 
-#: The spans of a flexible universe in which a region's start and end may lie.
-SPANS = {"start": ("start", "core_start"), "end": ("core_end", "end")}
+def _spans(universe: DataFrame) -> DataFrame:
+    """A flexible universe's spans as rows (chrom, lo, hi), named as ``_points`` names starts and ends."""
+    spans = F.array(*[F.struct(F.concat("chrom", F.lit(f"|{c}")).alias("chrom"), F.col(lo).alias("lo"), F.col(hi).alias("hi")) for c, (lo, hi) in SPANS.items()])
+    return universe.select(F.explode(spans).alias("p")).select("p.*")
+
+
+def _median(distances: DataFrame, by: str) -> DataFrame:
+    return distances.groupBy(by).agg(F.percentile("distance", F.lit(0.5)).alias("median_distance"))
+
+
+def _of_file(rows: DataFrame, by: str) -> DataFrame:
+    return rows.withColumn("chrom", F.concat_ws("|", F.col(by).cast("string"), "chrom"))
+
+
+def boundary_distances(regions: DataFrame, universe: DataFrame, by: str = "bed_id", merged: DataFrame | None = None) -> DataFrame:
+    """Per file the median distance of its merged regions' starts and ends to the nearest universe start and end."""
+    q = merge(regions, by) if merged is None else merged
+    return _median(nearest(_points(q, by), _points(universe)), by)
+
+
+def universe_distances(regions: DataFrame, universe: DataFrame, by: str = "bed_id", merged: DataFrame | None = None) -> DataFrame:
+    """Per file the median distance of the universe's starts and ends to the nearest in the merged file.
+
+    Every file asks for every universe row, which is the work that the median is over.
+    """
+    q = merge(regions, by) if merged is None else merged
+    asked = _points(universe).crossJoin(q.select(by).distinct())
+    return _median(nearest(_of_file(asked, by), _of_file(_points(q, by), by).drop(by)), by)
 
 
 def flexible_boundary_distances(regions: DataFrame, universe: DataFrame, by: str = "bed_id") -> DataFrame:
     """As ``boundary_distances``, to a flexible universe (chrom, start, core_start, core_end, end)."""
-    q = merge(regions, by)
-    both = [nearest_span(q.select(by, "chrom", F.col(c).alias("pos")), universe.select("chrom", F.col(lo).alias("lo"), F.col(hi).alias("hi"))) for c, (lo, hi) in SPANS.items()]
-    return both[0].unionByName(both[1]).groupBy(by).agg(F.percentile("distance", F.lit(0.5)).alias("median_distance"))
+    return _median(nearest_span(_points(merge(regions, by), by), _spans(universe)), by)
 
 
 def flexible_universe_distances(regions: DataFrame, universe: DataFrame, by: str = "bed_id") -> DataFrame:
     """As ``universe_distances``, from a flexible universe."""
     q = merge(regions, by)
-    files = q.select(by).distinct()
-    key = F.concat_ws("|", F.col(by).cast("string"), "chrom")
-    parts = []
-    for c, (lo, hi) in SPANS.items():
-        # files x universe rows is the result's own size: every file asks for every universe row
-        asked = universe.select("chrom", F.col(lo).alias("lo"), F.col(hi).alias("hi")).join(F.broadcast(files)).withColumn("chrom", key)
-        parts.append(span_to_nearest(asked, q.select(key.alias("chrom"), F.col(c).alias("pos"))))
-    return parts[0].unionByName(parts[1]).groupBy(by).agg(F.percentile("distance", F.lit(0.5)).alias("median_distance"))
+    asked = _spans(universe).crossJoin(q.select(by).distinct())
+    return _median(span_to_nearest(_of_file(asked, by), _of_file(_points(q, by), by).drop(by)), by)
 
 
 def coverage(regions: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -204,12 +237,79 @@ def islands(runs: DataFrame, gap: int = 1, bucket: int = BUCKET) -> DataFrame:
     return numbered(runs, gap, bucket).groupBy("chrom", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("cov").alias("top")).drop("island")
 
 
+def zero_runs(cov: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """The stretches without depth (chrom, start, end) before and between the runs of coverage; what follows the last run is none."""
+    gaps = _opened(cov, [], bucket).select("chrom", F.coalesce("_before", F.lit(0).cast("long")).alias("start"), F.col("start").alias("end"))
+    return gaps.where("start < end")
+
+
+def covered_segments(cov: DataFrame, sizes: DataFrame, gap: int = 1000, area: int = 500) -> DataFrame:
+    """Segments (chrom, start, end) that hold all covered positions, for chromosomes that are mostly empty.
+
+    Covered positions more than ``gap`` apart part them; each is widened by ``area``.  The first begins at 0 if its first
+    covered position is at most ``gap``; the last ends within the chromosome.
+    """
+    found = islands(cov, gap + 1).select("chrom", "start", "end")
+    edges = found.groupBy("chrom").agg(F.min("start").alias("_first"), F.max("end").alias("_last"))
+    x = found.join(F.broadcast(edges), "chrom").join(F.broadcast(sizes), "chrom")  # a row a chromosome
+    low = F.when((F.col("start") == F.col("_first")) & (F.col("start") <= gap), 0).otherwise(F.col("start") - area)
+    high = F.col("end") - 1 + area
+    return x.select("chrom", low.cast("long").alias("start"), F.when(F.col("end") == F.col("_last"), F.least(high, F.col("size"))).otherwise(high).alias("end"))
+
+
+def segments_between_gaps(cov: DataFrame, sizes: DataFrame, gap: int = 10000, area: int = 1000) -> DataFrame:
+    """Segments (chrom, start, end) between the stretches of at least ``gap`` empty positions, for chromosomes that are mostly covered.
+
+    Each reaches ``area`` into the stretches on both sides; the first empty stretch counts whatever its length, and what
+    lies before it is left out, the last segment goes to the chromosome's end.
+    """
+    empty = zero_runs(cov)
+    first = empty.groupBy("chrom").agg(F.min("start").alias("_first"))
+    # stretches that long are few on a chromosome
+    kept = empty.join(F.broadcast(first), "chrom").where((F.col("start") == F.col("_first")) | (F.col("end") - F.col("start") >= gap))
+    following = F.lead("start").over(Window.partitionBy("chrom").orderBy("start"))
+    some = kept.join(F.broadcast(sizes), "chrom").select("chrom", F.greatest(F.col("end") - 1 - area, F.lit(0)).alias("start"), F.coalesce(following + area, F.col("size")).alias("end"))
+    whole = cov.select("chrom").distinct().join(first, "chrom", "left_anti").join(F.broadcast(sizes), "chrom").select("chrom", F.lit(0).cast("long").alias("start"), F.col("size").alias("end"))
+    return some.unionByName(whole)
+
+
+def nonzero_segments(cov: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``covered_segments`` of the chromosomes of which less than half is covered, ``segments_between_gaps`` of the others."""
+    covered = cov.groupBy("chrom").agg(F.sum(F.col("end") - F.col("start")).alias("n")).join(F.broadcast(sizes), "chrom")
+    sparse = covered.where("n < size - n").select("chrom")
+    return covered_segments(cov.join(F.broadcast(sparse), "chrom", "left_semi"), sizes).unionByName(segments_between_gaps(cov.join(F.broadcast(sparse), "chrom", "left_anti"), sizes))
+
+
+def unsorted_rows(regions: DataFrame, by: str = "bed_id", bucket: int = BUCKET) -> DataFrame:
+    """The rows (by, row_idx, chrom, start) that break their file's order by natural chromosome and start; none if it is sorted."""
+    from intervale.functions.regions import natural_key
+
+    x = regions.select(by, "row_idx", "chrom", "start", F.struct(natural_key(F.col("chrom")).alias("c"), "start").alias("_key")).withColumn("_b", F.floor(F.col("row_idx") / bucket))
+    lasts = x.groupBy(by, "_b").agg(F.max_by("_key", "row_idx").alias("_last"))
+    lasts = lasts.select(by, "_b", F.lag("_last").over(Window.partitionBy(by).orderBy("_b")).alias("_prior"))
+    before = F.coalesce(F.lag("_key").over(Window.partitionBy(by, "_b").orderBy("row_idx")), F.col("_prior"))
+    return x.join(lasts, [by, "_b"]).withColumn("_before", before).where("_key < _before").select(by, "row_idx", "chrom", "start")
+
+
+def incidence(regions: DataFrame, universe: DataFrame, by: str = "bed_id") -> DataFrame:
+    """uid, by: which files hold a region with exactly a universe row's chromosome, start and end."""
+    return universe.select("uid", "chrom", "start", "end").join(regions.select(by, "chrom", "start", "end").distinct(), ["chrom", "start", "end"]).select("uid", by)
+
+
+def ranked(rows: DataFrame, order: list[str], bucket: int = BUCKET) -> DataFrame:
+    """Adds ``n``, the place (from 1) within the chromosome by start and then ``order``; counts of earlier buckets are carried in."""
+    x = rows.withColumn("_b", F.floor(F.col("start") / bucket))
+    earlier = Window.partitionBy("chrom").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = x.groupBy("chrom", "_b").agg(F.count(F.lit(1)).alias("_n")).select("chrom", "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_carry"))
+    within = F.row_number().over(Window.partitionBy("chrom", "_b").orderBy("start", *order))
+    return x.withColumn("_i", within).join(counts, ["chrom", "_b"]).withColumn("n", F.col("_i") + F.col("_carry")).drop("_i", "_carry", "_b")
+
+
 def neighbours(regions: DataFrame, k: int) -> DataFrame:
     """The k regions of the same chromosome nearest to each (uid, neighbour, place), among the k before and after it."""
     from intervale.functions.regions import genome_distance
 
-    order = Window.partitionBy("chrom").orderBy("start", "uid")
-    at = regions.select("uid", "chrom", "start", "end", F.row_number().over(order).alias("n"))
+    at = ranked(regions.select("uid", "chrom", "start", "end"), ["uid"])
     other = at.select(F.col("uid").alias("neighbour"), "chrom", F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("n").alias("m"))
     asked = at.withColumn("m", F.explode(F.sequence(F.col("n") - k, F.col("n") + k))).where("m <> n")
     near = asked.join(other, ["chrom", "m"]).withColumn("d", genome_distance(F.col("start"), F.col("end"), F.col("s2"), F.col("e2")))

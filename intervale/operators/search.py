@@ -2,70 +2,134 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from intervale.functions.regions import dot, euclidean
+from intervale.session import cut, prepare
+
+#: So many numbers of queries are on the driver and broadcast at once (2 MB), and so many scores in memory.
+QUERY_NUMBERS, SCORES = 1 << 18, 1 << 22
 
 
-#: So many queries of 64 to 1024 numbers (at most 32 MB) are broadcast at once.
-QUERY_BLOCK = 4096
+def _scores(measure: str, v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Rows by queries, the nearest largest; nan where there is none."""
+    if measure == "l2":
+        return -np.stack([np.sqrt(((v - x) ** 2).sum(1)) for x in q], 1)
+    dots = v @ q.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if measure == "cosine":
+            dots = dots / np.sqrt((v * v).sum(1))[:, None] / np.sqrt((q * q).sum(1))
+        elif measure == "jaccard":
+            a, b = (v > 0).astype(float), (q > 0).astype(float)
+            dots = dots / (a.sum(1)[:, None] + b.sum(1) - a @ b.T)
+        elif measure != "ip":
+            raise ValueError(f"unknown measure {measure!r}")
+    return dots
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, measure: str = "cosine", offset: int = 0) -> DataFrame:
-    """query_id, id, place (from 1), score: k nearest of each query (query_id, q), itself left out, after ``offset`` of them.
+def knn(queries: DataFrame, vectors: DataFrame, k: int, measure: str = "cosine", offset: int = 0, itself: bool = False, within: str | None = None) -> DataFrame:
+    """query_id, id, place (from 1), score: k nearest of each query (query_id, q) among vectors (id, v), after ``offset`` of them.
 
-    Exact, in blocks of about ``QUERY_BLOCK`` queries: each block is broadcast to all vectors, and each partition hands on only
-    what it ranks first.
+    ``within``: a column of both sides whose values must agree.  Measures: cosine, ip (inner product), jaccard (of 0/1 vectors), and l2, whose score is a distance.  A query's own row is
+    left out unless ``itself``.  Ties go to the smaller id.  Null vectors, and those that have no score, are no candidates.
+    Exact: a block of queries is broadcast, partitions multiply their rows by it and hand on only what they rank first.
     """
-    length = F.sqrt if measure == "cosine" else None
-    if length:
-        vectors, queries = vectors.withColumn("_v", length(dot(F.col("v"), F.col("v")))), queries.withColumn("_q", length(dot(F.col("q"), F.col("q"))))
-        score = dot(F.col("v"), F.col("q")) / (F.col("_v") * F.col("_q"))
-    else:
-        score = (dot if measure == "ip" else euclidean)(F.col("v"), F.col("q"))
+    spark = vectors.sparkSession
+    prepare(spark)
+    kinds = [vectors.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()]
+    group = F.lit("") if within is None else F.col(within).cast("string")
+    asked = queries.where("q is not null").select("query_id", F.col("q").cast("array<double>").alias("q"), group.alias("g"))
+    rows = vectors.where("v is not null").select("id", F.col("v").cast("array<double>").alias("v"), group.alias("g"))
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("q")).alias("w")).first()
+    blocks = max(1, -(-size["n"] * (size["w"] or 1) // QUERY_NUMBERS))
+    most, sign = offset + k, -1 if measure == "l2" else 1
     order = F.col("score").asc() if measure == "l2" else F.col("score").desc()
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "id"))
-    blocks = -(-queries.count() // QUERY_BLOCK)
     out = None
-    for n in range(max(1, blocks)):
-        own = queries if blocks < 2 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
-        pairs = vectors.join(F.broadcast(own), F.col("id") != F.col("query_id"))
-        ranked = pairs.select("query_id", "id", score.alias("score")).withColumn("place", place).where(F.col("place") <= offset + k)
+    for n in range(blocks):
+        own = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)).toPandas()
+        if not len(own) and blocks > 1:
+            continue
+        shared = spark.sparkContext.broadcast((own["query_id"].to_numpy(), np.stack(own["q"].to_numpy()) if len(own) else np.zeros((0, 1)), own["g"].to_numpy()))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, q, groups = shared.value
+            best: list[tuple] = [(np.empty(0), None)] * len(names)
+            for whole in batches:
+                for at in range(0, whole.num_rows, max(1, min(4096, SCORES // max(1, len(names))))):
+                    b = whole.slice(at, max(1, min(4096, SCORES // max(1, len(names)))))
+                    ids = np.array(b.column("id").to_pylist())
+                    v = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                    every = np.round(_scores(measure, v, q), 12)
+                    if within is not None:
+                        every[np.array(b.column("g").to_pylist(), object)[:, None] != groups[None, :]] = np.nan
+                    for i, name in enumerate(names.tolist()):
+                        s = every[:, i]
+                        if not itself:
+                            s = np.where(ids == name, np.nan, s)
+                        near = np.flatnonzero(~np.isnan(s))
+                        if len(near) > most:
+                            near = near[s[near] >= np.partition(s[near], len(near) - most)[len(near) - most]]
+                        held, known = best[i]
+                        s, own = np.concatenate((held, s[near])), ids[near] if known is None else np.concatenate((known, ids[near]))
+                        top = np.lexsort((own, -s))[:most]
+                        best[i] = s[top], own[top]
+            found = [(i, s, own) for i, (s, own) in enumerate(best) if len(s)]
+            if found:
+                which = np.concatenate([np.full(len(s), i) for i, s, _ in found])
+                columns = [pa.array(names[which].tolist()), pa.array(np.concatenate([o for _, _, o in found]).tolist()), pa.array(sign * np.concatenate([s for _, s, _ in found]))]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "id", "score"])
+
+        ranked = rows.mapInArrow(run, f"query_id {kinds[1]}, id {kinds[0]}, score double").withColumn("place", place).where(F.col("place") <= most)
+        if blocks > 1:  # one block of queries lives at a time
+            ranked = cut(ranked)
+            shared.unpersist()
         out = ranked if out is None else out.unionByName(ranked)
     return out.where(F.col("place") > offset).withColumn("place", F.col("place") - offset)
 
 
 def merge_indexes(*indexes: DataFrame) -> DataFrame:
-    """One index of the rows (id, v) of several; ids go on from the largest of those before."""
+    """One index of the rows (id, ...) of several, with all their columns; ids go on from the largest of those before."""
     out = None
     for n, x in enumerate(indexes):
         x = x.withColumn("part", F.lit(n))
-        out = x if out is None else out.unionByName(x)
+        out = x if out is None else out.unionByName(x, allowMissingColumns=True)
     sizes = out.groupBy("part").agg(F.max("id").alias("most"))
     shift = sizes.select("part", F.coalesce(F.sum(F.col("most") + 1).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
-    return out.join(F.broadcast(shift), "part").select((F.col("id") + F.col("shift")).alias("id"), "v")
+    return out.join(F.broadcast(shift), "part").withColumn("id", F.col("id") + F.col("shift")).drop("part", "shift")  # a row an index
 
 
 def first_limit(limit: int) -> int:
-    """How many tags the first stage of a bi-vector search takes."""
+    """How many tags the first stage of a bi-vector search takes (a fixed rule)."""
     import math
 
     return int(math.log(limit) * 5) if limit > 10 else 5
 
 
-def bivector(tags: DataFrame, files: DataFrame, p: float = 1.0, q: float = 1.0, by: str = "score") -> DataFrame:
-    """Fuses stage one (tag_place, tag_score, id) and stage two (id, file_place, file_score): id, score or rank, place.
+def bivector(tags: DataFrame, vectors: DataFrame, limit: int, *, offset: int = 0, p: float = 1.0, q: float = 1.0, by: str = "score", measure: str = "cosine") -> DataFrame:
+    """id, value, place (from 1): files found through the tags that stage one found, rows (tag_place from 0, tag_score, id).
 
-    An id that several tags match keeps its first tag's.
+    A file keeps its first tag's place and score.  Stage two asks with the vector of each such file for its ``limit`` nearest
+    files, itself among them.  By score, a file found so is worth ``(p * tag score + q * own score) / 2``, where an l2
+    distance d counts 1 - d; by rank, the larger of both places.  Of several ways to a file the best counts.
     """
-    first = Window.partitionBy("id").orderBy("tag_place")
-    own = tags.withColumn("_n", F.row_number().over(first)).where("_n = 1").join(files, "id")
-    if by == "score":
-        value, order = (p * F.col("tag_score") + q * F.col("file_score")) / 2, F.col("value").desc()
+    first = tags.groupBy("id").agg(F.min_by(F.struct("tag_place", "tag_score"), "tag_place").alias("t")).select(F.col("id").alias("query_id"), "t.*")
+    asked = vectors.join(first.select(F.col("query_id").alias("id")), "id").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    found = knn(asked, vectors.select("id", "v"), limit, measure, itself=True).join(first, "query_id")
+    if by == "rank":
+        best = found.groupBy("id").agg(F.min(F.greatest("tag_place", F.col("place") - 1)).alias("value"))
+        order = F.col("value").asc()
     else:
-        value, order = F.greatest("tag_place", "file_place"), F.col("value").asc()
-    return own.select("id", value.alias("value")).groupBy("id").agg((F.max if by == "score" else F.min)("value").alias("value")).withColumn("place", F.row_number().over(Window.orderBy(order, "id")))
+        own = 1 - F.col("score") if measure == "l2" else F.col("score")
+        best = found.groupBy("id").agg(F.max((p * F.col("tag_score") + q * own) / 2).alias("value"))
+        order = F.col("value").desc()
+    top = best.orderBy(order, "id").limit(offset + limit)
+    place = F.row_number().over(Window.orderBy(order, "id"))  # of at most offset + limit rows
+    return top.withColumn("place", place).where(F.col("place") > offset).withColumn("place", F.col("place") - offset)
 
 
 def retrieval_metrics(ranked: DataFrame) -> DataFrame:
@@ -89,19 +153,43 @@ def vote(neighbours: DataFrame, by: str, least: float = 0.5) -> DataFrame:
     return neighbours.select(by).distinct().join(won, by, "left").select(by, F.coalesce(F.col("label").cast("string"), F.lit("Unknown")).alias("label"))
 
 
+def majority(labels: DataFrame, by: str, label: str = "label") -> DataFrame:
+    """by, label: the commonest label of each group, such as a cluster of annotated cells; ties to the first by name."""
+    n = labels.groupBy(by, label).agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy(by).agg(F.min_by(label, F.struct(-F.col("n"), F.col(label))).alias(label))
+
+
+def mean_metrics(metrics: DataFrame) -> DataFrame:
+    """Means over the queries of ``retrieval_metrics``; those that are undefined count in no mean."""
+    return metrics.agg(F.avg("ap").alias("map"), F.avg("auc").alias("auc"), F.avg("rp").alias("rp"), F.count(F.lit(1)).alias("queries"))
+
+
+def random_ranking(queries: DataFrame, items: DataFrame, seed: int) -> DataFrame:
+    """query_id, id, place: all items (id) in a random order of each query's own (query_id), the baseline of retrieval metrics."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("query_id").cast("string"), F.col("id").cast("string")))
+    pairs = items.select("id").crossJoin(queries.select("query_id")).withColumn("_h", h)  # the stated queries by all items
+    return pairs.select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy("_h", "id")).alias("place"))
+
+
 def pool(vectors: DataFrame, by: str, how: str = "mean") -> DataFrame:
-    """Element-wise mean or max of the vectors (v) of each group; null vectors are skipped."""
-    f = F.avg if how == "mean" else F.max
-    parts = vectors.where("v is not null").select(by, F.posexplode("v")).groupBy(by, "pos").agg(f(F.col("col").cast("double")).alias("x"))
-    return parts.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("v"))
+    """by, v: element-wise mean or max of the vectors (v) of each group; null vectors are skipped, groups of nothing else have none."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    f = Summarizer.mean if how == "mean" else Summarizer.max
+    pooled = vectors.where("v is not null").groupBy(by).agg(f(array_to_vector(F.col("v").cast("array<double>"))).alias("v"))
+    return pooled.select(by, vector_to_array("v").alias("v"))
 
 
-def min_max(x: Column) -> Column:
-    """Scaled to [0, 1] over all rows."""
-    every = Window.partitionBy()
-    return (x - F.min(x).over(every)) / F.nullif(F.max(x).over(every) - F.min(x).over(every), F.lit(0.0))
+def min_max(rows: DataFrame, column: str) -> DataFrame:
+    """The rows with a column scaled to [0, 1] over all of them; null where all are equal."""
+    ends = rows.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
+    scaled = (F.col(column) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    return rows.crossJoin(F.broadcast(ends)).withColumn(column, scaled).drop("_lo", "_hi")  # one row
 
 
-def reciprocal_search(rows: DataFrame, column: str, value: str, n: int) -> DataFrame:
-    """The n best scores among the rows with a value in a column, lowest first."""
-    return rows.where(F.col(column) == value).orderBy(F.desc("score"), *[c for c in rows.columns if c != "score"]).limit(n).orderBy("score")
+def standardised(rows: DataFrame, *columns: str) -> DataFrame:
+    """The rows with columns less their mean, by their population standard deviation; 0 where a column is constant."""
+    stats = rows.agg(*[f(c).alias(f"_{k}_{c}") for c in columns for k, f in (("m", F.avg), ("s", F.stddev_pop))])
+    z = {c: F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).when(F.col(c).isNotNull(), 0.0) for c in columns}
+    return rows.crossJoin(F.broadcast(stats)).withColumns(z).select(rows.columns)  # one row

@@ -30,12 +30,13 @@ def cbow_windows_wrapped(docs: DataFrame, w: int) -> DataFrame:
 def frequency(tokens: DataFrame) -> DataFrame:
     """token, n, share of rows (token)."""
     n = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return n.crossJoin(F.broadcast(tokens.agg(F.count(F.lit(1)).alias("_all")))).select("token", "n", (F.col("n") / F.col("_all")).alias("share"))  # one row
 
 
 def negative_sampling(tokens: DataFrame, power: float = 0.75) -> DataFrame:
-    p = F.pow("share", F.lit(power))
-    return frequency(tokens).select("token", (p / F.sum(p).over(Window.partitionBy())).alias("p"))
+    """token, p: the chance of each token as a negative example, its share to a power."""
+    p = frequency(tokens).select("token", F.pow("share", F.lit(power)).alias("p"))
+    return p.crossJoin(F.broadcast(p.agg(F.sum("p").alias("_all")))).select("token", (F.col("p") / F.col("_all")).alias("p"))  # one row
 
 
 def sentences(tokens: DataFrame, seed: int) -> DataFrame:
@@ -44,6 +45,31 @@ def sentences(tokens: DataFrame, seed: int) -> DataFrame:
     return tokens.groupBy("id").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct(h.alias("h"), "token"))), lambda s: s["token"])).alias("sentence"))
 
 
+def train_embeddings(sentences: DataFrame, width: int = 100, least: int = 5, passes: int = 1, seed: int = 1, partitions: int = 1) -> DataFrame:
+    """word, v: Word2Vec vectors from sentences (sentence), in which tokens stand in random order.  More partitions train faster and mix their results."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+
+    docs = sentences.select(F.split("sentence", " ").alias("words"))
+    model = Word2Vec(vectorSize=width, minCount=least, seed=seed, maxIter=passes, numPartitions=partitions, inputCol="words", outputCol="v").fit(docs)
+    return model.getVectors().select("word", vector_to_array("vector").alias("v"))
+
+
+def sampled_sentences(tokens: DataFrame, length: int, seed: int) -> DataFrame:
+    """id, sentence: ``length`` tokens of each document drawn with replacement by their weight (id, token, weight).
+
+    A document's weights lie end to end in the order of its tokens; each drawn number falls on one of them.
+    """
+    from intervale.functions.regions import uniform
+
+    line = Window.partitionBy("id").orderBy("token")
+    spans = tokens.withColumn("_hi", F.sum("weight").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_lo", F.col("_hi") - F.col("weight"))
+    every = tokens.groupBy("id").agg(F.sum("weight").alias("_all"))
+    draws = every.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).withColumn("_at", uniform(seed, "sample", F.concat_ws("|", F.col("id").cast("string"), F.col("_k").cast("string"))) * F.col("_all"))
+    met = draws.join(spans, "id").where((F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_hi")))
+    return met.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "token"))), lambda s: s["token"]), " ").alias("sentence"))
+
+
 def collapse(counts: DataFrame, mapping: DataFrame) -> DataFrame:
     """Sums counts (cell, gene, n) of genes that map (gene, to) to one."""
     return counts.join(mapping, "gene").groupBy("cell", F.col("to").alias("gene")).agg(F.sum("n").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from intervale.functions.regions import f_beta, rbs
 from intervale.operators import intervals
+from intervale.session import cut
 
 
 def cc(cov: DataFrame, sizes: DataFrame, cutoff: float | None = None, join: int = 0, least: int = 0) -> DataFrame:
@@ -172,80 +175,189 @@ def hard_likelihood(cov: DataFrame, sizes: DataFrame, model: DataFrame, universe
     return all_.select("chrom", (F.col("held") + rest + F.col("gain")).alias("likelihood"))
 
 
+def track_likelihood(tracks: DataFrame, sizes: DataFrame, model: DataFrame, universe: DataFrame) -> DataFrame:
+    """Per chromosome the log-likelihood of the three tracks, given a hard universe: its rows for the core, their first position for the starts, the position after them for the ends."""
+    key = F.concat_ws("|", "chrom", "track").alias("chrom")
+    spans = {"core": ("start", "end"), "start": ("start", F.col("start") + 1), "end": ("end", F.col("end") + 1)}
+    parts = F.array(*[F.struct(F.lit(t).alias("track"), F.col(a).alias("start"), (F.col(b) if isinstance(b, str) else b).alias("end")) for t, (a, b) in spans.items()])
+    inside = universe.select("chrom", F.explode(parts).alias("p")).select("chrom", "p.*").select(key, "start", "end")
+    every = sizes.crossJoin(tracks.sparkSession.createDataFrame([(t,) for t in spans], "track string")).select(key, "size")  # three rows a chromosome
+    out = hard_likelihood(tracks.select(key, "start", "end", "cov"), every, model.select(key, "cov", "bg", "fg"), inside)
+    return out.groupBy(F.regexp_extract("chrom", r"^(.*)\|", 1).alias("chrom")).agg(F.sum("likelihood").alias("likelihood"))
+
+
+def likelihood(tracks: DataFrame, sizes: DataFrame, files: int, universe: DataFrame) -> DataFrame:
+    """Per chromosome the log-likelihood of the tracks of so many files, given a universe; one with core_start is flexible."""
+    model = track_models(tracks, sizes, files)
+    return (flexible_likelihood if "core_start" in universe.columns else track_likelihood)(tracks, sizes, model, universe)
+
+
 def assessment(regions: DataFrame, universe: DataFrame, by: str = "bed_id") -> DataFrame:
-    """One row per file: base pairs, both median distances, F10 and the region boundary score."""
-    to = intervals.boundary_distances(regions, universe, by).withColumnRenamed("median_distance", "to_universe")
-    back = intervals.universe_distances(regions, universe, by).withColumnRenamed("median_distance", "from_universe")
-    out = intervals.overlap_bp(regions, universe, by).join(to, by).join(back, by)
+    """One row per file: base pairs, both median distances, F10 and the region boundary score.
+
+    The files are merged once and written; every metric reads that.
+    """
+    merged = cut(intervals.merge(regions, by))
+    to = intervals.boundary_distances(regions, universe, by, merged).withColumnRenamed("median_distance", "to_universe")
+    back = intervals.universe_distances(regions, universe, by, merged).withColumnRenamed("median_distance", "from_universe")
+    out = intervals.overlap_bp(regions, universe, by, merged).join(to, by).join(back, by)
     return out.withColumns({"f10": f_beta(F.col("overlap"), F.col("only_file"), F.col("only_universe")), "rbs": rbs(F.col("to_universe"), F.col("from_universe"))})
 
 
-def _states(score: np.ndarray, cyclic: bool = True) -> np.ndarray:
-    """The best path through states start, core, end, background that stays or moves on to the next."""
-    n = len(score)
-    best = score[0].copy()
-    came = np.zeros((n, 4), bool)
-    for i in range(1, n):
-        moved = np.roll(best, 1)
-        came[i] = moved > best
-        best = score[i] + np.maximum(best, moved)
-    path = np.empty(n, np.int8)
-    path[-1] = int(best.argmax())
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = (path[i] - 1) % 4 if came[i, path[i]] else path[i]
+def mean_scores(assessed: DataFrame) -> DataFrame:
+    """The means over files of the region boundary score and F10."""
+    return assessed.agg(F.avg("rbs").alias("rbs"), F.avg("f10").alias("f10"))
+
+
+#: Positions of a segment that one task decodes.
+MOST_POSITIONS = 5_000_000
+TRACKS = ("start", "core", "end")
+
+
+def in_segments(tracks: DataFrame, segments: DataFrame) -> DataFrame:
+    """Rows (chrom, first, past, track, start, end, ...) of the tracks' runs within each segment (chrom, start, end)."""
+    right = segments.select("chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    met = intervals.interval_join(tracks, right)
+    rest = [c for c in tracks.columns if c not in ("chrom", "start", "end")]
+    return met.select("chrom", F.col("r_start").alias("first"), F.col("r_end").alias("past"), F.greatest("start", "r_start").alias("start"), F.least("end", "r_end").alias("end"), *rest)
+
+
+def _filled(pdf: pd.DataFrame, values: list[str], empty: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """For each value an array (positions x tracks) of a segment's runs, ``empty`` where there is none."""
+    first, n = int(pdf["first"].iloc[0]), int(pdf["past"].iloc[0] - pdf["first"].iloc[0])
+    if n > MOST_POSITIONS:
+        raise ValueError(f"a segment of {n} positions without a long enough empty stretch")
+    out = {v: np.tile(empty[v], (n, 1)) for v in values}
+    track = pdf["track"].map(TRACKS.index).to_numpy()
+    for t, a, b, *x in zip(track, pdf["start"] - first, pdf["end"] - first, *(pdf[v] for v in values), strict=True):
+        for v, one in zip(values, x, strict=True):
+            out[v][a:b, t] = one
+    return out
+
+
+REGION = "chrom string, start long, core_start long, core_end long, end long, top long"
+
+
+def state_regions(path: np.ndarray, chrom: str, first: int, core: np.ndarray) -> pd.DataFrame:
+    """Flexible regions of a path of states (0 start, 1 core, 2 end, 3 background): maximal stretches of other states than background that hold a core and an end, and their largest core depth."""
+    cuts = np.flatnonzero(np.diff(np.concatenate(([False], path != 3, [False])).astype(np.int8)))
+    rows = []
+    for i, j in zip(cuts[::2], cuts[1::2], strict=True):
+        body, tail = np.flatnonzero(path[i:j] == 1), np.flatnonzero(path[i:j] == 2)
+        if len(body) and len(tail):
+            rows.append((chrom, first + i, first + i + body[0], first + i + tail[0], first + j, int(core[i:j].max())))
+    return pd.DataFrame(rows, columns=["chrom", "start", "core_start", "core_end", "end", "top"])
+
+
+def _best_path(score: np.ndarray) -> np.ndarray:
+    """The best path through states start, core, end, background that stays or moves on to the next; the later state's own on ties."""
+    steps = score.tolist()
+    a, b, c, d = steps[0]
+    came = bytearray(len(steps))
+    for i, (w, x, y, z) in enumerate(steps[1:], 1):
+        came[i] = (d > a) | (a > b) << 1 | (b > c) << 2 | (c > d) << 3
+        a, b, c, d = w + (d if d > a else a), x + (a if a > b else b), y + (b if b > c else c), z + (c if c > d else d)
+    path = np.empty(len(steps), np.int8)
+    last = (a, b, c, d)
+    path[-1] = k = last.index(max(last))
+    for i in range(len(steps) - 1, 0, -1):
+        k = (k - (came[i] >> k & 1)) % 4
+        path[i - 1] = k
     return path
 
 
-def maximum_likelihood(segments: DataFrame) -> DataFrame:
-    """Flexible regions (chrom, start, core_start, core_end, end) by dynamic programming within segments.
+def maximum_likelihood(tracks: DataFrame, segments: DataFrame, model: DataFrame) -> DataFrame:
+    """Flexible regions (chrom, start, core_start, core_end, end, top) by dynamic programming within segments.
 
-    Segments are rows (chrom, segment, pos, s_fg, s_bg, c_fg, c_bg, e_fg, e_bg), one for each position; each is solved on
-    its own, and what lies outside segments is background.
+    Every position scores as start, core, end or background by the three tracks' models (chrom, track, cov, bg, fg).  A
+    segment is solved in one task, from its runs; what lies outside segments is background.
     """
+    zero = model.where("cov = 0").groupBy("chrom").pivot("track", list(TRACKS)).agg(F.first("fg").alias("fg"), F.first("bg").alias("bg"))
+    rows = in_segments(tracks.join(model, ["chrom", "track", "cov"]), segments).join(F.broadcast(zero), "chrom")  # a row a chromosome
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        v = {c: pdf[c].to_numpy(float) for c in ("s_fg", "s_bg", "c_fg", "c_bg", "e_fg", "e_bg")}
-        score = np.stack([v["s_fg"] + v["c_bg"] + v["e_bg"], v["s_bg"] + v["c_fg"] + v["e_bg"], v["s_bg"] + v["c_bg"] + v["e_fg"], v["s_bg"] + v["c_bg"] + v["e_bg"]], 1)
-        path, at = _states(score), pdf["pos"].to_numpy()
-        cuts = np.flatnonzero(np.diff(np.concatenate(([False], path != 3, [False])).astype(np.int8)))
-        rows = []
-        for i, j in zip(cuts[::2], cuts[1::2], strict=True):
-            own = path[i:j]
-            core, tail = np.flatnonzero(own == 1), np.flatnonzero(own == 2)
-            if len(core) and len(tail):
-                rows.append((pdf["chrom"].iloc[0], at[i], at[i + core[0]], at[i + tail[0]], at[j - 1] + 1))
-        return pd.DataFrame(rows, columns=["chrom", "start", "core_start", "core_end", "end"])
+        empty = {v: pdf[[f"{t}_{v}" for t in TRACKS]].iloc[0].to_numpy(float) for v in ("fg", "bg")} | {"cov": np.zeros(3)}
+        x = _filled(pdf, ["fg", "bg", "cov"], empty)
+        score = np.stack([sum((x["fg"] if t == k else x["bg"])[:, t] for t in range(3)) for k in range(4)], 1)
+        return state_regions(_best_path(score), pdf["chrom"].iloc[0], int(pdf["first"].iloc[0]), x["cov"][:, 1])
+
+    return rows.groupBy("chrom", "first").applyInPandas(solve, REGION)
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    u, back = np.unique(x, return_inverse=True)
+    return np.array([math.lgamma(v) for v in u.tolist()])[back].reshape(x.shape)
+
+
+def poisson(x: np.ndarray, rate: float) -> np.ndarray:
+    return x * np.log(rate) - rate - _log_gamma(x + 1)
 
-    return segments.groupBy("chrom", "segment").applyInPandas(solve, "chrom string, start long, core_start long, core_end long, end long")
 
+def gaussian(x: np.ndarray, mean: float, variance: float) -> np.ndarray:
+    return -((x - mean) ** 2 / variance + np.log(2 * np.pi * variance)) / 2
 
-def _poisson(x: np.ndarray, rate: float) -> np.ndarray:
-    steps = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, int(x.max(initial=0)) + 1)))))
-    return x * np.log(rate) - rate - steps[x.astype(int)]
 
+def negative_binomial(x: np.ndarray, n: float, p: float) -> np.ndarray:
+    return _log_gamma(x + n) - _log_gamma(x + 1) - math.lgamma(n) + n * np.log(p) + x * np.log1p(-p)
 
-def hidden_states(segments: DataFrame, rates: list[list[float]], moves: list[list[float]], begin: list[float]) -> DataFrame:
-    """Viterbi states (chrom, pos, state) of segments (chrom, segment, pos, s, c, e) under Poisson emissions per state and track."""
+
+def beta(x: np.ndarray, a: float, b: float) -> np.ndarray:
+    """Of values in (0, 1); others are moved just inside."""
+    x = np.clip(x, 1e-9, 1 - 1e-9)
+    return (a - 1) * np.log(x) + (b - 1) * np.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+
+
+FAMILIES = {"poisson": poisson, "gaussian": gaussian, "negative_binomial": negative_binomial, "beta": beta}
+# fixed values of the four-state model: rates of the start, core and end track in each state, moves between states, first state
+RATES = [[5, 3, 0.0001], [0.05, 5, 0.05], [0.0001, 3, 5], [0.0001, 0.001, 0.0001]]
+MOVES = [[1 - 1e-10, 1e-10, 0, 0], [0, 1 - 1e-6, 1e-6, 0], [0, 0, 1 - 1e-10, 1e-10], [0.1, 0, 0, 0.9]]
+BEGIN = [0.01, 0.01, 0.97, 0.01]
+#: Success probabilities of the geometric quantiles that depths become.
+NORMAL = {"start": 0.1, "core": 0.2, "end": 0.1}
+
+
+def viterbi(emitted: np.ndarray, moves: list[list[float]], begin: list[float]) -> np.ndarray:
+    """The likeliest path of states given log emissions (positions x states)."""
+    with np.errstate(divide="ignore"):
+        step, best = np.log(np.array(moves, float)), np.log(np.array(begin, float)) + emitted[0]
+    back = np.zeros(emitted.shape, np.int8)
+    at = np.arange(len(begin))
+    for i in range(1, len(emitted)):
+        every = best[:, None] + step
+        back[i] = came = every.argmax(0)
+        best = every[came, at] + emitted[i]
+    path = np.empty(len(emitted), np.int8)
+    path[-1] = k = int(best.argmax())
+    for i in range(len(emitted) - 1, 0, -1):
+        path[i - 1] = k = back[i, k]
+    return path
+
+
+def normalised_tracks(tracks: DataFrame) -> DataFrame:
+    """The tracks with ``value``, each depth's geometric quantile within its chromosome and track."""
+    parts = []
+    for t, p in NORMAL.items():
+        own = tracks.where(F.col("track") == t)
+        parts.append(own.join(normalised_depth(own, p), ["chrom", "cov"]))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def hidden_states(tracks: DataFrame, segments: DataFrame, *, family: str = "poisson", parameters: list[list] | None = None, moves: list[list[float]] = MOVES, begin: list[float] = BEGIN, value: str = "value") -> DataFrame:
+    """Flexible regions (chrom, start, core_start, core_end, end, top) from the likeliest states of a hidden Markov model.
+
+    ``parameters`` are those of each state's and track's emission (a number or a tuple), by default Poisson rates.  The
+    model is decoded anew in each segment, in one task; what lies outside segments is background.
+    """
+    parameters = parameters or RATES
+    density = FAMILIES[family]
+    rows = in_segments(tracks, segments)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        x = pdf[["s", "c", "e"]].to_numpy(float)
-        emit = np.stack([sum(_poisson(x[:, t], r[t]) for t in range(3)) for r in rates], 1)
-        with np.errstate(divide="ignore"):
-            step, best = np.log(np.array(moves)), np.log(np.array(begin)) + emit[0]
-        back = np.zeros((len(x), len(rates)), np.int8)
-        for i in range(1, len(x)):
-            every = best[:, None] + step
-            back[i] = every.argmax(0)
-            best = every.max(0) + emit[i]
-        path = np.empty(len(x), np.int8)
-        path[-1] = int(best.argmax())
-        for i in range(len(x) - 1, 0, -1):
-            path[i - 1] = back[i, path[i]]
-        return pd.DataFrame({"chrom": pdf["chrom"], "pos": pdf["pos"], "state": path.astype(np.int32)})
-
-    return segments.groupBy("chrom", "segment").applyInPandas(solve, "chrom string, pos long, state int")
+        x = _filled(pdf, [value, "cov"], {value: np.zeros(3), "cov": np.zeros(3)})
+        emitted = np.stack([sum(density(x[value][:, t], *np.atleast_1d(of[t]).tolist()) for t in range(3)) for of in parameters], 1)
+        return state_regions(viterbi(emitted, moves, begin), pdf["chrom"].iloc[0], int(pdf["first"].iloc[0]), x["cov"][:, 1])
+
+    return rows.groupBy("chrom", "first").applyInPandas(solve, REGION)
 
 
 def filter_universe(universe: DataFrame, least_size: int = 0, least_score: float | None = None, least_likelihood: float | None = None) -> DataFrame:

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from intervale.functions import regions as fn
-from intervale.operators import catalog, evaluate, intervals, perturb, search, tokens, universe
-from intervale.session import cut, prepare
+from intervale.operators import catalog, encode, evaluate, index, intervals, labels, perturb, search, tokens, universe
+from intervale.session import cut
+from intervale.sources import bed as files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,6 +99,50 @@ def token_ids_per_region(spark, d):
     return r.select("bed_id", "row_idx").distinct().join(found, ["bed_id", "row_idx"], "left").fillna("-1", ["tokens"])
 
 
+_VOCAB = "vo AS (SELECT *, row_number() OVER (ORDER BY uid) - 1 AS id FROM u)"
+_TOKENS = f"""{_R}, {_U}, {_VOCAB}, rr AS (SELECT DISTINCT bed_id, row_idx, chrom, "start", "end" FROM r), ro AS (SELECT DISTINCT bed_id, row_idx FROM r),
+hit AS (SELECT DISTINCT rr.bed_id, rr.row_idx, vo.id FROM rr JOIN vo ON rr.chrom = vo.chrom AND rr."start" < vo."end" AND vo."start" < rr."end"),
+tk AS (SELECT ro.bed_id, ro.row_idx, coalesce(hit.id, (SELECT count(*) FROM u)) AS id FROM ro LEFT JOIN hit ON ro.bed_id = hit.bed_id AND ro.row_idx = hit.row_idx)"""
+
+
+def _token_rows(spark, d) -> DataFrame:
+    return encode.token_rows(regions(spark, d), encode.vocabulary(the_universe(spark, d)), "bed_id")
+
+
+@query(f"WITH {_TOKENS} SELECT bed_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS tokens FROM tk GROUP BY bed_id")
+def token_ids_per_file(spark, d):
+    lists = encode.token_lists(_token_rows(spark, d), "bed_id")
+    return lists.select("bed_id", F.array_join(F.transform("tokens", lambda t: t.cast("string")), ",").alias("tokens"))
+
+
+@query(f"WITH {_TOKENS} SELECT bed_id, CAST(count(*) AS BIGINT) AS unknown FROM tk WHERE id = (SELECT count(*) FROM u) GROUP BY bed_id")
+def token_unknown_count(spark, d):
+    vocab = encode.vocabulary(the_universe(spark, d))
+    return _token_rows(spark, d).where(F.col("id") == encode.special_id(vocab, "unk")).groupBy("bed_id").agg(F.count(F.lit(1)).alias("unknown"))
+
+
+_EMBED = "em AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+
+
+def _pooled_sql(key: str, of: str) -> str:
+    return f"pe AS (SELECT {key}, i, avg(v[i]) AS x FROM {of} JOIN em USING (id), (SELECT unnest(range(1, 65)) AS i) GROUP BY {key}, i)"
+
+
+def _digest(v) -> list:
+    return [F.round(F.col(v)[0], 6).alias("first"), F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 6).alias("total")]
+
+
+@query(f"WITH {_TOKENS}, {_EMBED}, {_pooled_sql('bed_id, row_idx', 'tk')}, pd AS (SELECT bed_id, row_idx, round(any_value(x) FILTER (i = 1), 6) AS first, round(sum(x), 6) AS total FROM pe GROUP BY 1, 2) SELECT ro.bed_id, ro.row_idx, first, total FROM ro LEFT JOIN pd ON ro.bed_id = pd.bed_id AND ro.row_idx = pd.row_idx")
+def encode_regions(spark, d):
+    return encode.encode_regions(_token_rows(spark, d), vectors(spark, d), "bed_id").select("bed_id", "row_idx", *_digest("v"))
+
+
+@query(f"WITH {_TOKENS}, {_EMBED}, {_pooled_sql('bed_id, row_idx', 'tk')} SELECT bed_id, i - 1 AS pos, round(avg(x), 6) AS x FROM pe GROUP BY 1, 2")
+def encode_files(spark, d):
+    encoded = encode.encode_regions(_token_rows(spark, d), vectors(spark, d), "bed_id")
+    return encode.encode_files(encoded).select("bed_id", F.posexplode("v").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
 @query(f'WITH {_R}, {_U} SELECT bed_id, row_idx FROM r WHERE EXISTS (SELECT 1 FROM u WHERE r.chrom = u.chrom AND r."start" < u."end" AND u."start" < r."end")')
 def overlap_semi(spark, d):
     return intervals.interval_join(regions(spark, d), right(the_universe(spark, d)), "semi").select("bed_id", "row_idx")
@@ -222,36 +267,29 @@ def universe_filter(spark, d):
     return universe.filter_universe(the_universe(spark, d), 100)
 
 
-_LH = f"""{_R}, {_U}, {_SIZES}, {_CORE}, ms AS (SELECT cov.chrom, sum(cov * ("end" - "start")) AS c, any_value(size) AS size FROM cov JOIN sz ON cov.chrom = sz.chrom GROUP BY 1),
-md AS (SELECT x.chrom, x.cov, log10((8 - x.cov) / (8 * size - c) + 1e-10) AS bg, log10(x.cov / c + 1e-10) AS fg FROM (SELECT DISTINCT chrom, least(cov, 7) AS cov FROM cov UNION SELECT DISTINCT chrom, 0 FROM cov) x JOIN ms ON x.chrom = ms.chrom)"""
-
+_DEPTH = _cov('SELECT chrom, "start" AS pos, 1 AS d FROM m UNION ALL SELECT chrom, "end", -1 FROM m')
+_LH = f"""{_R}, {_U}, {_SIZES}, {_M}, {_DEPTH}, ms AS (SELECT cov.chrom, sum(cov * ("end" - "start")) AS c, any_value(size) AS size FROM cov JOIN sz ON cov.chrom = sz.chrom GROUP BY 1),
+md AS (SELECT x.chrom, x.cov, log10((8 - x.cov) / (8 * size - c) + 1e-10) AS bg, log10(x.cov / c + 1e-10) AS fg FROM (SELECT DISTINCT chrom, cov FROM cov UNION SELECT DISTINCT chrom, 0 FROM cov) x JOIN ms ON x.chrom = ms.chrom)"""
 
-def _capped(spark, d) -> DataFrame:
-    # depths of up to 7 of the 8 files
-    return intervals.coverage(regions(spark, d)).withColumn("cov", F.least("cov", F.lit(7).cast("long")))
 
-
-def _model(spark, d) -> DataFrame:
-    cov = intervals.coverage(regions(spark, d))
-    width = F.col("end") - F.col("start")
-    mass = cov.groupBy("chrom").agg(F.sum(F.col("cov") * width).alias("c")).join(F.broadcast(sizes(spark, d)), "chrom")
-    low = _capped(spark, d).select("chrom", "cov").distinct().unionByName(cov.select("chrom", F.lit(0).cast("long").alias("cov")).distinct())
-    x = low.join(F.broadcast(mass), "chrom")
-    return x.select("chrom", "cov", F.log10((8 - F.col("cov")) / (8 * F.col("size") - F.col("c")) + 1e-10).alias("bg"), F.log10(F.col("cov") / F.col("c") + 1e-10).alias("fg"))
+def _depth(spark, d) -> DataFrame:
+    """In how many of the eight files each position is covered."""
+    return intervals.coverage(intervals.merge(regions(spark, d), "bed_id"))
 
 
 @query(f"WITH {_LH} SELECT chrom, cov, round(bg, 6) AS bg, round(fg, 6) AS fg FROM md")
 def lh_model(spark, d):
-    return _model(spark, d).select("chrom", "cov", F.round("bg", 6).alias("bg"), F.round("fg", 6).alias("fg"))
+    return universe.likelihood_model(_depth(spark, d), sizes(spark, d), 8).select("chrom", "cov", F.round("bg", 6).alias("bg"), F.round("fg", 6).alias("fg"))
 
 
-@query(f"""WITH {_LH}, k AS (SELECT cov.chrom, "start", "end", bg, fg FROM cov JOIN md ON cov.chrom = md.chrom AND least(cov.cov, 7) = md.cov),
+@query(f"""WITH {_LH}, k AS (SELECT cov.chrom, "start", "end", bg, fg FROM cov JOIN md ON cov.chrom = md.chrom AND cov.cov = md.cov),
 g AS (SELECT chrom, sum(("end" - "start") * bg) AS held, sum("end" - "start") AS covered FROM k GROUP BY 1), z AS (SELECT chrom, bg AS bg0, fg AS fg0 FROM md WHERE cov = 0),
 i AS (SELECT k.chrom, sum((least(k."end", u."end") - greatest(k."start", u."start")) * (fg - bg)) AS gain, sum(least(k."end", u."end") - greatest(k."start", u."start")) AS met FROM k JOIN u ON k.chrom = u.chrom AND k."start" < u."end" AND u."start" < k."end" GROUP BY 1),
 ub AS (SELECT chrom, sum("end" - "start") AS ubp FROM u GROUP BY 1)
 SELECT g.chrom, round(held + (size - covered) * bg0 + (coalesce(ubp, 0) - coalesce(met, 0)) * (fg0 - bg0) + coalesce(gain, 0), 3) AS likelihood FROM g JOIN z ON g.chrom = z.chrom JOIN sz ON g.chrom = sz.chrom LEFT JOIN i ON g.chrom = i.chrom LEFT JOIN ub ON g.chrom = ub.chrom""")
 def lh_hard(spark, d):
-    out = universe.hard_likelihood(_capped(spark, d), sizes(spark, d), _model(spark, d), the_universe(spark, d))
+    cov = cut(_depth(spark, d))
+    out = universe.hard_likelihood(cov, sizes(spark, d), universe.likelihood_model(cov, sizes(spark, d), 8), the_universe(spark, d))
     return out.select("chrom", F.round("likelihood", 3).alias("likelihood"))
 
 
@@ -309,7 +347,7 @@ ga AS (SELECT de.chrom, uid, sum(w * (fg - bg)) AS gain FROM de JOIN md ON de.ch
 
 @query(f"WITH {_FLH} SELECT chrom, uid, round(gain, 4) AS gain FROM ga")
 def lh_flexible_regions(spark, d):
-    t = _tracks(spark, d)
+    t = cut(_tracks(spark, d))
     return universe.flexible_gains(t, universe.track_models(t, sizes(spark, d), 8), flexible(spark, d)).select("chrom", "uid", F.round("gain", 4).alias("gain"))
 
 
@@ -317,35 +355,70 @@ def lh_flexible_regions(spark, d):
 gr AS (SELECT hd.chrom, sum(held + (size - covered) * bg) AS ground FROM hd JOIN md ON hd.chrom = md.chrom AND hd.track = md.track AND md.cov = 0 JOIN sz ON hd.chrom = sz.chrom GROUP BY 1), gs AS (SELECT chrom, sum(gain) AS gain FROM ga GROUP BY 1)
 SELECT gr.chrom, round(ground + coalesce(gain, 0), 3) AS likelihood FROM gr LEFT JOIN gs ON gr.chrom = gs.chrom""")
 def lh_flexible(spark, d):
-    t = _tracks(spark, d)
-    out = universe.flexible_likelihood(t, sizes(spark, d), universe.track_models(t, sizes(spark, d), 8), flexible(spark, d))
-    return out.select("chrom", F.round("likelihood", 3).alias("likelihood"))
+    return universe.likelihood(cut(_tracks(spark, d)), sizes(spark, d), 8, flexible(spark, d)).select("chrom", F.round("likelihood", 3).alias("likelihood"))
+
+
+@query(f"""WITH {_FLH}, kk AS (SELECT cov.*, bg, fg FROM cov JOIN md ON cov.chrom = md.chrom AND cov.track = md.track AND cov.cov = md.cov), z AS (SELECT track, chrom, bg AS bg0, fg AS fg0 FROM md WHERE cov = 0),
+hd AS (SELECT track, chrom, sum(("end" - "start") * bg) AS held, sum("end" - "start") AS covered FROM kk GROUP BY 1, 2), us AS (SELECT 'core' AS track, chrom, "start", "end" FROM u UNION ALL SELECT 'start', chrom, "start", "start" + 1 FROM u UNION ALL SELECT 'end', chrom, "end", "end" + 1 FROM u),
+i AS (SELECT kk.track, kk.chrom, sum((least(kk."end", us."end") - greatest(kk."start", us."start")) * (fg - bg)) AS gain, sum(least(kk."end", us."end") - greatest(kk."start", us."start")) AS met FROM kk JOIN us ON kk.chrom = us.chrom AND kk.track = us.track AND kk."start" < us."end" AND us."start" < kk."end" GROUP BY 1, 2),
+ub AS (SELECT track, chrom, sum("end" - "start") AS ubp FROM us GROUP BY 1, 2)
+SELECT hd.chrom, round(sum(held + (size - covered) * bg0 + (coalesce(ubp, 0) - coalesce(met, 0)) * (fg0 - bg0) + coalesce(gain, 0)), 3) AS likelihood FROM hd JOIN z ON hd.chrom = z.chrom AND hd.track = z.track JOIN sz ON hd.chrom = sz.chrom LEFT JOIN i ON hd.chrom = i.chrom AND hd.track = i.track LEFT JOIN ub ON hd.chrom = ub.chrom AND hd.track = ub.track GROUP BY hd.chrom""")
+def lh_hard_tracks(spark, d):
+    return universe.likelihood(cut(_tracks(spark, d)), sizes(spark, d), 8, the_universe(spark, d)).select("chrom", F.round("likelihood", 3).alias("likelihood"))
+
+
+def _segments_sql(of: str) -> str:
+    """Runs (chrom, s, e) of covered positions and zero runs (chrom, s, e) before and between them, from ``cov``."""
+    return f"""ru AS (SELECT chrom, min("start") AS s, max("end") AS e FROM (SELECT *, sum(o) OVER (PARTITION BY chrom ORDER BY "start" ROWS UNBOUNDED PRECEDING) AS i FROM (SELECT *, CASE WHEN "start" = lag("end") OVER (PARTITION BY chrom ORDER BY "start") THEN 0 ELSE 1 END AS o FROM {of})) GROUP BY chrom, i),
+ze AS (SELECT chrom, coalesce(lag(e) OVER (PARTITION BY chrom ORDER BY s), 0) AS zs, s AS ze FROM ru QUALIFY zs < ze)"""
+
+
+_UCOV = _cov('SELECT chrom, "start" AS pos, 1 AS d FROM u UNION ALL SELECT chrom, "end", -1 FROM u')
+
+
+def _covered_sql(gap: int, area: int) -> str:
+    return f"""ci AS (SELECT chrom, min(s) AS s, max(e) AS e FROM (SELECT *, sum(o) OVER (PARTITION BY chrom ORDER BY s ROWS UNBOUNDED PRECEDING) AS i FROM (SELECT *, CASE WHEN s - (lag(e) OVER (PARTITION BY chrom ORDER BY s) - 1) <= {gap} THEN 0 ELSE 1 END AS o FROM ru)) GROUP BY chrom, i),
+cs AS (SELECT ci.chrom, CASE WHEN s = min(s) OVER (PARTITION BY ci.chrom) AND s <= {gap} THEN 0 ELSE s - {area} END AS "start", CASE WHEN e = max(e) OVER (PARTITION BY ci.chrom) THEN least(e - 1 + {area}, size) ELSE e - 1 + {area} END AS "end" FROM ci JOIN sz ON ci.chrom = sz.chrom)"""
+
 
+def _between_sql(gap: int, area: int) -> str:
+    return f"""kz AS (SELECT * FROM ze QUALIFY zs = min(zs) OVER (PARTITION BY chrom) OR ze.ze - zs >= {gap}),
+bs AS (SELECT kz.chrom, greatest(kz.ze - 1 - {area}, 0) AS "start", coalesce(lead(zs) OVER (PARTITION BY kz.chrom ORDER BY zs) + {area}, size) AS "end" FROM kz JOIN sz ON kz.chrom = sz.chrom
+UNION ALL SELECT sz.chrom, 0, size FROM sz WHERE chrom IN (SELECT chrom FROM ru) AND chrom NOT IN (SELECT chrom FROM ze))"""
 
-def _segments(spark, d, tracks: DataFrame) -> DataFrame:
-    """Rows (chrom, segment, pos, s, c, e) of all positions of the stretches where some track has depth: the tracks' depths, 0 included."""
-    prepare(spark)
-    isl = intervals.islands(intervals.coverage(tracks.select("chrom", "start", "end")), 200)
-    every = isl.select("chrom", F.col("start").alias("segment"), F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
-    depth = tracks.select("chrom", "track", "cov", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
-    depth = depth.groupBy("chrom", "pos").agg(*[F.max(F.when(F.col("track") == k, F.col("cov"))).alias(k[0]) for k in ("start", "core", "end")])
-    return every.join(depth, ["chrom", "pos"], "left").fillna(0, ["s", "c", "e"]).select("chrom", "segment", "pos", "s", "c", "e")
+
+@query(f'WITH {_R}, {_U}, {_SIZES}, {_UCOV}, {_segments_sql("cov")}, {_covered_sql(150, 60)} SELECT chrom, "start", "end" FROM cs')
+def segments_covered(spark, d):
+    return intervals.covered_segments(intervals.coverage(the_universe(spark, d)), sizes(spark, d), 150, 60)
+
+
+@query(f'WITH {_R}, {_U}, {_SIZES}, {_UCOV}, {_segments_sql("cov")}, {_between_sql(150, 60)} SELECT chrom, "start", "end" FROM bs')
+def segments_between_gaps(spark, d):
+    return intervals.segments_between_gaps(intervals.coverage(the_universe(spark, d)), sizes(spark, d), 150, 60)
+
+
+@query(f"""WITH {_R}, {_U}, {_SIZES}, {_CORE}, {_segments_sql("cov")}, {_covered_sql(1000, 500)}, {_between_sql(10000, 1000)}, sp AS (SELECT ru.chrom FROM ru JOIN sz ON ru.chrom = sz.chrom GROUP BY 1 HAVING sum(e - s) < any_value(size) - sum(e - s))
+SELECT chrom, "start", "end" FROM cs WHERE chrom IN (SELECT chrom FROM sp) UNION ALL SELECT chrom, "start", "end" FROM bs WHERE chrom NOT IN (SELECT chrom FROM sp)""")
+def nonzero_segments(spark, d):
+    return intervals.nonzero_segments(intervals.coverage(regions(spark, d)), sizes(spark, d))
+
+
+def _written_tracks(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The three tracks, and the segments in which any has depth."""
+    t = cut(_tracks(spark, d))
+    return t, cut(intervals.nonzero_segments(intervals.coverage(t), sizes(spark, d)))
 
 
 @query()
 def universe_ml(spark, d):
-    t = cut(_tracks(spark, d))
-    rows, model = _segments(spark, d, t), cut(universe.track_models(t, sizes(spark, d), 8))
-    for k in ("start", "core", "end"):
-        own = model.where(F.col("track") == k).select("chrom", F.col("cov").alias(k[0]), F.col("fg").alias(f"{k[0]}_fg"), F.col("bg").alias(f"{k[0]}_bg"))
-        rows = rows.join(F.broadcast(own), ["chrom", k[0]])  # a row for each depth
-    return universe.maximum_likelihood(rows)
+    t, segments = _written_tracks(spark, d)
+    return universe.maximum_likelihood(t, segments, cut(universe.track_models(t, sizes(spark, d), 8)))
 
 
 @query()
 def universe_hmm(spark, d):
-    stay = [[0.9, 0.1, 0.0, 0.0], [0.0, 0.9, 0.1, 0.0], [0.0, 0.0, 0.9, 0.1], [0.1, 0.0, 0.0, 0.9]]
-    return universe.hidden_states(_segments(spark, d, cut(_tracks(spark, d))), [[0.5, 1.0, 0.1], [0.1, 4.0, 0.1], [0.1, 1.0, 0.5], [0.1, 0.2, 0.1]], stay, [0.01, 0.01, 0.97, 0.01])
+    t, segments = _written_tracks(spark, d)
+    return universe.hidden_states(universe.normalised_tracks(t), segments)
 
 
 @query(f"""WITH {_U}, n AS (SELECT uid, chrom, "start", "end", row_number() OVER (PARTITION BY chrom ORDER BY "start", uid) AS n FROM u),
@@ -355,17 +428,52 @@ def genome_neighbours(spark, d):
     return intervals.neighbours(the_universe(spark, d), 4)
 
 
-@query(f'WITH {_R}, {_U} SELECT DISTINCT u.uid, r.bed_id FROM r JOIN u ON r.chrom = u.chrom AND r."start" // 40 = u."start" // 40')
+@query(f"""WITH {_R}, {_U}, un AS (SELECT chrom, "start", "end", min(row_idx) AS uid FROM r WHERE bed_id = 0 GROUP BY 1, 2, 3) SELECT un.uid, r.bed_id FROM (SELECT DISTINCT bed_id, chrom, "start", "end" FROM r) r JOIN un ON r.chrom = un.chrom AND r."start" = un."start" AND r."end" = un."end\"""")
 def binary_incidence(spark, d):
-    r = regions(spark, d).select("bed_id", "chrom", F.floor(F.col("start") / 40).alias("cell"))
-    return r.join(the_universe(spark, d).select("uid", "chrom", F.floor(F.col("start") / 40).alias("cell")), ["chrom", "cell"]).select("uid", "bed_id").distinct()
+    r = regions(spark, d)
+    of_one = r.where("bed_id = 0").groupBy("chrom", "start", "end").agg(F.min("row_idx").alias("uid"))  # the first file's regions as the universe
+    return intervals.incidence(r, of_one)
+
+
+@query(f"""WITH {_R}, k AS (SELECT *, 1 + CAST(substr(chrom, 4) AS INT) AS c FROM r), l AS (SELECT *, lag(c) OVER w AS pc, lag("start") OVER w AS ps FROM k WINDOW w AS (PARTITION BY bed_id ORDER BY row_idx)) SELECT bed_id, row_idx, chrom, "start" FROM l WHERE c < pc OR c = pc AND "start" < ps""")
+def unsorted_rows(spark, d):
+    return intervals.unsorted_rows(regions(spark, d))
+
+
+_RBS = "round((1010.0 / (a.median_distance + 100) + 101.0 / (b.median_distance + 100)) / 11, 6)"
+
+
+@query(f"WITH {_TO}, a AS ({_NEAR_FILE}), b AS ({_NEAR_UNIVERSE}) SELECT a.bed_id, {_RBS} AS rbs FROM a JOIN b ON a.bed_id = b.bed_id")
+def rbs_per_file(spark, d):
+    return universe.assessment(regions(spark, d), the_universe(spark, d)).select("bed_id", F.round("rbs", 6).alias("rbs"))
+
+
+@query(f"""WITH {_BP}, mn AS (SELECT *, row_number() OVER () AS n FROM m), un AS (SELECT f.bed_id, u.*, row_number() OVER () AS n FROM u, (SELECT DISTINCT bed_id FROM m) f), a AS ({_NEAR_FILE}), b AS ({_NEAR_UNIVERSE}), x AS (SELECT {_F10} AS f10, (1010.0 / (a.median_distance + 100) + 101.0 / (b.median_distance + 100)) / 11 AS rbs FROM {_PQ} x JOIN a ON x.bed_id = a.bed_id JOIN b ON x.bed_id = b.bed_id)
+SELECT round(avg(rbs), 6) AS rbs, round(avg(f10), 6) AS f10 FROM x""")
+def mean_scores(spark, d):
+    return universe.mean_scores(universe.assessment(regions(spark, d), the_universe(spark, d))).select(F.round("rbs", 6).alias("rbs"), F.round("f10", 6).alias("f10"))
+
+
+_MAF = "mf AS (SELECT 'chr' || CAST(1 + l_orderkey % 5 AS VARCHAR) AS chrom, l_partkey AS s, l_partkey + l_linenumber % 2 AS e FROM lineitem)"
+
+
+@query(f'WITH {_MAF} SELECT chrom, s AS "start", CASE WHEN s = e THEN e + 1 ELSE e END AS "end" FROM mf')
+def snp_to_region(spark, d):
+    chrom = F.concat(F.lit("chr"), (1 + F.col("l_orderkey") % 5).cast("string")).alias("Chromosome")
+    return files.maf_regions(_read(spark, d, "lineitem").select(chrom, F.col("l_partkey").alias("Start_position"), (F.col("l_partkey") + F.col("l_linenumber") % 2).alias("End_position")))
+
+
+@query("SELECT p_partkey AS bed_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)")
+def catalog_missing(spark, d):
+    done = _read(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_partkey").alias("bed_id"))
+    return catalog.missing(_read(spark, d, "part").select(F.col("p_partkey").alias("bed_id")), done)
 
 
 # ---- identifiers and metadata -------------------------------------------------------------------------------------
 
 
 def _agg(c: str) -> str:
-    return f"md5(string_agg(CAST(\"{c}\" AS VARCHAR), ',' ORDER BY row_idx, CAST(\"{c}\" AS VARCHAR)))"
+    return f"md5(string_agg(CAST(\"{c}\" AS VARCHAR), ',' ORDER BY row_idx, \"start\", \"end\"))"
 
 
 @query(f"WITH {_R} SELECT bed_id, md5({_agg('chrom')} || ',' || {_agg('start')} || ',' || {_agg('end')}) AS identifier FROM r GROUP BY bed_id")
@@ -386,10 +494,25 @@ def natural_sort(spark, d):
     return n.withColumn("place", F.row_number().over(Window.orderBy(fn.natural_key(F.col("chrom")))))  # one row a chromosome
 
 
-@query("SELECT c_mktsegment AS series, count(*) AS files, string_agg(c_name, ',' ORDER BY c_custkey) AS names FROM customer GROUP BY 1")
+_META = "mt AS (SELECT c_name, c_mktsegment, 'g' || CAST(c_nationkey % 3 AS VARCHAR) AS genome, CASE WHEN c_acctbal > 5000 THEN 'rich' END AS tier, CASE WHEN c_custkey % 4 > 0 THEN CAST(c_nationkey AS VARCHAR) END AS origin FROM customer)"
+
+
+def _metadata(spark, d) -> DataFrame:
+    return _read(spark, d, "customer").select(
+        "c_name", "c_mktsegment", F.concat(F.lit("g"), (F.col("c_nationkey") % 3).cast("string")).alias("genome"), F.when(F.col("c_acctbal") > 5000, "rich").alias("tier"), F.when(F.col("c_custkey") % 4 > 0, F.col("c_nationkey").cast("string")).alias("origin")
+    )
+
+
+@query(f"""WITH {_META} SELECT c_mktsegment AS series, CAST(count(*) AS BIGINT) AS files, string_agg(c_name || ':' || coalesce(tier, '') || ':' || coalesce(origin, ''), ',' ORDER BY c_name) AS names FROM mt WHERE genome IN ('g0', 'g2') AND (tier IS NOT NULL OR origin IS NOT NULL) GROUP BY 1""")
 def metadata_by_series(spark, d):
-    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda s: s["c_name"]), ",")
-    return _read(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("series")).agg(F.count(F.lit(1)).alias("files"), names.alias("names"))
+    out = catalog.metadata(_metadata(spark, d), ["tier", "origin"], "c_name", series_key="c_mktsegment", genome_key="genome", genomes=["g0", "g2"])
+    names = F.transform("files", lambda f: F.concat_ws(":", f["name"], F.coalesce(f["metadata"]["tier"], F.lit("")), F.coalesce(f["metadata"]["origin"], F.lit(""))))
+    return out.select("series", F.size("files").cast("long").alias("files"), F.array_join(names, ",").alias("names"))
+
+
+@query(f"WITH {_META} SELECT 'data/' || c_name AS filename, 'data/' || c_name || ',' || coalesce(tier, '') || ',' || coalesce(origin, '') AS line FROM mt")
+def metadata_lines(spark, d):
+    return labels.metadata_lines(_metadata(spark, d).withColumnRenamed("c_name", "file_name"), ["tier", "origin"], "data/")
 
 
 # ---- vectors ------------------------------------------------------------------------------------------------------
@@ -423,6 +546,14 @@ def knn_euclidean(spark, d):
     return search.knn(_asked(spark, d), vectors(spark, d), 10, "l2").withColumn("score", F.round("score", 6))
 
 
+@query(_knn("len(list_intersect(list_filter(range(64), lambda i: v[i + 1] > 0), list_filter(range(64), lambda i: q[i + 1] > 0))) / len(list_filter(range(64), lambda i: v[i + 1] > 0 OR q[i + 1] > 0))", "DESC"))
+def knn_jaccard(spark, d):
+    def binary(c):
+        return F.transform(c, lambda x: F.when(x > 0, 1.0).otherwise(0.0)).alias(c)
+
+    return search.knn(_asked(spark, d).select("query_id", binary("q")), vectors(spark, d).select("id", binary("v")), 10, "jaccard").withColumn("score", F.round("score", 6))
+
+
 @query(_knn(_COS, "DESC", 5))
 def knn_offset(spark, d):
     return search.knn(_asked(spark, d), vectors(spark, d), 10, offset=5).withColumn("score", F.round("score", 6))
@@ -464,45 +595,145 @@ def pool_max(spark, d):
     return search.pool(vectors(spark, d), "label", "max").select("label", F.posexplode("v").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
-@query(f"""WITH {_V}, g AS (SELECT label, pos, avg(v[pos]) AS x FROM v, (SELECT unnest(range(1, 65)) AS pos) GROUP BY 1, 2), l AS (SELECT label, list(x ORDER BY pos) AS c FROM g GROUP BY 1),
-s AS (SELECT query_id, label, 1 - list_dot_product(c, q) / (sqrt(list_dot_product(c, c)) * sqrt(list_dot_product(q, q))) AS x FROM q, l)
-SELECT query_id, label, round((x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()), 6) AS score FROM s""")
+@query(_REL.replace("SELECT query_id, round(", "SELECT round(avg(ap), 6) AS map, round(avg(auc), 6) AS auc, round(avg(rp), 6) AS rp, count(*) AS queries FROM (SELECT query_id, round(").replace("FROM h GROUP BY 1", "FROM h GROUP BY 1)"))
+def retrieval_means(spark, d):
+    means = search.mean_metrics(QUERIES["retrieval_metrics"](spark, d))
+    return means.select(*[F.round(c, 6).alias(c) for c in ("map", "auc", "rp")], "queries")
+
+
+@query(f"""WITH {_V}, rk AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY md5('11|' || CAST(query_id AS VARCHAR) || '|' || CAST(id AS VARCHAR)), id) AS n FROM q, v), t AS (SELECT rk.query_id, n, CAST(a.label = b.label AS INT) AS rel FROM rk JOIN v a ON rk.id = a.id JOIN v b ON rk.query_id = b.id),
+h AS (SELECT *, sum(rel) OVER (PARTITION BY query_id ORDER BY n) AS hits, sum(rel) OVER (PARTITION BY query_id) AS r, count(*) OVER (PARTITION BY query_id) AS kk FROM t),
+e AS (SELECT query_id, sum(CASE WHEN rel = 1 THEN hits / n ELSE 0 END) / nullif(any_value(r), 0) AS ap, sum(CASE WHEN rel = 0 THEN hits END) / nullif(any_value(r) * (any_value(kk) - any_value(r)), 0) AS auc, sum(CASE WHEN n <= r THEN rel ELSE 0 END) / nullif(any_value(r), 0) AS rp FROM h GROUP BY 1)
+SELECT round(avg(ap), 6) AS map, round(avg(auc), 6) AS auc, round(avg(rp), 6) AS rp, count(*) AS queries FROM e""")
+def random_retrieval(spark, d):
+    own = vectors(spark, d).select("id", "label")
+    ranked = search.random_ranking(_asked(spark, d), own, 11).join(own, "id").join(own.select(F.col("id").alias("query_id"), F.col("label").alias("wanted")), "query_id")
+    means = search.mean_metrics(search.retrieval_metrics(ranked.select("query_id", "place", (F.col("label") == F.col("wanted")).cast("int").alias("relevant"))))
+    return means.select(*[F.round(c, 6).alias(c) for c in ("map", "auc", "rp")], "queries")
+
+
+@query(f"""WITH {_V}, p AS (SELECT query_id, id, label, {_COS} AS s FROM q, v WHERE id <> query_id), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS n FROM p),
+c AS (SELECT query_id, label, count(*) AS c, min(n) AS f FROM k WHERE n <= 3 AND s >= 0.05 GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, f) AS o FROM c),
+an AS (SELECT q.query_id % 3 AS cluster, coalesce(CAST(b.label AS VARCHAR), 'Unknown') AS label FROM q LEFT JOIN b ON q.query_id = b.query_id AND o = 1), g AS (SELECT cluster, label, count(*) AS n FROM an GROUP BY 1, 2)
+SELECT cluster, label FROM g QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, label) = 1""")
+def annotate_clusters(spark, d):
+    cells = QUERIES["annotate_cells"](spark, d).withColumn("cluster", F.col("query_id") % 3)
+    return search.majority(cells, "cluster")
+
+
+_LD = f"""{_V}, g AS (SELECT label, pos, avg(v[pos]) AS x FROM v, (SELECT unnest(range(1, 65)) AS pos) GROUP BY 1, 2), l AS (SELECT 'Term' || CAST(label AS VARCHAR) AS search_term, list(x ORDER BY pos) AS c FROM g GROUP BY label),
+ld AS (SELECT 'f' || CAST(id AS VARCHAR) AS filename, 'Term' || CAST(label AS VARCHAR) AS file_label, search_term, 1 - list_dot_product(v, c) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(c, c))) AS x FROM v, l),
+ls AS (SELECT filename, file_label, search_term, (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) AS x FROM ld), rl AS (SELECT filename, file_label, search_term, 1 - x AS score FROM ls WHERE x > 0.5)"""
+
+
+def _label_distances(spark, d) -> DataFrame:
+    v = vectors(spark, d)
+    term = F.concat(F.lit("Term"), F.col("label").cast("string"))
+    named = v.select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("filename"), term.alias("file_label"), "v")
+    return labels.label_distances(named, search.pool(v, "label").select(term.alias("search_term"), "v"))
+
+
+@query(f"WITH {_LD} SELECT filename, file_label, search_term, round(score, 6) AS score FROM rl")
 def similarity_rl(spark, d):
-    labels = search.pool(vectors(spark, d), "label").select("label", F.col("v").alias("c"))
-    pairs = _asked(spark, d).join(F.broadcast(labels))  # one row a label
-    return pairs.select("query_id", "label", F.round(search.min_max(1 - fn.cosine(F.col("c"), F.col("q"))), 6).alias("score"))
+    return labels.label_similarities(_label_distances(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_LD} SELECT filename, score FROM (SELECT filename, round(avg(score), 6) AS score FROM rl WHERE lower(search_term) = 'term3' GROUP BY 1) ORDER BY score DESC, filename LIMIT 10")
+def search_l2r(spark, d):
+    return labels.files_of_label(QUERIES["similarity_rl"](spark, d), "Term3")
+
 
+@query(f"WITH {_LD} SELECT lower(search_term) AS search_term, round(score, 6) AS score FROM rl WHERE filename = 'f7'")
+def search_r2l(spark, d):
+    return labels.labels_of_file(QUERIES["similarity_rl"](spark, d), "f7")
 
-@query("""WITH a AS (SELECT vec_id AS id, 0 AS part FROM embeddings WHERE vec_id % 2 = 0), b AS (SELECT vec_id AS id, 1 AS part FROM embeddings WHERE vec_id % 2 = 1)
-SELECT id FROM a UNION ALL SELECT id + (SELECT max(id) + 1 FROM a) FROM b""")
+
+@query(f"WITH {_LD} SELECT file_label AS label, search_term AS predicted, count(*) AS n FROM (SELECT * FROM ld QUALIFY row_number() OVER (PARTITION BY filename ORDER BY x, search_term) = 1) GROUP BY 1, 2")
+def label_confusion(spark, d):
+    x = _label_distances(spark, d)
+    return labels.confusion(labels.predicted_labels(x), x.select("filename", F.col("file_label").alias("label")).distinct())
+
+
+@query(f"WITH {_LD} SELECT filename, search_term, round(avg(score), 6) AS score FROM rl GROUP BY 1, 2")
+def label_table(spark, d):
+    return labels.long(labels.wide(labels.label_similarities(_label_distances(spark, d)))).withColumn("score", F.round("score", 6))
+
+
+_RR = f"""{_V}, rd AS (SELECT 'F' || CAST(id AS VARCHAR) AS db_file, 'F' || CAST(query_id AS VARCHAR) AS test_file, 1 - {_COS} AS x FROM v, q), rr AS (SELECT db_file, test_file, round(1 - (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()), 6) AS score FROM rd)"""
+
+
+@query(f"WITH {_RR} SELECT db_file, test_file, score FROM rr")
+def similarity_rr(spark, d):
+    v = vectors(spark, d).select(F.concat(F.lit("F"), F.col("id").cast("string")).alias("db_file"), "v")
+    asked = _asked(spark, d).select(F.concat(F.lit("F"), F.col("query_id").cast("string")).alias("test_file"), F.col("q").alias("v"))
+    return labels.file_similarities(v, asked).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_RR} SELECT lower(db_file) AS db_file, score FROM rr WHERE lower(test_file) LIKE '%f40%' ORDER BY score DESC, lower(db_file) LIMIT 10")
+def search_r2r(spark, d):
+    return labels.files_of_file(QUERIES["similarity_rr"](spark, d), "F40")
+
+
+@query(f"""WITH {_R}, {_U}, fi AS (SELECT 'b' || CAST(bed_id AS VARCHAR) AS filename, row_idx AS place, u.chrom || '_' || u."start" || '_' || u."end" AS word FROM r JOIN u ON r.chrom = u.chrom AND r."start" < u."end" AND u."start" < r."end"), wo AS (SELECT filename, word, min(place) AS place FROM fi GROUP BY 1, 2),
+dc AS (SELECT filename, string_agg(word, ' ' ORDER BY place, word) AS regions FROM wo GROUP BY 1), lb AS (SELECT 'b' || CAST(k AS VARCHAR) AS filename, 'kind' || CAST(k % 3 AS VARCHAR) AS label FROM range(10) t(k))
+SELECT lb.filename, CASE WHEN regions IS NULL THEN ' ' ELSE regions || ' __label__' || label END AS document FROM lb LEFT JOIN dc ON lb.filename = dc.filename""")
+def label_documents(spark, d):
+    u = right(the_universe(spark, d))
+    met = intervals.interval_join(regions(spark, d), u).select(F.concat(F.lit("b"), F.col("bed_id").cast("string")).alias("filename"), F.col("row_idx").alias("place"), "chrom", F.col("r_start").alias("start"), F.col("r_end").alias("end"))
+    known = spark.range(10).select(F.concat(F.lit("b"), F.col("id").cast("string")).alias("filename"), F.concat(F.lit("kind"), (F.col("id") % 3).cast("string")).alias("label"))
+    return labels.label_documents(met, known)
+
+
+@query("""WITH a AS (SELECT vec_id AS id, embedding AS v, 'p' || CAST(label AS VARCHAR) AS payload FROM embeddings WHERE vec_id % 2 = 0), b AS (SELECT vec_id AS id, embedding AS v, 'p' || CAST(label AS VARCHAR) AS payload FROM embeddings WHERE vec_id % 2 = 1),
+x AS (SELECT * FROM a UNION ALL SELECT id + (SELECT max(id) + 1 FROM a), v, payload FROM b) SELECT id, payload, p - 1 AS pos, round(CAST(v[p] AS DOUBLE), 6) AS x FROM x, (SELECT unnest(range(1, 65)) AS p)""")
 def merge_indexes(spark, d):
-    v = vectors(spark, d).select("id", "v")
-    return search.merge_indexes(v.where("id % 2 = 0"), v.where("id % 2 = 1")).select("id")
+    v = vectors(spark, d).select("id", "v", F.concat(F.lit("p"), F.col("label").cast("string")).alias("payload"))
+    return search.merge_indexes(v.where("id % 2 = 0"), v.where("id % 2 = 1")).select("id", "payload", F.posexplode("v").alias("pos", "x")).withColumn("x", F.round(F.col("x").cast("double"), 6))
+
+
+@query(f"""WITH {_V}, p AS (SELECT query_id, v.id, 'p' || CAST(label AS VARCHAR) AS payload, {_COS} AS s FROM q, v), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, id) AS n FROM p) SELECT query_id, n AS place, id, round(s, 6) AS score, payload FROM k WHERE n <= 5""")
+def index_search(spark, d):
+    rows = vectors(spark, d).select("id", "v", F.concat(F.lit("p"), F.col("label").cast("string")).alias("payload"))
+    found = index.VectorIndex().load(rows, "payload").search(_asked(spark, d), 5, with_vectors=False)
+    return found.select("query_id", "place", "id", F.round("score", 6).alias("score"), "payload")
+
 
+_TEXT = r"""tw AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS w FROM benchmark), th AS (SELECT item_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS h FROM tw),
+tc AS (SELECT item_id, h % 64 AS k, sum(CASE WHEN h >= 2147483648 THEN -1.0 ELSE 1.0 END) AS x FROM th GROUP BY 1, 2), tz AS (SELECT item_id, sqrt(sum(x * x)) AS z FROM tc GROUP BY 1)"""
 
-def _stages(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Tags are labels, placed by their first vector; a tag's files are its vectors."""
+
+@query(f"""WITH {_TEXT}, tp AS (SELECT a.item_id AS query_id, b.item_id AS id, sum(a.x * b.x) / (any_value(za.z) * any_value(zb.z)) AS s FROM tc a JOIN tc b ON a.k = b.k JOIN tz za ON a.item_id = za.item_id JOIN tz zb ON b.item_id = zb.item_id WHERE za.z > 0 AND zb.z > 0 GROUP BY 1, 2),
+al AS (SELECT a.item_id AS query_id, b.item_id AS id, coalesce(tp.s, 0) AS s FROM tz a JOIN tz b ON a.z > 0 AND b.z > 0 LEFT JOIN tp ON tp.query_id = a.item_id AND tp.id = b.item_id), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, id) AS n FROM al) SELECT query_id, n AS place, id, round(s, 6) AS score FROM k WHERE n <= 3""")
+def text_search(spark, d):
+    items = _read(spark, d, "benchmark")
+    own = index.VectorIndex().load(index.text_vectors(items, "item_id", "text").select(F.col("item_id").alias("id"), "v"))
+    found = index.TextSearch(own).query(items.select(F.col("item_id").alias("query_id"), "text"), 3, with_payload=False, with_vectors=False)
+    return found.select("query_id", "place", "id", F.round("score", 6).alias("score"))
+
+
+def _tags(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Stage one: the labels nearest to vector 0, placed by their first vectors, and the files of each: its vectors."""
     v = vectors(spark, d)
     zero = v.where("id = 0").select(F.lit(-1).cast("long").alias("query_id"), F.col("v").alias("q"))
     lead = v.groupBy("label").agg(F.min("id").alias("id")).join(v.select("id", "v"), "id").select(F.col("label").cast("long").alias("id"), "v")
     tag = search.knn(zero, lead, search.first_limit(10)).select(F.col("id").alias("label"), (F.col("place") - 1).alias("tag_place"), F.col("score").alias("tag_score"))
-    files = search.knn(zero, v.select("id", "v"), 1 << 30).select("id", (F.col("place") - 1).alias("file_place"), F.col("score").alias("file_score"))
-    return tag.join(v.select("id", "label"), "label").select("id", "tag_place", "tag_score"), files
+    return tag.join(v.select("id", "label"), "label").select("id", "tag_place", "tag_score"), v.select("id", "v")
 
 
 _BI = f"""{_V}, z AS (SELECT v AS q FROM v WHERE id = 0), l AS (SELECT label, min(id) AS id FROM v GROUP BY 1),
 ts AS (SELECT l.label, {_COS} AS s FROM l JOIN v ON l.id = v.id, z), tp AS (SELECT label, s, row_number() OVER (ORDER BY s DESC, label) - 1 AS p FROM ts QUALIFY p < 5),
-fs AS (SELECT id, label, {_COS} AS s, row_number() OVER (ORDER BY {_COS} DESC, id) - 1 AS p FROM v, z)"""
+fi AS (SELECT v.id AS asking, v.v AS q, tp.p, tp.s AS t FROM v JOIN tp ON v.label = tp.label), fo AS (SELECT asking, p, t, v.id, {_COS} AS s FROM fi, v),
+fr AS (SELECT *, row_number() OVER (PARTITION BY asking ORDER BY round(s, 12) DESC, id) - 1 AS j FROM fo QUALIFY j < 10)"""
 
 
-@query(f"WITH {_BI}, b AS (SELECT fs.id, (tp.s + fs.s) / 2 AS value FROM tp JOIN fs ON tp.label = fs.label) SELECT id, round(value, 6) AS value, row_number() OVER (ORDER BY value DESC, id) AS place FROM b")
+@query(f"WITH {_BI}, b AS (SELECT id, max((t + s) / 2) AS value FROM fr GROUP BY 1) SELECT id, round(value, 6) AS value, row_number() OVER (ORDER BY value DESC, id) AS place FROM b QUALIFY place <= 10")
 def bivec_score(spark, d):
-    return search.bivector(*_stages(spark, d)).withColumn("value", F.round("value", 6))
+    return search.bivector(*_tags(spark, d), 10).withColumn("value", F.round("value", 6))
 
 
-@query(f"WITH {_BI}, b AS (SELECT fs.id, greatest(tp.p, fs.p) AS value FROM tp JOIN fs ON tp.label = fs.label) SELECT id, value, row_number() OVER (ORDER BY value, id) AS place FROM b")
+@query(f"WITH {_BI}, b AS (SELECT id, min(greatest(p, j)) AS value FROM fr GROUP BY 1) SELECT id, value, row_number() OVER (ORDER BY value, id) AS place FROM b QUALIFY place <= 10")
 def bivec_rank(spark, d):
-    return search.bivector(*_stages(spark, d), by="rank")
+    return search.bivector(*_tags(spark, d), 10, by="rank")
 
 
 # ---- perturbation -------------------------------------------------------------------------------------------------
@@ -512,54 +743,98 @@ def bed(spark, d) -> DataFrame:
     return regions(spark, d).groupBy("row_idx", "chrom", "start").agg(F.max("end").alias("end")).withColumn("mod", F.lit("-"))
 
 
-def _drawn(step: str, rate: float, among: str = "true") -> str:
-    return f"""{_R}, b AS (SELECT row_idx, chrom, "start", max("end") AS "end", '-' AS mod FROM r GROUP BY 1, 2, 3), dr AS (SELECT row_idx FROM b WHERE {among} ORDER BY md5('7|{step}|' || CAST(row_idx AS VARCHAR)), row_idx LIMIT (SELECT CAST(floor(count(*) * {rate}) AS BIGINT) FROM b))"""
+_B = "b AS (SELECT row_idx, chrom, \"start\", max(\"end\") AS \"end\", '-' AS mod FROM r GROUP BY 1, 2, 3)"
+_MEETS = 'EXISTS (SELECT 1 FROM u WHERE b.chrom = u.chrom AND b."start" < u."end" AND u."start" < b."end")'
 
 
-_MEETS = 'EXISTS (SELECT 1 FROM u WHERE b.chrom = u.chrom AND b."start" < u."end" AND u."start" < b."end")'
+def _drawn(step: str, rate: float, among: str = "true", of: str = "b") -> str:
+    """The rows drawn in a step, as ``d_<step>``."""
+    return f"d_{step} AS (SELECT row_idx FROM {of} WHERE {among} ORDER BY md5('7|{step}|' || CAST(row_idx AS VARCHAR)), row_idx LIMIT (SELECT CAST(floor(count(*) * {rate}::DOUBLE) AS BIGINT) FROM {of}))"
 
 
-@query(f"WITH {_U}, {_drawn('dropfile', 0.2, _MEETS)} SELECT * FROM b WHERE row_idx NOT IN (SELECT row_idx FROM dr)")
+def _uni(salt: str, key: str) -> str:
+    return f"(CAST('0x' || substr(md5('7|{salt}|' || CAST({key} AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296)"
+
+
+def _normal(salt: str, key: str, mean: float, sd: float) -> str:
+    return f"CAST(trunc({mean}::DOUBLE + {sd}::DOUBLE * sqrt(-2 * ln(1 - {_uni(salt + 'u', key)})) * cos(2 * pi() * {_uni(salt + 'v', key)})) AS BIGINT)"
+
+
+def _p_drop(of: str, to: str, rate: float, step: str = "drop", among: str = "true") -> str:
+    return f"{_drawn(step, rate, among, of)}, {to} AS (SELECT * FROM {of} WHERE row_idx NOT IN (SELECT row_idx FROM d_{step}))"
+
+
+def _p_shift(of: str, to: str, rate: float, among: str = "true") -> str:
+    return f"""{_drawn('shift', rate, among, of)}, w_{to} AS (SELECT x.*, size, y.row_idx IS NOT NULL AS x, {_normal('shift', 'x.row_idx', 0.0, 150.0)} AS s FROM {of} x LEFT JOIN d_shift y ON x.row_idx = y.row_idx JOIN sz ON x.chrom = sz.chrom),
+k_{to} AS (SELECT *, x AND "start" + s >= 0 AND "end" + s <= size AS ok FROM w_{to}), {to} AS (SELECT row_idx, chrom, CASE WHEN ok THEN "start" + s ELSE "start" END AS "start", CASE WHEN ok THEN "end" + s ELSE "end" END AS "end", CASE WHEN ok THEN 'S' ELSE mod END AS mod FROM k_{to})"""
+
+
+def _p_cut(of: str, to: str, rate: float) -> str:
+    return f"""{_drawn('cut', rate, 'true', of)}, w_{to} AS (SELECT x.*, y.row_idx IS NOT NULL AS x, ("start" + "end") // 2 AS m0 FROM {of} x LEFT JOIN d_cut y ON x.row_idx = y.row_idx), v_{to} AS (SELECT *, CASE WHEN m0 <= "start" THEN "start" + 10 ELSE m0 END AS m1 FROM w_{to}), k_{to} AS (SELECT *, CASE WHEN m1 >= "end" THEN "end" - 10 ELSE m1 END AS mid FROM v_{to}),
+{to} AS (SELECT row_idx * 2 AS row_idx, chrom, "start", CASE WHEN x THEN mid ELSE "end" END AS "end", CASE WHEN x THEN 'C' ELSE mod END AS mod FROM k_{to} UNION ALL SELECT row_idx * 2 + 1, chrom, mid, "end", 'C' FROM k_{to} WHERE x)"""
+
+
+def _p_merge(of: str, to: str, rate: float) -> str:
+    return f"""{_drawn('merge', rate, 'true', of)}, w_{to} AS (SELECT x.*, lead("end") OVER o AS ne, coalesce(y.row_idx IS NOT NULL AND lead(chrom) OVER o = chrom, false) AS made, coalesce(lag(y.row_idx IS NOT NULL) OVER o AND lag(chrom) OVER o = chrom, false) AS was FROM {of} x LEFT JOIN d_merge y ON x.row_idx = y.row_idx WINDOW o AS (ORDER BY x.row_idx)),
+{to} AS (SELECT row_idx, chrom, "start", "end", mod FROM w_{to} WHERE NOT made AND NOT was UNION ALL SELECT row_idx, chrom, "start", ne, 'M' FROM w_{to} WHERE made)"""
+
+
+def _p_add(of: str, to: str, rate: float) -> str:
+    return f"""sp AS (SELECT chrom, size, sum(size) OVER (ORDER BY chrom) AS hi, sum(size) OVER () AS every FROM sz), n_{to} AS (SELECT i, {_uni('addc', 'i')} AS pt FROM range((SELECT CAST(floor(count(*) * {rate}::DOUBLE) AS BIGINT) FROM {of})) t(i)),
+m_{to} AS (SELECT i, chrom, size, CAST(floor({_uni('adds', 'i')} * size) AS BIGINT) + 1 AS s FROM n_{to} JOIN sp ON pt * every >= hi - size AND pt * every < hi),
+{to} AS (SELECT * FROM {of} UNION ALL SELECT i + (SELECT coalesce(max(row_idx), -1) + 1 FROM {of}), chrom, s, least(s + {_normal('addw', 'i', 320.0, 30.0)}, size), 'A' FROM m_{to})"""
+
+
+_BED = 'SELECT row_idx, chrom, "start", "end", mod FROM'
+
+
+@query(f"WITH {_R}, {_U}, {_B}, {_p_drop('b', 'o', 0.2, 'dropfile', _MEETS)} {_BED} o")
 def perturb_drop_from_file(spark, d):
     return perturb.drop_from_file(bed(spark, d), the_universe(spark, d), 0.2, 7)
 
 
-@query(f"WITH {_drawn('drop', 0.3)} SELECT * FROM b WHERE row_idx NOT IN (SELECT row_idx FROM dr)")
+@query(f"WITH {_R}, {_B}, {_p_drop('b', 'o', 0.3)} {_BED} o")
 def perturb_drop(spark, d):
     return perturb.drop(bed(spark, d), 0.3, 7)
 
 
-@query(f"""WITH {_drawn('merge', 0.4)}, w AS (SELECT b.*, dr.row_idx IS NOT NULL AS x, lead("end") OVER o AS nx, lag(dr.row_idx IS NOT NULL) OVER o AS wx FROM b LEFT JOIN dr ON b.row_idx = dr.row_idx WINDOW o AS (PARTITION BY chrom ORDER BY b.row_idx))
-SELECT row_idx, chrom, "start", "end", mod FROM w WHERE NOT (x AND nx IS NOT NULL) AND NOT coalesce(wx, false) UNION ALL SELECT row_idx, chrom, "start", nx, 'M' FROM w WHERE x AND nx IS NOT NULL""")
+@query(f"WITH {_R}, {_B}, {_p_merge('b', 'o', 0.4)} {_BED} o")
 def perturb_merge(spark, d):
     return perturb.merge_rows(bed(spark, d), 0.4, 7)
 
 
-@query(f"""WITH {_drawn('cut', 0.5)}, w AS (SELECT b.*, dr.row_idx IS NOT NULL AND "end" - "start" > 20 AS x, ("start" + "end") // 2 AS mid FROM b LEFT JOIN dr ON b.row_idx = dr.row_idx)
-SELECT CAST(row_idx AS DOUBLE) AS row_idx, chrom, "start", CASE WHEN x THEN mid ELSE "end" END AS "end", CASE WHEN x THEN 'C' ELSE mod END AS mod FROM w UNION ALL SELECT row_idx + 0.5, chrom, mid, "end", 'C' FROM w WHERE x""")
+@query(f"WITH {_R}, {_B}, {_p_cut('b', 'o', 0.5)} {_BED} o")
 def perturb_cut(spark, d):
     return perturb.cut(bed(spark, d), 0.5, 7)
 
 
-_UNI = "(CAST('0x' || substr(md5('7|{}|' || CAST(row_idx AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296)"
-
-
-def _shifted(among: str = "true") -> str:
-    return f"""WITH {_U}, {_drawn('shift', 0.5, among)}, {_SIZES}, w AS (SELECT b.*, size, dr.row_idx IS NOT NULL AS x, CAST(round_even(0.0 + 150.0 * sqrt(-2 * ln(1 - {_UNI.format('shiftu').replace('row_idx', 'b.row_idx')})) * cos(2 * pi() * {_UNI.format('shiftv').replace('row_idx', 'b.row_idx')}), 0) AS BIGINT) AS s FROM b LEFT JOIN dr ON b.row_idx = dr.row_idx JOIN sz ON b.chrom = sz.chrom),
-k AS (SELECT *, x AND "start" + s >= 0 AND "end" + s <= size AS ok FROM w) SELECT row_idx, chrom, CASE WHEN ok THEN "start" + s ELSE "start" END AS "start", CASE WHEN ok THEN "end" + s ELSE "end" END AS "end", CASE WHEN ok THEN 'S' ELSE mod END AS mod FROM k"""
-
-
-@query(_shifted())
+@query(f"WITH {_R}, {_U}, {_SIZES}, {_B}, {_p_shift('b', 'o', 0.5)} {_BED} o")
 def perturb_shift(spark, d):
     return perturb.shift(bed(spark, d), sizes(spark, d), 0.5, 0.0, 150.0, 7)
 
 
-@query(_shifted(_MEETS))
+@query(f"WITH {_R}, {_U}, {_SIZES}, {_B}, {_p_shift('b', 'o', 0.5, _MEETS)} {_BED} o")
 def perturb_shift_from_file(spark, d):
     return perturb.shift_from_file(bed(spark, d), sizes(spark, d), the_universe(spark, d), 0.5, 0.0, 150.0, 7)
 
 
-@query()
+@query(f"WITH {_R}, {_U}, {_SIZES}, {_B}, {_p_add('b', 'o', 0.6)} {_BED} o")
+def perturb_add(spark, d):
+    return perturb.add(bed(spark, d), sizes(spark, d), 0.6, 320.0, 30.0, 7)
+
+
+@query(f"""WITH {_R}, {_U}, {_B}, li AS (SELECT *, sum("end" - "start") OVER (ORDER BY chrom, "start", uid) AS hi, sum("end" - "start") OVER () AS every FROM u), nw AS (SELECT i, CAST(floor({_uni('validr', 'i')} * (SELECT any_value(every) FROM li)) AS BIGINT) AS pt FROM range((SELECT CAST(floor(count(*) * 0.6::DOUBLE) AS BIGINT) FROM b)) t(i)),
+mt AS (SELECT i, chrom, "start" + CAST(floor({_uni('valids', 'i')} * ("end" - "start" + 1)) AS BIGINT) AS s FROM nw JOIN li ON pt >= hi - ("end" - "start") AND pt < hi) {_BED} b UNION ALL SELECT i + (SELECT max(row_idx) + 1 FROM b), chrom, s, s + {_normal('addw', 'i', 320.0, 30.0)}, 'A' FROM mt""")
+def perturb_add_valid(spark, d):
+    return perturb.add_valid(bed(spark, d), the_universe(spark, d).withColumnRenamed("uid", "row_idx"), 0.6, 320.0, 30.0, 7)
+
+
+@query(f"""WITH {_R}, {_U}, {_B}, pk AS (SELECT uid, chrom, "start", "end" FROM u ORDER BY md5('7|addfile|' || CAST(uid AS VARCHAR)), uid LIMIT (SELECT CAST(floor(count(*) * 0.02::DOUBLE) AS BIGINT) FROM b)) {_BED} b UNION ALL SELECT uid + (SELECT max(row_idx) + 1 FROM b), chrom, "start", "end", 'A' FROM pk""")
+def perturb_add_file(spark, d):
+    return perturb.add_from_file(bed(spark, d), the_universe(spark, d).withColumnRenamed("uid", "row_idx"), 0.02, 7)
+
+
+@query(f"WITH {_R}, {_U}, {_SIZES}, {_B}, {_p_shift('b', 'p1', 0.2)}, {_p_add('p1', 'p2', 0.1)}, {_p_cut('p2', 'p3', 0.2)}, {_p_merge('p3', 'p4', 0.1)}, {_p_drop('p4', 'p5', 0.1)} {_BED} p5")
 def perturb_all(spark, d):
     return perturb.all_perturbations(bed(spark, d), sizes(spark, d), 7, shift_rate=0.2, add_rate=0.1, cut_rate=0.2, merge_rate=0.1, drop_rate=0.1)
 
@@ -614,6 +889,29 @@ def _counts(spark, d) -> DataFrame:
     return _read(spark, d, "events").where("value is not null").groupBy(F.col("user_id").alias("cell"), (F.floor("value") % 50).alias("gene")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_CELLS = f"""{_C}, {_U}, {_VOCAB}, fe AS (SELECT g AS feature, 'chr' || CAST(1 + abs(g) % 5 AS VARCHAR) AS chrom, abs(g) * 40 + 5 AS "start", abs(g) * 40 + 260 AS "end" FROM (SELECT DISTINCT gene AS g FROM c)),
+fh AS (SELECT DISTINCT fe.feature, vo.id FROM fe JOIN vo ON fe.chrom = vo.chrom AND fe."start" < vo."end" AND vo."start" < fe."end"), fk AS (SELECT fe.feature, coalesce(fh.id, (SELECT count(*) FROM u)) AS id FROM fe LEFT JOIN fh ON fe.feature = fh.feature),
+ck AS (SELECT c.cell, fk.id, c.gene AS place FROM c JOIN fk ON c.gene = fk.feature)"""
+
+
+def _cell_tokens(spark, d) -> DataFrame:
+    """Features are stretches of 255 positions, 40 apart."""
+    counts, g = _counts(spark, d).withColumnRenamed("gene", "feature"), F.abs("feature")
+    features = counts.select("feature").distinct().select("feature", F.concat(F.lit("chr"), (1 + g % 5).cast("string")).alias("chrom"), (g * 40 + 5).alias("start"), (g * 40 + 260).alias("end"))
+    return encode.cell_tokens(counts, features, encode.vocabulary(the_universe(spark, d)))
+
+
+@query(f"WITH {_CELLS} SELECT cell, string_agg(CAST(id AS VARCHAR), ',' ORDER BY place, id) AS tokens FROM ck GROUP BY cell")
+def tokenize_cells(spark, d):
+    lists = F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"].cast("string"))
+    return _cell_tokens(spark, d).groupBy("cell").agg(F.array_join(lists, ",").alias("tokens"))
+
+
+@query(f"WITH {_CELLS}, {_EMBED}, {_pooled_sql('cell', 'ck')}, pd AS (SELECT cell, round(any_value(x) FILTER (i = 1), 6) AS first, round(sum(x), 6) AS total FROM pe GROUP BY 1) SELECT k.cell, first, total FROM (SELECT DISTINCT cell FROM ck) k LEFT JOIN pd ON k.cell = pd.cell")
+def encode_cells(spark, d):
+    return encode.encode_cells(_cell_tokens(spark, d), vectors(spark, d)).select("cell", *_digest("v"))
+
+
 @query(f"WITH {_C} SELECT cell, gene % 10 AS gene, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1, 2")
 def gene_collapse(spark, d):
     mapping = spark.range(-50, 50).select(F.col("id").alias("gene"), (F.col("id") % 10).alias("to"))
@@ -621,10 +919,10 @@ def gene_collapse(spark, d):
 
 
 @query(f"""WITH {_C}, t AS (SELECT cell, sum(n) AS a FROM c GROUP BY 1), x AS (SELECT c.cell, c.gene, round(c.n / a * 10000 / (1 + abs(c.gene) % 7), 9) AS x FROM c JOIN t ON c.cell = t.cell),
-k AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY x DESC, gene) AS p FROM x) SELECT cell, '-1,' || string_agg(CAST(gene AS VARCHAR), ',' ORDER BY p) || ',-2' AS tokens, count(*) + 2 AS length FROM k WHERE p <= 14 GROUP BY cell""")
+k AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY x DESC, gene) AS p FROM x) SELECT cell, '-1,' || string_agg(CAST(gene AS VARCHAR), ',' ORDER BY p) || ',-2' AS tokens, count(*) + 2 AS length FROM k WHERE p <= 4094 GROUP BY cell""")
 def rank_value_encoding(spark, d):
     medians = spark.range(-50, 50).select(F.col("id").alias("gene"), (1 + F.abs("id") % 7).alias("median"))
-    return tokens.rank_encode(_counts(spark, d), medians, 16, -1, -2).select("cell", F.array_join(F.transform("tokens", lambda x: x.cast("string")), ",").alias("tokens"), F.col("length").cast("long").alias("length"))
+    return tokens.rank_encode(_counts(spark, d), medians, 4096, -1, -2).select("cell", F.array_join(F.transform("tokens", lambda x: x.cast("string")), ",").alias("tokens"), F.col("length").cast("long").alias("length"))
 
 
 _K = "CAST(id AS VARCHAR) || '|' || CAST(place AS VARCHAR)"
@@ -637,16 +935,29 @@ def rtd_corrupt(spark, d):
     return tokens.corrupt(x, 1000, 0.15, 5)
 
 
+@query(f"""WITH {_T}, pd AS (SELECT id, list_concat(tokens[1:8], list_transform(range(greatest(8 - len(tokens), 0)), lambda i: 0)) AS tokens FROM t) SELECT id, array_to_string(tokens, ',') AS tokens, len(list_filter(tokens, lambda x: x <> 0)) AS kept FROM pd""")
+def padded_batch(spark, d):
+    out = encode.padded_batch(token_docs(spark, d), 8, 0)
+    return out.select("id", F.array_join(F.transform("tokens", lambda x: x.cast("string")), ",").alias("tokens"), F.size(F.filter("mask", lambda m: m)).cast("long").alias("kept"))
+
+
+@query(f"""WITH k AS (SELECT vec_id AS id, label, CAST('0x' || substr(md5('3|' || CAST(vec_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM embeddings), n AS (SELECT id, CAST(label AS VARCHAR) AS l, row_number() OVER (PARTITION BY label ORDER BY h, id) AS n, count(*) OVER (PARTITION BY label) AS c FROM k),
+nl AS (SELECT l, c, coalesce(lead(l) OVER (ORDER BY l), min(l) OVER ()) AS nx FROM (SELECT DISTINCT l, c FROM n)) SELECT a.id, p.id AS positive, g.id AS negative FROM n a JOIN n p ON p.l = a.l AND p.n = a.n % a.c + 1 AND a.c > 1 JOIN nl ON nl.l = a.l JOIN nl o ON o.l = nl.nx JOIN n g ON g.l = nl.nx AND g.n = (a.n - 1) % o.c + 1""")
+def triplets(spark, d):
+    return encode.triplets(_read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "label", 3)
+
+
 # ---- evaluation ---------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {_U}, {_V}, n AS (SELECT u.*, v.v, row_number() OVER (PARTITION BY chrom ORDER BY u."start") AS n FROM u JOIN v ON u.uid = v.id),
-p AS (SELECT CASE WHEN a."end" < b."end" THEN greatest(b."start" - a."end" + 1, 0) ELSE greatest(a."start" - b."end" + 1, 0) END / 1e10 AS x, (1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))) / 2 AS y FROM n a JOIN n b ON a.chrom = b.chrom AND b.n = a.n + 1 + a.uid % 13)
+@query(f"""WITH {_U}, {_V}, n AS (SELECT u.*, v.v, row_number() OVER (PARTITION BY chrom ORDER BY u."start", uid) AS n, count(*) OVER (PARTITION BY chrom) AS c FROM u JOIN v ON u.uid = v.id),
+m AS (SELECT *, CAST(floor(CAST('0x' || substr(md5('9|pair|' || CAST(uid AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296 * (c - 1)) AS BIGINT) + 1 AS m FROM n WHERE c > 1),
+p AS (SELECT CASE WHEN a."end" < b."end" THEN greatest(b."start" - a."end" + 1, 0) ELSE greatest(a."start" - b."end" + 1, 0) END / 1e10 AS x, (1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))) / 2 AS y FROM m a JOIN n b ON a.chrom = b.chrom AND b.n = a.m + CASE WHEN a.m >= a.n THEN 1 ELSE 0 END)
 SELECT round(regr_slope(y, x), 0) AS slope FROM p""")
 def gdst(spark, d):
-    n = the_universe(spark, d).join(vectors(spark, d).select(F.col("id").alias("uid"), "v"), "uid").withColumn("n", F.row_number().over(Window.partitionBy("chrom").orderBy("start")))
-    a = n.select("chrom", (F.col("n") + 1 + F.col("uid") % 13).alias("n"), F.col("start").alias("s1"), F.col("end").alias("e1"), F.col("v").alias("v1"))
-    pairs = a.join(n.select("chrom", "n", F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("v").alias("v2")), ["chrom", "n"])
+    known = the_universe(spark, d).join(vectors(spark, d).select(F.col("id").alias("uid"), "v"), "uid")
+    one, other = (known.select(F.col("uid").alias(k), F.col("start").alias(f"s{i}"), F.col("end").alias(f"e{i}"), F.col("v").alias(f"v{i}")) for i, k in ((1, "uid"), (2, "other")))
+    pairs = evaluate.region_pairs(known, 9).join(one, "uid").join(other, "other")
     return evaluate.gdst(pairs).select(F.round("slope", 0).alias("slope"))
 
 
@@ -671,40 +982,84 @@ def lr_schedule(spark, d):
     return spark.range(50).select(F.col("id").alias("epoch")).select("epoch", F.round(fn.linear_rate(0.025, 0.0001, 50, e), 9).alias("linear"), F.round(fn.milestone_rate(0.025, 0.0001, 0.5, 10, e), 9).alias("milestone"))
 
 
-@query()
+@query("""WITH RECURSIVE x(epoch, rate) AS (SELECT 0, 0.025::DOUBLE UNION ALL SELECT epoch + 1, greatest(rate / (1 + 0.01::DOUBLE * (epoch + 1)), 0.0001::DOUBLE) FROM x WHERE epoch < 49)
+SELECT CAST(epoch AS BIGINT) AS epoch, 0.025::DOUBLE AS constant, round(greatest(0.025::DOUBLE - 0.0007::DOUBLE * epoch, 0.0001::DOUBLE), 9) AS linear, round(rate, 9) AS exponential,
+round(CASE WHEN epoch < 5 THEN epoch / 5 WHEN (epoch - 5) / 35 >= 1 THEN 0 ELSE greatest(0, (45 - epoch) / 80 * (1 + cos(pi() * ((3 * (epoch - 5) / 35) % 1)))) END, 9) AS cosine, round(CASE WHEN epoch < 5 THEN epoch / 5 ELSE greatest((40 - epoch) / 35, 0.5::DOUBLE) END, 9) AS floored FROM x""")
+def lr_schedules(spark, d):
+    e = F.col("epoch")
+    rates = {"constant": fn.constant_rate(0.025, e), "linear": fn.decayed_linear_rate(0.025, 0.0007, 0.0001, e), "exponential": fn.exponential_rate(0.025, 0.01, 0.0001, e), "cosine": fn.cosine_restart_rate(5, 40, 3, e), "floored": fn.linear_floor_rate(5, 40, 0.5, e)}
+    return spark.range(50).select(F.col("id").alias("epoch")).select("epoch", *[F.round(x.cast("double"), 9).alias(k) for k, x in rates.items()])
+
+
+_NPT = f"""{_U}, {_V}, kn AS (SELECT u.uid, u.chrom, u."start", u."end", v.v, row_number() OVER (PARTITION BY chrom ORDER BY u."start", uid) AS n, count(*) OVER (PARTITION BY chrom) AS c, count(*) OVER () AS t FROM u JOIN v ON u.uid = v.id),
+sa AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY md5('0|npt|' || CAST(uid AS VARCHAR)), uid) AS i FROM kn) WHERE i <= round_even(100 * c / t, 0)),
+gd AS (SELECT a.uid, b.uid AS nb, CASE WHEN a."end" < b."end" THEN greatest(b."start" - a."end" + 1, 0) ELSE greatest(a."start" - b."end" + 1, 0) END AS x FROM sa a JOIN kn b ON a.chrom = b.chrom AND a.uid <> b.uid AND b.n BETWEEN a.n - 10 AND a.n + 10), gp AS (SELECT uid, nb, row_number() OVER (PARTITION BY uid ORDER BY x, nb) AS p FROM gd QUALIFY p <= 10),
+ra AS (SELECT uid, chrom, list_transform(range(64), lambda k: CAST('0x' || substr(md5('0|rand|' || CAST(uid AS VARCHAR) || '|' || CAST(k AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296 - 0.5::DOUBLE) AS v FROM kn)"""
+
+
+def _npt_near(name: str, asked: str, of: str) -> str:
+    cos = "list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))"
+    return f"{name} AS (SELECT a.uid, b.uid AS nb, row_number() OVER (PARTITION BY a.uid ORDER BY round({cos}, 12) DESC, b.uid) AS p FROM {asked} a JOIN {of} b ON a.chrom = b.chrom AND a.uid <> b.uid QUALIFY p <= 10)"
+
+
+def _npt_share(name: str, near: str) -> str:
+    return f"{name} AS (SELECT k, avg(s) AS s FROM (SELECT k, gp.uid, sum(CASE WHEN {near}.p <= k THEN 1 ELSE 0 END) / count(*) AS s FROM (SELECT unnest([5, 10]) AS k) ks JOIN gp ON gp.p <= k LEFT JOIN {near} ON gp.uid = {near}.uid AND gp.nb = {near}.nb GROUP BY 1, 2) GROUP BY 1)"
+
+
+@query(f"""WITH {_NPT}, {_npt_near('en', 'sa', 'kn')}, {_npt_near('rn', '(SELECT ra.* FROM ra JOIN sa ON ra.uid = sa.uid)', 'ra')}, {_npt_share('es', 'en')}, {_npt_share('rs', 'rn')}
+SELECT es.k, round(es.s, 6) AS qnpr, round(rs.s, 6) AS rnpr, round(greatest(log10((es.s + 1e-10) / (rs.s + 1e-10)), 0), 6) AS snpr FROM es JOIN rs ON es.k = rs.k""")
 def npt(spark, d):
+    out = evaluate.neighbourhood_preservation(the_universe(spark, d), vectors(spark, d), 10, step=5)
+    return out.select("k", *[F.round(c, 6).alias(c) for c in ("qnpr", "rnpr", "snpr")])
+
+
+def _u42(salt: str, key: str) -> str:
+    return f"(CAST('0x' || substr(md5('42|{salt}|' || {key}), 1, 8) AS BIGINT) / 4294967296)"
+
+
+@query(f"""WITH {_V}, n AS (SELECT id, v, row_number() OVER (ORDER BY id) AS n, count(*) OVER () AS t FROM v), sz AS (SELECT least(any_value(t), 10000) AS n, any_value(t) AS t FROM n), dr AS (SELECT j, CAST(floor({_u42('draw', 'CAST(j AS VARCHAR)')} * (SELECT t FROM sz)) AS BIGINT) + 1 AS n FROM range((SELECT CAST(n AS BIGINT) FROM sz)) r(j)),
+da AS (SELECT dr.j, n.id, n.v FROM dr JOIN n ON dr.n = n.n), dd AS (SELECT id, any_value(v) AS v, count(*) AS times FROM da GROUP BY 1), bx AS (SELECT p, quantile_cont(v[p + 1], 0.05) AS lo, quantile_cont(v[p + 1], 0.95) AS hi FROM da, (SELECT unnest(range(64)) AS p) GROUP BY 1),
+pr AS (SELECT da.id, count(*) AS w FROM (SELECT CAST(floor({_u42('probe', 'CAST(k AS VARCHAR)')} * (SELECT n FROM sz)) AS BIGINT) AS j FROM range((SELECT CAST(floor(n * 0.1::DOUBLE) AS BIGINT) FROM sz)) r(k)) x JOIN da ON x.j = da.j GROUP BY 1),
+xs AS (SELECT a.id, any_value(w) AS w, min(list_distance(a.v, b.v)) AS d FROM pr JOIN dd a ON pr.id = a.id AND a.times = 1 JOIN dd b ON a.id <> b.id GROUP BY 1),
+pt AS (SELECT k, list(lo + {_u42('point', "CAST(k AS VARCHAR) || '|' || CAST(p AS VARCHAR)")} * (hi - lo) ORDER BY p) AS q FROM range((SELECT CAST(floor(n * 0.1::DOUBLE) AS BIGINT) FROM sz)) r(k), bx GROUP BY k), ys AS (SELECT k, min(list_distance(q, dd.v)) AS d FROM pt, dd GROUP BY k)
+SELECT round(y / (x + y), 6) AS score FROM (SELECT coalesce(sum(w * d * d), 0) AS x FROM xs), (SELECT sum(d * d) AS y FROM ys)""")
+def ctt(spark, d):
+    return evaluate.clustering_tendency(vectors(spark, d)).select(F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_V}, g AS (SELECT label, pos, avg(v[pos]) AS m, max(v[pos]) AS h FROM v, (SELECT unnest(range(1, 65)) AS pos) GROUP BY 1, 2), p AS (SELECT label, list(m ORDER BY pos) AS a, list(h ORDER BY pos) AS b FROM g GROUP BY 1),
+x AS (SELECT i.label AS i, j.label AS j, list_dot_product(i.a, j.b) / (sqrt(list_dot_product(i.a, i.a)) * sqrt(list_dot_product(j.b, j.b))) * exp(2.0::DOUBLE) AS x FROM p i, p j),
+e AS (SELECT ln(sum(exp(x))) - sum(CASE WHEN i = j THEN x ELSE 0 END) AS loss FROM x GROUP BY i UNION ALL SELECT ln(sum(exp(x))) - sum(CASE WHEN i = j THEN x ELSE 0 END) FROM x GROUP BY j) SELECT round(avg(loss), 6) AS loss FROM e""")
+def info_nce(spark, d):
     v = vectors(spark, d)
-    near = intervals.neighbours(the_universe(spark, d).join(v.select(F.col("id").alias("uid")), "uid", "left_semi"), 10)
-    asked = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    own = search.knn(asked, v, 10).select(F.col("query_id").alias("uid"), F.col("id").alias("neighbour"), "place")
-    return evaluate.neighbour_overlap(near.where("uid % 20 = 0"), own, [2, 5, 10])
+    pairs = search.pool(v, "label").select(F.col("label").alias("id"), F.col("v").alias("a")).join(search.pool(v, "label", "max").select(F.col("label").alias("id"), F.col("v").alias("b")), "id")
+    return evaluate.info_nce(pairs, 2.0).select(F.round("loss", 6).alias("loss"))
 
 
-#: The score is that of a random sample of so many probes.
-CTT_PROBES = 1000
+@query("SELECT label, round(avg(z), 6) AS mean, round(stddev_pop(z), 6) AS std FROM (SELECT label, (e - avg(e) OVER ()) / stddev_pop(e) OVER () AS z FROM (SELECT label, CAST(embedding[1] AS DOUBLE) AS e FROM embeddings)) GROUP BY label")
+def standardised_runs(spark, d):
+    x = vectors(spark, d).select("label", F.col("v")[0].cast("double").alias("z"))
+    return evaluate.run_statistics(search.standardised(x, "z"), "label", "z").select("label", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
 @query()
-def ctt(spark, d):
-    v = vectors(spark, d).select("id", "v")
-    return evaluate.clustering_tendency(v.orderBy(F.md5(F.concat(F.lit("1|ctt|"), F.col("id").cast("string"))), "id").limit(CTT_PROBES), v)
+def kmeans_ari(spark, d):
+    return evaluate.clustered_ari(vectors(spark, d).where("label is not null"), 10, 1).select(F.round("ari", 6).alias("ari"))
 
 
 @query()
 def region2vec_train(spark, d):
-    from pyspark.ml.feature import Word2Vec
+    return tokens.train_embeddings(tokens.sentences(_words(spark, d), 3), width=16, least=5, seed=1)
 
-    docs = _words(spark, d).groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
-    return Word2Vec(vectorSize=16, minCount=5, seed=1, maxIter=1, inputCol="tokens", outputCol="v").fit(docs).getVectors().select("word")
+
+@query()
+def label_words_train(spark, d):
+    return labels.label_embeddings(labels.train_words(QUERIES["label_documents"](spark, d), width=8))
 
 
 @query()
 def pca(spark, d):
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    x = vectors(spark, d).select("id", array_to_vector(F.col("v").cast("array<double>")).alias("f"))
-    return PCA(k=2, inputCol="f", outputCol="p").fit(x).transform(x).select("id", vector_to_array("p").alias("p"))
+    return evaluate.principal_components(vectors(spark, d), 2)
 
 
 @query()

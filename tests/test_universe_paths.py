@@ -1,14 +1,14 @@
-"""The sequential universes against plain loops over dense tracks of the smallest tables."""
+"""The sequential universes against plain loops over dense tracks, and the forms of segments."""
 
 import math
 
 import numpy as np
 import pytest
 
+from intervale.operators import intervals, universe
 from intervale.plans import catalogue
 
 D = "/root/testdata/sf0.001"
-RATES = [[0.5, 1.0, 0.1], [0.1, 4.0, 0.1], [0.1, 1.0, 0.5], [0.1, 0.2, 0.1]]
 
 
 @pytest.fixture(scope="module")
@@ -29,10 +29,46 @@ def dense(spark):
     return size, depth
 
 
-def segments(x):
-    at = np.flatnonzero(x.any(1))
-    cut = np.flatnonzero(np.diff(at) >= 200)
-    return [(int(a), int(b) + 1) for a, b in zip(at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]])]
+def segments(x, size, few=(1000, 500), many=(10000, 1000)):
+    """Position by position: clusters of covered positions, or what long empty stretches leave."""
+    full = x[:size].any(1)
+    if full.sum() < size - full.sum():
+        at, (gap, area) = np.flatnonzero(full), few
+        cut = np.flatnonzero(np.diff(at) > gap)
+        first, last = at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]]
+        out = [(a - area, b + area) for a, b in zip(first, last)]
+        out[0] = (0 if first[0] <= gap else out[0][0], out[0][1])
+        out[-1] = (out[-1][0], min(out[-1][1], size))
+        return out
+    gap, area = many
+    runs, i = [], 0
+    while i < size:
+        j = i
+        while j < size and not full[j]:
+            j += 1
+        if j > i and j < size:
+            runs.append((i, j))
+        i = max(j, i + 1)
+    kept = [r for k, r in enumerate(runs) if not k or r[1] - r[0] >= gap]
+    if not kept:
+        return [(0, size)]
+    return [(max(0, r[1] - 1 - area), n[0] + area if n else size) for r, n in zip(kept, [*kept[1:], None])]
+
+
+def regions_of(path, first):
+    path, out, i = [*path, 3], set(), 0
+    while i < len(path) - 1:
+        j = i
+        while path[j] != 3:
+            j += 1
+        if 1 in path[i:j] and 2 in path[i:j]:
+            out.add((first + i, first + path.index(1, i), first + path.index(2, i), first + j))
+        i = max(j, i) + 1
+    return out
+
+
+def found(frame):
+    return {(r["chrom"], r["start"], r["core_start"], r["core_end"], r["end"]) for r in frame.collect()}
 
 
 def test_universe_ml(spark, dense):
@@ -40,7 +76,7 @@ def test_universe_ml(spark, dense):
     for c, x in dense[1].items():
         mass, n = x.sum(0), dense[0][c]
         bg, fg = np.log10((8 - x) / (8 * n - mass) + 1e-10), np.log10(x / mass + 1e-10)
-        for a, b in segments(x):
+        for a, b in segments(x, n):
             m = np.stack([sum((fg if t == k else bg)[a:b, t] for t in range(3)) for k in range(4)], 1)
             for i in range(1, len(m)):
                 m[i] += [max(m[i - 1, j], m[i - 1, j - 1]) for j in range(4)]
@@ -48,36 +84,71 @@ def test_universe_ml(spark, dense):
             for i in range(len(m) - 2, -1, -1):
                 k = path[-1]
                 path.append((k - (m[i, k - 1] > m[i, k])) % 4)
-            path = [*path[::-1], 3]
-            i = 0
-            while i < b - a:
-                j = i
-                while path[j] != 3:
-                    j += 1
-                if 1 in path[i:j] and 2 in path[i:j]:
-                    want.add((c, a + i, a + path.index(1, i), a + path.index(2, i), a + j))
-                i = j + 1
-    got = {tuple(r) for r in catalogue.queries()["universe_ml"](spark, D).select("chrom", "start", "core_start", "core_end", "end").collect()}
-    assert want and got == want
+            want |= {(c, *r) for r in regions_of(path[::-1], a)}
+    got = catalogue.queries()["universe_ml"](spark, D)
+    assert want and found(got) == want
+    for r in got.collect():
+        assert r["top"] == dense[1][r["chrom"]][r["start"] : r["end"], 1].max()
 
 
 def test_universe_hmm(spark, dense):
-    got = {(r["chrom"], r["pos"]): r["state"] for r in catalogue.queries()["universe_hmm"](spark, D).collect()}
-    moves, n = np.full((4, 4), -np.inf), 0
-    for k in range(4):
-        moves[k, k], moves[k, (k + 1) % 4] = math.log(0.9), math.log(0.1)
+    want = set()
+    with np.errstate(divide="ignore"):
+        step, begin = np.log(universe.MOVES), np.log(universe.BEGIN)
+    for c, x in dense[1].items():
+        y = x.astype(float)
+        for t, p in enumerate((0.1, 0.2, 0.1)):
+            some = np.sort(x[x[:, t] > 0, t])
+            for v in np.unique(some):
+                m = (some < v).mean() + (some == v).mean() / 2
+                y[x[:, t] == v, t] = math.ceil(math.log(1 - m) / math.log(1 - p)) - 1
+        for a, b in segments(x, dense[0][c]):
+            emitted = [[sum(v * math.log(r) - r - math.lgamma(v + 1) for v, r in zip(row, rates)) for rates in universe.RATES] for row in y[a:b].tolist()]
+            best, back = begin + emitted[0], []
+            for e in emitted[1:]:
+                every = best[:, None] + step
+                back.append(every.argmax(0))
+                best = every.max(0) + e
+            path = [int(best.argmax())]
+            for came in reversed(back):
+                path.append(int(came[path[-1]]))
+            want |= {(c, *r) for r in regions_of(path[::-1], a)}
+    assert found(catalogue.queries()["universe_hmm"](spark, D)) == want
 
-    def emitted(x, k):
-        return sum(v * math.log(r) - r - math.lgamma(v + 1) for v, r in zip(x, RATES[k], strict=True))
 
-    for c, x in dense[1].items():
-        for a, b in segments(x):
-            e = np.array([[emitted(v, k) for k in range(4)] for v in x[a:b].tolist()])
-            best = np.log([0.01, 0.01, 0.97, 0.01]) + e[0]
-            for row in e[1:]:
-                best = (best[:, None] + moves).max(0) + row
-            path = [got[c, p] for p in range(a, b)]
-            own = math.log([0.01, 0.01, 0.97, 0.01][path[0]]) + e[np.arange(b - a), path].sum() + sum(moves[i, j] for i, j in zip(path, path[1:]))
-            assert abs(own - best.max()) < 1e-6 * abs(own)
-            n += b - a
-    assert n == len(got)
+def test_emission_families(spark):
+    x = np.array([0.0, 1.0, 4.0])
+    assert np.allclose(universe.poisson(x, 2.0), [-2, math.log(2) - 2, 4 * math.log(2) - 2 - math.log(24)])
+    assert np.allclose(np.exp(universe.gaussian(x, 1.0, 4.0)), np.exp(-((x - 1) ** 2) / 8) / math.sqrt(8 * math.pi))
+    assert np.allclose(np.exp(universe.negative_binomial(x, 1.0, 0.3)), 0.3 * 0.7**x)
+    assert np.allclose(universe.beta(np.array([0.25]), 2.0, 3.0), math.log(12 * 0.25 * 0.75**2))
+    tracks = spark.createDataFrame([("c", t, 40, 60, 5) for t in universe.TRACKS], "chrom string, track string, start long, end long, cov long")
+    near = spark.createDataFrame([("c", 0, 100)], "chrom string, start long, end long")
+    means = [[(5, 1), (0, 1), (0, 1)], [(5, 1), (5, 1), (5, 1)], [(0, 1), (0, 1), (5, 1)], [(0, 1), (0, 1), (0, 1)]]
+    got = universe.hidden_states(tracks, near, family="gaussian", parameters=means, moves=[[0.8, 0.2, 0, 0], [0, 0.9, 0.1, 0], [0, 0, 0.5, 0.5], [0.1, 0, 0, 0.9]], value="cov")
+    assert found(got) and all(38 <= r[1] <= 41 and r[4] >= 60 for r in found(got))
+
+
+def test_a_segment_too_long_for_one_task_raises(spark, monkeypatch):
+    tracks = spark.createDataFrame([("c", "core", 0, universe.MOST_POSITIONS + 9, 1)], "chrom string, track string, start long, end long, cov long").withColumnRenamed("cov", "cov")
+    whole = spark.createDataFrame([("c", 0, universe.MOST_POSITIONS + 9)], "chrom string, start long, end long")
+    with pytest.raises(Exception, match="without a long enough empty stretch"):
+        universe.hidden_states(tracks, whole, value="cov").collect()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_segments_of_sparse_and_dense_chromosomes(spark, seed):
+    rng = np.random.default_rng(seed)
+    for few in (True, False):
+        x = np.zeros((6000, 1), int)
+        for _ in range(12 if few else 400):
+            a = rng.integers(0, 5900)
+            x[a : a + rng.integers(1, 60 if few else 100)] = 1
+        if not few:
+            x[2000:2300] = 0
+        runs = np.flatnonzero(np.diff(np.concatenate(([0], x[:, 0], [0]))))
+        cov = spark.createDataFrame([("c", int(a), int(b), 1) for a, b in zip(runs[::2], runs[1::2])], "chrom string, start long, end long, cov long")
+        size = spark.createDataFrame([("c", 6000)], "chrom string, size long")
+        full = x.any(1).sum()
+        got = intervals.covered_segments(cov, size, 100, 40) if full < 3000 else intervals.segments_between_gaps(cov, size, 100, 40)
+        assert sorted((r["start"], r["end"]) for r in got.collect()) == segments(x, 6000, (100, 40), (100, 40))
