@@ -15,7 +15,7 @@
    shingles are counted exactly, by a product of incidence matrices, and a spanning forest of the links goes on, at most one
    row per set.  Clusters of more than ``SMALL`` sets are compared by their nodes' groups, groups of more than ``MOST``
    shingles in pairs of blocks, so that the bytes in a task are bounded, not only its rows.
-5. Components come from alternating large-star and small-star rounds, and representatives hand theirs to their class.
+5. Components come from rounds of hooking and jumping, and representatives hand theirs to their class.
 
 Recall: a pair at exactly the threshold survives a tree to depth d with probability about 1 / (1 + 0.13 d), so ``TREES``
 = 14 trees miss it in about 1 of 10,000 cases at depth 4 and 1 of 250 at depth 16; pairs above it are missed less often.
@@ -36,8 +36,6 @@ from intervale.llm.words import blocks, mix, words_of
 COORDS, TREES, STEP, DEPTH, SMALL = 64, 14, 4, 32, 512
 #: Branching goes on while it leaves less than this share of the rows in large nodes; up to so many nodes are broadcast.
 SHRINKS, BROADCAST_NODES = 0.6, 500_000
-#: Up to so many links (2 MB) components are found in one partition, without a shuffle; more are spread over all.
-FEW_LINKS = 100_000
 #: Candidates share tokens as linked sets do, but for so many standard deviations; shingles of a group that is compared at once.
 MARGIN, MOST = 4.5, 1 << 22
 #: The groups that are compared before the others.
@@ -279,25 +277,28 @@ def compare(groups: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id, root (the smallest id it reaches) of all ids in ``links`` (a, b), by alternating large-star and small-star."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
-    few = links.count() <= FEW_LINKS
-    while True:
-        edges = edges.coalesce(1) if few else edges
-        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        down = cut(large.distinct())
-        down = down.coalesce(1) if few else down
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        edges = cut(small.distinct())
-        # done when every id has one root and no root has one of its own
-        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("down")), F.struct(F.col("v").alias("id"), F.lit(0).alias("down")))).alias("e")).select("e.*")
-        ends = (ends.coalesce(1) if few else ends).groupBy("id").agg(F.sum("down").alias("times"), F.min("down").alias("is_root"))
-        if ends.where("times > 1 or times > 0 and is_root = 0").isEmpty():
-            roots = edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
+    """id, root (the smallest id it reaches) of all ids in ``links`` (a, b).
+
+    Every id hooks to its smallest smaller neighbour, which makes a forest; jumping to the parent's parent finds the trees'
+    roots; the links between roots go into the next round, until none is left.  A round has a row for each id at most.
+    """
+    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    known = edges.limit(0).select(F.col("u").alias("id"), F.col("v").alias("root"))
+    while not edges.isEmpty():
+        up = cut(edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root")))
+        while True:
+            above = up.select(F.col("id").alias("root"), F.col("root").alias("above"))
+            up = cut(up.join(above, "root", "left").select("id", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
+            if up.where("moved").isEmpty():
+                break
+            up = up.drop("moved")
+        up = up.drop("moved")
+        top = up.select(F.col("id").alias("root"), F.col("root").alias("top"))
+        known = cut(known.join(top, "root", "left").select("id", F.coalesce("top", "root").alias("root")).unionByName(up))
+        for end in ("u", "v"):
+            edges = edges.join(up.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+        edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    return known.unionByName(known.select(F.col("root").alias("id"), "root").distinct())
 
 
 def near_groups(
@@ -346,9 +347,9 @@ def near_groups(
     rest = cut(many.select("id").unionByName(large.select("id")).distinct().withColumn("node", F.lit(0).cast("long")))
     sets = None if rest.isEmpty() else cut(class_sets(docs, classes.join(rest, "id"), words, id_col, text_col).select("id", "members").dropDuplicates(["id"]))
     if not many.isEmpty():
-        links = links.unionByName(cut(compare(many.where(EARLY).join(sets, "id"), percent)))
+        early = cut(compare(many.where(EARLY).join(sets, "id"), percent))
         # what a quarter of the groups has linked needs no other group
-        links = links.unionByName(compare_apart(rooted(many.where(f"not ({EARLY})").drop("root"), cut(components(links))), sets, percent))
+        links = links.unionByName(early).unionByName(compare_apart(rooted(many.where(f"not ({EARLY})").drop("root"), cut(components(early))), sets, percent))
     known = cut(components(links))
     if left:
         links = links.unionByName(compare_large(large, classes, sets, links, known, percent, small, most))
