@@ -144,8 +144,8 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="intervale")
     commands = top.add_subparsers(dest="command", required=True)
 
-    def command(name: str, run, *needed: str, **options) -> argparse.ArgumentParser:
-        p = commands.add_parser(name)
+    def command(title: str, run, *needed: str, **options) -> argparse.ArgumentParser:
+        p = commands.add_parser(title)
         for n in needed:
             p.add_argument(f"--{n}", required=True)
         for n, default in options.items():

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from intervale.session import cut, prepare
 
@@ -40,7 +41,8 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, measure: str = "cosine",
     """
     spark = vectors.sparkSession
     prepare(spark)
-    kinds = [vectors.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()]
+    kinds = [x.dataType for x in (vectors.schema["id"], queries.schema["query_id"])]
+    id_type, query_type = (to_arrow_type(k) for k in kinds)
     group = F.lit("") if within is None else F.col(within).cast("string")
     asked = queries.where("q is not null").select("query_id", F.col("q").cast("array<double>").alias("q"), group.alias("g"))
     rows = vectors.where("v is not null").select("id", F.col("v").cast("array<double>").alias("v"), group.alias("g"))
@@ -81,10 +83,10 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, measure: str = "cosine",
             found = [(i, s, own) for i, (s, own) in enumerate(best) if len(s)]
             if found:
                 which = np.concatenate([np.full(len(s), i) for i, s, _ in found])
-                columns = [pa.array(names[which].tolist()), pa.array(np.concatenate([o for _, _, o in found]).tolist()), pa.array(sign * np.concatenate([s for _, s, _ in found]))]
+                columns = [pa.array(names[which].tolist(), query_type), pa.array(np.concatenate([o for _, _, o in found]).tolist(), id_type), pa.array(sign * np.concatenate([s for _, s, _ in found]))]
                 yield pa.RecordBatch.from_arrays(columns, ["query_id", "id", "score"])
 
-        ranked = rows.mapInArrow(run, f"query_id {kinds[1]}, id {kinds[0]}, score double").withColumn("place", place).where(F.col("place") <= most)
+        ranked = rows.mapInArrow(run, f"query_id {kinds[1].simpleString()}, id {kinds[0].simpleString()}, score double").withColumn("place", place).where(F.col("place") <= most)
         if blocks > 1:  # one block of queries lives at a time
             ranked = cut(ranked)
             shared.unpersist()
