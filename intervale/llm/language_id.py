@@ -80,7 +80,11 @@ class LanguageModel:
 
 
 def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModel:
-    """Learns from at most ``sample`` texts of each language, ``TOTAL`` together: those first by a hash of their ids.  Rows without text or label are no examples."""
+    """Learns from at most ``sample`` texts of each language (1000 whatever is asked for): those first by a hash of their ids.
+
+    Together they are at most ``TOTAL``, or 8 a language where there are more than 500 languages.  Rows without text or label
+    are no examples; without any every text with letters is ``und``.
+    """
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     sample = min(sample, 1000, max(8, TOTAL // max(1, rows.select("lang").distinct().count())))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -154,7 +158,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", t
 
 
 def accepted(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text has a language: those without letters and near ties are rejected."""
+    """The rows, with all their columns, whose text has a language: those without letters (null and empty among them) and near ties are rejected.  An empty table stays empty."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
@@ -177,6 +181,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def op10_ecoc_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by a model of the documents that are not held out."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out()))
     out = identify(docs, model)

@@ -144,5 +144,6 @@ def pack(docs: DataFrame, path: str | None = None, *, capacity: int = CAPACITY,
 
 
 def op6_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 1024 tokens, with a digest of each piece's ids."""
     pieces = pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

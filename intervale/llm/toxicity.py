@@ -252,6 +252,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text
 
 
 def op2_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity by a model of the labelled documents that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     held = fold("doc_id", 3) == 1
