@@ -1,7 +1,7 @@
 """The command line: ``python -m intervale.cli COMMAND ...``; every command reads paths and writes a folder.
 
-Commands: build-universe (cc, ccf, ml, hmm), tokenize, assess-universe, lh, bedshift, eval (gdst, npt, ctt, rct), region2vec,
-scembed, search, bbclient (add, seek, remove, list).
+Commands: build-universe (cc, ccf, ml, hmm), tokenize, assess-universe, lh, perturb, eval (gdst, npt, ctt, rct), train,
+encode-cells, labels (l2r, r2l, r2r), search, cache (add, seek, remove, list).
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def lh(spark, a) -> None:
     sinks.write_model(model, a.output, a.force)
 
 
-def bedshift(spark, a) -> None:
+def perturbed(spark, a) -> None:
     def read(path: str) -> DataFrame:
         return bed.read_bed(spark, path).select("row_idx", "chrom", "start", "end")
 
@@ -103,20 +103,20 @@ def evaluation(spark, a) -> None:
     out.write.csv(a.output, header=True)
 
 
-def region2vec(spark, a) -> None:
+def train(spark, a) -> None:
     docs = bed.read_tokens(spark, a.tokens, as_text=True, seed=a.seed).select(F.array_join("tokens", " ").alias("sentence"))
     words = tokens.train_embeddings(docs, a.width, a.min_count, a.epochs, a.seed, a.partitions)
     sinks.export_model(words.select(F.col("word").alias("id"), "v"), a.output)
 
 
-def scembed(spark, a) -> None:
+def encode_cells(spark, a) -> None:
     counts, features = bed.read_cells(spark, a.counts, a.features)
     vocab = encode.vocabulary(_universe(spark, a.universe))
     known, _ = sinks.load_model(spark, a.model)
     encode.encode_cells(encode.cell_tokens(counts, features, vocab), known.withColumn("id", F.col("id").cast("long"))).write.parquet(a.output)
 
 
-def bedspace(spark, a) -> None:
+def search_labels(spark, a) -> None:
     table = spark.read.csv(a.distances, header=True, inferSchema=True)
     found = {"l2r": lambda: labels.files_of_label(table, a.query, a.num), "r2l": lambda: labels.labels_of_file(table, a.query), "r2r": lambda: labels.files_of_file(table, a.query, a.num)}[a.type]()
     found.write.csv(a.output, header=True)
@@ -127,7 +127,7 @@ def search_vectors(spark, a) -> None:
     search.knn(asked, bed.read_vectors(spark, a.vectors), a.limit, a.measure, a.offset).write.parquet(a.output)
 
 
-def bbclient(spark, a) -> None:
+def region_cache(spark, a) -> None:
     cache = catalog.Cache(spark, a.cache)
     if a.action == "add":
         print(cache.add(bed.read_bed(spark, a.name).select("row_idx", "chrom", "start", "end")))
@@ -161,15 +161,15 @@ def parser() -> argparse.ArgumentParser:
     command("assess-universe", assess, "regions", "universe", "output")
     command("lh", lh, "regions", "chrom-sizes", "output", force=False)
     rates = {f"{k}rate": 0.0 for k in ("shift", "add", "cut", "merge", "drop")}
-    command("bedshift", bedshift, "bed", "output", chrom_sizes=None, yaml=None, seed=42, repeat=1, shiftmean=0.0, shiftstdev=150.0, addmean=320.0, addstdev=30.0, **rates)
+    command("perturb", perturbed, "bed", "output", chrom_sizes=None, yaml=None, seed=42, repeat=1, shiftmean=0.0, shiftstdev=150.0, addmean=320.0, addstdev=30.0, **rates)
     p = command("eval", evaluation, "embeddings", "output", K=50, resolution=10, samples=100, most=10_000, seed=42)
     p.add_argument("test", choices=("gdst", "npt", "ctt", "rct"))
-    command("region2vec", region2vec, "tokens", "output", width=100, min_count=5, epochs=1, seed=1, partitions=1)
-    command("scembed", scembed, "counts", "features", "universe", "model", "output")
-    p = command("bedspace", bedspace, "distances", "query", "output", num=10)
+    command("train", train, "tokens", "output", width=100, min_count=5, epochs=1, seed=1, partitions=1)
+    command("encode-cells", encode_cells, "counts", "features", "universe", "model", "output")
+    p = command("labels", search_labels, "distances", "query", "output", num=10)
     p.add_argument("type", choices=("l2r", "r2l", "r2r"))
     command("search", search_vectors, "vectors", "queries", "output", limit=10, offset=0, measure="cosine")
-    p = command("bbclient", bbclient, cache=None, kind="bedfiles")
+    p = command("cache", region_cache, cache=None, kind="bedfiles")
     p.add_argument("action", choices=("add", "seek", "remove", "list"))
     p.add_argument("name", nargs="?", default="")
     return top

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The environment variable that names the cache's folder, and the folder where it names none.
-CACHE_VARIABLE, CACHE_DEFAULT = "BBCLIENT_CACHE", "~/.bbcache"
+CACHE_VARIABLE, CACHE_DEFAULT = "INTERVALE_CACHE", "~/.intervale"
 
 
 class RegionSetNotFoundError(FileNotFoundError):
@@ -90,7 +90,7 @@ def metadata(rows: DataFrame, columns: list[str], file_key: str, *, series_key:
 class Cache:
     """Region sets, sets of region sets and tokens under a folder, by content address.
 
-    ``folder``: by default the one that ``BBCLIENT_CACHE`` names.  ``fetch`` gives the rows of a region set that the cache
+    ``folder``: by default the one that ``INTERVALE_CACHE`` names.  ``fetch`` gives the rows of a region set that the cache
     lacks, and ``fetch_set`` the identifiers of a set's members.
     """
 

@@ -211,12 +211,13 @@ def program(bed: DataFrame, steps: list[dict], **inputs) -> DataFrame:
     return bed
 
 
-#: What a YAML program calls the operations and their parameters.
+#: What a YAML program calls its list, and the parameters of its operations (fixed values of the file's format).
+YAML_LIST = "bedshift_operations"
 YAML_NAMES = {"rate": "rate", "mean": "mean", "stdev": "sd", "valid_regions": "valid", "file": "other"}
 
 
 def yaml_program(bed: DataFrame, path: str, read, **inputs) -> DataFrame:
-    """Applies the ``bedshift_operations`` of a YAML file in order.
+    """Applies the operations that a YAML file lists, in order.
 
     An entry names one operation among its keys (add with valid_regions is ``add_valid``); ``read`` opens the regions that a
     path names, in which environment variables are expanded.  Keys that an operation doesn't take raise ``ValueError``.
@@ -226,9 +227,9 @@ def yaml_program(bed: DataFrame, path: str, read, **inputs) -> DataFrame:
     import yaml
 
     with open(path, encoding="utf-8") as f:
-        entries = (yaml.safe_load(f) or {}).get("bedshift_operations")
+        entries = (yaml.safe_load(f) or {}).get(YAML_LIST)
     if not entries:
-        raise ValueError(f"no bedshift_operations in {path}")
+        raise ValueError(f"no {YAML_LIST} in {path}")
     steps = []
     for entry in entries:
         named = [k for k in entry if k in OPERATIONS]

@@ -226,9 +226,9 @@ def test_command_line(spark, tmp_path):
     assert spark.read.csv(f"{tmp_path}/ass", header=True).count() == 2 and spark.read.parquet(f"{tmp_path}/tok").count()
     run("lh", "--regions", files, "--chrom-sizes", sizes, "--output", f"{tmp_path}/lh")
     assert {r["track"] for r in sinks.read_model(spark, f"{tmp_path}/lh").collect()} == {"start", "core", "end"}
-    run("bedshift", "--bed", f"{tmp_path}/f0.bed", "--chrom-sizes", sizes, "--droprate", "0.5", "--repeat", "2", "--output", f"{tmp_path}/rep")
+    run("perturb", "--bed", f"{tmp_path}/f0.bed", "--chrom-sizes", sizes, "--droprate", "0.5", "--repeat", "2", "--output", f"{tmp_path}/rep")
     assert spark.read.csv(f"{tmp_path}/rep", sep="\t").count() == 200
-    run("bedshift", "--bed", f"{tmp_path}/f0.bed", "--chrom-sizes", sizes, "--droprate", "0.5", "--output", f"{tmp_path}/drop")
+    run("perturb", "--bed", f"{tmp_path}/f0.bed", "--chrom-sizes", sizes, "--droprate", "0.5", "--output", f"{tmp_path}/drop")
     assert bed.read_bed(spark, f"{tmp_path}/drop").count() == 100
     v = spark.read.parquet(f"{D}/embeddings.parquet").select(F.concat(F.lit("chr"), (1 + F.col("vec_id") % 2).cast("string"), F.lit(":"), (F.col("vec_id") * 10).cast("string"), F.lit("-"), (F.col("vec_id") * 10 + 5).cast("string")).alias("region"), F.col("embedding").alias("v"), F.array(F.col("embedding")[0].cast("double")).alias("b"))
     v.write.parquet(f"{tmp_path}/emb")
@@ -236,22 +236,22 @@ def test_command_line(spark, tmp_path):
         run("eval", t, "--embeddings", f"{tmp_path}/emb", "--output", f"{tmp_path}/e_{t}", "--K", "10")
         assert spark.read.csv(f"{tmp_path}/e_{t}", header=True).count()
     spark.createDataFrame([([1, 2, 3, 1, 2, 3],)] * 5, "tokens array<int>").write.parquet(f"{tmp_path}/docs")
-    run("region2vec", "--tokens", f"{tmp_path}/docs", "--width", "4", "--min-count", "1", "--output", f"{tmp_path}/r2v")
+    run("train", "--tokens", f"{tmp_path}/docs", "--width", "4", "--min-count", "1", "--output", f"{tmp_path}/r2v")
     assert sinks.load_model(spark, f"{tmp_path}/r2v")[1] == {"vocab_size": 3, "embedding_dim": 4}
     spark.createDataFrame([("c", 1, 2)], "cell string, feature long, n long").write.parquet(f"{tmp_path}/cells")
     spark.createDataFrame([(1, rows[0]["chrom"], rows[0]["start"], rows[0]["end"])], "feature long, chrom string, start long, end long").write.parquet(f"{tmp_path}/features")
-    run("scembed", "--counts", f"{tmp_path}/cells", "--features", f"{tmp_path}/features", "--universe", f"{tmp_path}/u_cc", "--model", f"{tmp_path}/r2v", "--output", f"{tmp_path}/cellv")
+    run("encode-cells", "--counts", f"{tmp_path}/cells", "--features", f"{tmp_path}/features", "--universe", f"{tmp_path}/u_cc", "--model", f"{tmp_path}/r2v", "--output", f"{tmp_path}/cellv")
     assert spark.read.parquet(f"{tmp_path}/cellv").count() == 1
     spark.createDataFrame([("a", "x", "y", 0.5)], "filename string, file_label string, search_term string, score double").write.csv(f"{tmp_path}/dist", header=True)
-    run("bedspace", "l2r", "--distances", f"{tmp_path}/dist", "--query", "Y", "--output", f"{tmp_path}/l2r")
+    run("labels", "l2r", "--distances", f"{tmp_path}/dist", "--query", "Y", "--output", f"{tmp_path}/l2r")
     assert spark.read.csv(f"{tmp_path}/l2r", header=True).first()["filename"] == "a"
     spark.read.parquet(f"{D}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")).limit(50).write.parquet(f"{tmp_path}/vec")
     run("search", "--vectors", f"{tmp_path}/vec", "--queries", f"{tmp_path}/vec", "--limit", "3", "--output", f"{tmp_path}/found")
     assert spark.read.parquet(f"{tmp_path}/found").count() == 150
-    run("bbclient", "add", f"{tmp_path}/f0.bed", "--cache", f"{tmp_path}/cache")
+    run("cache", "add", f"{tmp_path}/f0.bed", "--cache", f"{tmp_path}/cache")
     names = catalog.Cache(spark, f"{tmp_path}/cache").list()
-    run("bbclient", "list", "--cache", f"{tmp_path}/cache")
-    run("bbclient", "seek", names[0], "--cache", f"{tmp_path}/cache")
-    run("bbclient", "remove", names[0], "--cache", f"{tmp_path}/cache")
+    run("cache", "list", "--cache", f"{tmp_path}/cache")
+    run("cache", "seek", names[0], "--cache", f"{tmp_path}/cache")
+    run("cache", "remove", names[0], "--cache", f"{tmp_path}/cache")
     assert catalog.Cache(spark, f"{tmp_path}/cache").list() == []
     assert json.dumps(search.first_limit(100)) == "23"
