@@ -721,8 +721,8 @@ def _tags(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 _BI = f"""{_V}, z AS (SELECT v AS q FROM v WHERE id = 0), l AS (SELECT label, min(id) AS id FROM v GROUP BY 1),
-ts AS (SELECT l.label, {_COS} AS s FROM l JOIN v ON l.id = v.id, z), tp AS (SELECT label, s, row_number() OVER (ORDER BY s DESC, label) - 1 AS p FROM ts QUALIFY p < 5),
-fi AS (SELECT v.id AS asking, v.v AS q, tp.p, tp.s AS t FROM v JOIN tp ON v.label = tp.label), fo AS (SELECT asking, p, t, v.id, {_COS} AS s FROM fi, v),
+ts AS (SELECT l.label, round({_COS}, 12) AS s FROM l JOIN v ON l.id = v.id, z), tp AS (SELECT label, s, row_number() OVER (ORDER BY s DESC, label) - 1 AS p FROM ts QUALIFY p < 5),
+fi AS (SELECT v.id AS asking, v.v AS q, tp.p, tp.s AS t FROM v JOIN tp ON v.label = tp.label), fo AS (SELECT asking, p, t, v.id, round({_COS}, 12) AS s FROM fi, v),
 fr AS (SELECT *, row_number() OVER (PARTITION BY asking ORDER BY round(s, 12) DESC, id) - 1 AS j FROM fo QUALIFY j < 10)"""
 
 
