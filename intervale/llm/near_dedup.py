@@ -36,6 +36,8 @@ from intervale.llm.words import blocks, mix, words_of
 COORDS, TREES, STEP, DEPTH, SMALL = 64, 14, 4, 32, 512
 #: Branching goes on while it leaves less than this share of the rows in large nodes; up to so many nodes are broadcast.
 SHRINKS, BROADCAST_NODES = 0.6, 500_000
+#: Up to so many links (2 MB) components are found in one partition, without a shuffle; more are spread over all.
+FEW_LINKS = 100_000
 #: Candidates share tokens as linked sets do, but for so many standard deviations; shingles of a group that is compared at once.
 MARGIN, MOST = 4.5, 1 << 22
 #: The groups that are compared before the others.
@@ -281,23 +283,30 @@ def components(links: DataFrame) -> DataFrame:
 
     Every id hooks to its smallest smaller neighbour, which makes a forest; jumping to the parent's parent finds the trees'
     roots; the links between roots go into the next round, until none is left.  A round has a row for each id at most.
+    Up to ``FEW_LINKS`` links need no shuffle.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    few = links.limit(FEW_LINKS + 1).count() <= FEW_LINKS
+
+    def kept(rows: DataFrame) -> DataFrame:
+        return cut(rows).coalesce(1) if few else cut(rows)
+
+    edges = links.coalesce(1) if few else links
+    edges = kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     known = edges.limit(0).select(F.col("u").alias("id"), F.col("v").alias("root"))
     while not edges.isEmpty():
-        up = cut(edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root")))
+        up = kept(edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root")))
         while True:
             above = up.select(F.col("id").alias("root"), F.col("root").alias("above"))
-            up = cut(up.join(above, "root", "left").select("id", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
+            up = kept(up.join(above, "root", "left").select("id", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
             if up.where("moved").isEmpty():
                 break
             up = up.drop("moved")
         up = up.drop("moved")
         top = up.select(F.col("id").alias("root"), F.col("root").alias("top"))
-        known = cut(known.join(top, "root", "left").select("id", F.coalesce("top", "root").alias("root")).unionByName(up))
+        known = kept(known.join(top, "root", "left").select("id", F.coalesce("top", "root").alias("root")).unionByName(up))
         for end in ("u", "v"):
             edges = edges.join(up.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
-        edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        edges = kept(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     return known.unionByName(known.select(F.col("root").alias("id"), "root").distinct())
 
 
