@@ -76,7 +76,8 @@ def digits(rows: int) -> int:
 def in_order(rows: DataFrame) -> DataFrame:
     """Rows by (position, order): parts of equal width of [0, 1], each sorted; those without a position lie in any part, first."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = F.coalesce(F.least(F.floor(F.col("position") * parts), F.lit(parts - 1)), F.pmod(F.xxhash64("order"), F.lit(parts)))
+    placed = F.least(F.floor(F.col("position") * parts), F.lit(parts - 1))
+    part = F.when(F.col("position").isNotNull(), placed).otherwise(F.pmod(F.xxhash64("order"), F.lit(parts)))
     return rows.repartitionById(parts, part.cast("int")).sortWithinPartitions("position", "order")
 
 

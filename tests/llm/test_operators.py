@@ -188,6 +188,8 @@ def test_mixed_rows_are_sorted_in_parts(docs):
     ranges = out[out["position"].notna()].groupby("part")["position"].agg(["min", "max"]).sort_index()
     assert len(ranges) > 1 and (ranges["max"].to_numpy()[:-1] <= ranges["min"].to_numpy()[1:]).all()
     assert all(own["position"].dropna().is_monotonic_increasing for _, own in out.groupby("part"))
+    left = out[out["position"].isna()].groupby("part").size()
+    assert left.max() < 0.5 * left.sum()
     assert mixing.digits(10) == 3 and mixing.digits(10**9) == 5
 
 
