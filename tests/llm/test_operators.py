@@ -516,3 +516,28 @@ def test_nearest_with_repeats_ties_and_other_widths(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
     got = ann.nearest(frame, frame.where("vec_id in (0, 4)"), 3).orderBy("rank").collect()
     assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 1.0), (0, 1, 1.0), (0, 2, 2.0)]
+
+
+BLANKS = [x * n for n in (1, 2, 9_999, 10_000, 199_999, 200_000, 1_100_000, 2_000_000) for x in (" ", "\n")] + [" \n" * 1_050_000, "\u3000 \t" * 5_000, "\x1c " * 9_000]
+
+
+def test_long_blanks_encode_as_the_tokenizer_does():
+    from tokenizers import Tokenizer
+
+    real, own = Tokenizer.from_file(bpe.default_path()), bpe.encoding(bpe.default_path())
+    for run in BLANKS:
+        for text in (run, run + "word", run + "\nword", "word" + run, "a" + run + "b 1", run + "<|endoftext|>" + run + "x", "<|endoftext|>" + run):
+            assert bpe.encode(own, text).tolist() == real.encode(text, add_special_tokens=False).ids, (len(run), repr(text[:3]), repr(text[-9:]))
+
+
+def test_documents_of_blanks_are_packed_and_counted(spark):
+    from tokenizers import Tokenizer
+
+    real = Tokenizer.from_file(bpe.default_path())
+    rows = [(i, run + end) for i, (run, end) in enumerate((r, e) for r in BLANKS[9:17] for e in ("", "x"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = {i: len(real.encode(t, add_special_tokens=False).ids) for i, t in rows}
+    got = packing.pack(docs).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("d")).collect()
+    assert {r["doc_id"]: (r["n"], r["d"]) for r in got} == {i: (n + 1, n + 1) for i, n in sizes.items()}
+    trees = token_counts.build_trees(docs).select("doc_id", F.col("tree.tokens")[1].alias("n"))
+    assert {r["doc_id"]: r["n"] for r in trees.collect()} == sizes
