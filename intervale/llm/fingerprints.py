@@ -21,7 +21,7 @@ WORDS, DIGITS = 5, 16
 #: Hashes, as hexadecimal digits, are kept if they sort before this: an eighth of all.
 BAR = "2"
 #: Bytes of text that a range of identifiers should hold, and the most ranges that there are.
-RANGE_BYTES, MOST_RANGES = 1 << 24, 1 << 16
+RANGE_BYTES, MOST_RANGES = 1 << 22, 1 << 16
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
@@ -101,19 +101,19 @@ def in_ranges(rows: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     return rows.withColumn("_lo", low).withColumn("_hi", high).withColumn("_range", F.least(F.col("_lo") + 1 + F.floor(share * (F.col("_hi") - F.col("_lo"))).cast("int"), F.col("_hi"))).drop("_lo", "_hi")
 
 
-def with_next(rows: DataFrame, columns: list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Adds next_<column> to rows (doc_id, text, ...): a column of the row with the next smaller doc_id, after the last of the first.
+def with_next(rows: DataFrame, columns: dict[str, Column], range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Adds columns to rows (doc_id, text, ...), and as next_<column> those of the row with the next smaller doc_id, after the last of the first.
 
-    Null ids come last; rows of one id in the order of a hash of their texts.  A row that is alone is its own next one.
+    Columns are computed after the last rows of ranges are copied, so once for each row.  Null ids come last; rows of one id in the order of a hash of their texts.  A row that is alone is its own next one.
     """
-    names = rows.columns
+    names = list(dict.fromkeys([*rows.columns, *columns]))
     placed = in_ranges(rows, range_bytes)
     ends = placed.groupBy("_range").agg(F.max(F.struct("_key", "_tie")).alias("e"))  # a row a range: at most MOST_RANGES
     order = Window.orderBy("_range")
     first = F.min("_range").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     ends = cut(ends.select("_range", F.col("e._key").alias("_key"), F.col("e._tie").alias("_tie"), F.coalesce(F.lead("_range").over(order), first).alias("_to")))
     ghosts = placed.join(F.broadcast(ends), ["_range", "_key", "_tie"]).withColumn("_range", F.col("_to")).drop("_to").withColumn("_ghost", F.lit(True))
-    every = placed.withColumn("_ghost", F.lit(False)).unionByName(ghosts)
+    every = placed.withColumn("_ghost", F.lit(False)).unionByName(ghosts).withColumns(columns)
     before = Window.partitionBy("_range").orderBy(F.desc("_ghost"), "_key", "_tie", "text")
     return every.withColumns({f"next_{c}": F.lag(c).over(before) for c in columns}).where("not _ghost").select(*names, *[f"next_{c}" for c in columns])
 
@@ -127,7 +127,7 @@ def compared(docs: DataFrame, *, words: int = WORDS, bar: str = BAR, range_bytes
     texts.  Texts of any length are read whole.  An empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("fingerprint", sketch(F.col("text"), words, bar)), ["text", "fingerprint"], range_bytes)
+    rows = with_next(rows, {"text": F.col("text"), "fingerprint": sketch(F.col("text"), words, bar)}, range_bytes)
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))

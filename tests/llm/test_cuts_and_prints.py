@@ -53,7 +53,7 @@ def test_ranges_of_one_hot_identifier(spark):
     assert sizes.agg(F.max("count")).first()[0] < 150  # 400 rows share an id, 300 have none
     ranges = placed.groupBy("_range").agg(F.min(F.struct("_key", "_tie")).alias("lo"), F.max(F.struct("_key", "_tie")).alias("hi")).orderBy("_range").collect()
     assert all(a["hi"] < b["lo"] for a, b in zip(ranges, ranges[1:]))
-    got = fingerprints.with_next(docs, ["text"], 1000).collect()
+    got = fingerprints.with_next(docs, {"text": F.col("text")}, 1000).collect()
     assert len(got) == 900 and sorted(r["next_text"] for r in got) == sorted(r["text"] for r in got)  # everyone is the next of someone
 
 
