@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from intervale.functions.regions import parse_region, region_key
@@ -10,6 +10,8 @@ from intervale.operators import intervals, search
 
 #: Special tokens, whose ids follow those of the universe's regions in this order (fixed values).
 SPECIALS = ("unk", "pad", "mask", "cls", "eos", "bos", "sep")
+#: Up to so many numbers (32 MB) a table of vectors is broadcast.
+BROADCAST_NUMBERS = 1 << 22
 
 
 def vocabulary(universe: DataFrame) -> DataFrame:
@@ -37,12 +39,30 @@ def token_lists(tokens: DataFrame, *by: str) -> DataFrame:
     return tokens.groupBy(*by).agg(F.array_sort(F.collect_list("id")).alias("tokens"))
 
 
+def _known(embeddings: DataFrame) -> tuple[DataFrame, int]:
+    """id, v of the vectors, broadcast if, counted, they have at most ``BROADCAST_NUMBERS`` numbers, and the widest one's width."""
+    rows = embeddings.where("v is not null").select("id", F.col("v").cast("array<double>").alias("v"))
+    size = rows.agg(F.sum(F.size("v")).alias("n"), F.max(F.size("v")).alias("w")).first()
+    return (F.broadcast(rows) if (size["n"] or 0) <= BROADCAST_NUMBERS else rows), size["w"] or 0
+
+
+def _pooled(rows: DataFrame, by: list[str], width: int, how: str, weight: Column | None = None) -> DataFrame:
+    """by, v: element-wise mean (by weight) or max of vectors (v) of a known width, a column an element; null where a group has none."""
+    w = F.lit(1.0) if weight is None else weight
+    held = F.when(F.col("v").isNotNull(), w)
+    if how == "mean":
+        each = [F.sum(F.get("v", F.lit(i)) * w) / F.sum(held) for i in range(width)]
+    else:
+        each = [F.max(F.get("v", F.lit(i))) for i in range(width)]
+    names = [f"_{i}" for i in range(width)]
+    sums = rows.groupBy(*by).agg(F.count("v").alias("_n"), *[c.alias(n) for c, n in zip(each, names, strict=True)])
+    return sums.select(*by, F.when(F.col("_n") > 0, F.array(*names)).alias("v"))
+
+
 def encode_regions(tokens: DataFrame, embeddings: DataFrame, *by: str, how: str = "mean") -> DataFrame:
     """by, row_idx, v: the mean (or max) of the vectors (id, v) of each region's tokens; null if none of them has one."""
-    key = [*by, "row_idx"]
-    met = tokens.join(embeddings.select("id", "v"), "id").select(F.struct(*key).alias("_key"), "v")
-    pooled = search.pool(met, "_key", how).select(*[F.col(f"_key.{k}").alias(k) for k in key], "v")
-    return tokens.select(*key).distinct().join(pooled, key, "left")
+    rows, width = _known(embeddings)
+    return _pooled(tokens.join(rows, "id", "left"), [*by, "row_idx"], width, how)
 
 
 def encode_files(encoded: DataFrame, by: str = "bed_id", how: str = "mean") -> DataFrame:
@@ -50,6 +70,20 @@ def encode_files(encoded: DataFrame, by: str = "bed_id", how: str = "mean") -> D
     return search.pool(encoded, by, how)
 
 
+def file_vectors(tokens: DataFrame, embeddings: DataFrame, by: str = "bed_id", how: str = "mean") -> DataFrame:
+    """``encode_files`` of ``encode_regions`` straight from tokens (by, row_idx, id), without the regions' vectors.
+
+    The mean is linear, so tokens first sum their weights in the file, 1 by the tokens of their region, and each token's
+    vector is met once a file.  Tokens without a vector count nowhere; files of nothing else have none.
+    """
+    rows, width = _known(embeddings)
+    if how != "mean":
+        return _pooled(tokens.select(by, "id").distinct().join(rows, "id"), [by], width, how)
+    share = 1 / F.count(F.lit(1)).over(Window.partitionBy(by, "row_idx"))
+    weights = tokens.join(rows.select("id"), "id", "left_semi").withColumn("w", share).groupBy(by, "id").agg(F.sum("w").alias("w"))
+    return _pooled(weights.join(rows, "id"), [by], width, how, F.col("w"))
+
+
 def cell_tokens(counts: DataFrame, features: DataFrame, vocab: DataFrame) -> DataFrame:
     """cell, id, place: the token ids of each cell's features with counts (cell, feature, n), a feature's in order.
 
@@ -62,8 +96,8 @@ def cell_tokens(counts: DataFrame, features: DataFrame, vocab: DataFrame) -> Dat
 
 def encode_cells(tokens: DataFrame, embeddings: DataFrame, how: str = "mean") -> DataFrame:
     """cell, v: the mean (or max) of the vectors (id, v) of each cell's tokens, a token as often as it comes; null if none has one."""
-    pooled = search.pool(tokens.join(embeddings.select("id", "v"), "id").select("cell", "v"), "cell", how)
-    return tokens.select("cell").distinct().join(pooled, "cell", "left")
+    rows, width = _known(embeddings)
+    return _pooled(tokens.join(rows, "id", "left"), ["cell"], width, how)
 
 
 def model_embeddings(embeddings: DataFrame, vocab: DataFrame) -> DataFrame:

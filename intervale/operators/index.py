@@ -94,7 +94,7 @@ class RegionSearch:
         """bed_id, v of region sets (bed_id, row_idx, chrom, start, end)."""
         from intervale.operators import encode
 
-        return encode.encode_files(encode.encode_regions(encode.token_rows(regions, self.vocab, "bed_id"), self.embeddings, "bed_id"))
+        return encode.file_vectors(encode.token_rows(regions, self.vocab, "bed_id"), self.embeddings)
 
     def query(self, regions: DataFrame, limit: int, **options) -> DataFrame:
         return self.index.search(self.vectors(regions).select(F.col("bed_id").alias("query_id"), F.col("v").alias("q")), limit, **options)

@@ -5,33 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from intervale.session import cut
+
 #: Width of a join bin, and how many bins a row may fill before it is kept out of them.
 BIN, WIDE = 1024, 64
 #: Positions of one bucket are swept together; sums and neighbours are carried between buckets.
 BUCKET = 1 << 20
 
 
-def _bins(df: DataFrame, start: str, end: str, size: int, tier: str, bin_: str) -> DataFrame:
-    """Rows once for each bin they fill: fine bins (tier 0) unless they are wide, and bins ``WIDE`` times as wide (tier 1)."""
-    narrow = F.col(end) - F.col(start) <= size * WIDE
+def _bins(df: DataFrame, start: str, end: str, size: int, tier: str, bin_: str, narrow: tuple[int, ...] = (0, 2), wide: tuple[int, ...] = (1,)) -> DataFrame:
+    """Rows once for each bin they fill in the tiers for narrow or for wide rows: fine bins in tier 0, bins ``WIDE`` times as wide in the others."""
 
     def filled(k: int) -> Column:
-        width = size * WIDE**k
+        width = size * WIDE if k else size
         first = F.floor(F.col(start) / width)
-        every = F.sequence(first, F.greatest(F.floor((F.col(end) - 1) / width), first))
-        return F.transform(every, lambda b: F.struct(F.lit(k).alias("t"), b.alias("b")))
+        return F.transform(F.sequence(first, F.greatest(F.floor((F.col(end) - 1) / width), first)), lambda b: F.struct(F.lit(k).alias("t"), b.alias("b")))
 
-    none = F.filter(filled(1), lambda x: F.lit(False))
-    places = F.concat(F.when(narrow, filled(0)).otherwise(none), filled(1))
-    return df.withColumn("_wide", F.when(narrow, 0).otherwise(1)).withColumn("_p", F.explode(places)).select(*df.columns, F.col("_wide").alias(f"{tier}w"), F.col("_p.t").alias(tier), F.col("_p.b").alias(bin_))
+    places = F.when(F.col(end) - F.col(start) <= size * WIDE, F.concat(*map(filled, narrow))).otherwise(F.concat(*map(filled, wide)))
+    return df.withColumn("_p", F.explode(places)).select(*df.columns, F.col("_p.t").alias(tier), F.col("_p.b").alias(bin_))
 
 
 def interval_join(left: DataFrame, right: DataFrame, how: str = "inner", size: int = BIN, on: Column | None = None, least_share: float | None = None) -> DataFrame:
     """Rows of ``left`` (chrom, start, end, ...) with overlapping rows of ``right`` (chrom, r_start, r_end, ...).
 
-    Both sides are cut into bins and joined on (chrom, tier, bin).  A pair meets in fine bins if neither row is wide, else in
-    bins ``WIDE`` times as wide, so a row fills at most ``WIDE`` fine bins and its chromosome's coarse ones; it counts in
-    the first bin that both fill, so nothing is made distinct afterwards.  ``least_share``: of the right row's length that
+    Both sides are cut into bins and joined on (chrom, tier, bin).  Two narrow rows meet in the fine bins of tier 0; bins
+    ``WIDE`` times as wide hold wide left rows and all right ones in tier 1, narrow left rows and wide right ones in tier 2.  So
+    every pair meets in one tier, and narrow pairs never in wide bins.  It counts in the first bin that both fill, so nothing is made
+    distinct afterwards.  ``least_share``: of the right row's length that
     must be covered.  ``semi`` and ``anti`` keep or drop the left rows that overlap, equal rows each for themselves.
     """
     if how in ("semi", "anti"):
@@ -45,39 +45,43 @@ def interval_join(left: DataFrame, right: DataFrame, how: str = "inner", size: i
         overlap = overlap & on
     if least_share is not None:
         overlap = overlap & (F.least("end", "r_end") - F.greatest("start", "r_start") >= F.lit(least_share) * (F.col("r_end") - F.col("r_start")))
-    a, b = _bins(left, "start", "end", size, "_lt", "_lb"), _bins(right.withColumnRenamed("chrom", "_c"), "r_start", "r_end", size, "_rt", "_rb")
-    width = F.when(F.col("_lt") == 0, size).otherwise(size * WIDE)
-    met = (F.col("_lt") == F.greatest("_ltw", "_rtw")) & (F.col("_lb") == F.floor(F.greatest("start", "r_start") / width))
+    a = _bins(left, "start", "end", size, "_lt", "_lb")
+    b = _bins(right.withColumnRenamed("chrom", "_c"), "r_start", "r_end", size, "_rt", "_rb", (0, 1), (1, 2))
+    met = F.col("_lb") == F.floor(F.greatest("start", "r_start") / F.when(F.col("_lt") == 0, size).otherwise(size * WIDE))
     keys = (F.col("chrom") == F.col("_c")) & (F.col("_lt") == F.col("_rt")) & (F.col("_lb") == F.col("_rb"))
-    return a.join(b, keys & met & overlap, "inner").drop("_lt", "_rt", "_ltw", "_rtw", "_lb", "_rb", "_c")
+    return a.join(b, keys & met & overlap, "inner").drop("_lt", "_rt", "_lb", "_rb", "_c")
 
 
-def _opened(regions: DataFrame, by: list[str], bucket: int) -> DataFrame:
-    """The rows (by, chrom, start, end) that begin beyond all before them, with ``_before`` (the last end before, null for the first) and ``_all`` (the last end of all).
+def _opened(regions: DataFrame, by: list[str], bucket: int) -> tuple[DataFrame, DataFrame]:
+    """What is merged within buckets, (by, chrom, _b, start, end) with the last end of earlier buckets as ``_prior``, and a row a bucket with ``_prior`` and ``_all``, the last end of all.
 
-    Windows span one bucket of a chromosome; the last end of earlier buckets is carried in.
+    Rows are exchanged once, by (by, chrom, bucket); what both windows and the carries read is that one exchange.
     """
     keys = [*by, "chrom"]
-    x = regions.select(*keys, "start", "end").withColumn("_b", F.floor(F.col("start") / bucket))
-    over = Window.partitionBy(*keys)
-    ends = x.groupBy(*keys, "_b").agg(F.max("end").alias("_last"))
-    ends = ends.select(*keys, "_b", F.max("_last").over(over.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_prior"), F.max("_last").over(over).alias("_all"))
-    within = Window.partitionBy(*keys, "_b").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.greatest(F.max("end").over(within), F.col("_prior"))
-    return x.join(ends, [*keys, "_b"]).withColumn("_before", before).where("_before is null or start > _before")
+    own, over = Window.partitionBy(*keys, "_b"), Window.partitionBy(*keys)
+    x = regions.select(*keys, "start", "end").withColumn("_b", F.floor(F.col("start") / bucket)).repartition(*keys, "_b")
+    before = F.max("end").over(own.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    x = x.withColumns({"_m": before, "_l": F.max("end").over(own)}).where("_m is null or start > _m")
+    local = x.withColumn("end", F.coalesce(F.lead("_m").over(own.orderBy("start")), F.col("_l"))).select(*keys, "_b", "start", "end")
+    lasts = local.groupBy(*keys, "_b").agg(F.max("end").alias("_last"))
+    carried = lasts.select(*keys, "_b", F.max("_last").over(over.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_prior"), F.max("_last").over(over).alias("_all"))
+    return local.join(carried.select(*keys, "_b", "_prior"), [*keys, "_b"]), carried
 
 
 def merge(regions: DataFrame, *by: str, bucket: int = BUCKET) -> DataFrame:
     """Union of overlapping and book-ended regions within (by, chrom), none of which may be null.
 
-    A merged region begins with a row that lies beyond all before it, and ends where all before the next such row end.
+    Buckets are merged on their own; what begins at or before the last end of earlier buckets goes on with a region of
+    theirs, and the last region that a bucket opens ends where all before the next one that opens end.
     """
     keys = [*by, "chrom"]
-    first = _opened(regions, list(by), bucket)
-    later = first.groupBy(*keys, "_b").agg(F.min("_before").alias("_after"))
-    later = later.select(*keys, "_b", F.lead("_after").over(Window.partitionBy(*keys).orderBy("_b")).alias("_after"))
-    following = F.lead("_before").over(Window.partitionBy(*keys, "_b").orderBy("start"))
-    return first.withColumn("_next", following).join(later, [*keys, "_b"]).select(*keys, "start", F.coalesce("_next", "_after", "_all").alias("end"))
+    local, carried = _opened(regions, list(by), bucket)
+    opens = F.col("_prior").isNull() | (F.col("start") > F.col("_prior"))
+    met = local.groupBy(*keys, "_b").agg(F.max(opens).alias("_opens"), F.greatest(F.max("_prior"), F.max(F.when(~opens, F.col("end")))).alias("_before"))
+    after = met.where("_opens").select(*keys, "_b", F.lead("_before").over(Window.partitionBy(*keys).orderBy("_b")).alias("_after"))
+    after = after.join(carried.select(*keys, "_b", "_all"), [*keys, "_b"]).select(*keys, "_b", F.coalesce("_after", "_all").alias("_after"))
+    last = F.lead("start").over(Window.partitionBy(*keys, "_b").orderBy("start")).isNull()
+    return local.where(opens).withColumn("_z", last).join(after, [*keys, "_b"]).select(*keys, "start", F.when(F.col("_z"), F.col("_after")).otherwise(F.col("end")).alias("end"))
 
 
 def tokenize(regions: DataFrame, universe: DataFrame, least_share: float = 1e-9, *by: str) -> DataFrame:
@@ -88,7 +92,7 @@ def tokenize(regions: DataFrame, universe: DataFrame, least_share: float = 1e-9,
 
 def overlap_bp(regions: DataFrame, universe: DataFrame, by: str = "bed_id", merged: DataFrame | None = None) -> DataFrame:
     """Per file the base pairs only in the universe, only in the file and in both; both sides are merged first."""
-    q, u = merge(regions, by) if merged is None else merged, merge(universe)
+    q, u = cut(merge(regions, by)) if merged is None else merged, cut(merge(universe))
     right = u.select("chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
     both = interval_join(q, right).groupBy(by).agg(F.sum(F.least("end", "r_end") - F.greatest("start", "r_start")).alias("overlap"))
     own = q.groupBy(by).agg(F.sum(F.col("end") - F.col("start")).alias("bp"))
@@ -101,19 +105,21 @@ def overlap_bp(regions: DataFrame, universe: DataFrame, by: str = "bed_id", merg
 def around(queries: DataFrame, targets: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Adds to queries (chrom, pos, ...) of the chromosome's targets (chrom, lo, hi): ``before``, the largest hi of those with lo <= pos, and ``after``, the smallest lo >= pos.
 
-    Windows span one bucket of a chromosome; what earlier and later buckets give is carried in.
+    Windows span one bucket of a chromosome, in which every position counts once, however many queries ask from it; what
+    earlier and later buckets give is carried in.
     """
     t = targets.groupBy("chrom", "lo").agg(F.max("hi").alias("hi")).withColumn("_b", F.floor(F.col("lo") / bucket))
-    q = queries.withColumn("_b", F.floor(F.col("pos") / bucket))
-    edges = q.select("chrom", "_b").distinct().join(t.groupBy("chrom", "_b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), ["chrom", "_b"], "full")
+    asked = queries.groupBy("chrom", "pos").agg(F.lit(None).cast("long").alias("_lo"), F.lit(None).cast("long").alias("_hi")).withColumn("_b", F.floor(F.col("pos") / bucket))
+    marked = asked.unionByName(t.select("chrom", F.col("lo").alias("pos"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), "_b"))
+    # frames that end at the current row, in both directions: those that begin there cost the square of the rows
+    own = Window.partitionBy("chrom", "_b")
+    up, down = (own.orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("pos"), F.desc("pos")))
+    marked = marked.withColumns({"_p": F.max("_hi").over(up), "_n": F.min("_lo").over(down)})
+    edges = marked.groupBy("chrom", "_b").agg(F.max("_hi").alias("hi"), F.min("_lo").alias("lo"))
     earlier, later = (Window.partitionBy("chrom").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_b"), F.desc("_b")))
     edges = edges.select("chrom", "_b", F.max("hi").over(earlier).alias("_before"), F.min("lo").over(later).alias("_after"))
-    none = F.lit(None).cast("long")
-    marked = q.withColumns({"_lo": none, "_hi": none}).unionByName(t.select("chrom", F.col("lo").alias("pos"), "_b", F.col("lo").alias("_lo"), F.col("hi").alias("_hi")), allowMissingColumns=True)
-    # frames that end at the current row, in both directions: those that begin there cost the square of the rows
-    up, down = (Window.partitionBy("chrom", "_b").orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("pos"), F.desc("pos")))
-    out = marked.withColumns({"_p": F.max("_hi").over(up), "_n": F.min("_lo").over(down)}).where("_lo is null").join(edges, ["chrom", "_b"])
-    return out.select(*queries.columns, F.greatest("_p", "_before").alias("before"), F.coalesce("_n", "_after").alias("after"))
+    found = marked.where("_lo is null").join(edges, ["chrom", "_b"]).select("chrom", "pos", F.greatest("_p", "_before").alias("before"), F.coalesce("_n", "_after").alias("after"))
+    return queries.join(found, ["chrom", "pos"]).select(*queries.columns, "before", "after")
 
 
 def nearest(queries: DataFrame, targets: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -168,7 +174,7 @@ def _of_file(rows: DataFrame, by: str) -> DataFrame:
 
 def boundary_distances(regions: DataFrame, universe: DataFrame, by: str = "bed_id", merged: DataFrame | None = None) -> DataFrame:
     """Per file the median distance of its merged regions' starts and ends to the nearest universe start and end."""
-    q = merge(regions, by) if merged is None else merged
+    q = cut(merge(regions, by)) if merged is None else merged
     return _median(nearest(_points(q, by), _points(universe)), by)
 
 
@@ -177,7 +183,7 @@ def universe_distances(regions: DataFrame, universe: DataFrame, by: str = "bed_i
 
     Every file asks for every universe row, which is the work that the median is over.
     """
-    q = merge(regions, by) if merged is None else merged
+    q = cut(merge(regions, by)) if merged is None else merged
     asked = _points(universe).crossJoin(q.select(by).distinct())
     return _median(nearest(_of_file(asked, by), _of_file(_points(q, by), by).drop(by)), by)
 
@@ -189,7 +195,7 @@ def flexible_boundary_distances(regions: DataFrame, universe: DataFrame, by: str
 
 def flexible_universe_distances(regions: DataFrame, universe: DataFrame, by: str = "bed_id") -> DataFrame:
     """As ``universe_distances``, from a flexible universe."""
-    q = merge(regions, by)
+    q = cut(merge(regions, by))
     asked = _spans(universe).crossJoin(q.select(by).distinct())
     return _median(span_to_nearest(_of_file(asked, by), _of_file(_points(q, by), by).drop(by)), by)
 
@@ -239,7 +245,9 @@ def islands(runs: DataFrame, gap: int = 1, bucket: int = BUCKET) -> DataFrame:
 
 def zero_runs(cov: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """The stretches without depth (chrom, start, end) before and between the runs of coverage; what follows the last run is none."""
-    gaps = _opened(cov, [], bucket).select("chrom", F.coalesce("_before", F.lit(0).cast("long")).alias("start"), F.col("start").alias("end"))
+    local, _ = _opened(cov, [], bucket)
+    before = F.lag("end").over(Window.partitionBy("chrom", "_b").orderBy("start"))
+    gaps = local.select("chrom", F.coalesce(F.greatest(before, "_prior"), F.lit(0).cast("long")).alias("start"), F.col("start").alias("end"))
     return gaps.where("start < end")
 
 

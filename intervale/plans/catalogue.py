@@ -139,8 +139,7 @@ def encode_regions(spark, d):
 
 @query(f"WITH {_TOKENS}, {_EMBED}, {_pooled_sql('bed_id, row_idx', 'tk')} SELECT bed_id, i - 1 AS pos, round(avg(x), 6) AS x FROM pe GROUP BY 1, 2")
 def encode_files(spark, d):
-    encoded = encode.encode_regions(_token_rows(spark, d), vectors(spark, d), "bed_id")
-    return encode.encode_files(encoded).select("bed_id", F.posexplode("v").alias("pos", "x")).withColumn("x", F.round("x", 6))
+    return encode.file_vectors(_token_rows(spark, d), vectors(spark, d)).select("bed_id", F.posexplode("v").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
 @query(f'WITH {_R}, {_U} SELECT bed_id, row_idx FROM r WHERE EXISTS (SELECT 1 FROM u WHERE r.chrom = u.chrom AND r."start" < u."end" AND u."start" < r."end")')

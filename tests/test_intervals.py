@@ -127,3 +127,75 @@ def test_reconstruction_against_least_squares(spark):
     got = {r.fold: r.r2 for r in evaluate.reconstruction(rows).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
     assert evaluate.reconstruction(rows.limit(0)).count() == 0
+
+
+def _brute_pairs(left, right):
+    return sorted((a[0], b[0]) for a in left for b in right if a[1] == b[1] and a[2] < b[3] and b[2] < a[3])
+
+
+@pytest.mark.parametrize("wide", [(0, 0), (1, 0), (0, 1), (1, 1)])
+def test_tiers_hold_narrow_and_wide_rows(spark, wide):
+    import random
+
+    random.seed(sum(wide))
+
+    def made(n, some):
+        out = []
+        for i in range(n):
+            at = random.randrange(300_000)
+            width = random.choice([1, 40, 640, 641, 100_000]) if some and i % 3 == 0 else random.randrange(1, 640)
+            out.append((i, random.choice(["a", "b"]), at, at + width))
+        return out
+
+    left, right = made(300, wide[0]), made(200, wide[1])
+    a = spark.createDataFrame(left, "id int, chrom string, start long, end long")
+    b = spark.createDataFrame(right, "uid int, chrom string, r_start long, r_end long")
+    got = sorted((r["id"], r["uid"]) for r in intervals.interval_join(a, b, size=10).collect())
+    assert got == _brute_pairs(left, right)
+    # what meets before the predicate: no two narrow rows in wide bins, and fewer candidates than all pairs of a chromosome
+    x = intervals._bins(a, "start", "end", 10, "t", "n")
+    y = intervals._bins(b, "r_start", "r_end", 10, "t", "n", (0, 1), (1, 2)).withColumnsRenamed({"start": "s", "end": "e"})
+    met = x.join(y, ["chrom", "t", "n"])
+    narrow = met.where("t > 0 and end - start <= 640 and r_end - r_start <= 640")
+    assert narrow.count() == 0
+    if wide == (0, 0):
+        assert met.count() < 300 * 200 / 2 / 20
+
+
+def test_merging_carries_across_many_buckets(spark):
+    import random
+
+    random.seed(7)
+    rows = []
+    for f in ("x", "y"):
+        for _ in range(400):
+            at = random.randrange(20_000)
+            rows.append((f, random.choice(["a", "b"]), at, at + random.choice([1, 3, 9, 200, 2500] if f == "x" else [1, 2, 5])))
+    want = []
+    for f, c in sorted({r[:2] for r in rows}):
+        held = None
+        for s, e in sorted((r[2], r[3]) for r in rows if r[:2] == (f, c)):
+            if held and s <= held[1]:
+                held = (held[0], max(held[1], e))
+            else:
+                want += [(f, c, *held)] if held else []
+                held = (s, e)
+        want.append((f, c, *held))
+    frame = spark.createDataFrame(rows, "f string, chrom string, start long, end long")
+    for bucket in (10, 64, 1 << 20):
+        got = intervals.merge(frame, "f", bucket=bucket).select("f", "chrom", "start", "end").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+    plan = intervals.merge(frame, "f")._jdf.queryExecution().sparkPlan().toString()
+    assert "CartesianProduct" not in plan
+
+
+def test_positions_are_asked_once(spark):
+    import random
+
+    random.seed(2)
+    queries = [(i, "a", random.randrange(50) * 13) for i in range(500)]
+    targets = [("a", random.randrange(700)) for _ in range(40)]
+    q, t = spark.createDataFrame(queries, "id int, chrom string, pos long"), spark.createDataFrame(targets, "chrom string, pos long")
+    for bucket in (7, 100, 1 << 20):
+        got = {r["id"]: r["distance"] for r in intervals.nearest(q, t, bucket).collect()}
+        assert got == {i: min(abs(p - x) for _, x in targets) for i, _, p in queries}

@@ -97,6 +97,7 @@ def test_vocabulary_and_encoding(spark):
     got = {x["row_idx"]: x["v"] for x in encode.encode_regions(rows, known, "bed_id").collect()}
     assert got == {1: [2.0, 4.0], 2: None, 3: [0.0, 1.0]}
     assert encode.encode_files(encode.encode_regions(rows, known, "bed_id")).first()["v"] == [1.0, 2.5]
+    assert encode.file_vectors(rows, known).first()["v"] == [1.0, 2.5]
     assert {x["row_idx"]: x["v"] for x in encode.encode_regions(rows, known, "bed_id", how="max").collect()}[1] == [3.0, 6.0]
     assert {x["region"] for x in encode.model_embeddings(known, vocab).collect()} == {"chr1:0-10", "chr1:20-30", "chr2:0-5"}
     assert [x["region"] for x in encode.ordered_regions(spark.createDataFrame([("chr10:1-2",), ("chr2:9-10",), ("chr2:1-5",)], "region string")).collect()] == ["chr2:1-5", "chr2:9-10", "chr10:1-2"]
