@@ -15,7 +15,8 @@
    shingles are counted exactly, by a product of incidence matrices, and a spanning forest of the links goes on, at most one
    row per set.  Clusters of more than ``SMALL`` sets are compared by their nodes' groups, groups of more than ``MOST``
    shingles in pairs of blocks, so that the bytes in a task are bounded, not only its rows.
-5. Components come from rounds of hooking and jumping, and representatives hand theirs to their class.
+5. Components come from rounds in which tasks contract their links and paths shrink to half, the same for any number of
+   links, and representatives hand theirs to their class.
 
 Recall: a pair at exactly the threshold survives a tree to depth d with probability about 1 / (1 + 0.13 d), so ``TREES``
 = 14 trees miss it in about 1 of 10,000 cases at depth 4 and 1 of 250 at depth 16; pairs above it are missed less often.
@@ -27,7 +28,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from intervale.llm.common import cut, kind, table
@@ -36,8 +38,8 @@ from intervale.llm.words import blocks, mix, words_of
 COORDS, TREES, STEP, DEPTH, SMALL = 64, 14, 4, 32, 512
 #: Branching goes on while it leaves less than this share of the rows in large nodes; up to so many nodes are broadcast.
 SHRINKS, BROADCAST_NODES = 0.6, 500_000
-#: Up to so many links (2 MB) components are found in one partition, without a shuffle; more are spread over all.
-FEW_LINKS = 100_000
+#: Links that a task contracts at once.
+CHUNK = 1 << 20
 #: Candidates share tokens as linked sets do, but for so many standard deviations; shingles of a group that is compared at once.
 MARGIN, MOST = 4.5, 1 << 22
 #: The groups that are compared before the others.
@@ -278,35 +280,58 @@ def compare(groups: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
+def least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of some links and for each the smallest that it reaches by them."""
+    ids, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b, up = at[: len(u)], at[len(u) :], np.arange(len(ids))
+    while True:
+        least, before = np.minimum(up[a], up[b]), up.copy()
+        np.minimum.at(up, before[a], least)
+        np.minimum.at(up, before[b], least)
+        while (up[up] != up).any():
+            up = up[up]
+        if (up == before).all():
+            return ids, ids[up]
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """Links (u, v, moved) with the same components: within each task of every ``CHUNK`` links only one from each id to the smallest that it reaches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def star(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            u, v = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("u", "v"))
+            ids, root = least_reached(u, v)
+            moved = any(pc.any(b.column("moved")).as_py() for b in held)
+            below = ids != root
+            return pa.RecordBatch.from_arrays([pa.array(ids[below]), pa.array(root[below]), pa.array(np.full(int(below.sum()), moved))], ["u", "v", "moved"])
+
+        held, n = [], 0
+        for b in batches:
+            held, n = [*held, b], n + b.num_rows
+            if n >= CHUNK:
+                yield star(held)
+                held, n = [], 0
+        if n:
+            yield star(held)
+
+    return links.select("u", "v", "moved").mapInArrow(run, "u long, v long, moved boolean")
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, root (the smallest id it reaches) of all ids in ``links`` (a, b).
 
-    Every id hooks to its smallest smaller neighbour, which makes a forest; jumping to the parent's parent finds the trees'
-    roots; the links between roots go into the next round, until none is left.  A round has a row for each id at most.
-    Up to ``FEW_LINKS`` links need no shuffle.
+    Tasks first contract their own links.  In a round an id's links go to its smallest neighbour, and from there, if that
+    has a smaller one, to the next; what tasks then hold they contract again.  Paths so shrink to half or less in every
+    round; the rounds end when nothing has moved.  A task hands on a row for each of its ids at most.
     """
-    few = links.limit(FEW_LINKS + 1).count() <= FEW_LINKS
-
-    def kept(rows: DataFrame) -> DataFrame:
-        return cut(rows).coalesce(1) if few else cut(rows)
-
-    edges = links.coalesce(1) if few else links
-    edges = kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    known = edges.limit(0).select(F.col("u").alias("id"), F.col("v").alias("root"))
-    while not edges.isEmpty():
-        up = kept(edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root")))
-        while True:
-            above = up.select(F.col("id").alias("root"), F.col("root").alias("above"))
-            up = kept(up.join(above, "root", "left").select("id", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
-            if up.where("moved").isEmpty():
-                break
-            up = up.drop("moved")
-        up = up.drop("moved")
-        top = up.select(F.col("id").alias("root"), F.col("root").alias("top"))
-        known = kept(known.join(top, "root", "left").select("id", F.coalesce("top", "root").alias("root")).unionByName(up))
-        for end in ("u", "v"):
-            edges = edges.join(up.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
-        edges = kept(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    rows = cut(contracted(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), F.lit(True).alias("moved")).where("u <> v")))
+    while not rows.where("moved").isEmpty():
+        least = rows.select("u", "v").withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        ends = F.array(F.struct(F.col("u"), F.col("m"), (F.col("v") != F.col("m")).alias("moved")), F.struct(F.col("v").alias("u"), F.col("m"), F.lit(False).alias("moved")))
+        ends = least.select(F.explode(ends).alias("e")).select("e.*").where("u <> m")
+        above = rows.groupBy(F.col("u").alias("m")).agg(F.min("v").alias("above"))
+        rows = cut(contracted(ends.join(above, "m", "left").select("u", F.coalesce("above", "m").alias("v"), (F.col("moved") | F.col("above").isNotNull()).alias("moved"))))
+    known = rows.select(F.col("u").alias("id"), F.col("v").alias("root")).distinct()
     return known.unionByName(known.select(F.col("root").alias("id"), "root").distinct())
 
 

@@ -541,3 +541,48 @@ def test_documents_of_blanks_are_packed_and_counted(spark):
     assert {r["doc_id"]: (r["n"], r["d"]) for r in got} == {i: (n + 1, n + 1) for i, n in sizes.items()}
     trees = token_counts.build_trees(docs).select("doc_id", F.col("tree.tokens")[1].alias("n"))
     assert {r["doc_id"]: r["n"] for r in trees.collect()} == sizes
+
+
+@pytest.mark.parametrize("shape", ["path", "star", "forest", "dense"])
+def test_components_of_any_shape(spark, shape, monkeypatch):
+    rng = random.Random(shape)
+    n = 3000
+    ids = rng.sample(range(10**9), n)
+    links = {
+        "path": [(ids[i], ids[i + 1]) for i in range(n - 1)],
+        "star": [(ids[0], x) for x in ids[1:]],
+        "forest": [(ids[i], ids[rng.randrange(i // 50 * 50, i)]) for i in range(n) if i % 50],
+        "dense": [(rng.choice(ids), rng.choice(ids)) for _ in range(n)],
+    }[shape]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+    rounds, real = [], near_dedup.cut
+    monkeypatch.setattr(near_dedup, "cut", lambda df: rounds.append(1) or real(df))
+    monkeypatch.setattr(near_dedup, "CHUNK", 100)
+    got = near_dedup.components(spark.createDataFrame(links, "a long, b long").repartition(16)).collect()
+    assert sorted((r["id"], r["root"]) for r in got) == sorted((x, root(x)) for x in list(up)) and len(rounds) <= 10
+    assert near_dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_shuffled_ways_give_the_same(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    copies = docs.unionByName(docs.where("doc_id % 3 = 0").withColumn("doc_id", F.col("doc_id") + 10_000))
+    runs = {
+        "near": lambda: near_dedup.near_groups(copies, words=3, percent=85), "kept": lambda: near_dedup.drop_near_copies(copies).select("doc_id"),
+        "exact": lambda: exact_dedup.drop_copies(copies).select("doc_id"), "scores": lambda: lm_scoring.op5_cross_entropy_difference(spark, "/root/testdata/sf0.001"),
+    }
+    before = {k: sorted(map(str, f().collect())) for k, f in runs.items()}
+    monkeypatch.setattr(near_dedup, "BROADCAST_NODES", 0)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(lm_scoring, "BROADCAST_IDS", 0)
+    assert {k: sorted(map(str, f().collect())) for k, f in runs.items()} == before
