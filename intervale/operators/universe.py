@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from intervale.functions.regions import f_beta, rbs
-from intervale.operators import intervals
-from intervale.session import cut
+from intervale.operators import intervals, paths
+from intervale.session import cut, prepare
 
 
 def cc(cov: DataFrame, sizes: DataFrame, cutoff: float | None = None, join: int = 0, least: int = 0) -> DataFrame:
@@ -209,8 +209,8 @@ def mean_scores(assessed: DataFrame) -> DataFrame:
     return assessed.agg(F.avg("rbs").alias("rbs"), F.avg("f10").alias("f10"))
 
 
-#: Positions of a segment that one task decodes.
-MOST_POSITIONS = 5_000_000
+#: Positions of a segment that one task reduces or decodes.
+STRETCH = 1 << 17
 TRACKS = ("start", "core", "end")
 
 
@@ -222,66 +222,111 @@ def in_segments(tracks: DataFrame, segments: DataFrame) -> DataFrame:
     return met.select("chrom", F.col("r_start").alias("first"), F.col("r_end").alias("past"), F.greatest("start", "r_start").alias("start"), F.least("end", "r_end").alias("end"), *rest)
 
 
-def _filled(pdf: pd.DataFrame, values: list[str], empty: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """For each value an array (positions x tracks) of a segment's runs, ``empty`` where there is none."""
-    first, n = int(pdf["first"].iloc[0]), int(pdf["past"].iloc[0] - pdf["first"].iloc[0])
-    if n > MOST_POSITIONS:
-        raise ValueError(f"a segment of {n} positions without a long enough empty stretch")
-    out = {v: np.tile(empty[v], (n, 1)) for v in values}
-    track = pdf["track"].map(TRACKS.index).to_numpy()
-    for t, a, b, *x in zip(track, pdf["start"] - first, pdf["end"] - first, *(pdf[v] for v in values), strict=True):
-        for v, one in zip(values, x, strict=True):
-            out[v][a:b, t] = one
-    return out
+REGION = "chrom string, start long, core_start long, core_end long, end long, top long"
+_STRETCHES = ["chrom", "first", "stretch"]
 
 
-REGION = "chrom string, start long, core_start long, core_end long, end long, top long"
+def _in_stretches(rows: DataFrame, segments: DataFrame, size: int) -> DataFrame:
+    """Rows (chrom, first, ...) once for each stretch of ``size`` positions that they reach into, and a row without a track for each stretch of each segment."""
+    at = F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size)))
+    low, high = F.col("stretch") * size, (F.col("stretch") + 1) * size
+
+    def cut_up(x: DataFrame) -> DataFrame:
+        return x.where("start < end").withColumn("stretch", at).withColumns({"start": F.greatest("start", low), "end": F.least("end", high)})
+
+    return cut_up(rows.drop("past")).unionByName(cut_up(segments.withColumn("first", F.col("start"))), allowMissingColumns=True)
+
+
+def _runs(pdf: pd.DataFrame, values: list[str], empty: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The bounds of a stretch's runs of equal values on all tracks, the segment's first position a run of its own, and for each value an array (runs x tracks), ``empty`` where a track has none."""
+    whole, rows = pdf[pdf["track"].isna()].iloc[0], pdf[pdf["track"].notna()]
+    low, high = int(whole["start"]), int(whole["end"])
+    first = [low + 1] if low == whole["first"] and high > low + 1 else []
+    bounds = np.unique(np.concatenate(([low, high, *first], rows["start"], rows["end"])).astype(np.int64))
+    out = {v: np.tile(np.asarray(empty[v], float), (len(bounds) - 1, 1)) for v in values}
+    for k, track in enumerate(TRACKS):
+        own = rows[rows["track"] == track].sort_values("start")
+        start, end = own["start"].to_numpy(np.int64), own["end"].to_numpy(np.int64)
+        at = np.searchsorted(start, bounds[:-1], "right") - 1
+        inside = (at >= 0) & (bounds[:-1] < end[at]) if len(own) else np.zeros(len(at), bool)
+        for v in values:
+            out[v][inside, k] = own[v].to_numpy(float)[at[inside]]
+    return bounds, out
+
+
+def best_regions(rows: DataFrame, segments: DataFrame, scores, moves: np.ndarray, prefers: np.ndarray, begin: np.ndarray, stretch: int = STRETCH) -> DataFrame:
+    """Flexible regions (chrom, start, core_start, core_end, end, top) of the best paths through the states start, core, end and background.
+
+    ``scores`` makes of a stretch's rows (chrom, first, track, start, end, cov, ...; the one without a track stands for the stretch)
+    the bounds of its runs, their scores (runs x states) and core depths.  ``moves`` (from x to) score moves between positions, ``prefers`` ranks
+    the states before for each state where they tie, ``begin`` scores a segment's first state.  Stretches reduce to matrices in
+    parallel, a segment's few matrices tell the states at the ends of stretches, and stretches are then decoded in
+    parallel.  A region is a maximal run of other states than background that holds a core and an end, across stretches.
+    """
+    prepare(rows.sparkSession)
+    held = cut(_in_stretches(rows, segments, stretch))
+    alone = np.where(np.eye(paths.STATES, dtype=bool), 0, paths.NEVER)
+
+    def steps(pdf: pd.DataFrame) -> tuple[np.ndarray, paths.Steps, paths.Steps, np.ndarray]:
+        bounds, score, core = scores(pdf)
+        score = paths.whole(score)
+        single = paths.Steps.single(moves, prefers, score)
+        if bounds[0] == pdf["first"].iloc[0]:  # no move leads to a segment's first position
+            single.put(slice(0, 1), paths.Steps.single(alone, prefers, score[:1]))
+        return bounds, single, paths.power(single, np.diff(bounds)), core
+
+    def reduced(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        one = paths.product(steps(pdf)[2])
+        return pd.DataFrame([(*key, one.score.tobytes(), one.rank.tobytes())], columns=[*_STRETCHES, "score", "rank"])
+
+    def linked(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("stretch")
+        shape = (1, paths.STATES, paths.STATES)
+        every = [paths.Steps(np.frombuffer(x, np.int64).reshape(shape), np.frombuffer(r, np.int8).reshape(shape)) for x, r in zip(pdf["score"], pdf["rank"], strict=True)]
+        ends = paths.chain(every, begin)
+        return pdf[_STRETCHES].assign(came=[a for a, _ in ends], left=[b for _, b in ends])
+
+    def pieces(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        bounds, single, runs, core = steps(pdf)
+        at, size, state = paths.decoded(single, np.diff(bounds), runs, int(pdf["came"].iloc[0]), int(pdf["left"].iloc[0]))
+        start, end = bounds[0] + at, bounds[0] + at + size
+        lo, hi = np.searchsorted(bounds, start, "right") - 1, np.searchsorted(bounds, end, "left")
+        top = np.array([core[i:j].max() for i, j in zip(lo.tolist(), hi.tolist(), strict=True)], np.int64)
+        some = state != 3
+        return pd.DataFrame({"chrom": key[0], "first": key[1], "start": start[some], "end": end[some], "state": state[some], "top": top[some]})
+
+    matrices = cut(held.groupBy(*_STRETCHES).applyInPandas(reduced, "chrom string, first long, stretch long, score binary, rank binary"))
+    ends = cut(matrices.groupBy("chrom", "first").applyInPandas(linked, "chrom string, first long, stretch long, came int, left int"))
+    found = held.join(ends, _STRETCHES).groupBy(*_STRETCHES).applyInPandas(pieces, "chrom string, first long, start long, end long, state int, top long")
+    # segments stand apart, whatever touches
+    found = cut(found.select(F.concat_ws("|", "chrom", "first").alias("chrom"), F.col("chrom").alias("name"), "start", "end", "state", "top"))
+    region = intervals.numbered(found).groupBy("chrom", "island").agg(
+        F.first("name").alias("name"), F.min("start").alias("start"), F.min(F.when(F.col("state") == 1, F.col("start"))).alias("core_start"), F.min(F.when(F.col("state") == 2, F.col("start"))).alias("core_end"), F.max("end").alias("end"), F.max("top").alias("top")
+    )
+    return region.where("core_start is not null and core_end is not null").select(F.col("name").alias("chrom"), "start", "core_start", "core_end", "end", "top")
+
+
+#: Moves of the likelihood's paths: to stay, or on to the next state; ties stay.
+ON = np.array([[0 if b in (a, (a + 1) % 4) else paths.NEVER for b in range(4)] for a in range(4)])
+STAY_FIRST = np.array([[(b - a) % 4 for b in range(4)] for a in range(4)])
+
 
+def maximum_likelihood(tracks: DataFrame, segments: DataFrame, model: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """Flexible regions (chrom, start, core_start, core_end, end, top) by dynamic programming within segments of any length.
 
-def state_regions(path: np.ndarray, chrom: str, first: int, core: np.ndarray) -> pd.DataFrame:
-    """Flexible regions of a path of states (0 start, 1 core, 2 end, 3 background): maximal stretches of other states than background that hold a core and an end, and their largest core depth."""
-    cuts = np.flatnonzero(np.diff(np.concatenate(([False], path != 3, [False])).astype(np.int8)))
-    rows = []
-    for i, j in zip(cuts[::2], cuts[1::2], strict=True):
-        body, tail = np.flatnonzero(path[i:j] == 1), np.flatnonzero(path[i:j] == 2)
-        if len(body) and len(tail):
-            rows.append((chrom, first + i, first + i + body[0], first + i + tail[0], first + j, int(core[i:j].max())))
-    return pd.DataFrame(rows, columns=["chrom", "start", "core_start", "core_end", "end", "top"])
-
-
-def _best_path(score: np.ndarray) -> np.ndarray:
-    """The best path through states start, core, end, background that stays or moves on to the next; the later state's own on ties."""
-    steps = score.tolist()
-    a, b, c, d = steps[0]
-    came = bytearray(len(steps))
-    for i, (w, x, y, z) in enumerate(steps[1:], 1):
-        came[i] = (d > a) | (a > b) << 1 | (b > c) << 2 | (c > d) << 3
-        a, b, c, d = w + (d if d > a else a), x + (a if a > b else b), y + (b if b > c else c), z + (c if c > d else d)
-    path = np.empty(len(steps), np.int8)
-    last = (a, b, c, d)
-    path[-1] = k = last.index(max(last))
-    for i in range(len(steps) - 1, 0, -1):
-        k = (k - (came[i] >> k & 1)) % 4
-        path[i - 1] = k
-    return path
-
-
-def maximum_likelihood(tracks: DataFrame, segments: DataFrame, model: DataFrame) -> DataFrame:
-    """Flexible regions (chrom, start, core_start, core_end, end, top) by dynamic programming within segments.
-
-    Every position scores as start, core, end or background by the three tracks' models (chrom, track, cov, bg, fg).  A
-    segment is solved in one task, from its runs; what lies outside segments is background.
+    Every position scores as start, core, end or background by the three tracks' models (chrom, track, cov, bg, fg); what
+    lies outside segments is background.
     """
     zero = model.where("cov = 0").groupBy("chrom").pivot("track", list(TRACKS)).agg(F.first("fg").alias("fg"), F.first("bg").alias("bg"))
-    rows = in_segments(tracks.join(model, ["chrom", "track", "cov"]), segments).join(F.broadcast(zero), "chrom")  # a row a chromosome
+    rows = in_segments(tracks.join(model, ["chrom", "track", "cov"]), segments)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = {v: pdf[[f"{t}_{v}" for t in TRACKS]].iloc[0].to_numpy(float) for v in ("fg", "bg")} | {"cov": np.zeros(3)}
-        x = _filled(pdf, ["fg", "bg", "cov"], empty)
-        score = np.stack([sum((x["fg"] if t == k else x["bg"])[:, t] for t in range(3)) for k in range(4)], 1)
-        return state_regions(_best_path(score), pdf["chrom"].iloc[0], int(pdf["first"].iloc[0]), x["cov"][:, 1])
+    def scores(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = pdf[pdf["track"].isna()].iloc[0]
+        bounds, x = _runs(pdf, ["fg", "bg", "cov"], {v: own[[f"{t}_{v}" for t in TRACKS]].to_numpy(float) for v in ("fg", "bg")} | {"cov": np.zeros(3)})
+        return bounds, np.stack([sum((x["fg"] if t == k else x["bg"])[:, t] for t in range(3)) for k in range(4)], 1), x["cov"][:, 1]
 
-    return rows.groupBy("chrom", "first").applyInPandas(solve, REGION)
+    known = segments.select("chrom", "start", "end").join(F.broadcast(zero), "chrom")  # a row a chromosome
+    return best_regions(rows, known, scores, ON, STAY_FIRST, np.zeros(4, np.int64), stretch)
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -316,23 +361,6 @@ BEGIN = [0.01, 0.01, 0.97, 0.01]
 NORMAL = {"start": 0.1, "core": 0.2, "end": 0.1}
 
 
-def viterbi(emitted: np.ndarray, moves: list[list[float]], begin: list[float]) -> np.ndarray:
-    """The likeliest path of states given log emissions (positions x states)."""
-    with np.errstate(divide="ignore"):
-        step, best = np.log(np.array(moves, float)), np.log(np.array(begin, float)) + emitted[0]
-    back = np.zeros(emitted.shape, np.int8)
-    at = np.arange(len(begin))
-    for i in range(1, len(emitted)):
-        every = best[:, None] + step
-        back[i] = came = every.argmax(0)
-        best = every[came, at] + emitted[i]
-    path = np.empty(len(emitted), np.int8)
-    path[-1] = k = int(best.argmax())
-    for i in range(len(emitted) - 1, 0, -1):
-        path[i - 1] = k = back[i, k]
-    return path
-
-
 def normalised_tracks(tracks: DataFrame) -> DataFrame:
     """The tracks with ``value``, each depth's geometric quantile within its chromosome and track."""
     parts = []
@@ -342,22 +370,25 @@ def normalised_tracks(tracks: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def hidden_states(tracks: DataFrame, segments: DataFrame, *, family: str = "poisson", parameters: list[list] | None = None, moves: list[list[float]] = MOVES, begin: list[float] = BEGIN, value: str = "value") -> DataFrame:
+def hidden_states(tracks: DataFrame, segments: DataFrame, *, family: str = "poisson", parameters: list[list] | None = None, moves: list[list[float]] = MOVES, begin: list[float] = BEGIN, value: str = "value", stretch: int = STRETCH) -> DataFrame:
     """Flexible regions (chrom, start, core_start, core_end, end, top) from the likeliest states of a hidden Markov model.
 
     ``parameters`` are those of each state's and track's emission (a number or a tuple), by default Poisson rates.  The
-    model is decoded anew in each segment, in one task; what lies outside segments is background.
+    model is decoded anew in each segment, of any length; of states that tie the first comes.  What lies outside segments is
+    background.
     """
     parameters = parameters or RATES
     density = FAMILIES[family]
     rows = in_segments(tracks, segments)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _filled(pdf, [value, "cov"], {value: np.zeros(3), "cov": np.zeros(3)})
-        emitted = np.stack([sum(density(x[value][:, t], *np.atleast_1d(of[t]).tolist()) for t in range(3)) for of in parameters], 1)
-        return state_regions(viterbi(emitted, moves, begin), pdf["chrom"].iloc[0], int(pdf["first"].iloc[0]), x["cov"][:, 1])
+    def scores(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        names = list(dict.fromkeys([value, "cov"]))
+        bounds, x = _runs(pdf, names, dict.fromkeys(names, np.zeros(3)))
+        return bounds, np.stack([sum(density(x[value][:, t], *np.atleast_1d(of[t]).tolist()) for t in range(3)) for of in parameters], 1), x["cov"][:, 1]
 
-    return rows.groupBy("chrom", "first").applyInPandas(solve, REGION)
+    with np.errstate(divide="ignore"):
+        step, first = paths.whole(np.log(np.array(moves, float))), paths.whole(np.log(np.array(begin, float)))
+    return best_regions(rows, segments.select("chrom", "start", "end"), scores, step, np.tile(np.arange(4)[:, None], (1, 4)), first, stretch)
 
 
 def filter_universe(universe: DataFrame, least_size: int = 0, least_score: float | None = None, least_likelihood: float | None = None) -> DataFrame:

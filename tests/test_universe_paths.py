@@ -4,8 +4,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from intervale.operators import intervals, universe
+from intervale.operators import intervals, paths, universe
 from intervale.plans import catalogue
 
 D = "/root/testdata/sf0.001"
@@ -129,11 +130,94 @@ def test_emission_families(spark):
     assert found(got) and all(38 <= r[1] <= 41 and r[4] >= 60 for r in found(got))
 
 
-def test_a_segment_too_long_for_one_task_raises(spark, monkeypatch):
-    tracks = spark.createDataFrame([("c", "core", 0, universe.MOST_POSITIONS + 9, 1)], "chrom string, track string, start long, end long, cov long").withColumnRenamed("cov", "cov")
-    whole = spark.createDataFrame([("c", 0, universe.MOST_POSITIONS + 9)], "chrom string, start long, end long")
-    with pytest.raises(Exception, match="without a long enough empty stretch"):
-        universe.hidden_states(tracks, whole, value="cov").collect()
+def plain_path(score, moves, prefers, begin):
+    """A loop over positions, on whole numbers."""
+    on, v = [begin], begin
+    for s in score:
+        v = np.maximum((v[:, None] + moves).max(0) + s, paths.NEVER)
+        on.append(v)
+    k, path = int(v.argmax()), []
+    for before in on[-2::-1]:
+        path.append(k)
+        every = np.maximum(before + moves[:, k], paths.NEVER)
+        k = min(np.flatnonzero(every == every.max()).tolist(), key=lambda q: prefers[q, k])
+    return path[::-1]
+
+
+@pytest.mark.parametrize("kind", ["ties", "real"])
+@pytest.mark.parametrize("model", ["likelihood", "hidden"])
+def test_matrices_choose_as_a_loop_does(kind, model):
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        if model == "likelihood":
+            moves, prefers, begin = universe.ON, universe.STAY_FIRST, np.zeros(4, np.int64)
+        else:
+            moves, prefers, begin = paths.whole(np.log(rng.random((4, 4)))), np.tile(np.arange(4)[:, None], (1, 4)), paths.whole(np.log(rng.random(4)))
+        n = int(rng.integers(1, 30))
+        values = rng.integers(-2, 1, (n, 4)).astype(float) if kind == "ties" else rng.normal(0, 2, (n, 4))
+        length = rng.integers(1, 12, n)
+        score = np.repeat(paths.whole(values - values.max(1, keepdims=True)), length, 0)
+        single = paths.Steps.single(moves, prefers, paths.whole(values))
+        runs = paths.power(single, length)
+        ends = [0, *sorted(rng.integers(0, n + 1, 2).tolist()), n]
+        parts = [(i, j) for i, j in zip(ends, ends[1:]) if i < j]
+        got = []
+        for (i, j), (came, left) in zip(parts, paths.chain([paths.product(runs[i:j]) for i, j in parts], begin)):
+            at, size, state = paths.decoded(single[i:j], length[i:j], runs[i:j], came, left)
+            assert at.tolist() == (np.cumsum(size) - size).tolist() and size.sum() == length[i:j].sum()
+            got += np.repeat(state, size).tolist()
+        assert got == plain_path(score, moves, prefers, begin)
+
+
+@pytest.mark.parametrize("stretch", [7, 1000, 1 << 17])
+def test_universes_do_not_depend_on_stretches(spark, stretch):
+    rng = np.random.default_rng(3)
+    depth, size = np.zeros((3, 6000), int), 6000
+    for a in rng.integers(0, 5800, 150).tolist():
+        b = a + int(rng.integers(20, 120))
+        depth[0, a : a + 5] += 1
+        depth[1, a:b] += 1
+        depth[2, b - 5 : b] += 1
+    depth[:, 3000:3200] = 0
+    rows = []
+    for track, own in zip(universe.TRACKS, depth):
+        at = np.flatnonzero(np.diff(own, prepend=-1))
+        rows += [("c", track, int(a), int(b), int(own[a])) for a, b in zip(at, np.append(at[1:], size)) if own[a]]
+    tracks = spark.createDataFrame(rows, "chrom string, track string, start long, end long, cov long")
+    near = spark.createDataFrame([("c", 10, 3100), ("c", 3100, 5990)], "chrom string, start long, end long")
+    with np.errstate(divide="ignore"):
+        step, begin = paths.whole(np.log(universe.MOVES)), paths.whole(np.log(universe.BEGIN))
+    want = set()
+    for a, b in ((10, 3100), (3100, 5990)):
+        emitted = paths.whole(np.stack([sum(universe.poisson(depth[t, a:b].astype(float), rates[t]) for t in range(3)) for rates in universe.RATES], 1))
+        first = np.maximum(begin + emitted[0], paths.NEVER)
+        v, on = first, [first]
+        for s in emitted[1:]:
+            v = np.maximum((v[:, None] + step).max(0) + s, paths.NEVER)
+            on.append(v)
+        k, path = int(v.argmax()), []
+        for before in on[-2::-1]:
+            path.append(k)
+            k = int(np.maximum(before + step[:, k], paths.NEVER).argmax())
+        path.append(k)
+        want |= {("c", *r) for r in regions_of(path[::-1], a)}
+    got = universe.hidden_states(tracks, near, value="cov", stretch=stretch)
+    assert len(want) > 3 and found(got) == want
+    for r in got.collect():
+        assert r["top"] == depth[1, r["start"] : r["end"]].max()
+
+
+def test_a_chromosome_of_fifty_million_positions_is_one_segment(spark):
+    size, step = 50_000_000, 40_000
+    at = F.col("id") * step + 1000
+    parts = [("start", 0, 20, 5), ("core", 0, 400, 5), ("end", 380, 400, 5)]
+    tracks = None
+    for track, a, b, cov in parts:
+        one = spark.range(size // step).select(F.lit("c").alias("chrom"), F.lit(track).alias("track"), (at + a).alias("start"), (at + b).alias("end"), F.lit(cov).cast("long").alias("cov"))
+        tracks = one if tracks is None else tracks.unionByName(one)
+    whole = spark.createDataFrame([("c", 0, size)], "chrom string, start long, end long")
+    got = universe.hidden_states(tracks, whole, value="cov").orderBy("start").collect()
+    assert len(got) == size // step and all(r["start"] == i * step + 1000 and r["end"] == i * step + 1400 and r["top"] == 5 for i, r in enumerate(got))
 
 
 @pytest.mark.parametrize("seed", range(3))
