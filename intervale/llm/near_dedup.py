@@ -39,7 +39,7 @@ COORDS, TREES, STEP, DEPTH, SMALL = 64, 14, 4, 32, 512
 #: Branching goes on while it leaves less than this share of the rows in large nodes; up to so many nodes are broadcast.
 SHRINKS, BROADCAST_NODES = 0.6, 500_000
 #: Links that a task contracts at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 14
 #: Candidates share tokens as linked sets do, but for so many standard deviations; shingles of a group that is compared at once.
 MARGIN, MOST = 4.5, 1 << 22
 #: The groups that are compared before the others.
@@ -317,24 +317,41 @@ def contracted(links: DataFrame) -> DataFrame:
     return links.select("u", "v", "moved").mapInArrow(run, "u long, v long, moved boolean")
 
 
+def shortened(rows: DataFrame, n: int) -> DataFrame:
+    """A round on n links (u, v, moved): each id's links go to its smallest neighbour and from there, if that has a smaller one, to the next, and tasks of ``CHUNK`` links contract what they then hold."""
+    least = rows.select("u", "v").withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    ends = F.array(F.struct(F.col("u"), F.col("m"), (F.col("v") != F.col("m")).alias("moved")), F.struct(F.col("v").alias("u"), F.col("m"), F.lit(False).alias("moved")))
+    ends = least.select(F.explode(ends).alias("e")).select("e.*").where("u <> m")
+    above = rows.groupBy(F.col("u").alias("m")).agg(F.min("v").alias("above"))
+    met = ends.join(F.broadcast(above) if n <= BROADCAST_NODES else above, "m", "left")
+    return contracted(met.select("u", F.coalesce("above", "m").alias("v"), (F.col("moved") | F.col("above").isNotNull()).alias("moved")).coalesce(-(-n // CHUNK)))
+
+
+def _linked(links: DataFrame) -> DataFrame:
+    return contracted(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), F.lit(True).alias("moved")).where("u <> v"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, root (the smallest id it reaches) of all ids in ``links`` (a, b).
 
-    Tasks first contract their own links.  In a round an id's links go to its smallest neighbour, and from there, if that
-    has a smaller one, to the next; what tasks then hold they contract again.  Paths so shrink to half or less in every
-    round; the rounds end when nothing has moved.  A task hands on a row for each of its ids at most.
+    Tasks first contract their own links, then rounds shorten paths to half or less, until nothing has moved.  A task hands
+    on a row for each of its ids at most; as many tasks contract as there are ``CHUNK`` links.
     """
-    rows = cut(contracted(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), F.lit(True).alias("moved")).where("u <> v")))
-    while not rows.where("moved").isEmpty():
-        least = rows.select("u", "v").withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        ends = F.array(F.struct(F.col("u"), F.col("m"), (F.col("v") != F.col("m")).alias("moved")), F.struct(F.col("v").alias("u"), F.col("m"), F.lit(False).alias("moved")))
-        ends = least.select(F.explode(ends).alias("e")).select("e.*").where("u <> m")
-        above = rows.groupBy(F.col("u").alias("m")).agg(F.min("v").alias("above"))
-        rows = cut(contracted(ends.join(above, "m", "left").select("u", F.coalesce("above", "m").alias("v"), (F.col("moved") | F.col("above").isNotNull()).alias("moved"))))
+    rows = cut(_linked(links))
+    while True:
+        known = rows.agg(F.count(F.lit(1)).alias("n"), F.max("moved").alias("moved")).first()
+        if not known["moved"]:
+            break
+        rows = cut(shortened(rows, known["n"]))
     known = rows.select(F.col("u").alias("id"), F.col("v").alias("root")).distinct()
     return known.unionByName(known.select(F.col("root").alias("id"), "root").distinct())
 
 
+def partly_joined(links: DataFrame) -> DataFrame:
+    """id, root: what one contraction and one look at every id's links tell; ids of one root are joined, but not all that are joined have one."""
+    return cut(_linked(links)).groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root"))
+
+
 def near_groups(
     docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, step: int = STEP, depth: int = DEPTH, small: int = SMALL, most: int = MOST
 ) -> DataFrame:
@@ -383,11 +400,8 @@ def near_groups(
     if not many.isEmpty():
         early = cut(compare(many.where(EARLY).join(sets, "id"), percent))
         # what a quarter of the groups has linked needs no other group
-        links = links.unionByName(early).unionByName(compare_apart(rooted(many.where(f"not ({EARLY})").drop("root"), cut(components(early))), sets, percent))
-    known = cut(components(links))
-    if left:
-        links = links.unionByName(compare_large(large, classes, sets, links, known, percent, small, most))
-        known = components(links)
+        links = links.unionByName(early).unionByName(compare_apart(rooted(many.where(f"not ({EARLY})").drop("root"), cut(partly_joined(early))), sets, percent))
+    known = components(compare_large(large, classes, sets, links, percent, small, most) if left else links)
     joined = classes.select("cls", "least", "n", "id").join(known, "id", "left")
     top = joined.where("root is not null").groupBy("root").agg(F.min("least").alias("top"))
     owners = joined.where("n > 1 or root is not null").join(top, "root", "left").select("cls", F.when(F.col("root").isNotNull(), F.col("top")).otherwise(F.col("least")).alias("owner"))
@@ -445,8 +459,8 @@ def compare_apart(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(compare(tasks.join(apart, "node", "left_semi").join(sets, "id"), percent))
 
 
-def compare_large(nodes: DataFrame, classes: DataFrame, sets: DataFrame, links: DataFrame, known: DataFrame, percent: int, small: int, most: int) -> DataFrame:
-    """Links within nodes of any size: each block against the node's pivot block, then what stays outside the main component against all blocks."""
+def compare_large(nodes: DataFrame, classes: DataFrame, sets: DataFrame, links: DataFrame, percent: int, small: int, most: int) -> DataFrame:
+    """Links (a, b) that join what ``links`` joins and what is linked within nodes of any size: each block against the node's pivot block, then what stays outside the main component against all blocks."""
     sized = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     blocked = nodes.join(sized, "node").select("node", "id", F.ceil(F.col("n") / F.lit(small)).cast("int").alias("of"))
     blocked = cut(blocked.withColumn("block", F.pmod(F.xxhash64("id"), F.col("of")).cast("int")))
@@ -458,17 +472,18 @@ def compare_large(nodes: DataFrame, classes: DataFrame, sets: DataFrame, links:
         tasks = side.select(one, "id", "root").unionByName(meets.select(one, "id", "root"))
         return cut(compare(cut(candidates(tasks, classes, percent, most)).join(sets, "id"), percent))
 
-    spread = rooted(blocked, known)
+    spread = rooted(blocked, cut(partly_joined(links)))
     # pivots only spare work below; a quarter of the nodes is enough for that
     first = compared(spread.where("pmod(xxhash64(node), 4) = 0").withColumn("other", F.lit(0)), spread)
-    spread = rooted(blocked, components(links.unionByName(first)))
+    known = cut(components(links.unionByName(first)))
+    spread = rooted(blocked, known)
     main = spread.groupBy("node", "root").count().groupBy("node").agg(F.max(F.struct("count", "root")).alias("m")).select("node", F.col("m.root").alias("main"))
     outside = spread.join(main, "node").where("root <> main").drop("main", "block")
     # those outside are dealt to blocks of their own, so that few blocks of them meet all others
     blocks = outside.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / F.lit(small)).cast("int").alias("own"))
     outside = outside.join(blocks, "node").withColumn("block", -1 - F.pmod(F.xxhash64("id"), F.col("own")).cast("int"))
     every = outside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-    return first.unionByName(compared(every, spread))
+    return known.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(compared(every, spread))
 
 
 def drop_near_copies(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
