@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,27 @@ from intervale.operators import search
 from intervale.session import cut
 
 
-class VectorIndex:
+class SearchBackend(ABC):
+    """What an index of rows (id, v, payload) offers, so that searches by texts and region sets take any."""
+
+    @abstractmethod
+    def load(self, rows: DataFrame, payload: str | None = None) -> SearchBackend:
+        """Adds rows."""
+
+    @abstractmethod
+    def search(self, queries: DataFrame, limit: int, *, offset: int = 0, with_payload: bool = True, with_vectors: bool = True) -> DataFrame:
+        """query_id, place, id, score (and payload, v) of the nearest rows of each query (query_id, q)."""
+
+    @abstractmethod
+    def retrieve(self, ids: DataFrame, *, with_vectors: bool = False) -> DataFrame:
+        """id, payload (and v) of ids (id)."""
+
+    @abstractmethod
+    def __len__(self) -> int:
+        """How many rows there are."""
+
+
+class VectorIndex(SearchBackend):
     """An exact index of rows (id, v, payload), the payload of any type; written to the shared folder as it grows."""
 
     def __init__(self, measure: str = "cosine") -> None:

@@ -16,7 +16,7 @@ from intervale.session import cut, prepare
 QUERY_NUMBERS, SCORES = 1 << 18, 1 << 22
 
 
-def _scores(measure: str, v: np.ndarray, q: np.ndarray) -> np.ndarray:
+def scores_of(measure: str, v: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Rows by queries, the nearest largest; nan where there is none."""
     if measure == "l2":
         return -np.stack([np.sqrt(((v - x) ** 2).sum(1)) for x in q], 1)
@@ -66,7 +66,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, measure: str = "cosine",
                     b = whole.slice(at, max(1, min(4096, SCORES // max(1, len(names)))))
                     ids = np.array(b.column("id").to_pylist())
                     v = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-                    every = np.round(_scores(measure, v, q), 12)
+                    every = np.round(scores_of(measure, v, q), 12)
                     if within is not None:
                         every[np.array(b.column("g").to_pylist(), object)[:, None] != groups[None, :]] = np.nan
                     for i, name in enumerate(names.tolist()):

@@ -6,14 +6,15 @@ and features from ``events``, token documents from ``conversations``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from intervale.functions import regions as fn
-from intervale.operators import catalog, encode, evaluate, index, intervals, labels, perturb, search, tokens, universe
-from intervale.session import cut
+from intervale.operators import catalog, encode, evaluate, index, intervals, inverted, labels, perturb, search, tokens, universe
+from intervale.session import cut, shared_dir
 from intervale.sources import bed as files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -540,6 +541,26 @@ def knn_cosine(spark, d):
     return search.knn(_asked(spark, d), vectors(spark, d), 10).withColumn("score", F.round("score", 6))
 
 
+@query(_knn(_COS, "DESC"))
+def knn_inverted_file(spark, d):
+    """An index of cells, all of which are probed: exact."""
+    index = inverted.InvertedFile(f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}").load(vectors(spark, d))
+    found = index.search(_asked(spark, d), 10, probes=inverted.MOST_CELLS, itself=False, with_vectors=False)
+    return found.select("query_id", "id", "place", F.round("score", 6).alias("score"))
+
+
+@query(_knn(_COS, "DESC"))
+def knn_quantised(spark, d):
+    found = inverted.Quantised().load(vectors(spark, d)).search(_asked(spark, d), 10, itself=False, with_vectors=False)
+    return found.select("query_id", "id", "place", F.round("score", 6).alias("score"))
+
+
+@query(_knn("list_distance(v, q)", "ASC"))
+def knn_quantised_euclidean(spark, d):
+    found = inverted.Quantised("l2").load(vectors(spark, d)).search(_asked(spark, d), 10, itself=False, with_vectors=False)
+    return found.select("query_id", "id", "place", F.round("score", 6).alias("score"))
+
+
 @query(_knn("list_distance(v, q)", "ASC"))
 def knn_euclidean(spark, d):
     return search.knn(_asked(spark, d), vectors(spark, d), 10, "l2").withColumn("score", F.round("score", 6))
