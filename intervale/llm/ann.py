@@ -7,8 +7,9 @@ part parallel to the vector ``ETA`` times, since that part alone changes the sco
 
 A scan looks the codes up, two at a time, in a query's table of partial products, which gives each row a score and, from
 its residual, a band above that which holds the true one.  The bands' width is fitted on the sample, for its own nearest pairs.
-The rows of the best scores are ranked exactly, and then all whose band reaches the k-th best of those found: how many that
-are follows from the data, not from how rows are dealt to batches.  An infinite ``slack`` ranks every row exactly.
+The rows of the best scores of every step are ranked exactly, and then all whose band reaches the k-th best of those found so
+far.  Which rows are ranked beyond the true neighbours so depends on how rows are dealt to steps; a result does only where a
+true neighbour lies outside its band.  An infinite ``slack`` ranks every row exactly.
 
 The index is fitted on at most ``SAMPLE`` rows; every row is in it.  Queries are met in blocks whose tables have
 ``TABLES`` entries of 256 numbers: one block at a time is on the driver and broadcast to a pass over the index.
