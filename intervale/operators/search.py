@@ -94,6 +94,51 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, measure: str = "cosine",
     return out.where(F.col("place") > offset).withColumn("place", F.col("place") - offset)
 
 
+def _packed(rows: DataFrame, key: str, name: str, size: int = 1024) -> DataFrame:
+    """Rows (key, v) as blocks: <name>_ids, <name>_flat (all their numbers) and <name>_width; v of length 1, not a number where it has none."""
+    kind = to_arrow_type(rows.schema[key].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, size):
+                b = whole.slice(at, size)
+                vs = [np.array(v, float) if v is not None else np.empty(0) for v in b.column("v").to_pylist()]
+                width = max(map(len, vs))
+                x = np.full((len(vs), width), np.nan)
+                for i, v in enumerate(vs):
+                    if len(v) == width:
+                        x[i] = v
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    x /= np.sqrt((x * x).sum(1))[:, None]
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(key).to_pylist()], pa.list_(kind)), pa.array([x.ravel()], pa.list_(pa.float64())), pa.array([width], pa.int32())], [f"{name}_ids", f"{name}_flat", f"{name}_width"])
+
+    return rows.select(key, "v").mapInArrow(run, f"{name}_ids array<{rows.schema[key].dataType.simpleString()}>, {name}_flat array<double>, {name}_width int")
+
+
+def cosines(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """left_key, right_key, cosine of every row of left (left_key, v) with every one of right (right_key, v); null where a vector is null, zero or of another width.
+
+    Vectors are scaled once; then blocks of both sides meet, and a pair of blocks is one product of matrices.
+    """
+    prepare(left.sparkSession)
+    kinds = [left.schema[left_key].dataType, right.schema[right_key].dataType]
+    arrow = [to_arrow_type(k) for k in kinds]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.to_pylist():
+                n, m = len(x["a_ids"]), len(x["b_ids"])
+                if x["a_width"] == x["b_width"]:
+                    s = np.array(x["a_flat"], float).reshape(n, -1) @ np.array(x["b_flat"], float).reshape(m, -1).T
+                else:
+                    s = np.full((n, m), np.nan)
+                ids = pa.array(x["a_ids"], arrow[0]).take(pa.array(np.repeat(np.arange(n), m))), pa.array(x["b_ids"], arrow[1]).take(pa.array(np.tile(np.arange(m), n)))
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(s.ravel(), from_pandas=True)], [left_key, right_key, "cosine"])
+
+    blocks = _packed(left, left_key, "a").crossJoin(_packed(right, right_key, "b"))  # blocks of up to 1024 rows, not rows
+    return blocks.mapInArrow(run, f"{left_key} {kinds[0].simpleString()}, {right_key} {kinds[1].simpleString()}, cosine double")
+
+
 def merge_indexes(*indexes: DataFrame) -> DataFrame:
     """One index of the rows (id, ...) of several, with all their columns; ids go on from the largest of those before."""
     out = None

@@ -62,11 +62,15 @@ def sampled_sentences(tokens: DataFrame, length: int, seed: int) -> DataFrame:
     """
     from intervale.functions.regions import uniform
 
-    line = Window.partitionBy("id").orderBy("token")
-    spans = tokens.withColumn("_hi", F.sum("weight").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_lo", F.col("_hi") - F.col("weight"))
-    every = tokens.groupBy("id").agg(F.sum("weight").alias("_all"))
+    some = tokens.where("weight > 0")
+    line = Window.partitionBy("id").orderBy("token").rowsBetween(Window.unboundedPreceding, -1)
+    spans = some.select("id", "token", F.coalesce(F.sum("weight").over(line), F.lit(0.0)).alias("_at"), F.lit(None).cast("int").alias("_k"))
+    every = some.groupBy("id").agg(F.sum("weight").alias("_all"))
     draws = every.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).withColumn("_at", uniform(seed, "sample", F.concat_ws("|", F.col("id").cast("string"), F.col("_k").cast("string"))) * F.col("_all"))
-    met = draws.join(spans, "id").where((F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_hi")))
+    # each draw takes the last token that begins at or before it: rows of tokens and draws, not their product
+    before = Window.partitionBy("id").orderBy("_at", F.col("_k").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = spans.unionByName(draws.select("id", F.lit(None).cast(tokens.schema["token"].dataType).alias("token"), "_at", "_k"))
+    met = placed.withColumn("token", F.last("token", ignorenulls=True).over(before)).where("_k is not null")
     return met.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "token"))), lambda s: s["token"]), " ").alias("sentence"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from intervale.functions import regions as fn
-from intervale.operators import catalog, encode, evaluate, index, intervals, inverted, labels, perturb, search, tokens, universe
+from intervale.operators import catalog, embed, encode, evaluate, index, intervals, inverted, labels, perturb, search, tokens, universe
 from intervale.session import cut, shared_dir
 from intervale.sources import bed as files
 
@@ -887,6 +887,19 @@ def _words(spark, d) -> DataFrame:
     return _read(spark, d, "conversations").select(F.col("conv_id").alias("id"), F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("token"))
 
 
+def _u42(salt: str, key: str) -> str:
+    return f"(CAST('0x' || substr(md5('42|{salt}|' || {key}), 1, 8) AS BIGINT) / 4294967296)"
+
+
+@query(f"""WITH {_W}, c AS (SELECT id, token, CAST(count(*) AS DOUBLE) AS n FROM w GROUP BY 1, 2), s AS (SELECT id, token, n, sum(n) OVER (PARTITION BY id ORDER BY token ROWS UNBOUNDED PRECEDING) AS hi, sum(n) OVER (PARTITION BY id) AS whole FROM c),
+d AS (SELECT DISTINCT id, whole, k, {_u42('sample', "CAST(id AS VARCHAR) || '|' || CAST(k AS VARCHAR)")} * whole AS x FROM s, range(20) r(k))
+SELECT d.id, string_agg(token, ' ' ORDER BY k) AS sentence FROM d JOIN s ON d.id = s.id AND x >= hi - n AND x < hi GROUP BY d.id""")
+def sampled_sentences(spark, d):
+    """Twenty tokens of each document with replacement, by how often it holds them."""
+    counts = _words(spark, d).groupBy("id", "token").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return tokens.sampled_sentences(counts, 20, 42)
+
+
 @query(f"WITH {_W} SELECT token, n, round(share, 9) AS share FROM f")
 def token_frequency(spark, d):
     return tokens.frequency(_words(spark, d)).withColumn("share", F.round("share", 9))
@@ -1033,10 +1046,6 @@ def npt(spark, d):
     return out.select("k", *[F.round(c, 6).alias(c) for c in ("qnpr", "rnpr", "snpr")])
 
 
-def _u42(salt: str, key: str) -> str:
-    return f"(CAST('0x' || substr(md5('42|{salt}|' || {key}), 1, 8) AS BIGINT) / 4294967296)"
-
-
 @query(f"""WITH {_V}, n AS (SELECT id, v, row_number() OVER (ORDER BY id) AS n, count(*) OVER () AS t FROM v), sz AS (SELECT least(any_value(t), 10000) AS n, any_value(t) AS t FROM n), dr AS (SELECT j, CAST(floor({_u42('draw', 'CAST(j AS VARCHAR)')} * (SELECT t FROM sz)) AS BIGINT) + 1 AS n FROM range((SELECT CAST(n AS BIGINT) FROM sz)) r(j)),
 da AS (SELECT dr.j, n.id, n.v FROM dr JOIN n ON dr.n = n.n), dd AS (SELECT id, any_value(v) AS v, count(*) AS times FROM da GROUP BY 1), bx AS (SELECT p, quantile_cont(v[p + 1], 0.05) AS lo, quantile_cont(v[p + 1], 0.95) AS hi FROM da, (SELECT unnest(range(64)) AS p) GROUP BY 1),
 pr AS (SELECT da.id, count(*) AS w FROM (SELECT CAST(floor({_u42('probe', 'CAST(k AS VARCHAR)')} * (SELECT n FROM sz)) AS BIGINT) AS j FROM range((SELECT CAST(floor(n * 0.1::DOUBLE) AS BIGINT) FROM sz)) r(k)) x JOIN da ON x.j = da.j GROUP BY 1),
@@ -1072,6 +1081,13 @@ def region2vec_train(spark, d):
     return tokens.train_embeddings(tokens.sentences(_words(spark, d), 3), width=16, least=5, seed=1)
 
 
+@query()
+def region2vec_cbow(spark, d):
+    """Vectors by continuous bags of words with negative sampling, trained over blocks of documents."""
+    docs = _words(spark, d).groupBy("id").agg(F.collect_list("token").alias("tokens"))
+    return embed.train(docs, width=16, epochs=2, least=5).model.select("token", "v")
+
+
 @query()
 def label_words_train(spark, d):
     return labels.label_embeddings(labels.train_words(QUERIES["label_documents"](spark, d), width=8))
