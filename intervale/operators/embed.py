@@ -1,4 +1,5 @@
-"""Training token embeddings: continuous bags of words with negative sampling, over blocks of documents.
+"""Training embeddings over blocks of documents: tokens by continuous bags of words with negative sampling, and words and labels
+by ranking a document's label before others.
 
 The model is a table (token, v, u), a row a token.  In a round every block of documents joins the rows of the tokens it needs, goes
 through its documents in small steps, and hands on how far it has moved each of those rows; a token's row then moves by the mean of
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from intervale.functions.regions import uniform
+from intervale.functions.regions import LABEL, is_label, uniform
 from intervale.operators import tokens as tk
 from intervale.session import cut, prepare
 
@@ -158,27 +159,94 @@ def train(docs: DataFrame, *, width: int = 100, window: int = 5, negatives: int
     known = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("token")
     kept = cut(rows.join(known, "token"))
     chances = cut(alias_table(tk.negative_sampling(kept.select("token"), power)))
-    kind = kept.schema["token"].dataType.simpleString()
-    schema = f"token {kind}, v array<double>, u array<double>"
     lists = kept.groupBy("id").agg(F.sort_array(F.collect_list("token")).alias("tokens")).where("size(tokens) > 1")
     size = lists.agg(F.sum(F.size("tokens"))).first()[0] or 0
     held = cut(lists.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-size // block))))))
-    model = cut(known.mapInArrow(_first_rows(width, seed), schema))
     counts = held.groupBy("block").agg(F.sum(F.size("tokens")).alias("m"))
+    return _fit(held, known, counts, chances, width, negatives, epochs if size else 0, rate, seed, lambda epoch, now: _pass(epoch, window, negatives, now, seed))
+
+
+def _fit(held: DataFrame, known: DataFrame, counts: DataFrame, chances: DataFrame, width: int, negatives: int, epochs: int, rate: float, seed: int, make) -> Trained:
+    """Rounds over blocks (block, id, tokens) from first rows of the known tokens; ``counts`` (block, m) has each block's examples, for which negatives are drawn."""
+    kind = known.schema["token"].dataType.simpleString()
+    schema = f"token {kind}, v array<double>, u array<double>"
+    model = cut(known.mapInArrow(_first_rows(width, seed), schema))
     losses = []
-    for epoch in range(epochs if size else 0):
+    for epoch in range(epochs):
         now = rate * (1 - 0.9 * epoch / max(1, epochs - 1))
         draws = counts.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") * negatives - 1)).alias("k"))
         picked = drawn(draws, chances, seed * 1000 + epoch, "block", "k").groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "token"))), lambda x: x["token"]).alias("tokens"))
         blocks = cut(held.select("block", "id", "tokens").unionByName(picked.select("block", F.lit(None).cast("string").alias("id"), "tokens")))
         needs = blocks.select(F.col("block").alias("_block"), F.explode("tokens").alias("token")).distinct().join(model, "token")
-        moved = cut(blocks.groupBy("block").cogroup(needs.groupBy("_block")).applyInArrow(_pass(epoch, window, negatives, now, seed), f"block long, token {kind}, dv array<double>, du array<double>, loss double, n long"))
+        moved = cut(blocks.groupBy("block").cogroup(needs.groupBy("_block")).applyInArrow(make(epoch, now), f"block long, token {kind}, dv array<double>, du array<double>, loss double, n long"))
         told = moved.agg(F.sum("loss").alias("l"), F.sum("n").alias("n")).first()
         losses.append(told["l"] / max(told["n"], 1))
         model = cut(_moved(model, moved, schema))
     return Trained(model, losses)
 
 
+def ranking(x: np.ndarray, labels: np.ndarray, margin: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss of a document x against labels, its own first: the mean over the others of max(0, margin - cosine to its own + cosine to the other), and the gradients."""
+    nx, nl = np.sqrt((x * x).sum()) + 1e-12, np.sqrt((labels * labels).sum(1)) + 1e-12
+    cos = labels @ x / nx / nl
+    over = margin - cos[0] + cos[1:]
+    g = np.zeros(len(labels))
+    g[1:] = (over > 0) / max(len(over), 1)
+    g[0] = -g[1:].sum()
+    dx = (g / nl) @ labels / nx - (g @ cos) * x / nx**2
+    dl = g[:, None] * (x / nx / nl[:, None] - cos[:, None] * labels / nl[:, None] ** 2)
+    return float(np.maximum(over, 0).mean()) if len(over) else 0.0, dx, dl
+
+
+def _label_pass(docs: pa.Table, rows: pa.Table, epoch: int, negatives: int, margin: float, rate: float, seed: int) -> pa.Table:
+    """As ``_block_pass``, for documents of words and labels: of each, one of its labels stands against drawn ones that it has not."""
+    rows = rows.sort_by("token")
+    names = rows["token"].to_pylist()
+    place = {t: i for i, t in enumerate(names)}
+    v0 = _rows(rows["v"])
+    v = v0.copy()
+    every = sorted(zip(docs["id"].to_pylist(), docs["tokens"].to_pylist(), strict=True), key=lambda x: (x[0] is not None, str(x[0])))
+    pool = np.array([place[t] for i, ts in every if i is None for t in ts], np.int64).reshape(-1, negatives)
+    every = [x for x in every if x[0] is not None]
+    total = 0.0
+    for n in np.random.default_rng([seed, epoch]).permutation(len(every)).tolist():
+        ts = every[n][1]
+        words = np.array([place[t] for t in ts if LABEL not in t], np.int64)
+        own = [place[t] for t in ts if LABEL in t]
+        first = own[np.random.default_rng([seed, epoch, n]).integers(len(own))]
+        others = pool[n][~np.isin(pool[n], own)]
+        at = np.concatenate(([first], others)).astype(np.int64)
+        loss, dx, dl = ranking(v[words].mean(0), v[at], margin)
+        total += loss
+        np.add.at(v, at, -rate * dl)
+        np.add.at(v, words, -rate * dx / len(words))
+    block, n = docs["block"][0].as_py(), len(names)
+    moved = [pa.array(x.tolist(), pa.list_(pa.float64())) for x in (v - v0, np.zeros_like(v))]
+    return pa.table([pa.array([block] * n, pa.int64()), rows["token"], *moved, pa.array([total] + [0.0] * (n - 1)), pa.array([len(every)] + [0] * (n - 1), pa.int64())], names=["block", "token", "dv", "du", "loss", "n"])
+
+
+def _labels(*options):
+    return lambda docs, rows: _label_pass(docs, rows, *options)
+
+
+def train_labels(documents: DataFrame, *, width: int = 100, negatives: int = 10, margin: float = 0.2, epochs: int = 20, rate: float = 0.5, seed: int = 1, block: int = BLOCK) -> Trained:
+    """Vectors of words and labels (model: token, v) of documents (filename, document), such that a document's mean word is nearer to its labels than to others.
+
+    Words are parted by spaces; those that hold the label mark are labels.  Documents without a word or without a label teach nothing, and words
+    of theirs alone get no vector.  The same seed gives the same model.
+    """
+    spark = documents.sparkSession
+    prepare(spark)
+    ts = F.array_distinct(F.filter(F.split("document", " "), lambda w: w != ""))
+    lists = documents.select(F.col("filename").cast("string").alias("id"), ts.alias("tokens")).where(F.col("id").isNotNull()).where(F.exists("tokens", is_label) & F.exists("tokens", lambda w: ~is_label(w)))
+    size = lists.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    held = cut(lists.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-size // block))))))
+    known = held.select(F.explode("tokens").alias("token")).distinct()
+    chances = cut(alias_table(known.where(is_label(F.col("token"))).withColumn("p", F.lit(1.0))))
+    counts = held.groupBy("block").agg(F.count(F.lit(1)).alias("m"))
+    return _fit(held, known, counts, chances, width, negatives, epochs if size else 0, rate, seed, lambda epoch, now: _labels(epoch, negatives, margin, now, seed))
+
+
 def _moved(model: DataFrame, moved: DataFrame, schema: str) -> DataFrame:
     """The model with each row moved by the mean of its blocks, summed in the order of blocks."""
     parts = F.pmod(F.xxhash64("token"), F.lit(max(1, -(-model.count() // ROWS))))

@@ -1090,7 +1090,8 @@ def region2vec_cbow(spark, d):
 
 @query()
 def label_words_train(spark, d):
-    return labels.label_embeddings(labels.train_words(QUERIES["label_documents"](spark, d), width=8))
+    model = embed.train_labels(QUERIES["label_documents"](spark, d), width=8, epochs=3).model
+    return labels.label_embeddings(model.select(F.col("token").alias("word"), "v"))
 
 
 @query()

@@ -5,6 +5,7 @@ import collections
 import numpy as np
 import pytest
 
+from intervale.functions.regions import LABEL
 from intervale.operators import embed, tokens
 
 
@@ -77,3 +78,45 @@ def test_draws_with_replacement_meet_one_token_each(spark):
     for r in got.collect():
         seen = collections.Counter(r["sentence"].split(" "))
         assert sum(seen.values()) == 3000 and "t0" not in seen and all(abs(seen[f"t{k}"] / 3000 - k / 15) < 0.03 for k in range(1, 6))
+
+
+def test_ranking_gradients_match_differences():
+    rng = np.random.default_rng(3)
+    x, labels = rng.normal(0, 1, 5), rng.normal(0, 1, (4, 5))
+    loss, dx, dl = embed.ranking(x, labels, 0.9)
+    assert loss > 0 and embed.ranking(x, labels[:1], 0.9)[0] == 0
+    for a, d in ((x, dx), (labels, dl)):
+        for i in np.ndindex(a.shape):
+            was = a[i]
+            a[i] = was + 1e-6
+            up = embed.ranking(x, labels, 0.9)[0]
+            a[i] = was - 1e-6
+            down = embed.ranking(x, labels, 0.9)[0]
+            a[i] = was
+            assert abs((up - down) / 2e-6 - d[i]) < 1e-5
+
+
+def test_held_out_documents_rank_their_label_first(spark):
+    rng = np.random.default_rng(6)
+
+    def document(topic):
+        words = [f"chr{topic}_{k}_{k + 9}" for k in rng.choice(30, 8, replace=False)] + [f"chr9_{k}_{k + 9}" for k in rng.choice(30, 4, replace=False)]
+        return words
+
+    rows, kept = [], []
+    for i in range(240):
+        topic = i % 6
+        words = document(topic)
+        if i < 180:
+            rows.append((f"f{i}", " ".join([*words, f"{LABEL}t{topic}"])))
+        else:
+            kept.append((topic, words))
+    rows += [("none", " "), ("unlabelled", "chr1_1_10"), ("bare", f"{LABEL}t1"), (None, f"chr1_1_10 {LABEL}t1")]
+    frame = spark.createDataFrame(rows, "filename string, document string").repartition(3)
+    got = embed.train_labels(frame, width=10, epochs=8, block=400, seed=2)
+    assert got.losses[-1] < 0.5 * got.losses[0]
+    v = {r["token"]: np.array(r["v"]) for r in got.model.collect()}
+    names = [f"{LABEL}t{t}" for t in range(6)]
+    y = np.stack([v[n] / np.sqrt(v[n] @ v[n]) for n in names])
+    hits = [int((y @ np.mean([v[w] for w in words if w in v], 0)).argmax()) == topic for topic, words in kept]
+    assert np.mean(hits) >= 0.95
