@@ -55,14 +55,14 @@ def interval_join(left: DataFrame, right: DataFrame, how: str = "inner", size: i
 def _opened(regions: DataFrame, by: list[str], bucket: int) -> tuple[DataFrame, DataFrame]:
     """What is merged within buckets, (by, chrom, _b, start, end) with the last end of earlier buckets as ``_prior``, and a row a bucket with ``_prior`` and ``_all``, the last end of all.
 
-    Rows are exchanged once, by (by, chrom, bucket); what both windows and the carries read is that one exchange.
+    Rows are exchanged once, by (by, chrom, bucket), and what their buckets merge to is written: carries and ends are found on that.
     """
     keys = [*by, "chrom"]
     own, over = Window.partitionBy(*keys, "_b"), Window.partitionBy(*keys)
     x = regions.select(*keys, "start", "end").withColumn("_b", F.floor(F.col("start") / bucket)).repartition(*keys, "_b")
     before = F.max("end").over(own.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     x = x.withColumns({"_m": before, "_l": F.max("end").over(own)}).where("_m is null or start > _m")
-    local = x.withColumn("end", F.coalesce(F.lead("_m").over(own.orderBy("start")), F.col("_l"))).select(*keys, "_b", "start", "end")
+    local = cut(x.withColumn("end", F.coalesce(F.lead("_m").over(own.orderBy("start")), F.col("_l"))).select(*keys, "_b", "start", "end"))
     lasts = local.groupBy(*keys, "_b").agg(F.max("end").alias("_last"))
     carried = lasts.select(*keys, "_b", F.max("_last").over(over.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_prior"), F.max("_last").over(over).alias("_all"))
     return local.join(carried.select(*keys, "_b", "_prior"), [*keys, "_b"]), carried
