@@ -1,7 +1,7 @@
 """The command line: ``python -m intervale.cli COMMAND ...``; every command reads paths and writes a folder.
 
 Commands: build-universe (cc, ccf, ml, hmm), tokenize, assess-universe, lh, perturb, eval (gdst, npt, ctt, rct), train,
-encode-cells, labels (l2r, r2l, r2r), search, cache (add, seek, remove, list).
+train-map, apply-map, encode-cells, labels (l2r, r2l, r2r), search, cache (add, seek, remove, list).
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intervale.operators import catalog, encode, evaluate, intervals, labels, perturb, search, tokens, universe
+from intervale.operators import catalog, encode, evaluate, intervals, labels, network, perturb, search, tokens, universe
 from intervale.session import cut, session
 from intervale.sources import bed, sinks
 
@@ -99,7 +99,8 @@ def evaluation(spark, a) -> None:
     elif a.test == "ctt":
         out = evaluate.clustering_tendency(vectors, a.most, a.seed)
     else:
-        out = evaluate.reconstruction(numbered.select("id", "v", F.col("b")), seed=a.seed)
+        rows = numbered.select("id", "v", "b")
+        out = network.reconstruction(rows, hidden=(a.hidden,), seed=a.seed) if a.hidden else evaluate.reconstruction(rows, seed=a.seed)
     out.write.csv(a.output, header=True)
 
 
@@ -109,6 +110,15 @@ def train(spark, a) -> None:
     sinks.export_model(words.select(F.col("word").alias("id"), "v"), a.output)
 
 
+def train_map(spark, a) -> None:
+    net = network.train(spark.read.parquet(a.pairs), hidden=(a.hidden,), loss=a.loss, rounds=a.rounds, seed=a.seed)
+    net.save(spark, a.output)
+
+
+def apply_map(spark, a) -> None:
+    network.load(spark, a.model).predict(spark.read.parquet(a.vectors)).write.parquet(a.output)
+
+
 def encode_cells(spark, a) -> None:
     counts, features = bed.read_cells(spark, a.counts, a.features)
     vocab = encode.vocabulary(_universe(spark, a.universe))
@@ -162,9 +172,11 @@ def parser() -> argparse.ArgumentParser:
     command("lh", lh, "regions", "chrom-sizes", "output", force=False)
     rates = {f"{k}rate": 0.0 for k in ("shift", "add", "cut", "merge", "drop")}
     command("perturb", perturbed, "bed", "output", chrom_sizes=None, yaml=None, seed=42, repeat=1, shiftmean=0.0, shiftstdev=150.0, addmean=320.0, addstdev=30.0, **rates)
-    p = command("eval", evaluation, "embeddings", "output", K=50, resolution=10, samples=100, most=10_000, seed=42)
+    p = command("eval", evaluation, "embeddings", "output", K=50, resolution=10, samples=100, most=10_000, hidden=0, seed=42)
     p.add_argument("test", choices=("gdst", "npt", "ctt", "rct"))
     command("train", train, "tokens", "output", width=100, min_count=5, epochs=1, seed=1, partitions=1)
+    command("train-map", train_map, "pairs", "output", hidden=256, loss="cosine", rounds=100, seed=1)
+    command("apply-map", apply_map, "vectors", "model", "output")
     command("encode-cells", encode_cells, "counts", "features", "universe", "model", "output")
     p = command("labels", search_labels, "distances", "query", "output", num=10)
     p.add_argument("type", choices=("l2r", "r2l", "r2r"))

@@ -236,6 +236,12 @@ def test_command_line(spark, tmp_path):
     for t in ("gdst", "npt", "ctt", "rct"):
         run("eval", t, "--embeddings", f"{tmp_path}/emb", "--output", f"{tmp_path}/e_{t}", "--K", "10")
         assert spark.read.csv(f"{tmp_path}/e_{t}", header=True).count()
+    run("eval", "rct", "--embeddings", f"{tmp_path}/emb", "--output", f"{tmp_path}/e_net", "--hidden", "4")
+    assert spark.read.csv(f"{tmp_path}/e_net", header=True).count() == 5
+    spark.read.parquet(f"{D}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.slice("embedding", 1, 3).alias("y")).write.parquet(f"{tmp_path}/pairs")
+    run("train-map", "--pairs", f"{tmp_path}/pairs", "--output", f"{tmp_path}/net", "--hidden", "8", "--rounds", "5")
+    run("apply-map", "--vectors", f"{tmp_path}/pairs", "--model", f"{tmp_path}/net", "--output", f"{tmp_path}/mapped")
+    assert all(len(r["p"]) == 3 for r in spark.read.parquet(f"{tmp_path}/mapped").collect())
     spark.createDataFrame([([1, 2, 3, 1, 2, 3],)] * 5, "tokens array<int>").write.parquet(f"{tmp_path}/docs")
     run("train", "--tokens", f"{tmp_path}/docs", "--width", "4", "--min-count", "1", "--output", f"{tmp_path}/r2v")
     assert sinks.load_model(spark, f"{tmp_path}/r2v")[1] == {"vocab_size": 3, "embedding_dim": 4}
