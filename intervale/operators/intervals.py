@@ -206,7 +206,11 @@ def coverage(regions: DataFrame, bucket: int = BUCKET) -> DataFrame:
     Depth changes are summed by position first, then swept within buckets; the sum of earlier buckets is carried in.
     """
     deltas = regions.select("chrom", F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d")))).alias("e"))
-    steps = deltas.groupBy("chrom", F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d")).withColumn("_b", F.floor(F.col("pos") / bucket))
+    return swept(deltas.groupBy("chrom", F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d")).withColumn("_b", F.floor(F.col("pos") / bucket)))
+
+
+def swept(steps: DataFrame) -> DataFrame:
+    """Runs (chrom, start, end, cov) of non-zero depth from its changes (chrom, _b, pos, d), one a position, in buckets ``_b`` that part positions in order."""
     order = Window.partitionBy("chrom").orderBy("_b")
     sums = steps.groupBy("chrom", "_b").agg(F.sum("d").alias("held"), F.min("pos").alias("lo"))
     sums = sums.select("chrom", "_b", F.coalesce(F.sum("held").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_carry"), F.lead("lo").over(order).alias("_next"))
