@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from intervale.functions.regions import snp_end
+from intervale.session import cut
 
 MOST_HEADERS = 5
 
@@ -17,21 +18,28 @@ class BedFileError(ValueError):
 def read_bed(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """bed_id (file name), row_idx, chrom, start, end, rest of BED files; gzip by extension.
 
+    ``row_idx`` is the number of the line, from 0 and blank ones with it, over all files in the order of their paths.  It follows from the lines of
+    earlier blocks and the place within the block, so that neither the splits nor the executors of a read change it; lines are written once.
     Up to five leading rows that are no regions are skipped; more, or one further down, raise.  ``rest`` holds the further
     columns, however many, that have a value in every row of the file.
     """
-    raw = spark.read.text(path).select(F.col("_metadata.file_name").alias("bed_id"), F.monotonically_increasing_id().alias("row_idx"), F.split("value", "\t").alias("f")).where(F.trim(F.array_join("f", "")) != "")
-    got = raw.select("bed_id", "row_idx", F.col("f")[0].alias("chrom"), F.get("f", F.lit(1)).try_cast("long").alias("start"), F.get("f", F.lit(2)).try_cast("long").alias("end"), F.expr("slice(f, 4, greatest(size(f) - 3, 0))").alias("rest"))
+    meta = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_m")]
+    held = cut(spark.read.text(path).select(F.col("_metadata.file_name").alias("bed_id"), *meta, F.split("value", "\t").alias("f")))
+    blocks = held.groupBy("_path", "_at").agg(F.min("_m").alias("_lo"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_path", "_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a block
+    rows = held.where(F.trim(F.array_join("f", "")) != "").join(blocks.select("_path", "_at", (before - F.col("_lo")).alias("_less")), ["_path", "_at"])
+    got = rows.select("bed_id", (F.col("_m") + F.col("_less")).alias("row_idx"), F.col("f")[0].alias("chrom"), F.get("f", F.lit(1)).try_cast("long").alias("start"), F.get("f", F.lit(2)).try_cast("long").alias("end"), F.expr("slice(f, 4, greatest(size(f) - 3, 0))").alias("rest"))
     bad = F.col("start").isNull() | F.col("end").isNull()
     gaps = F.filter(F.transform("rest", lambda x, i: F.when(F.trim(x) == "", i)), lambda i: i.isNotNull())
-    first = got.groupBy("bed_id").agg(
-        F.min(F.when(~bad, F.col("row_idx"))).alias("first"), F.count(F.when(bad, 1)).alias("bad"), F.min(F.when(~bad, F.size("rest"))).alias("wide"), F.array_distinct(F.flatten(F.collect_set(F.when(~bad, gaps)))).alias("gaps")
+    files = cut(
+        got.groupBy("bed_id").agg(
+            F.min(F.when(~bad, F.col("row_idx"))).alias("first"), F.max(F.when(bad, F.col("row_idx"))).alias("last"), F.count(F.when(bad, 1)).alias("bad"), F.min(F.when(~bad, F.size("rest"))).alias("wide"), F.array_distinct(F.flatten(F.collect_set(F.when(~bad, gaps)))).alias("gaps")
+        )
     )
-    late = got.where(bad).join(first, "bed_id").where("first is null or row_idx > first")
-    if not late.isEmpty() or not first.where(F.col("bad") > MOST_HEADERS).isEmpty():
+    if not files.where((F.col("bad") > MOST_HEADERS) | F.col("first").isNull() | (F.col("last") > F.col("first"))).isEmpty():
         raise BedFileError(f"rows that are no regions: {path}")
     kept = F.filter("rest", lambda x, i: (i < F.col("wide")) & ~F.array_contains("gaps", i))
-    return got.where(~bad).join(first.select("bed_id", "wide", "gaps"), "bed_id").withColumn("rest", kept).drop("wide", "gaps")
+    return got.where(~bad).join(files.select("bed_id", "wide", "gaps"), "bed_id").withColumn("rest", kept).drop("wide", "gaps")
 
 
 def read_bed_list(spark: SparkSession, path: str, folder: str = "") -> DataFrame:

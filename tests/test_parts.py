@@ -1,5 +1,6 @@
 """Sources, sinks, functions, encoding, indexes, the cache, streams and the command line."""
 
+import gzip
 import json
 
 import pytest
@@ -31,6 +32,23 @@ def test_functions(spark):
     assert len(r["kept"]) == 6 and r["kept"] == sorted(r["kept"]) and r["all"] == [1] and r["mask"] == [True, False] and (r["end"], r["same"]) == (6, 6) and r["f"][0] != 0.1
 
 
+def test_row_numbers_follow_lines(spark, tmp_path):
+    lines = [f"chr{k % 3}\t{k}\t{k + 5}" if k % 50 else "" for k in range(1, 6001)]
+    (tmp_path / "a.bed").write_text("track\n" + "\n".join(lines) + "\n")
+    (tmp_path / "b.bed").write_text("chr1\t7\t9\n" * 3)
+    with gzip.open(tmp_path / "c.bed.gz", "wt") as f:
+        f.write("chr1\t1\t2\n\nchr1\t3\t4\n")
+    want = sorted([("a.bed", k, k) for k in range(1, 6001) if k % 50] + [("b.bed", 6001 + k, 7) for k in range(3)] + [("c.bed.gz", 6004, 1), ("c.bed.gz", 6006, 3)])
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (was, "7000", "1111"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = bed.read_bed(spark, f"{tmp_path}/*.bed*")
+            assert sorted((r["bed_id"], r["row_idx"], r["start"]) for r in got.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.bed").write_text("chr2\t5\t9\n\nchr1\t1\t3\n")
     (tmp_path / "list.txt").write_text("a.bed\n")
