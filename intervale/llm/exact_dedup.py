@@ -2,10 +2,10 @@
 
 Every input partition sorts its rows by digest and hands on one row for each digest it holds: a sorted run of (digest, length
 and second hash of the text, smallest identifier, rows).  Runs then merge in binomial rounds: in round k the runs whose
-numbers agree but for their lowest ``k * FAN_BITS`` bits exchange ranges of digests, each task merges the sorted runs it got,
-and of rows whose digest, length and second hash all agree only the smallest identifier and the sum of rows go on.  A digest
+numbers agree but for their lowest ``k * FAN_BITS`` bits exchange their rows by a hash of digest and run; each task sorts and merges what it
+got, and of rows whose digest, length and second hash all agree only the smallest identifier and the sum of rows go on.  A digest
 therefore costs one row for each run that holds it in the first round and fewer in each later one, however many copies
-there are, and no task sees all copies.
+there are, and no task sees all copies.  A digest that comes once goes through all rounds too.
 
 The smallest identifier is a struct, so Spark aggregates by sorting: each round's plan sorts and merges below the exchange,
 exchanges, and merges the sorted pieces above it.
