@@ -90,13 +90,17 @@ def metadata(rows: DataFrame, columns: list[str], file_key: str, *, series_key:
 class Cache:
     """Region sets, sets of region sets and tokens under a folder, by content address.
 
-    ``folder``: by default the one that ``INTERVALE_CACHE`` names.  ``fetch`` gives the rows of a region set that the cache
+    ``folder``: by default the one that ``INTERVALE_CACHE`` names, or, on a local master only, one in the home folder; executors
+    write to it, so it must be shared, and ``ValueError`` is raised where none is named.  ``fetch`` gives the rows of a region set that the cache
     lacks, and ``fetch_set`` the identifiers of a set's members.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, fetch: Callable[[str], DataFrame] | None = None, fetch_set: Callable[[str], list[str]] | None = None) -> None:
         self.spark, self.fetch, self.fetch_set = spark, fetch, fetch_set
-        self.folder = (folder or os.path.expanduser(os.environ.get(CACHE_VARIABLE, CACHE_DEFAULT))).rstrip("/")
+        named = folder or os.environ.get(CACHE_VARIABLE)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"name a folder that driver and executors share, or set {CACHE_VARIABLE}")
+        self.folder = (named or os.path.expanduser(CACHE_DEFAULT)).rstrip("/")
 
     def _path(self, identifier: str, kind: str = "bedfiles") -> str:
         return f"{self.folder}/{kind}/{identifier[0]}/{identifier[1]}/{identifier}"

@@ -25,6 +25,8 @@ def cc(cov: DataFrame, sizes: DataFrame, cutoff: float | None = None, join: int
     return out.where(F.col("end") - F.col("start") >= least).select("chrom", "start", "end")
 
 
+#: Up to so many rows of a likelihood model (32 MB) are broadcast; more are joined by shuffling.
+BROADCAST_DEPTHS = 1_000_000
 #: A core gap of so many positions splits a flexible region; how far the two cutoffs lie from the mean's quantile.
 SPLIT, SHIFT = 50, 0.2
 
@@ -163,7 +165,8 @@ def hard_likelihood(cov: DataFrame, sizes: DataFrame, model: DataFrame, universe
     All positions count as background, and those of the universe's regions get the difference.
     """
     width = F.col("end") - F.col("start")
-    known = cov.join(F.broadcast(model), ["chrom", "cov"])
+    model = cut(model)  # a row for each depth of a chromosome, so it grows with the files
+    known = cov.join(F.broadcast(model) if model.count() <= BROADCAST_DEPTHS else model.hint("merge"), ["chrom", "cov"])
     ground = known.groupBy("chrom").agg(F.sum(width * F.col("bg")).alias("held"), F.sum(width).alias("covered"))
     zero = model.where("cov = 0").select("chrom", F.col("bg").alias("bg0"), F.col("fg").alias("fg0"))
     right = universe.select("chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end"))

@@ -2,13 +2,14 @@
 
 import gzip
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from intervale import cli
 from intervale.functions import regions as fn
-from intervale.operators import catalog, encode, evaluate, index, intervals, labels, search, tokens
+from intervale.operators import catalog, encode, evaluate, index, intervals, labels, search, tokens, universe
 from intervale.plans import catalogue
 from intervale.sources import bed, sinks
 from intervale.streaming.tokenize import stream_tokens
@@ -154,6 +155,20 @@ def test_index_with_payloads_texts_and_tags(spark):
     assert index.RegionSearch(one_, vocab, known).query(regions, 1, with_payload=False).first()["score"] > 0.999
 
 
+def test_cache_on_a_cluster_names_its_folder(monkeypatch):
+    monkeypatch.delenv(catalog.CACHE_VARIABLE, raising=False)
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://there:7077"))
+    with pytest.raises(ValueError):
+        catalog.Cache(cluster)
+    assert catalog.Cache(cluster, "hdfs://shared/").folder == "hdfs://shared"
+
+
+def test_likelihood_of_models_too_large_to_broadcast(spark, monkeypatch):
+    want = [sorted(catalogue.queries()[q](spark, D).collect()) for q in ("lh_hard", "lh_flexible")]
+    monkeypatch.setattr(universe, "BROADCAST_DEPTHS", 0)
+    assert [sorted(catalogue.queries()[q](spark, D).collect()) for q in ("lh_hard", "lh_flexible")] == want and all(want)
+
+
 def test_cache_of_sets_and_tokens(spark, tmp_path, monkeypatch):
     monkeypatch.setenv(catalog.CACHE_VARIABLE, str(tmp_path / "cache"))
     cache = catalog.Cache(spark)
