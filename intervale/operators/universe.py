@@ -103,21 +103,22 @@ def flexible_gains(tracks: DataFrame, model: DataFrame, universe: DataFrame) ->
 
     Within the core the core track counts as peak; over the flanks its weight rises and falls linearly, and the start and
     the end track count as peak with the flank's share.  Weights are linear in the position, so a piece of constant depth
-    has its sum in closed form.  Chromosomes without a model add nothing.
+    has its sum in closed form; they are taken from places within the region, in whole numbers up to one division, so that no digits
+    are lost far along a chromosome.  Chromosomes without a model add nothing.
     """
     n1, n2 = F.col("core_start") - F.col("start"), F.col("end") - F.col("core_end")
-    zero = F.lit(0.0)
+    whole = F.lit(1).cast("long")
 
-    def part(track, low, high, base, slope):
-        return F.struct(F.lit(track).alias("track"), F.col(low).alias("r_start"), F.col(high).alias("r_end"), base.alias("base"), slope.alias("slope"))
+    def part(track, low, high, n, rise):
+        return F.struct(F.lit(track).alias("track"), F.col(low).alias("r_start"), F.col(high).alias("r_end"), F.nullif(n, F.lit(0).cast("long")).alias("of"), F.lit(rise).alias("rise"))
 
-    one, two = F.nullif(n1, F.lit(0)), F.nullif(n2, F.lit(0))
+    # weights (position - start + 1) / n1, (end - position) / n2, and the same number throughout
     five = [
-        part("core", "start", "core_start", (1 - F.col("start")) / one, 1 / one),
-        part("core", "core_start", "core_end", F.lit(1.0), zero),
-        part("core", "core_end", "end", F.col("end") / two, -1 / two),
-        part("start", "start", "core_start", 1 / one, zero),
-        part("end", "core_end", "end", 1 / two, zero),
+        part("core", "start", "core_start", n1, 1),
+        part("core", "core_start", "core_end", whole, 0),
+        part("core", "core_end", "end", n2, -1),
+        part("start", "start", "core_start", n1, 0),
+        part("end", "core_end", "end", n2, 0),
     ]
     parts = universe.select("uid", "chrom", F.explode(F.array(*five)).alias("p")).select("uid", "chrom", "p.*").where("r_start < r_end")
     none = model.where("cov = 0").select("chrom", "track", (F.col("fg") - F.col("bg")).alias("v0"))
@@ -126,10 +127,11 @@ def flexible_gains(tracks: DataFrame, model: DataFrame, universe: DataFrame) ->
     pieces = known.select(key, "start", "end", (F.col("fg") - F.col("bg") - F.col("v0")).alias("more"))
 
     def weight(low, high):
-        return (high - low) * (F.col("base") + F.col("slope") * (low + high - 1) / 2)
+        up, down = (low - F.col("r_start")) + (high - F.col("r_start")) + 1, (F.col("r_end") - low) + (F.col("r_end") - high) + 1
+        return (high - low) * F.when(F.col("rise") > 0, up).when(F.col("rise") < 0, down).otherwise(2) / (2 * F.col("of"))
 
-    met = intervals.interval_join(pieces, parts.select(key, F.col("chrom").alias("of"), "uid", "r_start", "r_end", "base", "slope"))
-    met = met.select(F.col("of").alias("chrom"), "uid", (weight(F.greatest("start", "r_start"), F.least("end", "r_end")) * F.col("more")).alias("x"))
+    met = intervals.interval_join(pieces, parts.select(key, F.col("chrom").alias("name"), "uid", "r_start", "r_end", "of", "rise"))
+    met = met.select(F.col("name").alias("chrom"), "uid", (weight(F.greatest("start", "r_start"), F.least("end", "r_end")) * F.col("more")).alias("x"))
     flat = parts.join(none, ["chrom", "track"]).select("chrom", "uid", (weight(F.col("r_start"), F.col("r_end")) * F.col("v0")).alias("x"))
     return flat.unionByName(met).groupBy("chrom", "uid").agg(F.sum("x").alias("gain"))
 

@@ -105,3 +105,16 @@ def test_rows_drawn_from_those_that_overlap(spark):
     assert {r["row_idx"] for r in perturb.drop_from_file(bed, other, 0.9, 1).collect()} == set(range(4, 20))
     moved = perturb.shift_from_file(bed, sizes, other, 0.9, 5000.0, 1.0, 1).where(F.col("mod") == "S").collect()
     assert {r["row_idx"] for r in moved} == set(range(4))
+
+
+def test_gains_lose_no_digits_far_along_a_chromosome(spark):
+    far = 4_000_000_000
+    model = spark.createDataFrame([("chr1", t, c, -0.7 * c - 0.1, 0.3 * c - 0.9) for t in universe.TRACKS for c in (0, 1, 2)], "chrom string, track string, cov long, bg double, fg double")
+    runs = [("core", 3, 9, 1), ("core", 9, 25, 2), ("start", 4, 6, 1), ("end", 28, 33, 2)]
+    tracks = spark.createDataFrame([("chr1", t, at + a, at + b, c) for at in (0, far) for t, a, b, c in runs], "chrom string, track string, start long, end long, cov long")
+    regions = spark.createDataFrame([(k, "chr1", at, at + 7, at + 22, at + 33) for k, at in enumerate((0, far))], "uid long, chrom string, start long, core_start long, core_end long, end long")
+    near, away = (r["gain"] for r in universe.flexible_gains(tracks, model, regions).orderBy("uid").collect())
+    depth = {t: [next((c for k, a, b, c in runs if k == t and a <= p < b), 0) for p in range(33)] for t in universe.TRACKS}
+    weigh = {"core": lambda p: (p + 1) / 7 if p < 7 else 1 if p < 22 else (33 - p) / 11, "start": lambda p: 1 / 7 if p < 7 else 0, "end": lambda p: 1 / 11 if p >= 22 else 0}
+    want = sum(weigh[t](p) * (1.0 * depth[t][p] - 0.8) for t in universe.TRACKS for p in range(33))
+    assert abs(near - want) < 1e-11 and abs(away - want) < 1e-11
