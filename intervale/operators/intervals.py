@@ -32,7 +32,8 @@ def interval_join(left: DataFrame, right: DataFrame, how: str = "inner", size: i
     ``WIDE`` times as wide hold wide left rows and all right ones in tier 1, narrow left rows and wide right ones in tier 2.  So
     every pair meets in one tier, and narrow pairs never in wide bins.  It counts in the first bin that both fill, so nothing is made
     distinct afterwards.  ``least_share``: of the right row's length that
-    must be covered.  ``semi`` and ``anti`` keep or drop the left rows that overlap, equal rows each for themselves.
+    must be covered.  ``semi`` and ``anti`` keep or drop the left rows that overlap, equal rows each for themselves.  Both sides are
+    sorted and merged: rows are multiplied by their bins, which the size of their files, that broadcasts are chosen by, doesn't tell.
     """
     if how in ("semi", "anti"):
         # whether a row overlaps follows from its own columns, so equal rows share one answer
@@ -49,7 +50,7 @@ def interval_join(left: DataFrame, right: DataFrame, how: str = "inner", size: i
     b = _bins(right.withColumnRenamed("chrom", "_c"), "r_start", "r_end", size, "_rt", "_rb", (0, 1), (1, 2))
     met = F.col("_lb") == F.floor(F.greatest("start", "r_start") / F.when(F.col("_lt") == 0, size).otherwise(size * WIDE))
     keys = (F.col("chrom") == F.col("_c")) & (F.col("_lt") == F.col("_rt")) & (F.col("_lb") == F.col("_rb"))
-    return a.join(b, keys & met & overlap, "inner").drop("_lt", "_rt", "_lb", "_rb", "_c")
+    return a.join(b.hint("merge"), keys & met & overlap, "inner").drop("_lt", "_rt", "_lb", "_rb", "_c")
 
 
 def _opened(regions: DataFrame, by: list[str], bucket: int) -> tuple[DataFrame, DataFrame]:
@@ -318,12 +319,15 @@ def ranked(rows: DataFrame, order: list[str], bucket: int = BUCKET) -> DataFrame
 
 
 def neighbours(regions: DataFrame, k: int) -> DataFrame:
-    """The k regions of the same chromosome nearest to each (uid, neighbour, place), among the k before and after it."""
+    """The k regions of the same chromosome nearest to each (uid, neighbour, place), among the k before and after it.
+
+    Each region asks 2k times, so neither side is broadcast.
+    """
     from intervale.functions.regions import genome_distance
 
     at = ranked(regions.select("uid", "chrom", "start", "end"), ["uid"])
     other = at.select(F.col("uid").alias("neighbour"), "chrom", F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("n").alias("m"))
     asked = at.withColumn("m", F.explode(F.sequence(F.col("n") - k, F.col("n") + k))).where("m <> n")
-    near = asked.join(other, ["chrom", "m"]).withColumn("d", genome_distance(F.col("start"), F.col("end"), F.col("s2"), F.col("e2")))
+    near = asked.join(other.hint("merge"), ["chrom", "m"]).withColumn("d", genome_distance(F.col("start"), F.col("end"), F.col("s2"), F.col("e2")))
     place = F.row_number().over(Window.partitionBy("uid").orderBy("d", "neighbour"))
     return near.withColumn("place", place).where(F.col("place") <= k).select("uid", "neighbour", "place")

@@ -199,3 +199,17 @@ def test_positions_are_asked_once(spark):
     for bucket in (7, 100, 1 << 20):
         got = {r["id"]: r["distance"] for r in intervals.nearest(q, t, bucket).collect()}
         assert got == {i: min(abs(p - x) for _, x in targets) for i, _, p in queries}
+
+
+def test_what_bins_or_neighbours_multiply_is_not_broadcast(spark, tmp_path):
+    rows = spark.range(50).selectExpr("id AS uid", "'chr1' AS chrom", "id * 40 AS start", "id * 40 + 30 AS end")
+    rows.write.parquet(str(tmp_path / "u"))  # files far below the limit for broadcasts
+    u = spark.read.parquet(str(tmp_path / "u"))
+    right = u.select("uid", "chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    joined = intervals.interval_join(u.select("chrom", "start", "end"), right)
+    near = intervals.neighbours(u, 3)
+    for frame in (joined, near):
+        assert "SortMergeJoin" in frame._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert ", m#" not in "".join(x for x in near._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x)
+    assert joined.count() == 50 and near.where("uid = 10").orderBy("place").select("neighbour").first()[0] == 9
