@@ -209,6 +209,14 @@ def _once(rows: list[np.ndarray]) -> list[np.ndarray]:
     return [x[new] for x in rows]
 
 
+def met_once(rows: DataFrame, known: DataFrame, few: bool = False) -> DataFrame:
+    """Rows (id, ...) joined with ``known`` (id, ...): all rows of an id, which are a few a tree, meet its row at once and part again afterwards."""
+    rest = [c for c in rows.columns if c != "id"]
+    own = rows.groupBy("id").agg(F.collect_list(F.struct(*rest)).alias("_own"))
+    met = known.join(F.broadcast(own) if few else own, "id")
+    return met.withColumn("_o", F.explode("_own")).select("id", *[F.col("_o")[c].alias(c) for c in rest], *[c for c in known.columns if c != "id"])
+
+
 def candidates(members: DataFrame, classes: DataFrame, percent: int, most: int = MOST) -> DataFrame:
     """Groups (node, id, root, late) of what the sketches leave to compare within the nodes of ``members`` (node, id, root).
 
@@ -243,7 +251,7 @@ def candidates(members: DataFrame, classes: DataFrame, percent: int, most: int =
             yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(ids[places]), pa.array(roots[places]), pa.array(late)], ["node", "id", "root", "late"])
 
     own = members.select("node", "id", "root")
-    known = classes.select("id", F.col("n_shingles").alias("n"), "sig").join(F.broadcast(own) if own.count() <= BROADCAST_NODES else own, "id")
+    known = met_once(own, classes.select("id", F.col("n_shingles").alias("n"), "sig"), own.count() <= BROADCAST_NODES)
     found = known.repartition("node").sortWithinPartitions("node", "id").select("node", "id", "root", "n", "sig").mapInArrow(run, "node long, id long, root long, late boolean")
     return found.groupBy("node", "id", "root").agg(F.min("late").alias("late"))
 
@@ -398,7 +406,7 @@ def near_groups(
     rest = cut(many.select("id").unionByName(large.select("id")).distinct().withColumn("node", F.lit(0).cast("long")))
     sets = None if rest.isEmpty() else cut(class_sets(docs, classes.join(rest, "id"), words, id_col, text_col).select("id", "members").dropDuplicates(["id"]))
     if not many.isEmpty():
-        early = cut(compare(many.where(EARLY).join(sets, "id"), percent))
+        early = cut(compare(met_once(many.where(EARLY), sets), percent))
         # what a quarter of the groups has linked needs no other group
         links = links.unionByName(early).unionByName(compare_apart(rooted(many.where(f"not ({EARLY})").drop("root"), cut(partly_joined(early))), sets, percent))
     known = components(compare_large(large, classes, sets, links, percent, small, most) if left else links)
@@ -456,7 +464,7 @@ def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
 def compare_apart(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Compares the groups of tasks (node, id, root) that have more than one root."""
     apart = tasks.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("node")
-    return cut(compare(tasks.join(apart, "node", "left_semi").join(sets, "id"), percent))
+    return cut(compare(met_once(tasks.join(apart, "node", "left_semi"), sets), percent))
 
 
 def compare_large(nodes: DataFrame, classes: DataFrame, sets: DataFrame, links: DataFrame, percent: int, small: int, most: int) -> DataFrame:
@@ -470,7 +478,7 @@ def compare_large(nodes: DataFrame, classes: DataFrame, sets: DataFrame, links:
         one = F.xxhash64("node", "block", "other").alias("node")
         meets = side.select("node", "block", "other").distinct().join(spread.select("node", F.col("block").alias("other"), "id", "root"), ["node", "other"])
         tasks = side.select(one, "id", "root").unionByName(meets.select(one, "id", "root"))
-        return cut(compare(cut(candidates(tasks, classes, percent, most)).join(sets, "id"), percent))
+        return cut(compare(met_once(cut(candidates(tasks, classes, percent, most)), sets), percent))
 
     spread = rooted(blocked, cut(partly_joined(links)))
     # pivots only spare work below; a quarter of the nodes is enough for that

@@ -587,3 +587,16 @@ def test_shuffled_ways_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "BROADCAST_GROUPS", 0)
     monkeypatch.setattr(lm_scoring, "BROADCAST_IDS", 0)
     assert {k: sorted(map(str, f().collect())) for k, f in runs.items()} == before
+
+
+def test_sets_meet_their_rows_once_and_in_small_batches(spark):
+    from intervale.llm import common, near_dedup
+
+    rows = spark.createDataFrame([(n, i, i % 3) for i in range(20) for n in range(i % 5)], "node long, id long, root long")
+    known = spark.createDataFrame([(i, bytes([i])) for i in range(0, 20, 2)], "id long, members binary")
+    got = near_dedup.met_once(rows, known)
+    assert sorted(got.select("id", "node", "root", "members").collect()) == sorted(rows.join(known, "id").select("id", "node", "root", "members").collect())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join Inner")  # rows part again above the join
+    common.prepare(spark)
+    assert 0 < int(spark.conf.get(common.ROWS_A_BATCH)) <= common.BATCH
