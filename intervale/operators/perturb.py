@@ -55,6 +55,24 @@ def drawn(bed: DataFrame, rate: float, seed: int, step: str, among: DataFrame |
     return first_by_hash(bed.select("row_idx"), n, _hash(seed, step), "row_idx")
 
 
+def marked(bed: DataFrame, rate: float, seed: int, step: str) -> DataFrame:
+    """Adds ``_d``, true for the rows that ``drawn`` names without ``among``, else null: those up to the place of the last one drawn.
+
+    The place is one row, found in one bucket of the hash, so that the rows are neither exchanged nor joined.  Rows share a
+    number only if they are drawn together.
+    """
+    n, h = int(bed.count() * rate), _hash(seed, step)
+    x = bed.select("row_idx", h.alias("_h")).withColumn("_p", F.substring("_h", 1, DIGITS))
+    counts = x.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))
+    edge = counts.withColumn("_upto", upto).where(F.col("_upto") >= n).orderBy("_p").first() if n else None  # of at most 16**DIGITS rows
+    if edge is None:
+        return bed.withColumn("_d", F.lit(None).cast("boolean"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy("_h", "row_idx"))
+    last = x.where(F.col("_p") == edge["_p"]).withColumn("_i", place).where(F.col("_i") == n - edge["_upto"] + edge["_n"]).select("_h", "row_idx").first()
+    return bed.withColumn("_d", F.when((h < last["_h"]) | (h == last["_h"]) & (F.col("row_idx") <= last["row_idx"]), True))
+
+
 def normal(seed: int, step: str, mean: float, sd: float, key: Column) -> Column:
     """Box-Muller on two hashes."""
     u, v = uniform(seed, step + "u", key), uniform(seed, step + "v", key)
@@ -63,7 +81,7 @@ def normal(seed: int, step: str, mean: float, sd: float, key: Column) -> Column:
 
 def drop(bed: DataFrame, rate: float, seed: int) -> DataFrame:
     check_rate(rate)
-    return bed.join(drawn(bed, rate, seed, "drop"), "row_idx", "left_anti")
+    return marked(bed, rate, seed, "drop").where("_d is null").drop("_d")
 
 
 def drop_from_file(bed: DataFrame, other: DataFrame, rate: float, seed: int) -> DataFrame:
@@ -81,7 +99,8 @@ def shift(bed: DataFrame, sizes: DataFrame, rate: float, mean: float, sd: float,
     """Moves both ends by one delta, truncated to a whole number; a row that would leave its chromosome stays."""
     check_rate(rate)
     by = normal(seed, "shift", mean, sd, F.col("row_idx")).cast("long")
-    x = bed.join(drawn(bed, rate, seed, "shift", other).withColumn("_d", F.lit(True)), "row_idx", "left").join(F.broadcast(sizes), "chrom", "left").withColumn("_by", by)
+    x = marked(bed, rate, seed, "shift") if other is None else bed.join(drawn(bed, rate, seed, "shift", other).withColumn("_d", F.lit(True)), "row_idx", "left")
+    x = x.join(F.broadcast(sizes), "chrom", "left").withColumn("_by", by)
     ok = F.col("_d").isNotNull() & (F.col("start") + F.col("_by") >= 0) & (F.col("end") + F.col("_by") <= F.col("size"))
     ok = F.coalesce(ok, F.lit(False))
     return x.select("row_idx", "chrom", F.when(ok, F.col("start") + F.col("_by")).otherwise(F.col("start")).alias("start"), F.when(ok, F.col("end") + F.col("_by")).otherwise(F.col("end")).alias("end"), F.when(ok, F.lit("S")).otherwise(F.col("mod")).alias("mod"))
@@ -94,7 +113,7 @@ ASIDE = 10
 def cut(bed: DataFrame, rate: float, seed: int) -> DataFrame:
     """Splits drawn rows at their middle, or ``ASIDE`` from an end where the middle is no place within; row_idx doubles, so that second halves have numbers between."""
     check_rate(rate)
-    x = bed.join(drawn(bed, rate, seed, "cut").withColumn("_d", F.lit(True)), "row_idx", "left")
+    x = marked(bed, rate, seed, "cut")
     mid = F.floor((F.col("start") + F.col("end")) / 2)
     mid = F.when(mid <= F.col("start"), F.col("start") + ASIDE).otherwise(mid)
     mid = F.when(mid >= F.col("end"), F.col("end") - ASIDE).otherwise(mid)
@@ -124,8 +143,7 @@ def _beside(rows: DataFrame, buckets: int) -> DataFrame:
 def merge_rows(bed: DataFrame, rate: float, seed: int) -> DataFrame:
     """Joins a drawn row with the next row of the frame, if that is on the same chromosome: from its start to the next one's end; both rows go."""
     check_rate(rate)
-    picked = drawn(bed, rate, seed, "merge").withColumn("_d", F.lit(True))
-    x = _beside(bed.join(picked, "row_idx", "left"), max(16, bed.count() >> 20))
+    x = _beside(marked(bed, rate, seed, "merge"), max(16, bed.count() >> 20))
     made = F.coalesce(F.col("_d") & (F.col("_chrom") == F.col("chrom")), F.lit(False))
     kept = x.where(~made & ~F.coalesce("_was", F.lit(False))).select("row_idx", "chrom", "start", "end", "mod")
     return kept.unionByName(x.where(made).select("row_idx", "chrom", "start", F.col("_end").alias("end"), F.lit("M").alias("mod")))
@@ -183,7 +201,8 @@ def add_from_file(bed: DataFrame, other: DataFrame, rate: float, seed: int) -> D
 
 
 def all_perturbations(bed: DataFrame, sizes: DataFrame, seed: int, *, shift_rate=0.0, add_rate=0.0, cut_rate=0.0, merge_rate=0.0, drop_rate=0.0, mean=0.0, sd=150.0, add_mean=320.0, add_sd=30.0) -> DataFrame:
-    """Shift, add, cut, merge, drop - those with a rate, in this order; each one's result is written, as the next reads it several times."""
+    """Shift, add, cut, merge, drop - those with a rate, in this order; the rows and each one's result are written, as the next reads them several times."""
+    bed = written(bed)
     bed = written(shift(bed, sizes, shift_rate, mean, sd, seed)) if shift_rate else bed
     bed = written(add(bed, sizes, add_rate, add_mean, add_sd, seed)) if add_rate else bed
     bed = written(cut(bed, cut_rate, seed)) if cut_rate else bed

@@ -118,3 +118,11 @@ def test_gains_lose_no_digits_far_along_a_chromosome(spark):
     weigh = {"core": lambda p: (p + 1) / 7 if p < 7 else 1 if p < 22 else (33 - p) / 11, "start": lambda p: 1 / 7 if p < 7 else 0, "end": lambda p: 1 / 11 if p >= 22 else 0}
     want = sum(weigh[t](p) * (1.0 * depth[t][p] - 0.8) for t in universe.TRACKS for p in range(33))
     assert abs(near - want) < 1e-11 and abs(away - want) < 1e-11
+
+
+def test_marked_rows_are_those_drawn_and_no_join_finds_them(spark):
+    bed = spark.createDataFrame([(i, "chr1", i * 10, i * 10 + 5, "-") for i in range(300)], "row_idx long, chrom string, start long, end long, mod string")
+    for rate in (0.0, 0.003, 0.37, 1.0):
+        got = {r["row_idx"] for r in perturb.marked(bed, rate, 7, "drop").where("_d").collect()}
+        assert got == {r["row_idx"] for r in perturb.drawn(bed, rate, 7, "drop").collect()} and len(got) == int(300 * rate)
+    assert "Join" not in perturb.drop(bed, 0.3, 7)._jdf.queryExecution().optimizedPlan().toString()
