@@ -4,7 +4,8 @@ by ranking a document's label before others.
 The model is a table (token, v, u), a row a token.  In a round every block of documents joins the rows of the tokens it needs, goes
 through its documents in small steps, and hands on how far it has moved each of those rows; a token's row then moves by the mean of
 its blocks.  So no task holds the model or the corpus.  Documents are sets of tokens in no order of their own: each epoch
-shuffles them anew.  Negative examples come from Walker's alias table of the tokens' shares to a power, met by slot.
+shuffles them anew.  Negative examples come from Walker's alias table of the tokens' shares to a power, drawn bucket by bucket for many
+blocks at once, and reach a block as distinct tokens with their counts.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,8 @@ from intervale.functions.regions import LABEL, is_label, uniform
 from intervale.operators import tokens as tk
 from intervale.session import cut, prepare
 
-#: Tokens of a block (a longer document stands alone), tokens of a step within it, and rows of the model that are updated at once.
-BLOCK, STEP, ROWS = 1 << 15, 128, 1 << 14
+#: Tokens of a block (a longer document stands alone), tokens of a step within it, rows of the model and of what moves it that are met at once, and negatives that are drawn at once.
+BLOCK, STEP, ROWS, MOVES, DRAWS = 1 << 15, 128, 1 << 14, 1 << 16, 1 << 21
 
 
 def alias_table(weights: DataFrame, bucket: int = 1 << 16) -> DataFrame:
@@ -67,6 +69,46 @@ def drawn(draws: DataFrame, table: DataFrame, seed: int, *key: str) -> DataFrame
     return met.select(*draws.columns, F.when(F.col("_c") < F.col("keep"), F.col("_t")).otherwise(F.col("other")).alias("token"))
 
 
+def negatives_of(counts: DataFrame, table: DataFrame, each: int, seed: int) -> DataFrame:
+    """block, tokens, times: what ``each`` draws for each of a block's examples (block, m) give, distinct tokens with their counts; several rows a block.
+
+    How many of a block's draws fall to each bucket of the alias table is drawn first; then a bucket serves blocks of about ``DRAWS`` draws together.
+    """
+    kind = table.schema["token"].dataType.simpleString()
+    worth = [r["w"] for r in table.groupBy("bucket").agg(F.first("worth").alias("w")).orderBy("bucket").collect()]  # a row for 65,536 tokens
+    names = [r["bucket"] for r in table.select("bucket").distinct().orderBy("bucket").collect()]
+    draws = (counts.agg(F.sum("m")).first()[0] or 0) * each
+    parts = max(1, -(-draws // max(1, len(names)) // DRAWS))
+    share = np.array(worth) / max(sum(worth), 1e-300)
+
+    def deal(batches):
+        for b in batches:
+            rows = [(names[k], block % parts, block, n) for block, m in zip(b.column("block").to_pylist(), b.column("m").to_pylist(), strict=True) if names for k, n in enumerate(np.random.default_rng([seed, block]).multinomial(m * each, share).tolist()) if n]
+            bucket, part, block, n = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(part, pa.int64()), pa.array(block, pa.int64()), pa.array(n, pa.int64())], ["bucket", "part", "block", "n"])
+
+    def draw(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        rows, blocks, tokens, times = rows.sort_by("slot"), [], [], []
+        keep, name = rows["keep"].to_numpy(), rows["token"].combine_chunks()
+        other = pc.index_in(rows["other"].combine_chunks(), value_set=name).to_numpy()
+        for bucket, block, n in zip(asked["bucket"].to_pylist(), asked["block"].to_pylist(), asked["n"].to_pylist(), strict=True):
+            rng = np.random.default_rng([seed, bucket + 1, block])
+            slot = rng.integers(len(keep), size=n)
+            seen = np.bincount(np.where(rng.random(n) < keep[slot], slot, other[slot]))
+            at = np.flatnonzero(seen)
+            blocks.append(block)
+            tokens.append(at)
+            times.append(seen[at])
+        ends = pa.array(np.concatenate(([0], np.cumsum([len(t) for t in tokens]))), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, x) for x in (name.take(pa.array(np.concatenate(tokens))), pa.array(np.concatenate(times), pa.int32()))]
+        return pa.table([pa.array(blocks, pa.int64()), *lists], names=["block", "tokens", "times"])
+
+    dealt = counts.select(F.col("block").cast("long").alias("block"), F.col("m").cast("long").alias("m")).mapInArrow(deal, "bucket int, part long, block long, n long")
+    served = table.select("bucket", "slot", "keep", "token", "other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+    served = served.join(dealt.select("bucket", "part").distinct(), ["bucket", "part"], "left_semi")
+    return dealt.groupBy("bucket", "part").cogroup(served.groupBy("bucket", "part")).applyInArrow(draw, f"block long, tokens array<{kind}>, times array<int>")
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
@@ -106,42 +148,69 @@ def _first_rows(width: int, seed: int):
     return run
 
 
-def _rows(column) -> np.ndarray:
+def _rows(column, width: int | None = None) -> np.ndarray:
+    """A list column as a matrix; rows that are null are 0, for which the width is asked."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    x = column.flatten().to_numpy(zero_copy_only=False)
+    if not column.null_count:
+        return x.reshape(len(column), -1)
+    out = np.zeros((len(column), width or len(x) // (len(column) - column.null_count)))
+    out[column.is_valid().to_numpy(zero_copy_only=False)] = x.reshape(-1, out.shape[1])
+    return out
+
+
+def _lists(x: np.ndarray, held: np.ndarray | None = None) -> pa.Array:
+    """A matrix as a list column; null where a row isn't held."""
+    held = np.ones(len(x), bool) if held is None else held
+    ends = np.concatenate(([0], np.cumsum(held * x.shape[1])))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x[held].ravel(), pa.float64()), mask=pa.array(~held))
+
+
+def _places(docs: pa.Table, names: pa.Array, seed: int, epoch: int) -> tuple[list[str], list[np.ndarray], np.ndarray]:
+    """A block's documents in the order of ids, as the places of their tokens among ``names``, and those of its negatives in a seeded order."""
+    block, given = docs["block"][0].as_py(), pc.is_valid(docs["id"])
+    own, drawn = docs.filter(given).sort_by("id"), docs.filter(pc.invert(given))
+    at, some = (pc.index_in(x["tokens"].combine_chunks().flatten(), value_set=names).to_numpy(zero_copy_only=False).astype(np.int64) for x in (own, drawn))
+    ends = np.cumsum(pc.list_value_length(own["tokens"]).to_numpy())
+    pool = np.sort(np.repeat(some, drawn["times"].combine_chunks().flatten().to_numpy(zero_copy_only=False)))
+    return own["id"].to_pylist(), np.split(at, ends[:-1]), np.random.default_rng([seed, epoch, block, 1]).permutation(pool)
+
+
+def _told(block: int, names: pa.Array, dv: np.ndarray, du: np.ndarray, vs: np.ndarray | None, us: np.ndarray | None, loss: float, n: int) -> pa.Table:
+    rest = len(names) - 1
+    return pa.table([pa.array([block] * (rest + 1), pa.int64()), names, _lists(dv, vs), _lists(du, us), pa.array([loss] + [0.0] * rest), pa.array([n] + [0] * rest, pa.int64())], names=["block", "token", "dv", "du", "loss", "n"])
 
 
 def _block_pass(docs: pa.Table, rows: pa.Table, epoch: int, window: int, negatives: int, rate: float, seed: int) -> pa.Table:
     """How far a block moves the rows of its tokens in one pass over its documents, and its loss."""
     rows = rows.sort_by("token")
-    names = rows["token"].to_pylist()
-    place = {t: i for i, t in enumerate(names)}
-    v0, u0 = _rows(rows["v"]), _rows(rows["u"])
+    names = rows["token"].combine_chunks()
+    ids, every, pool = _places(docs, names, seed, epoch)
+    u0 = _rows(rows["u"])
+    v0 = _rows(rows["v"], u0.shape[1])
     v, u = v0.copy(), u0.copy()
-    every = sorted(zip(docs["id"].to_pylist(), docs["tokens"].to_pylist(), strict=True), key=lambda x: (x[0] is not None, str(x[0])))
-    pool = np.array([place[t] for i, ts in every if i is None for t in ts], np.int64)
     target, context, mask = [], [], []
-    for i, ts in every:
-        if i is None:
-            continue
-        own = np.array([place[t] for t in ts], np.int64)[np.random.default_rng([seed, epoch, zlib.crc32(str(i).encode())]).permutation(len(ts))]
+    for i, places in zip(ids, every, strict=True):
+        own = places[np.random.default_rng([seed, epoch, zlib.crc32(str(i).encode())]).permutation(len(places))]
         at = np.arange(len(own))[:, None] + np.array([d for d in range(-window, window + 1) if d])
         inside = (at >= 0) & (at < len(own))
         target.append(own)
-        context.append(np.where(inside, own[np.clip(at, 0, len(own) - 1)], 0))
+        context.append(np.where(inside, own[np.clip(at, 0, len(own) - 1)], own[:1]))
         mask.append(inside)
     target, context, mask = np.concatenate(target), np.concatenate(context), np.concatenate(mask)
-    negative = pool.reshape(len(target), negatives)
+    out = np.concatenate((target[:, None], pool.reshape(len(target), negatives)), 1)
     total, order = 0.0, np.random.default_rng([seed, epoch]).permutation(len(target))
     for i in range(0, len(order), STEP):
         some = order[i : i + STEP]
-        loss, dv, du = step(v, u, context[some], mask[some], target[some], negative[some])
+        # a step reads and moves the rows of its own tokens only, not the block's
+        vs, of = np.unique(context[some], return_inverse=True)
+        us, to = np.unique(out[some], return_inverse=True)
+        of, to = of.reshape(len(some), -1), to.reshape(len(some), -1)
+        loss, dv, du = step(v[vs], u[us], of, mask[some], to[:, 0], to[:, 1:])
         total += loss
-        v -= rate * dv
-        u -= rate * du
-    block, n = docs["block"][0].as_py(), len(names)
-    moved = [pa.array((x - x0).tolist(), pa.list_(pa.float64())) for x, x0 in ((v, v0), (u, u0))]
-    return pa.table([pa.array([block] * n, pa.int64()), rows["token"], *moved, pa.array([total] + [0.0] * (n - 1)), pa.array([int(mask.any(1).sum())] + [0] * (n - 1), pa.int64())], names=["block", "token", "dv", "du", "loss", "n"])
+        v[vs] -= rate * dv
+        u[us] -= rate * du
+    return _told(docs["block"][0].as_py(), names, v - v0, u - u0, rows["v"].combine_chunks().is_valid().to_numpy(zero_copy_only=False), None, total, int(mask.any(1).sum()))
 
 
 def _pass(*options):
@@ -163,21 +232,22 @@ def train(docs: DataFrame, *, width: int = 100, window: int = 5, negatives: int
     size = lists.agg(F.sum(F.size("tokens"))).first()[0] or 0
     held = cut(lists.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-size // block))))))
     counts = held.groupBy("block").agg(F.sum(F.size("tokens")).alias("m"))
-    return _fit(held, known, counts, chances, width, negatives, epochs if size else 0, rate, seed, lambda epoch, now: _pass(epoch, window, negatives, now, seed))
+    return _fit(held, known, counts, chances, width, negatives, epochs if size else 0, rate, seed, lambda epoch, now: _pass(epoch, window, negatives, now, seed), (F.when(F.col("own"), F.col("v")).alias("v"), "u"))
 
 
-def _fit(held: DataFrame, known: DataFrame, counts: DataFrame, chances: DataFrame, width: int, negatives: int, epochs: int, rate: float, seed: int, make) -> Trained:
-    """Rounds over blocks (block, id, tokens) from first rows of the known tokens; ``counts`` (block, m) has each block's examples, for which negatives are drawn."""
+def _fit(held: DataFrame, known: DataFrame, counts: DataFrame, chances: DataFrame, width: int, negatives: int, epochs: int, rate: float, seed: int, make, sides: tuple) -> Trained:
+    """Rounds over blocks (block, id, tokens) from first rows of the known tokens; ``counts`` (block, m) has each block's examples, for which negatives are drawn, and ``sides`` what a block reads of v and u."""
     kind = known.schema["token"].dataType.simpleString()
     schema = f"token {kind}, v array<double>, u array<double>"
     model = cut(known.mapInArrow(_first_rows(width, seed), schema))
     losses = []
     for epoch in range(epochs):
         now = rate * (1 - 0.9 * epoch / max(1, epochs - 1))
-        draws = counts.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") * negatives - 1)).alias("k"))
-        picked = drawn(draws, chances, seed * 1000 + epoch, "block", "k").groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "token"))), lambda x: x["token"]).alias("tokens"))
-        blocks = cut(held.select("block", "id", "tokens").unionByName(picked.select("block", F.lit(None).cast("string").alias("id"), "tokens")))
-        needs = blocks.select(F.col("block").alias("_block"), F.explode("tokens").alias("token")).distinct().join(model, "token")
+        picked = negatives_of(counts, chances, negatives, seed * 1000 + epoch)
+        blocks = cut(held.select("block", "id", "tokens", F.lit(None).cast("array<int>").alias("times")).unionByName(picked.select("block", F.lit(None).cast("string").alias("id"), "tokens", "times")))
+        # negatives move only what they are as targets
+        needs = blocks.select(F.col("block").alias("_block"), F.col("id").isNotNull().alias("own"), F.explode("tokens").alias("token")).groupBy("_block", "token").agg(F.max("own").alias("own"))
+        needs = needs.join(model, "token").select("_block", "token", *sides)
         moved = cut(blocks.groupBy("block").cogroup(needs.groupBy("_block")).applyInArrow(make(epoch, now), f"block long, token {kind}, dv array<double>, du array<double>, loss double, n long"))
         told = moved.agg(F.sum("loss").alias("l"), F.sum("n").alias("n")).first()
         losses.append(told["l"] / max(told["n"], 1))
@@ -201,28 +271,22 @@ def ranking(x: np.ndarray, labels: np.ndarray, margin: float) -> tuple[float, np
 def _label_pass(docs: pa.Table, rows: pa.Table, epoch: int, negatives: int, margin: float, rate: float, seed: int) -> pa.Table:
     """As ``_block_pass``, for documents of words and labels: of each, one of its labels stands against drawn ones that it has not."""
     rows = rows.sort_by("token")
-    names = rows["token"].to_pylist()
-    place = {t: i for i, t in enumerate(names)}
+    names = rows["token"].combine_chunks()
     v0 = _rows(rows["v"])
     v = v0.copy()
-    every = sorted(zip(docs["id"].to_pylist(), docs["tokens"].to_pylist(), strict=True), key=lambda x: (x[0] is not None, str(x[0])))
-    pool = np.array([place[t] for i, ts in every if i is None for t in ts], np.int64).reshape(-1, negatives)
-    every = [x for x in every if x[0] is not None]
-    total = 0.0
+    marked = pc.match_substring(names, LABEL).to_numpy(zero_copy_only=False)
+    _, every, pool = _places(docs, names, seed, epoch)
+    pool, total = pool.reshape(-1, negatives), 0.0
     for n in np.random.default_rng([seed, epoch]).permutation(len(every)).tolist():
-        ts = every[n][1]
-        words = np.array([place[t] for t in ts if LABEL not in t], np.int64)
-        own = [place[t] for t in ts if LABEL in t]
+        words, own = every[n][~marked[every[n]]], every[n][marked[every[n]]]
         first = own[np.random.default_rng([seed, epoch, n]).integers(len(own))]
         others = pool[n][~np.isin(pool[n], own)]
         at = np.concatenate(([first], others)).astype(np.int64)
         loss, dx, dl = ranking(v[words].mean(0), v[at], margin)
         total += loss
         np.add.at(v, at, -rate * dl)
-        np.add.at(v, words, -rate * dx / len(words))
-    block, n = docs["block"][0].as_py(), len(names)
-    moved = [pa.array(x.tolist(), pa.list_(pa.float64())) for x in (v - v0, np.zeros_like(v))]
-    return pa.table([pa.array([block] * n, pa.int64()), rows["token"], *moved, pa.array([total] + [0.0] * (n - 1)), pa.array([len(every)] + [0] * (n - 1), pa.int64())], names=["block", "token", "dv", "du", "loss", "n"])
+        v[words] -= rate * dx / len(words)  # words are distinct
+    return _told(docs["block"][0].as_py(), names, v - v0, v, None, np.zeros(len(v), bool), total, len(every))
 
 
 def _labels(*options):
@@ -244,26 +308,25 @@ def train_labels(documents: DataFrame, *, width: int = 100, negatives: int = 10,
     known = held.select(F.explode("tokens").alias("token")).distinct()
     chances = cut(alias_table(known.where(is_label(F.col("token"))).withColumn("p", F.lit(1.0))))
     counts = held.groupBy("block").agg(F.count(F.lit(1)).alias("m"))
-    return _fit(held, known, counts, chances, width, negatives, epochs if size else 0, rate, seed, lambda epoch, now: _labels(epoch, negatives, margin, now, seed))
+    return _fit(held, known, counts, chances, width, negatives, epochs if size else 0, rate, seed, lambda epoch, now: _labels(epoch, negatives, margin, now, seed), ("v",))
 
 
 def _moved(model: DataFrame, moved: DataFrame, schema: str) -> DataFrame:
     """The model with each row moved by the mean of its blocks, summed in the order of blocks."""
-    parts = F.pmod(F.xxhash64("token"), F.lit(max(1, -(-model.count() // ROWS))))
+    parts = F.pmod(F.xxhash64("token"), F.lit(max(1, -(-model.count() // ROWS), -(-moved.count() // MOVES))))
 
     def run(rows: pa.Table, by: pa.Table) -> pa.Table:
         rows, by = rows.sort_by("token"), by.sort_by([("token", "ascending"), ("block", "ascending")])
-        place = {t: i for i, t in enumerate(rows["token"].to_pylist())}
-        at = np.array([place[t] for t in by["token"].to_pylist()], np.int64)
-        n = np.maximum(np.bincount(at, minlength=len(place)), 1)[:, None]
+        at = pc.index_in(by["token"].combine_chunks(), value_set=rows["token"].combine_chunks()).to_numpy(zero_copy_only=False).astype(np.int64)
+        n = np.maximum(np.bincount(at, minlength=len(rows)), 1)[:, None]
         out = []
         for own, d in (("v", "dv"), ("u", "du")):
             x = _rows(rows[own]).copy()
             if len(at):
                 total = np.zeros_like(x)
-                np.add.at(total, at, _rows(by[d]))
+                np.add.at(total, at, _rows(by[d], x.shape[1]))
                 x += total / n
-            out.append(pa.array(x.tolist(), pa.list_(pa.float64())))
+            out.append(_lists(x))
         return pa.table([rows["token"], *out], names=["token", "v", "u"])
 
     return model.withColumn("part", parts).groupBy("part").cogroup(moved.select("token", "block", "dv", "du").withColumn("part", parts).groupBy("part")).applyInArrow(lambda a, b: run(a.drop_columns(["part"]), b.drop_columns(["part"])), schema)

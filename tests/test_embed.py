@@ -120,3 +120,20 @@ def test_held_out_documents_rank_their_label_first(spark):
     y = np.stack([v[n] / np.sqrt(v[n] @ v[n]) for n in names])
     hits = [int((y @ np.mean([v[w] for w in words if w in v], 0)).argmax()) == topic for topic, words in kept]
     assert np.mean(hits) >= 0.95
+
+
+def test_negatives_come_as_counts_of_distinct_tokens(spark, monkeypatch):
+    monkeypatch.setattr(embed, "DRAWS", 4000)  # several groups of blocks for a bucket
+    weights = {f"t{i}": w for i, w in enumerate([0.4, 0.05, 0.2, 0.01, 0.14, 0.1, 0.1])} | {"never": 0.0}
+    table = embed.alias_table(spark.createDataFrame(list(weights.items()), "token string, p double"), 3).cache()
+    counts = spark.createDataFrame([(b, 1000 + b) for b in range(12)], "block long, m long")
+    got = embed.negatives_of(counts, table, 5, 7).collect()
+    own, seen = collections.Counter(), collections.Counter()
+    for r in got:
+        assert len(set(r["tokens"])) == len(r["tokens"]) == len(r["times"])
+        own[r["block"]] += sum(r["times"])
+        seen.update(dict(zip(r["tokens"], r["times"])))
+    assert own == {b: 5 * (1000 + b) for b in range(12)} and "never" not in seen
+    assert all(abs(seen[t] / sum(own.values()) - w) < 0.012 for t, w in weights.items() if w)
+    again = embed.negatives_of(counts.repartition(3), table.repartition(5), 5, 7).collect()
+    assert sorted((r["block"], *zip(r["tokens"], r["times"])) for r in again) == sorted((r["block"], *zip(r["tokens"], r["times"])) for r in got)
