@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from intervale.session import cut, prepare
 
 #: So many numbers of queries are on the driver and broadcast at once (2 MB), and so many scores in memory.
 QUERY_NUMBERS, SCORES = 1 << 18, 1 << 22
+#: So many queries of a random ranking meet all items in one task, one after another.
+RANKED_AT_ONCE = 128
 
 
 def scores_of(measure: str, v: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -235,6 +238,41 @@ def random_ranking(queries: DataFrame, items: DataFrame, seed: int) -> DataFrame
     return pairs.select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy("_h", "id")).alias("place"))
 
 
+def random_metrics(queries: DataFrame, items: DataFrame, seed: int) -> DataFrame:
+    """``retrieval_metrics`` of ``random_ranking`` for queries (query_id, wanted) and items (id, label), one of which is relevant if its label is the wanted one.
+
+    The work is queries times items, but no pair is exchanged: a group of queries meets ids and labels of all items, and a query's order and
+    its hits are gone before the next one's.  Items without an id take no part; keys are distinct.
+    """
+    prepare(queries.sparkSession)
+    parts = max(1, -(-queries.count() // RANKED_AT_ONCE))
+    kind = queries.schema["query_id"].dataType.simpleString()
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        ids = [x.encode() for x in rows["id"].to_pylist()]
+        label = rows["label"].combine_chunks().dictionary_encode()
+        code, known = label.indices.fill_null(-1).to_numpy(zero_copy_only=False), {x: i for i, x in enumerate(label.dictionary.to_pylist())}
+        place, out = np.arange(1, len(ids) + 1), []
+        for name, wanted in zip(asked["name"].to_pylist(), asked["wanted"].to_pylist(), strict=True):
+            head = f"{seed}|{name}|".encode()
+            h = np.frombuffer(b"".join([hashlib.md5(head + x).digest() for x in ids]), ">u8").reshape(-1, 2).astype(np.uint64)
+            order = np.argsort(h[:, 0])
+            if (h[order[1:], 0] == h[order[:-1], 0]).any():
+                order = np.lexsort((h[:, 1], h[:, 0]))
+            got = code[order]
+            relevant = got == known.get(wanted, -2)
+            r = int(relevant.sum())
+            hits, other = np.cumsum(relevant), ~relevant & (got >= 0)
+            ap = float((hits[relevant] / place[relevant]).sum()) / r if r else None
+            auc = float(hits[other].sum()) / (r * (len(ids) - r)) if r and other.any() else None
+            out.append((ap, auc, float(hits[r - 1]) / r if r else None))
+        return pa.table([asked["query_id"], *[pa.array(x, pa.float64()) for x in (zip(*out, strict=True) if out else [()] * 3)]], names=["query_id", "ap", "auc", "rp"])
+
+    own = queries.select("query_id", F.col("query_id").cast("string").alias("name"), F.col("wanted").cast("string").alias("wanted"), F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part"))
+    every = items.where("id is not null").select(F.col("id").cast("string").alias("id"), F.col("label").cast("string").alias("label"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+    return own.groupBy("part").cogroup(every.groupBy("part")).applyInArrow(run, f"query_id {kind}, ap double, auc double, rp double")
+
+
 def pool(vectors: DataFrame, by: str, how: str = "mean") -> DataFrame:
     """by, v: element-wise mean or max of the vectors (v) of each group; null vectors are skipped, groups of nothing else have none."""
     from pyspark.ml.functions import array_to_vector, vector_to_array

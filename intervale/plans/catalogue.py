@@ -627,8 +627,8 @@ e AS (SELECT query_id, sum(CASE WHEN rel = 1 THEN hits / n ELSE 0 END) / nullif(
 SELECT round(avg(ap), 6) AS map, round(avg(auc), 6) AS auc, round(avg(rp), 6) AS rp, count(*) AS queries FROM e""")
 def random_retrieval(spark, d):
     own = vectors(spark, d).select("id", "label")
-    ranked = search.random_ranking(_asked(spark, d), own, 11).join(own, "id").join(own.select(F.col("id").alias("query_id"), F.col("label").alias("wanted")), "query_id")
-    means = search.mean_metrics(search.retrieval_metrics(ranked.select("query_id", "place", (F.col("label") == F.col("wanted")).cast("int").alias("relevant"))))
+    asked = own.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("label").alias("wanted"))
+    means = search.mean_metrics(search.random_metrics(asked, own, 11))
     return means.select(*[F.round(c, 6).alias(c) for c in ("map", "auc", "rp")], "queries")
 
 

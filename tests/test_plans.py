@@ -179,3 +179,14 @@ def test_many_columns_and_gaps_in_bed_files(spark, tmp_path):
     (tmp_path / "w.bed").write_text(f"chr1\t1\t9\t{wide}\nchr1\t4\t9\t{wide.replace('v3', '', 1)}\n")
     got = bed.read_bed(spark, str(tmp_path / "w.bed")).collect()
     assert len(got) == 2 and all(len(r["rest"]) == 116 and "v116" in r["rest"] and not re.search("v3$", ",".join(r["rest"][:4])) for r in got)
+
+
+def test_random_metrics_exchange_no_pairs(spark):
+    items = spark.createDataFrame([(i, None if i % 11 == 0 else i % 3) for i in range(90)], "id long, label int")
+    asked = items.where("id % 7 = 0").select(F.col("id").alias("query_id"), F.col("label").alias("wanted"))
+    ranked = search.random_ranking(asked, items, 11).join(items, "id").join(asked, "query_id")
+    want = search.retrieval_metrics(ranked.select("query_id", "place", (F.col("label") == F.col("wanted")).cast("int").alias("relevant")))
+    got = search.random_metrics(asked, items, 11)
+    assert "CartesianProduct" not in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().toString()
+    a, b = ({r["query_id"]: [None if x is None else round(x, 9) for x in r[1:]] for r in x.select("query_id", "ap", "auc", "rp").collect()} for x in (got, want))
+    assert a == b and len(a) == 13
