@@ -11,6 +11,17 @@ from intervale.session import cut
 BIN, WIDE = 1024, 64
 #: Positions of one bucket are swept together; sums and neighbours are carried between buckets.
 BUCKET = 1 << 20
+#: Of tables of more rows than the session's shuffle partitions times this, a task gets about so many rows to sort or group.
+DEALT = 1 << 18
+
+
+def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """Rows in tasks by hashes of keys, the more tasks the larger ``n``, the count of rows; left as they are where the session's partitions suffice.
+
+    Tables that are joined are dealt by the same n.  The number is fixed, so adaptive execution doesn't merge tasks by their compressed sizes.
+    """
+    tasks = -(-n // DEALT)
+    return rows.repartition(tasks, *keys) if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
 
 
 def _bins(df: DataFrame, start: str, end: str, size: int, tier: str, bin_: str, narrow: tuple[int, ...] = (0, 2), wide: tuple[int, ...] = (1,)) -> DataFrame:
@@ -25,7 +36,7 @@ def _bins(df: DataFrame, start: str, end: str, size: int, tier: str, bin_: str,
     return df.withColumn("_p", F.explode(places)).select(*df.columns, F.col("_p.t").alias(tier), F.col("_p.b").alias(bin_))
 
 
-def interval_join(left: DataFrame, right: DataFrame, how: str = "inner", size: int = BIN, on: Column | None = None, least_share: float | None = None) -> DataFrame:
+def interval_join(left: DataFrame, right: DataFrame, how: str = "inner", size: int = BIN, on: Column | None = None, least_share: float | None = None, rows: int | None = None) -> DataFrame:
     """Rows of ``left`` (chrom, start, end, ...) with overlapping rows of ``right`` (chrom, r_start, r_end, ...).
 
     Both sides are cut into bins and joined on (chrom, tier, bin).  Two narrow rows meet in the fine bins of tier 0; bins
@@ -33,14 +44,17 @@ def interval_join(left: DataFrame, right: DataFrame, how: str = "inner", size: i
     every pair meets in one tier, and narrow pairs never in wide bins.  It counts in the first bin that both fill, so nothing is made
     distinct afterwards.  ``least_share``: of the right row's length that
     must be covered.  ``semi`` and ``anti`` keep or drop the left rows that overlap, equal rows each for themselves.  Both sides are
-    sorted and merged: rows are multiplied by their bins, which the size of their files, that broadcasts are chosen by, doesn't tell.
+    sorted and merged: rows are multiplied by their bins, which the size of their files, that broadcasts are chosen by, doesn't tell.  ``rows``: how many both sides have, where that is known without counting.
     """
+    if rows is None:
+        rows = 0 if left.isStreaming or right.isStreaming else left.count() + right.count()
     if how in ("semi", "anti"):
         # whether a row overlaps follows from its own columns, so equal rows share one answer
         keys = ["chrom", "start", "end"] if on is None else left.columns
-        found = interval_join(left.select(keys).distinct(), right, "inner", size, on, least_share).select([F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()
-        same = [left[k].eqNullSafe(found[f"_k{i}"]) for i, k in enumerate(keys)]
-        return left.join(found, same, f"left_{how}")
+        found = interval_join(dealt(left.select(keys), rows, *keys).distinct(), right, "inner", size, on, least_share, rows).select([F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()
+        found, held = dealt(found, rows, *[f"_k{i}" for i in range(len(keys))]), dealt(left, rows, *keys)
+        same = [held[k].eqNullSafe(found[f"_k{i}"]) for i, k in enumerate(keys)]
+        return held.join(found, same, f"left_{how}")
     overlap = (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end"))
     if on is not None:
         overlap = overlap & on
@@ -50,17 +64,18 @@ def interval_join(left: DataFrame, right: DataFrame, how: str = "inner", size: i
     b = _bins(right.withColumnRenamed("chrom", "_c"), "r_start", "r_end", size, "_rt", "_rb", (0, 1), (1, 2))
     met = F.col("_lb") == F.floor(F.greatest("start", "r_start") / F.when(F.col("_lt") == 0, size).otherwise(size * WIDE))
     keys = (F.col("chrom") == F.col("_c")) & (F.col("_lt") == F.col("_rt")) & (F.col("_lb") == F.col("_rb"))
+    a, b = dealt(a, rows, "chrom", "_lt", "_lb"), dealt(b, rows, "_c", "_rt", "_rb")
     return a.join(b.hint("merge"), keys & met & overlap, "inner").drop("_lt", "_rt", "_lb", "_rb", "_c")
 
 
-def _opened(regions: DataFrame, by: list[str], bucket: int) -> tuple[DataFrame, DataFrame]:
+def _opened(regions: DataFrame, by: list[str], bucket: int, rows: int = 0) -> tuple[DataFrame, DataFrame]:
     """What is merged within buckets, (by, chrom, _b, start, end) with the last end of earlier buckets as ``_prior``, and a row a bucket with ``_prior`` and ``_all``, the last end of all.
 
     Rows are exchanged once, by (by, chrom, bucket), and what their buckets merge to is written: carries and ends are found on that.
     """
     keys = [*by, "chrom"]
     own, over = Window.partitionBy(*keys, "_b"), Window.partitionBy(*keys)
-    x = regions.select(*keys, "start", "end").withColumn("_b", F.floor(F.col("start") / bucket)).repartition(*keys, "_b")
+    x = dealt(regions.select(*keys, "start", "end").withColumn("_b", F.floor(F.col("start") / bucket)).repartition(*keys, "_b"), rows, *keys, "_b")
     before = F.max("end").over(own.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     x = x.withColumns({"_m": before, "_l": F.max("end").over(own)}).where("_m is null or start > _m")
     local = cut(x.withColumn("end", F.coalesce(F.lead("_m").over(own.orderBy("start")), F.col("_l"))).select(*keys, "_b", "start", "end"))
@@ -76,7 +91,7 @@ def merge(regions: DataFrame, *by: str, bucket: int = BUCKET) -> DataFrame:
     theirs, and the last region that a bucket opens ends where all before the next one that opens end.
     """
     keys = [*by, "chrom"]
-    local, carried = _opened(regions, list(by), bucket)
+    local, carried = _opened(regions, list(by), bucket, regions.count())
     opens = F.col("_prior").isNull() | (F.col("start") > F.col("_prior"))
     met = local.groupBy(*keys, "_b").agg(F.max(opens).alias("_opens"), F.greatest(F.max("_prior"), F.max(F.when(~opens, F.col("end")))).alias("_before"))
     after = met.where("_opens").select(*keys, "_b", F.lead("_before").over(Window.partitionBy(*keys).orderBy("_b")).alias("_after"))
@@ -109,9 +124,10 @@ def around(queries: DataFrame, targets: DataFrame, bucket: int = BUCKET) -> Data
     Windows span one bucket of a chromosome, in which every position counts once, however many queries ask from it; what
     earlier and later buckets give is carried in.
     """
-    t = targets.groupBy("chrom", "lo").agg(F.max("hi").alias("hi")).withColumn("_b", F.floor(F.col("lo") / bucket))
-    asked = queries.groupBy("chrom", "pos").agg(F.lit(None).cast("long").alias("_lo"), F.lit(None).cast("long").alias("_hi")).withColumn("_b", F.floor(F.col("pos") / bucket))
-    marked = asked.unionByName(t.select("chrom", F.col("lo").alias("pos"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), "_b"))
+    n = queries.count() + targets.count()
+    t = dealt(targets.select("chrom", "lo", "hi"), n, "chrom", "lo").groupBy("chrom", "lo").agg(F.max("hi").alias("hi")).withColumn("_b", F.floor(F.col("lo") / bucket))
+    asked = dealt(queries.select("chrom", "pos"), n, "chrom", "pos").groupBy("chrom", "pos").agg(F.lit(None).cast("long").alias("_lo"), F.lit(None).cast("long").alias("_hi")).withColumn("_b", F.floor(F.col("pos") / bucket))
+    marked = dealt(asked.unionByName(t.select("chrom", F.col("lo").alias("pos"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), "_b")), n, "chrom", "_b")
     # frames that end at the current row, in both directions: those that begin there cost the square of the rows
     own = Window.partitionBy("chrom", "_b")
     up, down = (own.orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("pos"), F.desc("pos")))
@@ -120,7 +136,7 @@ def around(queries: DataFrame, targets: DataFrame, bucket: int = BUCKET) -> Data
     earlier, later = (Window.partitionBy("chrom").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_b"), F.desc("_b")))
     edges = edges.select("chrom", "_b", F.max("hi").over(earlier).alias("_before"), F.min("lo").over(later).alias("_after"))
     found = marked.where("_lo is null").join(edges, ["chrom", "_b"]).select("chrom", "pos", F.greatest("_p", "_before").alias("before"), F.coalesce("_n", "_after").alias("after"))
-    return queries.join(found, ["chrom", "pos"]).select(*queries.columns, "before", "after")
+    return dealt(queries, n, "chrom", "pos").join(dealt(found, n, "chrom", "pos"), ["chrom", "pos"]).select(*queries.columns, "before", "after")
 
 
 def nearest(queries: DataFrame, targets: DataFrame, bucket: int = BUCKET) -> DataFrame:

@@ -49,9 +49,10 @@ def first_by_hash(rows: DataFrame, n: int, h: Column, *ties: str) -> DataFrame:
 
 def drawn(bed: DataFrame, rate: float, seed: int, step: str, among: DataFrame | None = None) -> DataFrame:
     """The row_idx of the rows drawn: a share of all, from those that overlap ``among`` (fewer, if those don't suffice)."""
-    n = int(bed.count() * rate)
+    rows = bed.count()
+    n = int(rows * rate)
     if among is not None:
-        bed = interval_join(bed, among.select("chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end")), "semi")
+        bed = interval_join(bed, among.select("chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end")), "semi", rows=rows + among.count())
     return first_by_hash(bed.select("row_idx"), n, _hash(seed, step), "row_idx")
 
 
