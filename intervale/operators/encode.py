@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from intervale.functions.regions import parse_region, region_key
 from intervale.operators import intervals, search
+from intervale.session import cut
 
 #: Special tokens, whose ids follow those of the universe's regions in this order (fixed values).
 SPECIALS = ("unk", "pad", "mask", "cls", "eos", "bos", "sep")
@@ -29,9 +30,10 @@ def special_id(vocab: DataFrame, name: str) -> int:
 def token_rows(regions: DataFrame, vocab: DataFrame, *by: str) -> DataFrame:
     """by, row_idx, id: the token ids of each region, those it overlaps or the unknown one's; equal rows of a file once."""
     spans = vocab.where(~F.col("special")).select("id", parse_region(F.col("token")).alias("r")).select("id", F.col("r.chrom").alias("chrom"), F.col("r.start").alias("r_start"), F.col("r.end").alias("r_end"))
-    found = intervals.interval_join(regions.select(*by, "row_idx", "chrom", "start", "end"), spans).select(*by, "row_idx", "id").distinct()
-    own = regions.select(*by, "row_idx").distinct()
-    return own.join(found, [*by, "row_idx"], "left").fillna({"id": special_id(vocab, "unk")})
+    keys, rows = [*by, "row_idx"], regions.count() + vocab.count()
+    found = intervals.interval_join(regions.select(*keys, "chrom", "start", "end"), spans, rows=rows).select(*keys, "id")
+    own, found = (intervals.dealt(x, rows, *keys).distinct() for x in (regions.select(*keys), found))
+    return own.join(found, keys, "left").fillna({"id": special_id(vocab, "unk")})
 
 
 def token_lists(tokens: DataFrame, *by: str) -> DataFrame:
@@ -60,9 +62,13 @@ def _pooled(rows: DataFrame, by: list[str], width: int, how: str, weight: Column
 
 
 def encode_regions(tokens: DataFrame, embeddings: DataFrame, *by: str, how: str = "mean") -> DataFrame:
-    """by, row_idx, v: the mean (or max) of the vectors (id, v) of each region's tokens; null if none of them has one."""
-    rows, width = _known(embeddings)
-    return _pooled(tokens.join(rows, "id", "left"), [*by, "row_idx"], width, how)
+    """by, row_idx, v: the mean (or max) of the vectors (id, v) of each region's tokens; null if none of them has one.
+
+    A task pools the fewer regions, the wider their vectors.
+    """
+    (rows, width), tokens = _known(embeddings), cut(tokens)
+    met = intervals.dealt(tokens.join(rows, "id", "left"), tokens.count() * max(1, width // 16), *by, "row_idx")
+    return _pooled(met, [*by, "row_idx"], width, how)
 
 
 def encode_files(encoded: DataFrame, by: str = "bed_id", how: str = "mean") -> DataFrame:

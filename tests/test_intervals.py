@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from intervale.functions import regions as fn
-from intervale.operators import catalog, intervals, perturb, search
+from intervale.operators import catalog, encode, intervals, perturb, search
 from intervale.sources import bed
 
 A = [(10, 30), (110, 130), (210, 230)]
@@ -228,3 +228,25 @@ def test_similarities_of_some_files_are_on_the_scale_of_all(spark):
     known = [x for x in whole.values() if x is not None]
     assert abs(min(known)) < 1e-12 and abs(max(known) - 1) < 1e-12 and len(known) == 4 * 28
     assert all((x is None) == (whole[k] is None) and (x is None or abs(x - whole[k]) < 1e-12) for k, x in some.items())
+
+
+def test_tasks_follow_counted_rows(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i % 3, i, f"chr{rng.randrange(2)}", s := rng.randrange(1 << 21), s + rng.randrange(1, 400)) for i in range(3000)]
+    r = spark.createDataFrame(rows, "bed_id int, row_idx long, chrom string, start long, end long")
+    u = spark.createDataFrame([(k, f"chr{k % 2}", k * 3000, k * 3000 + 900) for k in range(700)], "uid long, chrom string, start long, end long")
+    other = u.select("uid", "chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    vectors = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(0, 700, 3)], "id long, v array<double>")
+
+    def every():
+        semi = intervals.interval_join(r, other, "semi")
+        tokens = encode.token_rows(r, encode.vocabulary(u), "bed_id")
+        wide = encode.encode_regions(tokens, vectors, "bed_id")
+        found = [semi, intervals.interval_join(r, other, "anti"), intervals.interval_join(r, other), intervals.merge(r, "bed_id"), intervals.universe_distances(r, u), intervals.boundary_distances(r, u), wide]
+        return [sorted(x.collect(), key=str) for x in found], [semi.rdd.getNumPartitions(), wide.rdd.getNumPartitions()]
+
+    want, few = every()
+    monkeypatch.setattr(intervals, "DEALT", 100)
+    got, many = every()
+    assert [a == b for a, b in zip(got, want)] == [True] * 7
+    assert max(few) <= 8 < min(many), (few, many)
