@@ -1125,7 +1125,7 @@ def rct_network(spark, d):
 def vec2vec(spark, d):
     """How near a network's vector of a text comes to the vector of the same number, by cosine."""
     texts = index.text_vectors(_read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id", "text")
-    pairs = texts.join(vectors(spark, d).select("id", F.col("v").cast("array<double>").alias("y")), "id")
+    pairs = cut(texts.join(vectors(spark, d).select("id", F.col("v").cast("array<double>").alias("y")), "id"))  # learned from, then scored
     got = network.train(pairs, hidden=(64,), rounds=20).predict(pairs)
     return got.select("id", fn.cosine("p", "y").alias("score"))
 

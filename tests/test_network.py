@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from intervale.functions.regions import cosine
 from intervale.operators import evaluate, index, network
 
 D = "/root/testdata/sf0.001"
@@ -118,3 +119,9 @@ def test_odd_rows(spark):
         network.train(spark.createDataFrame(odd, schema))
     net = network.train(spark.createDataFrame(odd + same, schema), loss="squared", rounds=5)
     assert abs(net.of(np.ones((1, 1)))[0, 0] - 1) < 1e-6
+
+
+def test_vectors_without_a_direction_have_no_cosine(spark):
+    rows = spark.createDataFrame([(1, [3.0, 4.0], [4.0, 3.0]), (2, [0.0, 0.0], [1.0, 0.0]), (3, [1.0, 0.0], [0.0, 0.0]), (4, None, [1.0, 0.0])], "id int, p array<double>, y array<double>")
+    got = {r["id"]: r["score"] for r in rows.select("id", cosine("p", "y").alias("score")).collect()}
+    assert abs(got.pop(1) - 0.96) < 1e-12 and got == {2: None, 3: None, 4: None}
