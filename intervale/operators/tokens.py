@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from intervale.session import cut
+
+#: Words that one task of Word2Vec goes through.
+TRAINED = 1 << 20
+
 
 def context(tokens: Column, i: Column, w: int) -> Column:
     """The in-bounds neighbours of place i (from 0), padded with 0 to 2w."""
@@ -45,12 +50,19 @@ def sentences(tokens: DataFrame, seed: int) -> DataFrame:
     return tokens.groupBy("id").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct(h.alias("h"), "token"))), lambda s: s["token"])).alias("sentence"))
 
 
-def train_embeddings(sentences: DataFrame, width: int = 100, least: int = 5, passes: int = 1, seed: int = 1, partitions: int = 1) -> DataFrame:
-    """word, v: Word2Vec vectors from sentences (sentence), in which tokens stand in random order.  More partitions train faster and mix their results."""
+def train_embeddings(sentences: DataFrame, width: int = 100, least: int = 5, passes: int = 1, seed: int = 1, partitions: int | None = None) -> DataFrame:
+    """word, v: Word2Vec vectors from sentences (sentence), in which tokens stand in random order.
+
+    Each of ``partitions`` trains on its sentences, and Spark mixes their vectors; by default there is one for every ``TRAINED`` words, so
+    that no task's work grows with the corpus.
+    """
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
     docs = sentences.select(F.split("sentence", " ").alias("words"))
+    if partitions is None:
+        docs = cut(docs)
+        partitions = max(1, -(-(docs.agg(F.sum(F.size("words"))).first()[0] or 0) // TRAINED))
     model = Word2Vec(vectorSize=width, minCount=least, seed=seed, maxIter=passes, numPartitions=partitions, inputCol="words", outputCol="v").fit(docs)
     return model.getVectors().select("word", vector_to_array("vector").alias("v"))
 

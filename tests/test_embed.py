@@ -4,6 +4,7 @@ import collections
 
 import numpy as np
 import pytest
+from pyspark.ml import feature
 
 from intervale.functions.regions import LABEL
 from intervale.operators import embed, tokens
@@ -137,3 +138,21 @@ def test_negatives_come_as_counts_of_distinct_tokens(spark, monkeypatch):
     assert all(abs(seen[t] / sum(own.values()) - w) < 0.012 for t, w in weights.items() if w)
     again = embed.negatives_of(counts.repartition(3), table.repartition(5), 5, 7).collect()
     assert sorted((r["block"], *zip(r["tokens"], r["times"])) for r in again) == sorted((r["block"], *zip(r["tokens"], r["times"])) for r in got)
+
+
+def test_words_are_trained_in_tasks_by_their_count(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    docs = [(i, " ".join(f"g{i % 4}_{k}" for k in rng.permutation(6))) for i in range(400)]
+    frame = spark.createDataFrame(docs, "id int, sentence string").repartition(3, "id")
+    asked, kind = [], feature.Word2Vec
+    monkeypatch.setattr(feature, "Word2Vec", lambda **options: asked.append(options["numPartitions"]) or kind(**options))
+    options = {"width": 8, "least": 1, "passes": 8}
+    few = tokens.train_embeddings(frame, **options).count()
+    monkeypatch.setattr(tokens, "TRAINED", 800)
+    got = {r["word"]: r["v"] for r in tokens.train_embeddings(frame, **options).collect()}
+    assert asked == [1, 3] and few == len(got) == 24
+    x = np.array([got[w] for w in sorted(got)])
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    assert np.mean([i // 6 == int(j) // 6 for i in range(24) for j in np.argsort(-s[i])[:5]]) > 0.9
