@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from intervale.session import cut, prepare
 
 #: So many numbers of queries are on the driver and broadcast at once (2 MB), and so many scores in memory.
-QUERY_NUMBERS, SCORES = 1 << 18, 1 << 22
+QUERY_NUMBERS, SCORES = 1 << 18, 1 << 20
 #: So many queries of a random ranking meet all items in one task, one after another.
 RANKED_AT_ONCE = 128
 
@@ -26,7 +26,8 @@ def scores_of(measure: str, v: np.ndarray, q: np.ndarray) -> np.ndarray:
     dots = v @ q.T
     with np.errstate(divide="ignore", invalid="ignore"):
         if measure == "cosine":
-            dots = dots / np.sqrt((v * v).sum(1))[:, None] / np.sqrt((q * q).sum(1))
+            dots /= np.sqrt((v * v).sum(1))[:, None]
+            dots /= np.sqrt((q * q).sum(1))
         elif measure == "jaccard":
             a, b = (v > 0).astype(float), (q > 0).astype(float)
             dots = dots / (a.sum(1)[:, None] + b.sum(1) - a @ b.T)
@@ -63,31 +64,42 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, measure: str = "cosine",
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, q, groups = shared.value
-            best: list[tuple] = [(np.empty(0), None)] * len(names)
+            columns: dict = {}
+            for i, name in enumerate(names.tolist()):
+                columns.setdefault(name, []).append(i)
+            best: tuple | None = None  # queries, scores and ids of what is ranked first so far
+            floor = np.full(len(names), -np.inf)  # the least score that still counts, by query
+            size = max(1, min(4096, SCORES // max(1, len(names))))
             for whole in batches:
-                for at in range(0, whole.num_rows, max(1, min(4096, SCORES // max(1, len(names))))):
-                    b = whole.slice(at, max(1, min(4096, SCORES // max(1, len(names)))))
+                for at in range(0, whole.num_rows, size):
+                    b = whole.slice(at, size)
                     ids = np.array(b.column("id").to_pylist())
                     v = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-                    every = np.round(scores_of(measure, v, q), 12)
+                    every = scores_of(measure, v, q)
+                    np.round(every, 12, out=every)
                     if within is not None:
                         every[np.array(b.column("g").to_pylist(), object)[:, None] != groups[None, :]] = np.nan
-                    for i, name in enumerate(names.tolist()):
-                        s = every[:, i]
-                        if not itself:
-                            s = np.where(ids == name, np.nan, s)
-                        near = np.flatnonzero(~np.isnan(s))
-                        if len(near) > most:
-                            near = near[s[near] >= np.partition(s[near], len(near) - most)[len(near) - most]]
-                        held, known = best[i]
-                        s, own = np.concatenate((held, s[near])), ids[near] if known is None else np.concatenate((known, ids[near]))
-                        top = np.lexsort((own, -s))[:most]
-                        best[i] = s[top], own[top]
-            found = [(i, s, own) for i, (s, own) in enumerate(best) if len(s)]
-            if found:
-                which = np.concatenate([np.full(len(s), i) for i, s, _ in found])
-                columns = [pa.array(names[which].tolist(), query_type), pa.array(np.concatenate([o for _, _, o in found]).tolist(), id_type), pa.array(sign * np.concatenate([s for _, s, _ in found]))]
-                yield pa.RecordBatch.from_arrays(columns, ["query_id", "id", "score"])
+                    if not itself:
+                        for row, name in enumerate(ids.tolist()):
+                            every[row, columns.get(name, [])] = np.nan
+                    near = every >= floor  # not those without a score
+                    if len(ids) > most and near.sum() > 4 * most * len(names):
+                        np.copyto(every, -np.inf, where=np.isnan(every))
+                        near &= every >= np.partition(every, len(ids) - most, axis=0)[len(ids) - most]
+                    row, query = np.nonzero(near)
+                    if len(row):
+                        got = query, every[row, query], ids[row]
+                        query, s, own = got if best is None else (np.concatenate(x) for x in zip(best, got, strict=True))
+                        order = np.lexsort((own, -s, query))
+                        query, s, own = query[order], s[order], own[order]
+                        n = np.bincount(query, minlength=len(names))
+                        top = np.arange(len(query)) - np.repeat(np.cumsum(n) - n, n) < most
+                        best = query, s, own = query[top], s[top], own[top]
+                        full = np.flatnonzero(n >= most)
+                        floor[full] = s[np.cumsum(np.minimum(n, most))[full] - 1]
+            if best is not None:
+                which, s, own = best
+                yield pa.RecordBatch.from_arrays([pa.array(names[which].tolist(), query_type), pa.array(own.tolist(), id_type), pa.array(sign * s)], ["query_id", "id", "score"])
 
         ranked = rows.mapInArrow(run, f"query_id {kinds[1].simpleString()}, id {kinds[0].simpleString()}, score double").withColumn("place", place).where(F.col("place") <= most)
         if blocks > 1:  # one block of queries lives at a time

@@ -144,8 +144,8 @@ def test_words_are_trained_in_tasks_by_their_count(spark, monkeypatch):
     rng = np.random.default_rng(8)
     docs = [(i, " ".join(f"g{i % 4}_{k}" for k in rng.permutation(6))) for i in range(400)]
     frame = spark.createDataFrame(docs, "id int, sentence string").repartition(3, "id")
-    asked, kind = [], feature.Word2Vec
-    monkeypatch.setattr(feature, "Word2Vec", lambda **options: asked.append(options["numPartitions"]) or kind(**options))
+    asked, fit = [], feature.Word2Vec.fit
+    monkeypatch.setattr(feature.Word2Vec, "fit", lambda self, docs: asked.append(self.getNumPartitions()) or fit(self, docs))
     options = {"width": 8, "least": 1, "passes": 8}
     few = tokens.train_embeddings(frame, **options).count()
     monkeypatch.setattr(tokens, "TRAINED", 800)

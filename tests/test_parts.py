@@ -4,6 +4,7 @@ import gzip
 import json
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -295,3 +296,24 @@ def test_command_line(spark, tmp_path):
     run("cache", "remove", names[0], "--cache", f"{tmp_path}/cache")
     assert catalog.Cache(spark, f"{tmp_path}/cache").list() == []
     assert json.dumps(search.first_limit(100)) == "23"
+
+
+@pytest.mark.parametrize("measure", ["cosine", "l2"])
+def test_nearest_rows_in_small_slices_are_those_of_one_sort(spark, monkeypatch, measure):
+    monkeypatch.setattr(search, "SCORES", 90)
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 3, (140, 3)).astype(float)  # many ties, some zero vectors
+    rows = spark.createDataFrame([(i, v.tolist(), str(i % 2)) for i, v in enumerate(x)], "id long, v array<double>, g string").coalesce(1)
+    queries = rows.where("id % 5 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "g")
+    for itself, within, offset in ((True, None, 0), (False, None, 2), (False, "g", 1)):
+        want = set()
+        for i in range(0, 140, 5):
+            s = np.round(search.scores_of(measure, x, x[i : i + 1])[:, 0], 12)
+            found = [(-s[j], j) for j in range(140) if not np.isnan(s[j]) and (itself or j != i) and (within is None or j % 2 == i % 2)]
+            want |= {(i, j, k + 1 - offset) for k, (_, j) in enumerate(sorted(found)[: offset + 7]) if k >= offset}
+        got = search.knn(queries, rows, 7, measure, offset, itself, within)
+        assert {(r["query_id"], r["id"], r["place"]) for r in got.collect()} == want
+
+
+def test_scores_of_a_block_stay_small():
+    assert 8 * search.SCORES <= 1 << 23  # bytes of a worker's largest table of scores
