@@ -95,7 +95,6 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             at = 0
             langs = b.column("lang")
             for words in word_blocks(b.column("text").to_pylist()):
-                x = np.zeros((words.texts, 1 << BUCKET_BITS), np.float32)
                 own: list[list] = [[] for _ in range(words.texts)]
                 for t, w in zip(words.text_of.tolist(), words.which.tolist(), strict=True):
                     own[t].append(w)
@@ -103,32 +102,56 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 for of, h, inside in _buckets(words):
                     for i, row, ok in zip(of.tolist(), h, inside, strict=True):
                         grams[i] = np.concatenate((grams[i], row[ok]))
-                for t, ws in enumerate(own):
-                    if ws:
-                        x[t] = np.bincount(np.concatenate([grams[w] for w in ws]), minlength=x.shape[1])
-                        x[t] /= x[t].sum()
-                yield pa.RecordBatch.from_arrays([langs.slice(at, words.texts), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
+                buckets, shares = [], []
+                for ws in own:
+                    seen = np.bincount(np.concatenate([grams[w] for w in ws]) if ws else np.empty(0, np.int32), minlength=1 << BUCKET_BITS).astype(np.float32)
+                    some = np.flatnonzero(seen)
+                    buckets.append(some.astype(np.int16).tobytes())
+                    shares.append((seen[some] / max(seen.sum(), 1)).tobytes())
+                yield pa.RecordBatch.from_arrays([langs.slice(at, words.texts), pa.array(buckets, pa.binary()), pa.array(shares, pa.binary())], ["lang", "buckets", "shares"])
                 at += words.texts
 
     # at most sample x languages ids: bounded by the parameters
-    got = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).mapInArrow(run, "lang string, x binary").toPandas()
+    got = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).mapInArrow(run, "lang string, buckets binary, shares binary").toPandas()
     languages = sorted(got["lang"].unique())
     if not languages:
         return LanguageModel([UNDETERMINED], np.ones((1, 1)), np.zeros((1 << BUCKET_BITS, 1), np.float32), np.zeros(1), np.ones(1))
-    got = got.sort_values(["lang", "x"], kind="stable")
-    x = np.stack([np.frombuffer(r, np.float32) for r in got["x"]]).astype(np.float64)
+    got = got.sort_values(["lang", "buckets", "shares"], kind="stable")
     y = np.searchsorted(languages, got["lang"].to_numpy())
+    x = np.zeros((len(got), 1 << BUCKET_BITS), np.float32)
+    for row, buckets, shares in zip(x, got["buckets"], got["shares"], strict=True):
+        row[np.frombuffer(buckets, np.int16)] = np.frombuffer(shares, np.float32)
+    del got
     codes = codewords(len(languages))
-    # each language weighs the same, whatever its number of examples
-    weight = np.sqrt(len(y) / (len(languages) * np.bincount(y, minlength=len(languages))))[y][:, None]
-    scale = 1 / np.sqrt(x.mean(0) + 1e-5)
-    z = np.hstack([x * scale, np.ones((len(x), 1))]) * weight
-    target = codes[y] * weight
-    dual = np.linalg.solve(z @ z.T + RIDGE * np.trace(z @ z.T) / len(z) * np.eye(len(z)), target)
-    w = z.T @ dual
-    margins = (z / weight) @ w
+    weights, bias, margins = ridge(x, y, codes)
     trust = 1 - np.minimum(0.5, ((margins * codes[y]) <= 0).mean(0)) + 1e-6
-    return LanguageModel(languages, codes, (w[:-1] * scale[:, None]).astype(np.float32), w[-1], trust / trust.sum())
+    return LanguageModel(languages, codes, weights, bias, trust / trust.sum())
+
+
+def ridge(x: np.ndarray, y: np.ndarray, codes: np.ndarray, slab: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, bias and the examples' margins of the bits of classes ``y``, from examples ``x`` (float32).
+
+    The driver holds ``x`` once and a matrix of examples by examples; in double precision ``x`` is only ever seen by slabs of its columns.
+    """
+    # each class weighs the same, whatever its number of examples
+    weight = np.sqrt(len(y) / (len(codes) * np.bincount(y, minlength=len(codes))))[y][:, None]
+    scale = 1 / np.sqrt(x.mean(0, dtype=np.float64) + 1e-5)
+    slabs = [slice(at, at + slab) for at in range(0, x.shape[1], slab)]
+    gram = weight @ weight.T  # the bias is a column of ones
+    for s in slabs:
+        z = x[:, s] * scale[s] * weight
+        gram += z @ z.T
+    gram.flat[:: len(x) + 1] += RIDGE * np.trace(gram) / len(x)
+    dual = np.linalg.solve(gram, codes[y] * weight) * weight
+    del gram
+    weights, bias = np.empty((x.shape[1], codes.shape[1]), np.float32), dual.sum(0)
+    margins = np.tile(bias, (len(x), 1))
+    for s in slabs:
+        z = x[:, s] * scale[s]
+        w = z.T @ dual
+        margins += z @ w
+        weights[s] = w * scale[s][:, None]
+    return weights, bias, margins
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
