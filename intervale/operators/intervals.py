@@ -81,6 +81,7 @@ def _opened(regions: DataFrame, by: list[str], bucket: int, rows: int = 0) -> tu
     local = cut(x.withColumn("end", F.coalesce(F.lead("_m").over(own.orderBy("start")), F.col("_l"))).select(*keys, "_b", "start", "end"))
     lasts = local.groupBy(*keys, "_b").agg(F.max("end").alias("_last"))
     carried = lasts.select(*keys, "_b", F.max("_last").over(over.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_prior"), F.max("_last").over(over).alias("_all"))
+    carried = cut(carried)  # the size of its files tells that it, and not the rows, may be broadcast
     return local.join(carried.select(*keys, "_b", "_prior"), [*keys, "_b"]), carried
 
 

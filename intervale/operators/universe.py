@@ -98,6 +98,11 @@ def track_models(tracks: DataFrame, sizes: DataFrame, files: int) -> DataFrame:
     return every.select(F.regexp_extract("chrom", r"^(.*)\|", 1).alias("chrom"), F.regexp_extract("chrom", r"\|(\w+)$", 1).alias("track"), "cov", "bg", "fg")
 
 
+def _scored(rows: DataFrame, scores: DataFrame, *keys: str) -> DataFrame:
+    """Rows with the columns of a written model or part of one, which is broadcast while it is small; the rows never are, whatever the size of their files."""
+    return rows.join(F.broadcast(scores) if scores.count() <= BROADCAST_DEPTHS else scores.hint("merge"), list(keys))
+
+
 def flexible_gains(tracks: DataFrame, model: DataFrame, universe: DataFrame) -> DataFrame:
     """chrom, uid, gain: what each region (uid, chrom, start, core_start, core_end, end) adds to the likelihood of background alone.
 
@@ -121,25 +126,27 @@ def flexible_gains(tracks: DataFrame, model: DataFrame, universe: DataFrame) ->
         part("end", "core_end", "end", n2, 0),
     ]
     parts = universe.select("uid", "chrom", F.explode(F.array(*five)).alias("p")).select("uid", "chrom", "p.*").where("r_start < r_end")
+    model = cut(model)
     none = model.where("cov = 0").select("chrom", "track", (F.col("fg") - F.col("bg")).alias("v0"))
-    known = tracks.join(model, ["chrom", "track", "cov"]).join(none, ["chrom", "track"])
+    more = _scored(model, none, "chrom", "track").select("chrom", "track", "cov", (F.col("fg") - F.col("bg") - F.col("v0")).alias("more"))
     key = F.concat_ws("|", "chrom", "track").alias("chrom")
-    pieces = known.select(key, "start", "end", (F.col("fg") - F.col("bg") - F.col("v0")).alias("more"))
+    pieces = _scored(tracks, more, "chrom", "track", "cov").select(key, "start", "end", "more")
 
     def weight(low, high):
         up, down = (low - F.col("r_start")) + (high - F.col("r_start")) + 1, (F.col("r_end") - low) + (F.col("r_end") - high) + 1
         return (high - low) * F.when(F.col("rise") > 0, up).when(F.col("rise") < 0, down).otherwise(2) / (2 * F.col("of"))
 
-    met = intervals.interval_join(pieces, parts.select(key, F.col("chrom").alias("name"), "uid", "r_start", "r_end", "of", "rise"))
+    met = intervals.interval_join(pieces, parts.select(key, F.col("chrom").alias("name"), "uid", "r_start", "r_end", "of", "rise"), rows=tracks.count() + parts.count())
     met = met.select(F.col("name").alias("chrom"), "uid", (weight(F.greatest("start", "r_start"), F.least("end", "r_end")) * F.col("more")).alias("x"))
-    flat = parts.join(none, ["chrom", "track"]).select("chrom", "uid", (weight(F.col("r_start"), F.col("r_end")) * F.col("v0")).alias("x"))
+    flat = _scored(parts, none, "chrom", "track").select("chrom", "uid", (weight(F.col("r_start"), F.col("r_end")) * F.col("v0")).alias("x"))
     return flat.unionByName(met).groupBy("chrom", "uid").agg(F.sum("x").alias("gain"))
 
 
 def flexible_likelihood(tracks: DataFrame, sizes: DataFrame, model: DataFrame, universe: DataFrame) -> DataFrame:
     """Per chromosome the log-likelihood of the three tracks, given the flexible universe."""
     width = F.col("end") - F.col("start")
-    held = tracks.join(model, ["chrom", "track", "cov"]).groupBy("chrom", "track").agg(F.sum(width * F.col("bg")).alias("held"), F.sum(width).alias("covered"))
+    model = cut(model)  # a row for each depth of a chromosome's tracks, so it grows with the files
+    held = _scored(tracks, model, "chrom", "track", "cov").groupBy("chrom", "track").agg(F.sum(width * F.col("bg")).alias("held"), F.sum(width).alias("covered"))
     zero = model.where("cov = 0").select("chrom", "track", F.col("bg").alias("bg0"))
     ground = held.join(zero, ["chrom", "track"]).join(F.broadcast(sizes), "chrom").groupBy("chrom").agg(F.sum(F.col("held") + (F.col("size") - F.col("covered")) * F.col("bg0")).alias("ground"))
     gains = flexible_gains(tracks, model, universe).groupBy("chrom").agg(F.sum("gain").alias("gain"))
@@ -168,7 +175,7 @@ def hard_likelihood(cov: DataFrame, sizes: DataFrame, model: DataFrame, universe
     """
     width = F.col("end") - F.col("start")
     model = cut(model)  # a row for each depth of a chromosome, so it grows with the files
-    known = cov.join(F.broadcast(model) if model.count() <= BROADCAST_DEPTHS else model.hint("merge"), ["chrom", "cov"])
+    known = _scored(cov, model, "chrom", "cov")
     ground = known.groupBy("chrom").agg(F.sum(width * F.col("bg")).alias("held"), F.sum(width).alias("covered"))
     zero = model.where("cov = 0").select("chrom", F.col("bg").alias("bg0"), F.col("fg").alias("fg0"))
     right = universe.select("chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end"))

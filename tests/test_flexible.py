@@ -126,3 +126,17 @@ def test_marked_rows_are_those_drawn_and_no_join_finds_them(spark):
         got = {r["row_idx"] for r in perturb.marked(bed, rate, 7, "drop").where("_d").collect()}
         assert got == {r["row_idx"] for r in perturb.drawn(bed, rate, 7, "drop").collect()} and len(got) == int(300 * rate)
     assert "Join" not in perturb.drop(bed, 0.3, 7)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_gains_broadcast_no_universe(spark):
+    tracks = spark.createDataFrame([("chr1", "core", 0, 500, 2), ("chr1", "start", 0, 1, 1), ("chr1", "end", 500, 501, 1)], "chrom string, track string, start long, end long, cov long")
+    model = universe.track_models(tracks, spark.createDataFrame([("chr1", 60_000)], "chrom string, size long"), 8)
+    at = F.col("id") * 40
+    regions = spark.range(1000).select(F.col("id").alias("uid"), F.lit("chr1").alias("chrom"), at.alias("start"), (at + 5).alias("core_start"), (at + 20).alias("core_end"), (at + 25).alias("end"))
+    lines = universe.flexible_gains(tracks, model, regions)._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    sent = [i for i, x in enumerate(lines) if "BroadcastExchange" in x]
+    assert sent
+    for i in sent:
+        below = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+        assert not any("Range (" in x for x in lines[i:below])
