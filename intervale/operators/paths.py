@@ -55,21 +55,41 @@ class Steps:
         return Steps(np.maximum(moves + (scores - scores.max(1, keepdims=True))[:, None, :], NEVER), np.tile(prefers.astype(np.int8), (len(scores), 1, 1)))
 
 
-def times(a: Steps, b: Steps, chunk: int = 1 << 14) -> Steps:
-    """First ``a``, then ``b``."""
+def times(a: Steps, b: Steps, chunk: int = 1 << 13) -> Steps:
+    """First ``a``, then ``b``; the ranks of a column are distinct, so no two ways tie in them."""
     out = Steps(np.empty_like(a.score), np.empty_like(a.rank))
     for at in range(0, len(a), chunk):
-        x, y = a[at : at + chunk], b[at : at + chunk]
-        every = x.score[:, :, :, None] + y.score[:, None, :, :]
-        best = every.max(2)
-        by = np.where(every == best[:, :, None, :], y.rank[:, None, :, :], np.int8(100)).argmin(2)  # the state between
-        last = np.take_along_axis(y.rank, by, 1)
-        key = last.astype(np.int16) * 8 + np.take_along_axis(x.rank, by, 2)
-        rank = (key[:, :, None, :] > key[:, None, :, :]).sum(2)
-        out.put(slice(at, at + chunk), Steps(np.maximum(best, NEVER), rank.astype(np.int8)))
+        # matrices lie last, so that each operation runs along them
+        x, y, r, q = (np.ascontiguousarray(np.moveaxis(s[at : at + chunk], 0, -1)) for s in (a.score, b.score, a.rank, b.rank))
+        best = key = None
+        for k in range(STATES):  # the state between
+            every = x[:, k, None] + y[None, k]
+            last = q[None, k] * np.int8(8) + r[:, k, None]
+            if best is None:
+                best, key = every, last
+            else:
+                better = (every > best) | ((every == best) & (last < key))
+                best, key = np.where(better, every, best), np.where(better, last, key)
+        rank = np.zeros(key.shape, np.int8)
+        for k in range(STATES):
+            rank += key > key[k]
+        out.put(slice(at, at + chunk), Steps(np.moveaxis(np.maximum(best, NEVER), -1, 0), np.moveaxis(rank, -1, 0)))
     return out
 
 
+def alike(scores: np.ndarray, *marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of which each stands for all that agree in scores and marks, and for every row which of them it is."""
+    both = np.concatenate((np.ascontiguousarray(scores, np.int64).reshape(len(scores), int(np.prod(scores.shape[1:]))), *[np.asarray(m, np.int64)[:, None] for m in marks]), 1)
+    key = np.ascontiguousarray(both).view(np.dtype((np.void, 8 * both.shape[1]))).ravel()
+    _, first, of = np.unique(key, return_index=True, return_inverse=True)
+    return first, of.ravel()
+
+
+def powers(base: Steps, length: np.ndarray, first: np.ndarray, of: np.ndarray) -> Steps:
+    """As ``power``, worked out once for rows that are alike (``alike``)."""
+    return power(base[first], length[first])[of]
+
+
 def power(base: Steps, length: np.ndarray) -> Steps:
     """Each matrix as often as its length says."""
     out, left, live = Steps.none(len(base)), length.copy(), np.arange(len(base))
@@ -152,16 +172,20 @@ def decoded(single: Steps, length: np.ndarray, runs: Steps, came: int, end: int)
     back = np.stack([chosen(before, runs, np.full(n, j)) for j in range(STATES)], 1)
     own = _followed(back[::-1])[:, end][::-1]  # the state before each run
     a, b = own, np.append(own[1:], end)
-    at, run, size = np.cumsum(length) - length, np.arange(n), length
+    at, run, size, whole = np.cumsum(length) - length, np.arange(n), length, runs
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     while len(run):
         x = single[run]
-        stays = (a == b) & (power(x, size).score[np.arange(len(run)), a, b] == np.maximum(size * x.score[np.arange(len(run)), a, a], NEVER))
+        if whole is None:
+            kind = alike(x.score, size)
+            whole = powers(x, size, *kind)
+        stays = (a == b) & (whole.score[np.arange(len(run)), a, b] == np.maximum(size * x.score[np.arange(len(run)), a, a], NEVER))
         ready = stays | (size == 1)
         done.append((at[ready], size[ready], b[ready]))
         at, run, size, a, b, x = at[~ready], run[~ready], size[~ready], a[~ready], b[~ready], x[~ready]
-        half = size // 2
-        middle = chosen(power(x, half).score[np.arange(len(run)), a], power(x, size - half), b)
+        half, whole = size // 2, None
+        kind = alike(x.score, size)
+        middle = chosen(powers(x, half, *kind).score[np.arange(len(run)), a], powers(x, size - half, *kind), b)
         at, run, size, a, b = np.concatenate((at, at + half)), np.tile(run, 2), np.concatenate((half, size - half)), np.concatenate((a, middle)), np.concatenate((middle, b))
     at, size, state = (np.concatenate(c) for c in zip(*done, strict=True))
     order = np.argsort(at)

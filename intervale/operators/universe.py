@@ -285,7 +285,8 @@ def best_regions(rows: DataFrame, segments: DataFrame, scores, moves: np.ndarray
         single = paths.Steps.single(moves, prefers, score)
         if bounds[0] == pdf["first"].iloc[0]:  # no move leads to a segment's first position
             single.put(slice(0, 1), paths.Steps.single(alone, prefers, score[:1]))
-        return bounds, single, paths.power(single, np.diff(bounds)), core
+        size = np.diff(bounds)
+        return bounds, single, paths.powers(single, size, *paths.alike(single.score, size)), core
 
     def reduced(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         one = paths.product(steps(pdf)[2])
@@ -303,7 +304,10 @@ def best_regions(rows: DataFrame, segments: DataFrame, scores, moves: np.ndarray
         at, size, state = paths.decoded(single, np.diff(bounds), runs, int(pdf["came"].iloc[0]), int(pdf["left"].iloc[0]))
         start, end = bounds[0] + at, bounds[0] + at + size
         lo, hi = np.searchsorted(bounds, start, "right") - 1, np.searchsorted(bounds, end, "left")
-        top = np.array([core[i:j].max() for i, j in zip(lo.tolist(), hi.tolist(), strict=True)], np.int64)
+        top = np.maximum.reduceat(np.append(core, 0), np.stack((lo, hi), 1).ravel())[::2].astype(np.int64)
+        # pieces of one state that touch are handed on as one
+        opens = np.flatnonzero(np.append(True, state[1:] != state[:-1]))
+        start, end, state, top = start[opens], end[np.append(opens[1:], len(end)) - 1], state[opens], np.maximum.reduceat(top, opens)
         some = state != 3
         return pd.DataFrame({"chrom": key[0], "first": key[1], "start": start[some], "end": end[some], "state": state[some], "top": top[some]})
 

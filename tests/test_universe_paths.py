@@ -236,3 +236,25 @@ def test_segments_of_sparse_and_dense_chromosomes(spark, seed):
         full = x.any(1).sum()
         got = intervals.covered_segments(cov, size, 100, 40) if full < 3000 else intervals.segments_between_gaps(cov, size, 100, 40)
         assert sorted((r["start"], r["end"]) for r in got.collect()) == segments(x, 6000, (100, 40), (100, 40))
+
+
+def test_runs_that_are_alike_are_worked_out_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    kinds, n = paths.whole(rng.integers(-3, 3, (6, 4)) / 1.0), 4000
+    single = paths.Steps.single(universe.ON, universe.STAY_FIRST, kinds[rng.integers(0, 6, n)])
+    length, done, times = rng.integers(1, 9, n), [0], paths.times
+
+    def counted(a, b, **options):
+        done[0] += len(a)
+        return times(a, b, **options)
+
+    want = paths.power(single, length)
+    monkeypatch.setattr(paths, "times", counted)
+    got = paths.powers(single, length, *paths.alike(single.score, length))
+    assert done[0] < 500 and np.array_equal(got.score, want.score) and np.array_equal(got.rank, want.rank)
+    # a path that is decoded run by run is the one decoded position by position, whose work doesn't depend on lengths
+    ones = paths.Steps(np.repeat(single.score, length, 0), np.repeat(single.rank, length, 0))
+    states = paths.decoded(ones, np.ones(len(ones), int), ones, 3, 3)[2]
+    done[0] = 0
+    at, size, state = paths.decoded(single, length, got, 3, 3)
+    assert np.array_equal(np.repeat(state, size), states) and at[0] == 0 and done[0] < 20 * n
