@@ -27,8 +27,8 @@ from intervale.session import cut, forget, prepare
 
 #: Tokens of a block (a longer document stands alone), tokens of a step within it, rows of the model and of what moves it that are met at once, and negatives that are drawn at once.
 BLOCK, STEP, ROWS, MOVES, DRAWS = 1 << 15, 128, 1 << 14, 1 << 16, 1 << 21
-#: Blocks of a group at most, groups at least (if there are as many blocks), and numbers of the model's rows (16 MB a side) that a group holds.
-GROUP, GROUPS, HELD = 32, 24, 1 << 21
+#: Blocks of a group at most, groups at least (if there are as many blocks), and numbers of the model's rows (32 MB a side) that a group holds.
+GROUP, GROUPS, HELD = 32, 24, 1 << 22
 
 
 def alias_table(weights: DataFrame, bucket: int = 1 << 16) -> DataFrame:
@@ -264,11 +264,7 @@ def _fit(held: DataFrame, known: DataFrame, counts: DataFrame, chances: DataFram
     kind = known.schema["token"].dataType.simpleString()
     schema = f"token {kind}, v array<double>, u array<double>"
     model = cut(known.mapInArrow(_first_rows(width, seed), schema))
-    told = held.groupBy("block").agg(F.sum(F.size("tokens")).alias("m")).agg(F.count(F.lit(1)).alias("n"), F.max("m").alias("m")).first()
-    room = HELD // width  # rows that a group may hold
-    together = GROUP if model.count() <= room else room // ((negatives + 1) * (told["m"] or 1))
-    groups = -(-told["n"] // max(1, min(together, told["n"] // GROUPS)))
-    group = F.when(F.col("block") < 0, F.col("block")).otherwise(F.pmod("block", F.lit(max(1, groups)).cast("long"))).alias("group")
+    n, room, small = held.select("block").distinct().count(), HELD // width, model.count() <= HELD // width  # room: rows that a group may hold
     losses = []
     for epoch in range(epochs):
         now = rate * (1 - 0.9 * epoch / max(1, epochs - 1))
@@ -277,7 +273,10 @@ def _fit(held: DataFrame, known: DataFrame, counts: DataFrame, chances: DataFram
             every = cut(picked)
             picked = every.where("block >= 0")
         blocks = held.select("block", "id", "tokens", F.lit(None).cast("array<int>").alias("times")).unionByName(picked.select("block", F.lit(None).cast("string").alias("id"), "tokens", "times"))
-        blocks = cut(blocks.select(group, "*"))
+        blocks = cut(blocks)
+        most = GROUP if small else room // max(1, blocks.groupBy("block").agg(F.sum(F.size("tokens")).alias("m")).agg(F.max("m")).first()[0] or 0)
+        groups = -(-n // max(1, min(GROUP, most, n // GROUPS)))
+        blocks = blocks.withColumn("group", F.pmod("block", F.lit(max(1, groups)).cast("long")))
         # negatives move only what they are as targets
         needs = blocks.select(F.col("group").alias("_group"), F.col("id").isNotNull().alias("own"), F.explode("tokens").alias("token")).groupBy("_group", "token").agg(F.max("own").alias("own"))
         needs = needs.join(model.hint("merge"), "token").select("_group", "token", *sides)  # rows are multiplied by tokens, which the size of their files doesn't tell
